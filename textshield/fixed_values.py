@@ -136,3 +136,43 @@ SPACE = "\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202
 
 # Address of a wiki page, as base address, space and page number.
 WIKI_PAGE_URL = r"^(https://[^/]+/wiki)/spaces/([^/]+)/pages/(\p{Nd}+)"
+
+# Separators for plain text, from coarse to fine.
+GENERIC_SEPARATORS = ["\n\n", "\n", " ", ""]
+
+# Separators by language, from coarse to fine, as regular expressions.
+_C_FLOW = ["\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase "]
+_PLAIN = ["\n\n", "\n", " ", ""]
+LANGUAGE_SEPARATORS = {
+    "cpp": ["\nclass ", "\nvoid ", "\nint ", "\nfloat ", "\ndouble ", *_C_FLOW, *_PLAIN],
+    "go": ["\nfunc ", "\nvar ", "\nconst ", "\ntype ", "\nif ", "\nfor ", "\nswitch ", "\ncase ", *_PLAIN],
+    "java": ["\nclass ", "\npublic ", "\nprotected ", "\nprivate ", "\nstatic ", *_C_FLOW, *_PLAIN],
+    "kotlin": ["\nclass ", "\npublic ", "\nprotected ", "\nprivate ", "\ninternal ", "\ncompanion ", "\nfun ", "\nval ", "\nvar ",
+               "\nif ", "\nfor ", "\nwhile ", "\nwhen ", "\ncase ", "\nelse ", *_PLAIN],
+    "js": ["\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nclass ", *_C_FLOW, "\ndefault ", *_PLAIN],
+    "ts": ["\nenum ", "\ninterface ", "\nnamespace ", "\ntype ", "\nclass ", "\nfunction ", "\nconst ", "\nlet ", "\nvar ",
+           *_C_FLOW, "\ndefault ", *_PLAIN],
+    "php": ["\nfunction ", "\nclass ", "\nif ", "\nforeach ", "\nwhile ", "\ndo ", "\nswitch ", "\ncase ", *_PLAIN],
+    "proto": ["\nmessage ", "\nservice ", "\nenum ", "\noption ", "\nimport ", "\nsyntax ", *_PLAIN],
+    "python": ["\nclass ", "\ndef ", "\n\tdef ", *_PLAIN],
+    "rst": ["\n=+\n", "\n-+\n", "\n\\*+\n", "\n\n.. *\n\n", *_PLAIN],
+    "ruby": ["\ndef ", "\nclass ", "\nif ", "\nunless ", "\nwhile ", "\nfor ", "\ndo ", "\nbegin ", "\nrescue ", *_PLAIN],
+    "rust": ["\nfn ", "\nconst ", "\nlet ", "\nif ", "\nwhile ", "\nfor ", "\nloop ", "\nmatch ", "\nconst ", *_PLAIN],
+    "scala": ["\nclass ", "\nobject ", "\ndef ", "\nval ", "\nvar ", "\nif ", "\nfor ", "\nwhile ", "\nmatch ", "\ncase ", *_PLAIN],
+    "swift": ["\nfunc ", "\nclass ", "\nstruct ", "\nenum ", "\nif ", "\nfor ", "\nwhile ", "\ndo ", "\nswitch ", "\ncase ", *_PLAIN],
+    "markdown": ["\n#{1,6} ", "```\n", "\n\\*\\*\\*+\n", "\n---+\n", "\n___+\n", *_PLAIN],
+    "latex": ["\n\\\\chapter{", "\n\\\\section{", "\n\\\\subsection{", "\n\\\\subsubsection{", "\n\\\\begin{enumerate}",
+              "\n\\\\begin{itemize}", "\n\\\\begin{description}", "\n\\\\begin{list}", "\n\\\\begin{quote}", "\n\\\\begin{quotation}",
+              "\n\\\\begin{verse}", "\n\\\\begin{verbatim}", "\n\\\\begin{align}", "$$", "$", " ", ""],
+    "html": ["<body", "<div", "<p", "<br", "<li", "<h1", "<h2", "<h3", "<h4", "<h5", "<h6", "<span", "<table", "<tr", "<td", "<th",
+             "<ul", "<ol", "<header", "<footer", "<nav", "<head", "<style", "<script", "<meta", "<title", ""],
+    "sol": ["\npragma ", "\nusing ", "\ncontract ", "\ninterface ", "\nlibrary ", "\nconstructor ", "\ntype ", "\nfunction ", "\nevent ",
+            "\nmodifier ", "\nerror ", "\nstruct ", "\nenum ", "\nif ", "\nfor ", "\nwhile ", "\ndo while ", "\nassembly ", *_PLAIN],
+    "csharp": ["\ninterface ", "\nenum ", "\nimplements ", "\ndelegate ", "\nevent ", "\nclass ", "\nabstract ", "\npublic ",
+               "\nprotected ", "\nprivate ", "\nstatic ", "\nreturn ", "\nif ", "\ncontinue ", "\nfor ", "\nforeach ", "\nwhile ",
+               "\nswitch ", "\nbreak ", "\ncase ", "\nelse ", "\ntry ", "\nthrow ", "\nfinally ", "\ncatch ", *_PLAIN],
+    "cobol": ["\nIDENTIFICATION DIVISION.", "\nENVIRONMENT DIVISION.", "\nDATA DIVISION.", "\nPROCEDURE DIVISION.",
+              "\nWORKING-STORAGE SECTION.", "\nLINKAGE SECTION.", "\nFILE SECTION.", "\nINPUT-OUTPUT SECTION.", "\nOPEN ", "\nCLOSE ",
+              "\nREAD ", "\nWRITE ", "\nIF ", "\nELSE ", "\nMOVE ", "\nPERFORM ", "\nUNTIL ", "\nVARYING ", "\nACCEPT ", "\nDISPLAY ",
+              "\nSTOP RUN.", "\n", " ", ""],
+}

@@ -6,20 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textshield.fixed_values import DEFAULT_DETECTOR, DETECTION_THRESHOLD, DETECTOR_CLASSES, NO_DETECTOR
-from textshield.functions.vectors import softmax
 
 
-def _score(probabilities: Column, i: int) -> Column:
-    return F.coalesce(F.get(probabilities, F.lit(i)), F.lit(0.0))
-
+def class_probabilities(logits: Column, classes: int) -> list[Column]:
+    """Softmax over a known, small number of classes; a missing class scores 0."""
+    top = F.array_max(logits).cast("double")
+    weights = [F.coalesce(F.exp(F.get(logits, F.lit(i)).cast("double") - top), F.lit(0.0)) for i in range(classes)]
+    total = sum(weights[1:], weights[0])
+    return [w / total for w in weights]
 
-def classify3(probabilities: Column, threshold: float | Column = DETECTION_THRESHOLD) -> Column:
-    """``struct<is_malicious, confidence, label>`` from BENIGN, INJECTION, JAILBREAK probabilities.
 
-    A class that is not scored counts 0. A score has to exceed the threshold, so a higher
-    threshold lets more through; equal scores are an injection.
-    """
-    benign, injection, jailbreak = (_score(probabilities, i) for i in range(3))
+def _decide(benign: Column, injection: Column, jailbreak: Column, threshold: float | Column) -> Column:
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     jailed = (jailbreak > injection) & (jailbreak > limit)
     injected = injection > limit
@@ -30,9 +27,22 @@ def classify3(probabilities: Column, threshold: float | Column = DETECTION_THRES
     )
 
 
+def _score(probabilities: Column, i: int) -> Column:
+    return F.coalesce(F.get(probabilities, F.lit(i)), F.lit(0.0))
+
+
+def classify3(probabilities: Column, threshold: float | Column = DETECTION_THRESHOLD) -> Column:
+    """``struct<is_malicious, confidence, label>`` from BENIGN, INJECTION, JAILBREAK probabilities.
+
+    A class that is not scored counts 0. A score has to exceed the threshold, so a higher
+    threshold lets more through; equal scores are an injection.
+    """
+    return _decide(*[_score(probabilities, i) for i in range(3)], threshold)
+
+
 def classify2(probabilities: Column, threshold: float | Column = DETECTION_THRESHOLD) -> Column:
     """The same decision from BENIGN and INJECTION probabilities."""
-    return classify3(F.slice(probabilities, 1, 2), threshold)
+    return _decide(_score(probabilities, 0), _score(probabilities, 1), F.lit(0.0), threshold)
 
 
 def detection_details(
@@ -41,9 +51,9 @@ def detection_details(
     """Details of a detection; missing logits mean the detector was not available and the text passes."""
     if model not in DETECTOR_CLASSES:
         raise ValueError(f"unknown detector {model!r}, known are {sorted(DETECTOR_CLASSES)}")
-    classify = classify3 if DETECTOR_CLASSES[model] == 3 else classify2
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    decided = classify(softmax(logits), limit)
+    scores = class_probabilities(logits, DETECTOR_CLASSES[model])
+    decided = _decide(*scores, *[F.lit(0.0)] * (3 - len(scores)), limit)
     scored = logits.isNotNull()
     return F.struct(
         F.when(scored, ~decided["is_malicious"]).otherwise(True).alias("is_safe"),

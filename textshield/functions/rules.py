@@ -7,7 +7,6 @@ RE2 read alike, compiled into plain column expressions, so no rule table is join
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -54,30 +53,37 @@ ADVICE = {
 SEVERITIES = [(7.0, "critical"), (4.0, "high"), (3.0, "medium"), (0.0, "low")]
 
 
-def rule_hits(text: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """``struct`` with one flag per rule. Select it once and read the flags from there."""
-    return F.struct(*[F.coalesce(text.rlike(r.pattern), F.lit(False)).alias(r.name) for r in rules])
+def rule_flags(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """Bit i of the number is set when rule i matches. Put it in a column once, then read it."""
+    bits = [F.when(text.rlike(r.pattern), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)]
+    return reduce(lambda a, b: a + b, bits).cast("long")
 
 
-def _sum(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns, F.lit(0.0))
+def _set(flags: Column, chosen: Sequence[int]) -> Column:
+    """Whether any of the chosen rules matched."""
+    return flags.bitwiseAND(F.lit(sum(1 << i for i in chosen)).cast("long")) != 0
 
 
-def issue_weight(hits: Column, issues: Sequence[str], rules: Sequence[Rule] = RULES) -> Column:
-    """Summed weight of the rules of some issues that hit."""
-    return _sum([F.when(hits[r.name], r.weight).otherwise(0.0) for r in rules if r.issue in issues])
+def _of(issues: Sequence[str], rules: Sequence[Rule]) -> list[int]:
+    return [i for i, r in enumerate(rules) if r.issue in issues]
 
 
-def rule_logits(hits: Column, rules: Sequence[Rule] = RULES) -> Column:
+def issue_weight(flags: Column, issues: Sequence[str], rules: Sequence[Rule] = RULES) -> Column:
+    """Summed weight of the matching rules of some issues."""
+    weights = [F.when(_set(flags, [i]), rules[i].weight).otherwise(0.0) for i in _of(issues, rules)]
+    return reduce(lambda a, b: a + b, weights, F.lit(0.0))
+
+
+def rule_logits(flags: Column, rules: Sequence[Rule] = RULES) -> Column:
     """Logits of the classes BENIGN, INJECTION, JAILBREAK."""
     return F.array(
-        F.lit(BENIGN_LOGIT), issue_weight(hits, [INJECTION], rules), issue_weight(hits, [JAILBREAK], rules)
+        F.lit(BENIGN_LOGIT), issue_weight(flags, [INJECTION], rules), issue_weight(flags, [JAILBREAK], rules)
     )
 
 
-def toxicity_score(hits: Column, rules: Sequence[Rule] = RULES) -> Column:
+def toxicity_score(flags: Column, rules: Sequence[Rule] = RULES) -> Column:
     """Score from 0 to 1 that rises with the weight of harmful and malicious rules."""
-    return 1.0 - F.exp(-issue_weight(hits, [HARMFUL, MALICIOUS], rules) * math.log(2.0))
+    return 1.0 - F.pow(F.lit(0.5), issue_weight(flags, [HARMFUL, MALICIOUS], rules))
 
 
 def topic_score(text: Column, topics: Mapping[str, Sequence[str]] | Sequence[str]) -> Column:
@@ -92,27 +98,25 @@ def topic_score(text: Column, topics: Mapping[str, Sequence[str]] | Sequence[str
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
 
-def rule_verdict(hits: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """Verdict struct: harmful when any rule hits, severity by summed weight."""
+def rule_verdict(flags: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """Verdict struct: harmful when any rule matches, severity by summed weight."""
     issues = list(dict.fromkeys(r.issue for r in rules))
-    total = issue_weight(hits, issues, rules)
-    any_of = lambda issue: reduce(lambda a, b: a | b, [hits[r.name] for r in rules if r.issue == issue])
+    total = issue_weight(flags, issues, rules)
     severity = F.lit("none")
     for least, name in reversed(SEVERITIES):
         severity = F.when(total > least, name).otherwise(severity)
-    found = F.array_compact(F.array(*[F.when(any_of(i), F.lit(i)) for i in issues]))
-    advice = F.array_compact(F.array(*[F.when(any_of(i), F.lit(ADVICE[i])) for i in issues]))
+    listed = lambda word: F.array_compact(F.array(*[F.when(_set(flags, _of([i], rules)), F.lit(word(i))) for i in issues]))
     return F.struct(
-        (total > 0).alias("is_harmful"),
+        (flags != 0).alias("is_harmful"),
         severity.alias("severity"),
-        found.alias("issues"),
-        advice.alias("recommendations"),
+        listed(lambda issue: issue).alias("issues"),
+        listed(lambda issue: ADVICE[issue]).alias("recommendations"),
     )
 
 
-def rule_reply(hits: Column, rules: Sequence[Rule] = RULES) -> Column:
+def rule_reply(flags: Column, rules: Sequence[Rule] = RULES) -> Column:
     """The verdict as the JSON reply a moderation model would give."""
-    return F.to_json(rule_verdict(hits, rules))
+    return F.to_json(rule_verdict(flags, rules))
 
 
 def mask(text: Column, rules: Sequence[Rule] = RULES) -> Column:
