@@ -41,18 +41,21 @@ def distance(a: Column, b: Column, metric: str | None = DEFAULT_METRIC) -> Colum
     return _total(F.zip_with(a, b, lambda x, y: (_double(x) - _double(y)) * (_double(x) - _double(y))))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normalize(a: Column) -> Column:
     """Unit-length copy of a vector; the zero vector stays zero."""
-    length = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(a, lambda x: _double(x) / length)
+    return let(F.greatest(norm(a), F.lit(1e-12)), lambda length: F.transform(a, lambda x: _double(x) / length))
 
 
 def softmax(logits: Column) -> Column:
     """Probabilities of class logits."""
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda x: F.exp(_double(x) - _double(top)))
-    return F.transform(weights, lambda w: w / _total(weights))
+    weights = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(_double(x) - _double(top))))
+    return let(weights, lambda w: let(_total(w), lambda total: F.transform(w, lambda x: x / total)))
 
 
 def rounded(values: Column, digits: int = 6) -> Column:
-    return F.transform(values, lambda x: F.round(_double(x), digits))
+    return F.transform(values, lambda x: F.round(_double(x), digits) + 0.0)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textshield.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE, GENERIC_SEPARATORS, LANGUAGE_SEPARATORS
+from textshield.functions.vectors import let
 
 
 def chunk_window(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, *, text: str = "text") -> DataFrame:
@@ -23,13 +24,13 @@ def chunk_window(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
         raise ValueError("overlap must be at least 0 and smaller than size")
     stride = size - overlap
     covered = -(-size // stride)
-    last = F.floor(F.greatest(F.length(text) - F.lit(overlap + 1), F.lit(0)) / stride).cast("int")
-    window = lambda i: F.substring(F.concat_ws("", F.slice("_strides", i + 1, F.lit(covered))), 1, size)
-    cut = df.where(F.length(text) > 0).withColumns({
-        "_strides": F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{stride}}}"), F.lit(0)), "_last": last})
-    parts = F.transform(F.sequence(F.lit(0), F.col("_last")), window)
+    text_col = F.col(text)
+    last = F.floor(F.greatest(F.length(text_col) - F.lit(overlap + 1), F.lit(0)) / stride).cast("int")
+    strides = F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    window = lambda cut, i: F.substring(F.concat_ws("", F.slice(cut, i + 1, F.lit(covered))), 1, size)
+    parts = let(strides, lambda cut: F.transform(F.sequence(F.lit(0), last), lambda i: window(cut, i)))
     others = [c for c in df.columns if c != text]
-    return cut.select(*others, F.posexplode(parts).alias("chunk_ix", "chunk"))
+    return df.where(F.length(text_col) > 0).select(*others, F.posexplode(parts).alias("chunk_ix", "chunk"))
 
 
 def _cut(text: str, separator: str) -> list[str]:

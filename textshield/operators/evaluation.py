@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textshield.fixed_values import EVAL_K, JUDGE_SKIPPED, SCORE_BANDS, UNSURE_ANSWER
 from textshield.functions.replies import parse_judge
 from textshield.functions.text import is_blank, preview, words
+from textshield.functions.vectors import let
 from textshield.operators.retrieval import retrieve
 from textshield.schemas import EVAL_RESULT
 
@@ -209,10 +210,10 @@ def failure_mode(n_found: Column, n_truth: Column, n_retrieved: Column) -> Colum
 
 
 def ngrams(text: Column, n: int) -> Column:
-    tokens = words(text)
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tokens, i, F.lit(n))))).otherwise(
-        F.array().cast("array<string>"))
+    """The n-grams of a text's words, in order."""
+    starts = lambda tokens: F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))),
+                                     lambda i: i <= F.size(tokens) - (n - 1))
+    return let(words(text), lambda tokens: F.transform(starts(tokens), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
 
 
 def ngram_overlap(pairs: DataFrame, n: int = 2, *, key: str = "idx", candidate: str = "candidate",

@@ -30,7 +30,7 @@ def masking_provider():
         for messages in conversations:
             text = messages[-1]["content"]
             for rule in RULES:
-                text = re.sub(rule.pattern, rule.replacement, text)
+                text = re.sub(rule.pattern, rule.replacement, text, flags=re.ASCII)
             answers.append(("stop", text))
         return answers
 

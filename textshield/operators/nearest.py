@@ -8,6 +8,7 @@ import pyarrow as pa
 TILE = 1 << 21  # distances held at once
 SLICE = 1 << 15  # pairs measured exactly at once
 EPS = np.finfo(np.float64).eps
+DIGITS = 10  # distances that agree to this many decimals are equal
 
 
 def vectors_of(column) -> np.ndarray:
@@ -36,8 +37,8 @@ class Nearest:
     """The k nearest rows of each query among all batches added so far.
 
     A matrix product finds the rows that can still count, within the rounding error of the
-    product. Only those are measured again, summing from left to right, so that the result
-    does not depend on how rows fall into batches. Ties go to the smaller id.
+    product. Only those are measured again, summing from left to right and rounding, so that the
+    result does not depend on how rows fall into batches. Ties go to the smaller id.
     """
 
     def __init__(self, query_ids, queries, k: int, metric: str, exclude_self: bool):
@@ -100,6 +101,7 @@ class Nearest:
             mine = self.order[at]
             hit = (names[at] == ids) & (mine >= lo) & (mine < hi)
             near[mine[hit] - lo, np.flatnonzero(hit)] = np.inf
+        slack = slack + 10.0**-DIGITS
         limit = self.cut[lo:hi]
         if near.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
@@ -118,7 +120,7 @@ class Nearest:
                 length = np.sqrt(np.cumsum(a * a, axis=1)[:, -1]) * np.sqrt(np.cumsum(b * b, axis=1)[:, -1])
                 product = np.divide(product, length, out=np.zeros_like(product), where=length > 0)
             out[i : i + SLICE] = 1.0 - product
-        return out
+        return np.round(out, DIGITS) + 0.0
 
     def _merge(self, q, r, ids, rows) -> None:
         if len(q) == 0:

@@ -50,9 +50,9 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     )
 
 
-def query_size(queries: DataFrame, vector: str = "embedding") -> tuple[int, int]:
+def query_size(queries: DataFrame, vector: str) -> tuple[int, int]:
     """Number of query vectors and the bytes of their matrix."""
-    seen = queries.where(F.col(vector).isNotNull()).agg(F.count("*"), F.max(F.size(vector))).first()
+    seen = queries.agg(F.count("*"), F.max(F.size(vector))).first()
     return seen[0], seen[0] * (seen[1] or 0) * 8
 
 
@@ -93,27 +93,20 @@ def _spread(df: DataFrame, key: str, own: str, own_n: Column, other: str, other_
     return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), other_n.cast("int") - 1)))
 
 
-def topk(
+def _search(
     queries: DataFrame,
     chunks: DataFrame,
-    k: int = ENRICH_K,
-    metric: str | None = None,
+    k: int,
+    metric: str | None,
     *,
     query_id: str = "query_id",
     chunk_id: str = "chunk_id",
     vector: str = "embedding",
     exclude_self: bool = False,
-    relevance: Callable[[Column], Column] | None = None,
     query_bytes: int = QUERY_BYTES,
     block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """The k nearest chunks of every query: ``query_id, rank, chunk_id, distance``.
-
-    The query matrix is measured first. Up to ``query_bytes`` it goes to every task of one scan
-    over the chunks, and a task returns at most k rows per query. A larger query side is cut
-    into blocks by id, and so are the chunks; each pair of blocks is searched on its own and
-    again returns at most k rows per query. No pair of rows is ever written out.
-    """
+) -> tuple[DataFrame, int]:
+    """Ranked hits and the number of queries."""
     name = metric_name(metric)
     q, c = _sides(queries, chunks, query_id, chunk_id, vector)
     n, size = query_size(q, "vector")
@@ -125,7 +118,23 @@ def topk(
         left = _spread(q, "query_id", "q_block", q_blocks, "c_block", c_blocks)
         right = _spread(c, "chunk_id", "c_block", c_blocks, "q_block", q_blocks)
         hits = _blocks(left, right, ["q_block", "c_block"], k, name, exclude_self)
-    ranked = _ranked(hits, k)
+    return _ranked(hits, k), n
+
+
+def topk(queries: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: str | None = None, *,
+         relevance: Callable[[Column], Column] | None = None, **options) -> DataFrame:
+    """The k nearest chunks of every query: ``query_id, rank, chunk_id, distance``.
+
+    The query matrix is measured first. Up to ``query_bytes`` it goes to every task of one scan
+    over the chunks, and a task returns at most k rows per query. A larger query side is cut
+    into blocks by id, and so are the chunks; each pair of blocks is searched on its own and
+    again returns at most k rows per query. No pair of rows is ever written out.
+
+    Options name the columns (``query_id``, ``chunk_id``, ``vector``), leave out the hit of a row
+    on itself (``exclude_self``) and set the limits (``query_bytes``, ``block_rows``).
+    ``relevance`` turns the distance into an extra ``score`` column.
+    """
+    ranked, _ = _search(queries, chunks, k, metric, **options)
     return ranked.withColumn("score", relevance(F.col("distance"))) if relevance else ranked
 
 
@@ -226,8 +235,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: s
              query_id: str = "query_id", chunk_id: str = "chunk_id", text: str = "text",
              vector: str = "embedding", **options) -> DataFrame:
     """Context of every query. Queries without a hit (empty collection) have no row."""
-    hits = topk(queries, chunks, k, metric, query_id=query_id, chunk_id=chunk_id, vector=vector, **options)
-    n, _ = query_size(queries, vector)
+    hits, n = _search(queries, chunks, k, metric, query_id=query_id, chunk_id=chunk_id, vector=vector, **options)
     return assemble_context(with_chunks(hits, chunks, chunk_id, [text], n * k), text=text)
 
 
