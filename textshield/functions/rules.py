@@ -1,12 +1,14 @@
 """Rule-based scorer, moderator and rewriter.
 
 These are offline stand-ins for trained models: deterministic and cheap, but not
-comparable in accuracy. Every rule is one regular expression that Java, Python and
-RE2 read alike, compiled into plain column expressions, so no rule table is joined.
+comparable in accuracy. Every rule is one regular expression that Java, Python and RE2
+read alike (word boundaries next to letters outside ASCII aside), compiled into plain
+column expressions, so no rule table is joined.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -86,14 +88,17 @@ def toxicity_score(flags: Column, rules: Sequence[Rule] = RULES) -> Column:
     return 1.0 - F.pow(F.lit(0.5), issue_weight(flags, [HARMFUL, MALICIOUS], rules))
 
 
+_LETTER = r"[\p{L}\p{Nd}]"
+
+
 def topic_score(text: Column, topics: Mapping[str, Sequence[str]] | Sequence[str]) -> Column:
-    """Highest score of banned topics: n / (n + 1) for n mentions of a topic's words."""
+    """Highest score of banned topics: n / (n + 1) for n mentions of a topic's words or phrases."""
     lexicon = topics if isinstance(topics, Mapping) else {t: [t] for t in topics}
     lowered = F.lower(text)
     scores = []
     for terms in lexicon.values():
-        pattern = r"\b(?:" + "|".join(t.lower() for t in terms) + r")\b"
-        n = F.regexp_count(lowered, F.lit(pattern)).cast("double")
+        listed = "|".join(re.escape(term.lower()) for term in terms)
+        n = F.regexp_count(lowered, F.lit(rf"(?<!{_LETTER})(?:{listed})(?!{_LETTER})")).cast("double")
         scores.append(n / (n + 1.0))
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
