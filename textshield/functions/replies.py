@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textshield.fixed_values import JUDGE_FAILED_PREFIX
 from textshield.functions.text import strip
+from textshield.functions.vectors import let
 
 VERDICT = "is_harmful boolean, severity string, issues array<string>, recommendations array<string>"
 _FENCE = "```"
@@ -23,28 +24,39 @@ def unfenced(reply: Column) -> Column:
     )
 
 
-def _object(text: Column) -> Column:
-    """The text as a JSON object, null when it is anything else."""
-    parsed = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+def _parsed(text: Column) -> Column:
+    """The text as JSON, null when it cannot be read."""
+    return F.try_parse_json(text)
+
+
+def _is_object(parsed: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
 
 
 def parse_judge(reply: Column) -> Column:
     """``struct<score, reasoning, judge_failed>``; a reply that cannot be read scores 0."""
-    body = _object(unfenced(reply))
-    score = F.try_variant_get(body, "$.score", "string").try_cast("double")
-    reasoning = F.try_variant_get(body, "$.reasoning", "string")
-    reason = (
-        F.when(reply.isNull(), "no reply")
-        .when(body.isNull(), "reply is not a JSON object")
-        .when(score.isNull(), "score is missing or not a number")
-        .when(reasoning.isNull(), "reasoning is missing")
-    )
-    return F.struct(
-        F.when(reason.isNull(), score).otherwise(0.0).alias("score"),
-        F.when(reason.isNull(), reasoning).otherwise(F.concat(F.lit(JUDGE_FAILED_PREFIX), reason)).alias("reasoning"),
-        reason.isNotNull().alias("judge_failed"),
-    )
+
+    def fields(parsed: Column) -> Column:
+        return F.struct(
+            _is_object(parsed).alias("readable"),
+            F.try_variant_get(parsed, "$.score", "string").try_cast("double").alias("score"),
+            F.try_variant_get(parsed, "$.reasoning", "string").alias("reasoning"),
+        )
+
+    def judged(found: Column) -> Column:
+        reason = (
+            F.when(reply.isNull(), "no reply")
+            .when(~found["readable"], "reply is not a JSON object")
+            .when(found["score"].isNull(), "score is missing or not a number")
+            .when(found["reasoning"].isNull(), "reasoning is missing")
+        )
+        return F.struct(
+            F.when(reason.isNull(), found["score"]).otherwise(0.0).alias("score"),
+            F.when(reason.isNull(), found["reasoning"]).otherwise(F.concat(F.lit(JUDGE_FAILED_PREFIX), reason)).alias("reasoning"),
+            reason.isNotNull().alias("judge_failed"),
+        )
+
+    return let(let(_parsed(unfenced(reply)), fields), judged)
 
 
 def parse_moderation(reply: Column) -> Column:
@@ -52,13 +64,14 @@ def parse_moderation(reply: Column) -> Column:
 
     ``parsed`` is false for an unreadable or empty object; such a text counts as not harmful.
     """
-    body = _object(reply)
-    parsed = body.isNotNull() & (body.cast("string") != "{}")
-    verdict = F.from_json(F.when(parsed, reply), VERDICT)
-    return F.struct(
-        F.coalesce(parsed, F.lit(False)).alias("parsed"),
-        F.coalesce(verdict["is_harmful"], F.lit(False)).alias("is_harmful"),
-        F.coalesce(verdict["severity"], F.lit("unknown")).alias("severity"),
-        F.coalesce(verdict["issues"], F.array().cast("array<string>")).alias("issues"),
-        F.coalesce(verdict["recommendations"], F.array().cast("array<string>")).alias("recommendations"),
+    none = F.array().cast("array<string>")
+    readable = let(_parsed(reply), lambda p: _is_object(p) & (p.cast("string") != "{}"))
+    verdict = lambda ok: F.from_json(F.when(ok, reply), VERDICT)
+    whole = lambda found: F.struct(
+        found["ok"].alias("parsed"),
+        F.coalesce(found["v"]["is_harmful"], F.lit(False)).alias("is_harmful"),
+        F.coalesce(found["v"]["severity"], F.lit("unknown")).alias("severity"),
+        F.coalesce(found["v"]["issues"], none).alias("issues"),
+        F.coalesce(found["v"]["recommendations"], none).alias("recommendations"),
     )
+    return let(let(F.coalesce(readable, F.lit(False)), lambda ok: F.struct(ok.alias("ok"), verdict(ok).alias("v"))), whole)

@@ -16,13 +16,22 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textshield.functions.vectors import let
+
 
 class Rule(NamedTuple):
+    """A pattern with its meaning.
+
+    ``hints`` are groups of lower-case literals: a match contains a literal of every group, so texts
+    without them are dismissed by plain substring search.
+    """
+
     name: str
     issue: str
     pattern: str
     weight: float
     replacement: str
+    hints: tuple[tuple[str, ...], ...] = ()
 
 
 INJECTION, JAILBREAK = "prompt injection attempt", "jailbreak attempt"
@@ -30,17 +39,28 @@ HARMFUL, MALICIOUS = "harmful content", "malicious instruction"
 SECURITY, PERSONAL = "security vulnerability", "sensitive data exposure"
 
 RULES = [
-    Rule("override", INJECTION, r"(?i)\b(?:ignore|disregard|forget|override)\s+(?:\w+\s+){0,3}(?:instructions?|context|prompts?|rules)\b", 4.0, ""),
-    Rule("reveal", INJECTION, r"(?i)\b(?:reveal|show|print|tell|give)\s+(?:\w+\s+){0,4}(?:system prompt|hidden prompt|secrets?)\b", 3.0, ""),
-    Rule("role", JAILBREAK, r"(?i)\b(?:you are now|act as|pretend to be)\s+(?:\w+\s+){0,2}(?:dan|jailbroken|unrestricted|unfiltered)\b", 5.0, ""),
-    Rule("anything", JAILBREAK, r"(?i)\b(?:do anything now|developer mode|no restrictions)\b", 4.0, ""),
-    Rule("hostile", HARMFUL, r"(?i)\b(?:hate|kill|murder|weapons?|bombs?|violence)\b", 2.0, "[removed]"),
-    Rule("order", MALICIOUS, r"(?i)\b(?:delete|reduce|cut|boost|shutdown)\s+(?:\w+\s+){0,3}(?:budget|accounts?|records)\b", 3.0, "[removed]"),
-    Rule("crime", MALICIOUS, r"(?i)\b(?:illegal|hacking|malware|phishing)\b", 2.0, "[removed]"),
-    Rule("credential", SECURITY, r"(?i)\b(?:token|password|api_key|secret)\s*=\s*\"[0-9a-z]{16,}\"", 4.0, "[secret]"),
-    Rule("email", PERSONAL, r"[A-Za-z0-9._]+@[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+", 2.0, "[email]"),
-    Rule("card", PERSONAL, r"\b[0-9]{16}\b", 3.0, "[card]"),
-    Rule("address", PERSONAL, r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", 1.0, "[address]"),
+    Rule("override", INJECTION, r"(?i)\b(?:ignore|disregard|forget|override)\s+(?:\w+\s+){0,3}(?:instructions?|context|prompts?|rules)\b",
+         4.0, "", (("ignore", "disregard", "forget", "override"), ("instruction", "context", "prompt", "rule"))),
+    Rule("reveal", INJECTION, r"(?i)\b(?:reveal|show|print|tell|give)\s+(?:\w+\s+){0,4}(?:system prompt|hidden prompt|secrets?)\b",
+         3.0, "", (("system prompt", "hidden prompt", "secret"), ("reveal", "show", "print", "tell", "give"))),
+    Rule("role", JAILBREAK, r"(?i)\b(?:you are now|act as|pretend to be)\s+(?:\w+\s+){0,2}(?:dan|jailbroken|unrestricted|unfiltered)\b",
+         5.0, "", (("dan", "jailbroken", "unrestricted", "unfiltered"), ("you are", "act as", "pretend to"))),
+    Rule("anything", JAILBREAK, r"(?i)\b(?:do anything now|developer mode|no restrictions)\b",
+         4.0, "", (("do anything now", "developer mode", "no restrictions"),)),
+    Rule("hostile", HARMFUL, r"(?i)\b(?:hate|kill|murder|weapons?|bombs?|violence)\b",
+         2.0, "[removed]", (("hate", "kill", "murder", "weapon", "bomb", "violence"),)),
+    Rule("order", MALICIOUS, r"(?i)\b(?:delete|reduce|cut|boost|shutdown)\s+(?:\w+\s+){0,3}(?:budget|accounts?|records)\b",
+         3.0, "[removed]", (("budget", "account", "record"), ("delete", "reduce", "cut", "boost", "shutdown"))),
+    Rule("crime", MALICIOUS, r"(?i)\b(?:illegal|hacking|malware|phishing)\b",
+         2.0, "[removed]", (("illegal", "hacking", "malware", "phishing"),)),
+    Rule("credential", SECURITY, r"(?i)\b(?:token|password|api_key|secret)\s*=\s*\"[0-9a-z]{16,}\"",
+         4.0, "[secret]", (("token", "password", "api_key", "secret"), ("=",))),
+    Rule("email", PERSONAL, r"[A-Za-z0-9._]+@[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+",
+         2.0, "[email]", (("@",),)),
+    Rule("card", PERSONAL, r"\b[0-9]{16}\b",
+         3.0, "[card]"),
+    Rule("address", PERSONAL, r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+         1.0, "[address]"),
 ]
 
 BENIGN_LOGIT = 2.0
@@ -55,10 +75,15 @@ ADVICE = {
 SEVERITIES = [(7.0, "critical"), (4.0, "high"), (3.0, "medium"), (0.0, "low")]
 
 
+def _matches(text: Column, lowered: Column, rule: Rule) -> Column:
+    hinted = [reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(h)) for h in group]) for group in rule.hints]
+    return reduce(lambda a, b: a & b, [*hinted, text.rlike(rule.pattern)])
+
+
 def rule_flags(text: Column, rules: Sequence[Rule] = RULES) -> Column:
     """Bit i of the number is set when rule i matches. Put it in a column once, then read it."""
-    bits = [F.when(text.rlike(r.pattern), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)]
-    return reduce(lambda a, b: a + b, bits).cast("long")
+    bits = lambda lowered: [F.when(_matches(text, lowered, r), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)]
+    return let(F.lower(text), lambda lowered: reduce(lambda a, b: a + b, bits(lowered))).cast("long")
 
 
 def _set(flags: Column, chosen: Sequence[int]) -> Column:
@@ -124,6 +149,10 @@ def rule_reply(flags: Column, rules: Sequence[Rule] = RULES) -> Column:
     return F.to_json(rule_verdict(flags, rules))
 
 
-def mask(text: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """The rewriting stand-in: every rule match replaced by the rule's replacement."""
-    return reduce(lambda t, r: F.regexp_replace(t, r.pattern, r.replacement), rules, text)
+def mask(text: Column, rules: Sequence[Rule] = RULES, flags: Column | None = None) -> Column:
+    """The rewriting stand-in: every rule match replaced by the rule's replacement.
+
+    Texts that no rule matches are passed on untouched; pass their flags if they are known.
+    """
+    replaced = reduce(lambda t, r: F.regexp_replace(t, r.pattern, r.replacement), rules, text)
+    return F.when((rule_flags(text, rules) if flags is None else flags) != 0, replaced).otherwise(text)

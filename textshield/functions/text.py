@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textshield.fixed_values import BLOCKED_FORMAT, BLOCKED_PREFIX, FILTER_KEYWORDS, SPACE, WIKI_PAGE_URL
+from textshield.functions.vectors import let
 
 
 def strip_html(html: Column) -> Column:
@@ -45,9 +46,9 @@ def preview(text: Column, n: int, ellipsis: str = "...") -> Column:
 
 def filtered_keywords(text: Column, keywords: Sequence[str] = FILTER_KEYWORDS) -> Column:
     """Keywords contained in a text, ignoring case, in the order of the list."""
-    lowered = F.lower(text)
-    hits = [F.when(F.contains(lowered, F.lit(k.lower())), F.lit(k)) for k in keywords]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    hits = lambda lowered: [F.when(F.contains(lowered, F.lit(k.lower())), F.lit(k)) for k in keywords]
+    none = F.array().cast("array<string>")
+    return let(F.lower(text), lambda lowered: F.array_compact(F.array(*hits(lowered)))) if keywords else none
 
 
 def _percent(x: Column) -> Column:
@@ -90,6 +91,10 @@ def is_valid(text: Column) -> Column:
     return ~F.startswith(text, F.lit(BLOCKED_PREFIX))
 
 
+def word_split(text: Column) -> Column:
+    """Lower-case words (letters and digits of any script) in order, with empty strings at the edges."""
+    return F.split(F.lower(text), r"[^\p{L}\p{Nd}]+")
+
+
 def words(text: Column) -> Column:
-    """Lower-case words (letters and digits of any script) in order of appearance."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+    return F.filter(word_split(text), lambda w: w != "")

@@ -30,7 +30,12 @@ def chunk_window(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
     window = lambda cut, i: F.substring(F.concat_ws("", F.slice(cut, i + 1, F.lit(covered))), 1, size)
     parts = let(strides, lambda cut: F.transform(F.sequence(F.lit(0), last), lambda i: window(cut, i)))
     others = [c for c in df.columns if c != text]
-    return df.where(F.length(text_col) > 0).select(*others, F.posexplode(parts).alias("chunk_ix", "chunk"))
+    return _exploded(df.where(F.length(text_col) > 0), others, parts)
+
+
+def _exploded(df: DataFrame, others: list[str], parts: Column) -> DataFrame:
+    """One row per part. The outer form keeps Spark from computing the parts twice, once to test for emptiness."""
+    return df.select(*others, F.posexplode_outer(parts).alias("chunk_ix", "chunk")).where(F.col("chunk_ix").isNotNull())
 
 
 def _cut(text: str, separator: str) -> list[str]:
@@ -105,7 +110,7 @@ def chunk_recursive(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_
     own separators instead. Documents without text have no chunk.
     """
     others = [c for c in df.columns if c != text]
-    return df.select(*others, F.posexplode(recursive_chunks(F.col(text), size, overlap, language)).alias("chunk_ix", "chunk"))
+    return _exploded(df, others, recursive_chunks(F.col(text), size, overlap, language))
 
 
 def chunk_language(df: DataFrame, language: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, *,

@@ -2,37 +2,49 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textshield.fixed_values import DEFAULT_EMBEDDING_MODEL, MODEL_POOLING
-from textshield.functions.text import words
+from textshield.functions.text import word_split
 from textshield.functions.vectors import l2_normalize
 
 HASH_DIMS = 64
 
 
-def word_bucket(word: Column, dims: int) -> Column:
-    """Bucket of a word, from the first 32 bits of its md5."""
-    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dims))
-
-
 def hash_embed(df: DataFrame, *, text: str = "text", dims: int = HASH_DIMS, out: str = "embedding") -> DataFrame:
-    """Add a unit vector of word-bucket counts.
+    """Add a unit vector of word counts; a word counts in component ``first md5 byte % dims``.
 
-    The default embedder: an offline stand-in that only sees shared words, not a trained model.
-    Runs inside the JVM without a shuffle, over whole texts. A text without words is the zero vector.
+    The default embedder: an offline stand-in that only sees shared words, not a trained model. It
+    sees whole texts and needs no shuffle. Words are cut in the JVM; a batch of them is encoded as
+    a dictionary, so each distinct word is hashed once per batch. Being an operator and not an
+    expression, the vector is computed once, wherever later filters mention it.
     """
-    counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], inputCol="_buckets", outputCol="_counts", minTF=1.0)
-    buckets = F.transform(words(F.col(text)), lambda w: word_bucket(w, dims).cast("string"))
-    counts = counted.transform(df.withColumn("_buckets", buckets))
-    return counts.withColumn(out, l2_normalize(vector_to_array("_counts"))).drop("_buckets", "_counts")
+    if 256 % dims:
+        raise ValueError("dims must divide 256")
+    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out], f"`{out}` array<double>"])
+    kept = [f.name for f in df.schema if f.name != out]
+
+    def count(batches):
+        for batch in batches:
+            found, rows = batch.column("_words"), batch.num_rows
+            coded = found.flatten().dictionary_encode()
+            bucket = np.array([hashlib.md5(w.encode()).digest()[0] % dims if w else dims for w in coded.dictionary.to_pylist()], dtype=np.int64)
+            owner = np.repeat(np.arange(rows), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            place = owner * (dims + 1) + bucket[coded.indices.to_numpy(zero_copy_only=False)]
+            counts = np.bincount(place, minlength=rows * (dims + 1)).reshape(rows, dims + 1)[:, :dims].astype(np.float64)
+            unit = counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-12)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * dims), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], vectors], names=[*kept, out])
+
+    return df.select(*kept, word_split(F.col(text)).alias("_words")).mapInArrow(count, ddl)
 
 
 # An embedder is a factory, called once per task. What it makes turns a list of texts into one vector each.

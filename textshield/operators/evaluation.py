@@ -227,7 +227,7 @@ def ngram_overlap(pairs: DataFrame, n: int = 2, *, key: str = "idx", candidate:
         F.struct(F.lit(1).alias("c"), F.lit(0).alias("r"), ngrams(F.col(candidate), n).alias("grams")),
         F.struct(F.lit(0).alias("c"), F.lit(1).alias("r"), ngrams(F.col(reference), n).alias("grams")))
     sides = pairs.select(key, F.inline(tagged))
-    grams = sides.select(key, "c", "r", F.explode("grams").alias("gram"))
+    grams = sides.select(key, "c", "r", F.explode_outer("grams").alias("gram")).where(F.col("gram").isNotNull())
     counts = grams.groupBy(key, "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
     sums = counts.groupBy(key).agg(
         F.sum(F.least("c", "r")).alias("overlap"), F.sum("c").alias("n_candidate"), F.sum("r").alias("n_reference"))

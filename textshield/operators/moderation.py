@@ -68,17 +68,19 @@ def rewrite_harmful(df: DataFrame, rewrite: Column | None = None, *, text: str =
                     mode: str | Column = REWRITE_BLOCK_MODE, detect: bool = True,
                     context_rewrite: Column | None = None) -> DataFrame:
     """Rewrite every text and add ``rewritten`` and its ``metrics``; a failed rewrite leaves the text as it is."""
+    flags = None
     if detect:
         df = df.withColumn("rule_flags", rule_flags(F.col(text)))
-        df = df.withColumn("detection", detection_details(rule_logits(F.col("rule_flags")))).drop("rule_flags")
-    answer = mask(F.col(text)) if rewrite is None else rewrite
+        df = df.withColumn("detection", detection_details(rule_logits(F.col("rule_flags"))))
+        flags = F.col("rule_flags")
+    answer = mask(F.col(text), flags=flags) if rewrite is None else rewrite
     done = sanitize(df, text=text, mode=mode, rewrite=answer, context_rewrite=context_rewrite,
                     detection="detection" if detect else None)
     failed = error if error is not None else F.lit(None).cast("string")
     kept = done.withColumn("rewritten", F.when(failed.isNotNull(), F.col(text)).otherwise(F.col("sanitized")))
     metrics = F.when(failed.isNotNull(), rewrite_error(F.col(text), failed)).otherwise(
         rewrite_metrics(F.col(text), F.col("rewritten")))
-    return kept.withColumn("metrics", metrics).drop("sanitized", "route", "blocked", "detection")
+    return kept.withColumn("metrics", metrics).drop("sanitized", "route", "blocked", "detection", "rule_flags")
 
 
 def moderate_and_rewrite(df: DataFrame, reply: Column | None = None, rewrite: Column | None = None, *,
@@ -112,7 +114,10 @@ def verdict_summary(df: DataFrame) -> DataFrame:
 
 
 def issue_counts(df: DataFrame) -> DataFrame:
-    return df.select(F.explode("verdict.issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    """Number of texts by issue. Equal issue lists are counted before they are taken apart."""
+    lists = df.groupBy(F.col("verdict.issues").alias("issues")).agg(F.count("*").alias("n"))
+    issues = lists.select("n", F.explode_outer("issues").alias("issue")).where(F.col("issue").isNotNull())
+    return issues.groupBy("issue").agg(F.sum("n").alias("n"))
 
 
 def _bullets(title: str, items: Column) -> Column:

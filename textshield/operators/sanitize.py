@@ -11,11 +11,6 @@ from textshield.fixed_values import REWRITE_BLOCK_MODE, SANITIZER_SYSTEM_PROMPT
 from textshield.functions.text import blocked_marker
 
 
-def _given(reply: Column) -> Column:
-    """A reply that holds some text; an empty one counts as none."""
-    return F.nullif(reply, F.lit(""))
-
-
 def is_blocked(mode: str | Column, detection: str = "detection") -> Column:
     """Malicious texts are blocked in mode ``block``; any other mode rewrites them."""
     return F.col(detection)["is_malicious"] & ((mode if isinstance(mode, Column) else F.lit(mode)) == "block")
@@ -30,20 +25,18 @@ def sanitize(df: DataFrame, *, text: str = "text", mode: str | Column = REWRITE_
     the text itself. Reply columns are evaluated only for rows that get that far.
     """
     none = F.lit(None).cast("string")
-    blocked = is_blocked(mode, detection) if detection else F.lit(False)
-    with_context = _given(context_rewrite) if context_rewrite is not None else none
-    plain = _given(rewrite) if rewrite is not None else none
     marker = blocked_marker(F.col(detection)["label"]) if detection else none
-    return (
-        df.withColumn("blocked", blocked)
-        .withColumn("_answer", F.when(F.col("blocked"), F.struct(F.lit("blocked").alias("route"), marker.alias("text")))
-                    .otherwise(F.coalesce(
-                        F.when(with_context.isNotNull(), F.struct(F.lit("context").alias("route"), with_context.alias("text"))),
-                        F.when(plain.isNotNull(), F.struct(F.lit("default").alias("route"), plain.alias("text"))),
-                        F.struct(F.lit("original").alias("route"), F.col(text).alias("text")))))
-        .withColumns({"route": F.col("_answer.route"), "sanitized": F.col("_answer.text")})
-        .drop("_answer")
-    )
+    routed = df.withColumn("blocked", is_blocked(mode, detection) if detection else F.lit(False))
+    routed = routed.withColumn("_context", none if context_rewrite is None else F.when(~F.col("blocked"), context_rewrite))
+    with_context = F.coalesce(F.col("_context"), F.lit("")) != ""
+    routed = routed.withColumn("_plain", none if rewrite is None else F.when(~F.col("blocked") & ~with_context, rewrite))
+    plain = F.coalesce(F.col("_plain"), F.lit("")) != ""
+    choose = lambda *answers: (
+        F.when(F.col("blocked"), answers[0]).when(with_context, answers[1]).when(plain, answers[2]).otherwise(answers[3]))
+    return routed.withColumns({
+        "route": choose(*[F.lit(r) for r in ("blocked", "context", "default", "original")]),
+        "sanitized": choose(marker, F.col("_context"), F.col("_plain"), F.col(text)),
+    }).drop("_context", "_plain")
 
 
 def sanitize_with_replies(df: DataFrame, reply: Callable[[DataFrame], DataFrame], *, key: str, text: str = "text",
@@ -63,7 +56,7 @@ def sanitize_with_replies(df: DataFrame, reply: Callable[[DataFrame], DataFrame]
     if enriched:
         asked = open_rows.where(F.col(enriched).isNotNull())
         context = reply(asked.select(item, F.lit("").alias("system"), F.col(enriched).alias("user")))
-        answered = context.where(_given(F.col("reply")).isNotNull()).select(F.col("item_id").alias(key))
+        answered = context.where("reply <> ''").select(F.col("item_id").alias(key))
         open_rows = open_rows.join(answered, key, "left_anti")
     system = F.lit(system_prompt or SANITIZER_SYSTEM_PROMPT)
     default = reply(open_rows.select(item, system.alias("system"), F.col(text).alias("user")))

@@ -147,7 +147,7 @@ def _answered(requests: DataFrame, topics, rewrite: Column | None, context_rewri
     detected = scanned.withColumn("detection", detection_details(logits, threshold=F.col("prompt_injection_threshold")))
     return sanitize(
         detected, text="prompt", mode=F.col("block_mode"),
-        rewrite=mask(F.col("prompt")) if rewrite is None else rewrite,
+        rewrite=mask(F.col("prompt"), flags=F.col("rule_flags")) if rewrite is None else rewrite,
         context_rewrite=F.when(F.col("use_rag"), context_rewrite) if context_rewrite is not None else None,
     )
 

@@ -47,7 +47,7 @@ def softmax3(injection: str, jailbreak: str) -> tuple[str, str, str]:
 def hashed(source: str, key: str, column: str, name: str, dims: int = 64) -> str:
     """CTEs that end in ``name(key, e)``: the unit vector of word buckets as a list."""
     return f"""{name}_w AS (SELECT {key} AS k, unnest({words(column)}) AS w FROM {source}),
-{name}_b AS (SELECT k, ('0x' || substr(md5(w), 1, 8))::BIGINT % {dims} AS d, count(*)::DOUBLE AS c FROM {name}_w GROUP BY ALL),
+{name}_b AS (SELECT k, ('0x' || substr(md5(w), 1, 2))::BIGINT % {dims} AS d, count(*)::DOUBLE AS c FROM {name}_w GROUP BY ALL),
 {name}_n AS (SELECT k, sqrt(sum(c * c)) AS norm FROM {name}_b GROUP BY k),
 {name}_g AS (SELECT t.{key} AS k, r.d, coalesce(b.c / n.norm, 0.0) AS v FROM {source} t
   CROSS JOIN (SELECT unnest(range({dims})) AS d) r LEFT JOIN {name}_b b ON b.k = t.{key} AND b.d = r.d

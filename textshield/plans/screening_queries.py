@@ -188,7 +188,7 @@ def _sanitize(mode: str):
     @query("sanitize_block" if mode == "block" else "sanitize_rewrite", body)
     def build(t: Tables):
         found = detect_injection(attacked(t), text="prompt")
-        return sanitize(found, text="prompt", mode=mode, rewrite=mask(F.col("prompt"))).select("doc_id", "route", "sanitized")
+        return sanitize(found, text="prompt", mode=mode, rewrite=mask(F.col("prompt"), flags=F.col("rule_flags"))).select("doc_id", "route", "sanitized")
 
 
 _sanitize("block")

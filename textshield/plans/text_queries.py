@@ -70,8 +70,8 @@ def keyword_hits(t: Tables):
 
 @query("keyword_summary", f"SELECT keyword, count(*) AS n FROM (SELECT unnest({KEYWORD_LIST}) AS keyword FROM documents) GROUP BY keyword")
 def keyword_summary(t: Tables):
-    found = t.documents.select(F.explode(filtered_keywords(F.col("text"), KEYWORDS)).alias("keyword"))
-    return found.groupBy("keyword").agg(F.count("*").alias("n"))
+    found = t.documents.select(F.explode_outer(filtered_keywords(F.col("text"), KEYWORDS)).alias("keyword"))
+    return found.where(F.col("keyword").isNotNull()).groupBy("keyword").agg(F.count("*").alias("n"))
 
 
 DEFAULT_LIST = "list_filter([" + ", ".join(sql.text(k) for k in FILTER_KEYWORDS) + "], lambda k: contains(lower(text), lower(k)))"

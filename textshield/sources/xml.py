@@ -7,6 +7,7 @@ import xml.etree.ElementTree as ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _parts(content) -> list[str]:
@@ -15,7 +16,7 @@ def _parts(content) -> list[str]:
     return [part.strip() for e in elements for part in (e.text, e.tail) if part and part.strip()]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _element_text(contents: pd.Series) -> pd.Series:
     def read(content):
         try:
