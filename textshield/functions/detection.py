@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textshield.fixed_values import DEFAULT_DETECTOR, DETECTION_THRESHOLD, DETECTOR_CLASSES, NO_DETECTOR
+from textshield.functions.vectors import let
 
 
-def class_probabilities(logits: Column, classes: int) -> list[Column]:
+def class_probabilities(logits: Column, classes: int) -> Column:
     """Softmax over a known, small number of classes; a missing class scores 0."""
-    top = F.array_max(logits).cast("double")
-    weights = [F.coalesce(F.exp(F.get(logits, F.lit(i)).cast("double") - top), F.lit(0.0)) for i in range(classes)]
-    total = sum(weights[1:], weights[0])
-    return [w / total for w in weights]
+    weight = lambda i, top: F.coalesce(F.exp(F.get(logits, F.lit(i)).cast("double") - top), F.lit(0.0))
+    weights = let(F.array_max(logits).cast("double"), lambda top: F.array(*[weight(i, top) for i in range(classes)]))
+    total = lambda w: reduce(lambda a, b: a + b, [w[i] for i in range(classes)])
+    return let(weights, lambda w: let(total(w), lambda n: F.array(*[w[i] / n for i in range(classes)])))
 
 
-def _decide(benign: Column, injection: Column, jailbreak: Column, threshold: float | Column) -> Column:
+def _decide(probabilities: Column, classes: int, threshold: float | Column) -> Column:
+    benign, injection, jailbreak = (
+        F.coalesce(F.get(probabilities, F.lit(i)), F.lit(0.0)) if i < classes else F.lit(0.0) for i in range(3))
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     jailed = (jailbreak > injection) & (jailbreak > limit)
     injected = injection > limit
@@ -27,22 +32,18 @@ def _decide(benign: Column, injection: Column, jailbreak: Column, threshold: flo
     )
 
 
-def _score(probabilities: Column, i: int) -> Column:
-    return F.coalesce(F.get(probabilities, F.lit(i)), F.lit(0.0))
-
-
 def classify3(probabilities: Column, threshold: float | Column = DETECTION_THRESHOLD) -> Column:
     """``struct<is_malicious, confidence, label>`` from BENIGN, INJECTION, JAILBREAK probabilities.
 
     A class that is not scored counts 0. A score has to exceed the threshold, so a higher
     threshold lets more through; equal scores are an injection.
     """
-    return _decide(*[_score(probabilities, i) for i in range(3)], threshold)
+    return let(probabilities, lambda p: _decide(p, 3, threshold))
 
 
 def classify2(probabilities: Column, threshold: float | Column = DETECTION_THRESHOLD) -> Column:
     """The same decision from BENIGN and INJECTION probabilities."""
-    return _decide(_score(probabilities, 0), _score(probabilities, 1), F.lit(0.0), threshold)
+    return let(probabilities, lambda p: _decide(p, 2, threshold))
 
 
 def detection_details(
@@ -51,16 +52,20 @@ def detection_details(
     """Details of a detection; missing logits mean the detector was not available and the text passes."""
     if model not in DETECTOR_CLASSES:
         raise ValueError(f"unknown detector {model!r}, known are {sorted(DETECTOR_CLASSES)}")
+    classes = DETECTOR_CLASSES[model]
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    scores = class_probabilities(logits, DETECTOR_CLASSES[model])
-    decided = _decide(*scores, *[F.lit(0.0)] * (3 - len(scores)), limit)
-    scored = logits.isNotNull()
-    return F.struct(
-        F.when(scored, ~decided["is_malicious"]).otherwise(True).alias("is_safe"),
-        F.when(scored, decided["is_malicious"]).otherwise(False).alias("is_malicious"),
-        F.when(scored, decided["confidence"]).otherwise(0.0).alias("confidence"),
-        F.when(scored, decided["label"]).otherwise("BENIGN").alias("label"),
-        limit.alias("threshold"),
-        F.when(scored, F.lit(model)).otherwise("none").alias("model"),
-        F.when(~scored, F.lit(NO_DETECTOR)).alias("error"),
-    )
+
+    def details(decided: Column) -> Column:
+        scored = decided["label"].isNotNull()
+        return F.struct(
+            F.coalesce(~decided["is_malicious"], F.lit(True)).alias("is_safe"),
+            F.coalesce(decided["is_malicious"], F.lit(False)).alias("is_malicious"),
+            F.coalesce(decided["confidence"], F.lit(0.0)).alias("confidence"),
+            F.coalesce(decided["label"], F.lit("BENIGN")).alias("label"),
+            limit.alias("threshold"),
+            F.when(scored, F.lit(model)).otherwise("none").alias("model"),
+            F.when(~scored, F.lit(NO_DETECTOR)).alias("error"),
+        )
+
+    decided = let(class_probabilities(logits, classes), lambda p: _decide(p, classes, limit))
+    return let(F.when(logits.isNotNull(), decided), details)

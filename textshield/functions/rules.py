@@ -131,14 +131,17 @@ def topic_score(text: Column, topics: Mapping[str, Sequence[str]] | Sequence[str
 def rule_verdict(flags: Column, rules: Sequence[Rule] = RULES) -> Column:
     """Verdict struct: harmful when any rule matches, severity by summed weight."""
     issues = list(dict.fromkeys(r.issue for r in rules))
-    total = issue_weight(flags, issues, rules)
-    severity = F.lit("none")
-    for least, name in reversed(SEVERITIES):
-        severity = F.when(total > least, name).otherwise(severity)
+
+    def severity(total: Column) -> Column:
+        named = F.lit("none")
+        for least, name in reversed(SEVERITIES):
+            named = F.when(total > least, name).otherwise(named)
+        return named
+
     listed = lambda word: F.array_compact(F.array(*[F.when(_set(flags, _of([i], rules)), F.lit(word(i))) for i in issues]))
     return F.struct(
         (flags != 0).alias("is_harmful"),
-        severity.alias("severity"),
+        let(issue_weight(flags, issues, rules), severity).alias("severity"),
         listed(lambda issue: issue).alias("issues"),
         listed(lambda issue: ADVICE[issue]).alias("recommendations"),
     )

@@ -233,10 +233,14 @@ def assemble_context(hits: DataFrame, *, text: str = "text") -> DataFrame:
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: str | None = None, *,
              query_id: str = "query_id", chunk_id: str = "chunk_id", text: str = "text",
-             vector: str = "embedding", **options) -> DataFrame:
-    """Context of every query. Queries without a hit (empty collection) have no row."""
+             vector: str = "embedding", texts: DataFrame | None = None, **options) -> DataFrame:
+    """Context of every query. Queries without a hit (empty collection) have no row.
+
+    ``texts`` supplies the texts by chunk id when ``chunks`` are vectors computed on the way, so that
+    they are not computed again; a stored collection needs none.
+    """
     hits, n = _search(queries, chunks, k, metric, query_id=query_id, chunk_id=chunk_id, vector=vector, **options)
-    return assemble_context(with_chunks(hits, chunks, chunk_id, [text], n * k), text=text)
+    return assemble_context(with_chunks(hits, chunks if texts is None else texts, chunk_id, [text], n * k), text=text)
 
 
 def enrich(prompts: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: str | None = None, *,

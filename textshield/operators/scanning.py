@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +16,7 @@ from textshield.fixed_values import (
 )
 from textshield.functions.detection import class_probabilities, detection_details
 from textshield.functions.rules import mask, rule_flags, rule_logits, topic_score, toxicity_score
+from textshield.functions.vectors import let
 from textshield.operators.sanitize import sanitize
 
 GUARD, REWRITE = "guard", "rewrite"
@@ -77,21 +77,26 @@ def scan(df: DataFrame, scanners: Sequence[Scanner], *, text: str = "text") -> D
     A text is valid when no score exceeds its threshold. A scanner without a score is an error;
     the text then passes without scores.
     """
-    on = lambda s: s.enabled if isinstance(s.enabled, Column) else F.lit(bool(s.enabled))
-    limit = lambda s: s.threshold if isinstance(s.threshold, Column) else F.lit(float(s.threshold))
-    failed = F.coalesce(*[F.when(on(s) & s.score.isNull(), F.concat(F.lit(s.name), F.lit(" not available")))
-                          for s in scanners], F.lit(None).cast("string"))
-    passed = reduce(lambda a, b: a & b, [~on(s) | (s.score <= limit(s)) for s in scanners], F.lit(True))
-    entries = F.array_compact(F.array(*[
-        F.when(on(s) & s.score.isNotNull(), F.struct(F.lit(s.name).alias("k"), s.score.alias("v"))) for s in scanners
-    ])) if scanners else None
-    scores = F.map_from_entries(entries).cast(SCORES) if scanners else F.create_map().cast(SCORES)
-    return df.select(
-        "*",
-        F.col(text).alias("sanitized"),
-        F.when(failed.isNotNull(), True).otherwise(passed).alias("is_valid"),
-        F.when(failed.isNotNull(), F.create_map().cast(SCORES)).otherwise(scores).alias("scan_scores"),
-        failed.alias("scan_error"),
+    column = lambda value, kind: value if isinstance(value, Column) else F.lit(kind(value))
+    outcome = lambda s: F.when(column(s.enabled, bool), F.struct(
+        F.lit(s.name).alias("name"), s.score.alias("score"), (s.score <= column(s.threshold, float)).alias("passed")))
+    outcomes = F.array_compact(F.array(*[outcome(s) for s in scanners])) if scanners else None
+    if outcomes is None:
+        empty = F.create_map().cast(SCORES)
+        return df.select("*", F.col(text).alias("sanitized"), F.lit(True).alias("is_valid"), empty.alias("scan_scores"),
+                         F.lit(None).cast("string").alias("scan_error"))
+    run = df.withColumn("_outcomes", outcomes)
+    lost = F.get(F.filter("_outcomes", lambda o: o["score"].isNull()), F.lit(0))["name"]
+    failed = F.col("scan_error").isNotNull()
+    scores = F.map_from_entries(F.transform("_outcomes", lambda o: F.struct(o["name"], o["score"])))
+    return (
+        run.withColumn("scan_error", F.concat(lost, F.lit(" not available")))
+        .withColumns({
+            "sanitized": F.col(text),
+            "is_valid": failed | F.forall("_outcomes", lambda o: F.coalesce(o["passed"], F.lit(True))),
+            "scan_scores": F.when(failed, F.create_map().cast(SCORES)).otherwise(scores),
+        })
+        .drop("_outcomes")
     )
 
 
@@ -127,9 +132,9 @@ def request_scanners(topics: Sequence[str] | dict[str, Sequence[str]] = (), *, t
                      toxicity: Column | None = None) -> list[Scanner]:
     """Scanners switched and limited by the columns of each request, scored by rules."""
     flags = F.col("rule_flags")
-    benign, injection, jailbreak = class_probabilities(rule_logits(flags), 3)
+    worst = let(class_probabilities(rule_logits(flags), 3), lambda p: F.greatest(p[1], p[2]))
     scanners = [
-        Scanner("PromptInjection", F.greatest(injection, jailbreak), INJECTION_LIMIT, F.col("enable_prompt_injection")),
+        Scanner("PromptInjection", worst, INJECTION_LIMIT, F.col("enable_prompt_injection")),
         Scanner("Toxicity", toxicity if toxicity is not None else toxicity_score(flags),
                 F.col("toxicity_threshold"), F.col("enable_toxicity")),
     ]

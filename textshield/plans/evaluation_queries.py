@@ -45,7 +45,8 @@ def questions(t: Tables):
 
 
 def results(t: Tables):
-    return ev.evaluate(questions(t), hash_embed(t.documents.select("doc_id", "text")), chunk_id="doc_id")
+    docs = t.documents.select("doc_id", "text")
+    return ev.evaluate(questions(t), hash_embed(docs), chunk_id="doc_id", texts=docs)
 
 
 @query("eval_results", f"WITH {QA} SELECT * FROM r")

@@ -91,8 +91,8 @@ x AS (SELECT query_id, string_agg(d.text, E'\\n\\n' ORDER BY rank) AS docs FROM
 SELECT prompt_id, {sql.text(ENRICHED_PROMPT[0])} || docs || {sql.text(ENRICHED_PROMPT[1])} || prompt || {sql.text(ENRICHED_PROMPT[2])} AS enriched_prompt
 FROM p LEFT JOIN x ON x.query_id = p.prompt_id""")
 def prompt_enrich(t: Tables):
-    chunks = hash_embed(t.documents.select("doc_id", "text"))
-    return enrich(prompts(t), chunks, metric="cosine", chunk_id="doc_id").select("prompt_id", "enriched_prompt")
+    docs = t.documents.select("doc_id", "text")
+    return enrich(prompts(t), hash_embed(docs), metric="cosine", chunk_id="doc_id", texts=docs).select("prompt_id", "enriched_prompt")
 
 
 TABLES, BITS = 8, 4

@@ -25,7 +25,7 @@ from textshield.functions.rules import (
     topic_score,
     toxicity_score,
 )
-from textshield.functions.vectors import softmax
+from textshield.functions.vectors import let, softmax
 from textshield.operators import moderation as mod
 from textshield.operators.conversations import conversation_pairs, sanitize_conversations
 from textshield.operators.generation import generate, resolve_replies
@@ -141,10 +141,9 @@ def detected(t: Tables):
 def scanners():
     """Injection and topics by rule; toxicity from the labels, which many documents lack."""
     flags = F.col("f")
-    logit = rule_logits(flags)
-    p = softmax(logit)
+    worst = let(softmax(rule_logits(flags)), lambda p: F.greatest(p[1], p[2]))
     return [
-        Scanner("PromptInjection", F.greatest(F.get(p, F.lit(1)), F.get(p, F.lit(2))), INJECTION_LIMIT),
+        Scanner("PromptInjection", worst, INJECTION_LIMIT),
         Scanner("Toxicity", F.col("toxic").cast("double"), 0.5),
         Scanner("BanTopics", topic_score(F.col("prompt"), TOPICS), 0.8, F.col("lang") != "fr"),
     ]
