@@ -22,7 +22,7 @@ def vectors_of(column) -> np.ndarray:
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     if rows and (sizes != sizes[0]).any():
         raise ValueError("embeddings must be vectors of one length")
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, len(flat) // max(rows, 1))
 
 
 def ids_of(column) -> np.ndarray:
