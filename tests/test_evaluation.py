@@ -63,6 +63,8 @@ def test_judge(spark):
     rows = {r.idx: (r.llm_score, r.judge_failed) for r in ev.judge(df, F.col("reply")).collect()}
     assert rows == {1: (77.0, False), 2: (-1.0, False), 3: (-1.0, False), 4: (0.0, True), 5: (-1.0, False), 6: (0.0, True)}
     assert {r.llm_reasoning for r in ev.judge(df, F.col("reply"), enabled=False).collect()} == {"Skipped: No reference answer available"}
+    asked = ev.judge_requests(df.withColumns({"prompt": F.lit("q"), "context": F.lit("c")})).collect()
+    assert {r.item_id for r in asked} == {1, 4, 6} and all("REFERENCE ANSWER:\nanswer" in r.user for r in asked)
     stored = df.select(F.col("idx").alias("item_id"), "reply").where("idx < 3")
     rows = {r.idx: r.llm_score for r in ev.judge_with_replies(df.drop("reply"), stored).collect()}
     assert rows == {1: 77.0, 2: -1.0, 3: -1.0, 4: 0.0, 5: -1.0, 6: 0.0}

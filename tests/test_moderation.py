@@ -110,3 +110,15 @@ def test_one_conversation_with_most_rows(spark):
                                           "if(id % 2 = 0, 'user', 'assistant') AS role", "cast(id AS string) AS text")
     pairs = conversation_pairs(turns)
     assert pairs.where("conv_id = 1").count() == 7500 and pairs.where("conv_id = 1 and cast(reply AS int) = cast(message AS int) + 1").count() == 7500
+
+
+def test_generated_replies(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
+
+    def reply(asked):
+        rows = asked.collect()
+        assert {r.user for r in rows} == {"Analyze this content:\n\na", "Analyze this content:\n\nb"} and rows[0].system.startswith("You are a content")
+        return spark.createDataFrame([(1, '{"is_harmful": true, "severity": "low"}')], "item_id long, reply string")
+
+    rows = {r.id: r.verdict.is_harmful for r in mod.moderate_with_replies(df, reply, key="id").collect()}
+    assert rows == {1: True, 2: False}

@@ -176,3 +176,51 @@ LANGUAGE_SEPARATORS = {
               "\nREAD ", "\nWRITE ", "\nIF ", "\nELSE ", "\nMOVE ", "\nPERFORM ", "\nUNTIL ", "\nVARYING ", "\nACCEPT ", "\nDISPLAY ",
               "\nSTOP RUN.", "\n", " ", ""],
 }
+
+# Texts of the moderation reports, with %s where a value goes.
+REPORT_TEXTS = {
+    "rule": "---\n\n",
+    "bullet": "- %s\n",
+    "analysis": "**Full Analysis:**\n```json\n%s\n```\n\n",
+    "comment_head": "## Comment %s (ID: %s)\n\n**Content:**\n```\n%s\n```\n\n",
+    "comment_harmful": "⚠️ **Status:** HARMFUL (`%s`)\n\n",
+    "comment_issues": "**Issues:**\n",
+    "comment_advice": "**Recommendations:**\n",
+    "comment_safe": "✅ **Status:** SAFE\n\n",
+    "comment_raw": "⚠️ **Analysis (Raw):**\n```\n%s\n```\n\n",
+    "page_head": (
+        "# 📄 Page Analysis\n\n**Title:** %s\n\n**Space:** %s\n\n**Version:** %s\n\n**Page ID:** %s\n\n---\n\n"
+        "## 🔍 Content Preview\n\n```\n%s\n```\n\n---\n\n## 🛡️ Moderation Analysis\n\n"
+    ),
+    "page_harmful": "### ⚠️ **Harmful Content Detected**\n\n**Severity:** `%s`\n\n",
+    "page_safe": "### ✅ **No Harmful Content Detected**\n\n",
+    "page_issues": "**Issues Found:**\n",
+    "page_advice": "**Recommended Actions:**\n",
+    "page_raw": "**Raw Analysis:**\n\n```\n%s\n```\n\n",
+    "page_empty": "⚠️ **Warning:** Page '%s' has no content to analyze.",
+    "passage_head": (
+        "<div style='font-size: 18px; margin: 15px 0 10px 0;'><strong>Passage %s (ID: %s)</strong></div>\n\n"
+        "**📝 Original Passage**\n\n<div style='font-size: 20px; background: #f5f5f5; padding: 10px; margin: 5px 0;'>%s</div>\n\n"
+    ),
+    "passage_analysis": "**🛡️ Moderation Analysis**\n",
+    "passage_harmful": "<div style='font-size: 20px;'>⚠️ <strong>Status:</strong> HARMFUL (<code>%s</code>)</div>\n\n",
+    "passage_issues": "<div style='font-size: 20px;'><strong>Issues:</strong><ul style='margin: 5px 0;'>\n%s</ul></div>\n\n",
+    "passage_issue": "<li>%s</li>\n",
+    "passage_safe": "<div style='font-size: 20px;'>✅ <strong>Status:</strong> SAFE</div>\n\n",
+    "passage_unread": "<div style='font-size: 20px;'>⚠️ <strong>Status:</strong> Unable to parse analysis</div>\n\n",
+    "passage_kept": "<div style='font-size: 20px;'>✅ <strong>No rewriting needed</strong> (passage is safe)</div>\n\n",
+    "passage_rewritten": (
+        "**✏️ Rewritten Passage**\n\n<div style='font-size: 20px; background: #e8f5e9; padding: 10px; margin: 5px 0;'>%s</div>\n\n"
+    ),
+    "passage_error": "<div style='font-size: 20px;'>⚠️ <strong>Error:</strong> %s</div>\n\n",
+}
+
+# The notice before a chat reply whose question was rewritten, with %s where a value goes.
+CHAT_NOTICE = "🛡️ **Sanitized Query:**\n\n**Original:** %s\n\n**Sanitized:** %s\n\n"
+CHAT_KEYWORDS = "⚠️ **Filtered keywords:** %s\n\n"
+CHAT_RULE = "---\n\n"
+
+# The wrapping of documents, passages and context entries, with %s where a value goes.
+DOCUMENT_FORMAT = "Document: %s\n\n%s"
+PASSAGE_FORMAT = "Passage %s:\n%s\n\n"
+CONTEXT_FORMAT = "[Document %s]\n%s\n"

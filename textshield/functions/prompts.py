@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textshield.fixed_values import ENRICHED_PROMPT, JUDGE_PROMPT, MODERATION_PROMPT_HEAD
+from textshield.fixed_values import CONTEXT_FORMAT, ENRICHED_PROMPT, JUDGE_PROMPT, MODERATION_PROMPT_HEAD, PASSAGE_FORMAT
 
 
 def _between(pieces: tuple[str, ...], values: list[Column]) -> Column:
@@ -39,8 +39,8 @@ def chat_messages(system: Column, user: Column) -> Column:
 
 
 def context_entry(rank: Column, text: Column) -> Column:
-    return F.concat(F.lit("[Document "), rank.cast("string"), F.lit("]\n"), text, F.lit("\n"))
+    return F.format_string(CONTEXT_FORMAT, rank, text)
 
 
 def passage(passage_id: Column, body: Column) -> Column:
-    return F.concat(F.lit("Passage "), passage_id, F.lit(":\n"), body, F.lit("\n\n"))
+    return F.format_string(PASSAGE_FORMAT, passage_id, body)

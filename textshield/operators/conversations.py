@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textshield.fixed_values import NO_REPLY
+from textshield.fixed_values import CHAT_KEYWORDS, CHAT_NOTICE, CHAT_RULE, NO_REPLY
 from textshield.functions.text import filtered_keywords
 
 
@@ -31,11 +31,8 @@ def sanitize_conversations(turns: DataFrame, rewrite: Column, **keyword_options)
     changed = F.col("sanitized") != F.col("message")
     keywords = F.when(changed, filtered_keywords(F.col("message"), **keyword_options))
     reply = F.coalesce(F.nullif("reply", F.lit("")), F.lit(NO_REPLY))
-    listed = F.when(F.size("keywords") > 0, F.concat(
-        F.lit("⚠️ **Filtered keywords:** "), F.concat_ws(", ", "keywords"), F.lit("\n\n"))).otherwise("")
-    notice = F.concat(
-        F.lit("🛡️ **Sanitized Query:**\n\n**Original:** "), F.col("message"), F.lit("\n\n**Sanitized:** "),
-        F.col("sanitized"), F.lit("\n\n"), listed, F.lit("---\n\n"))
+    listed = F.when(F.size("keywords") > 0, F.format_string(CHAT_KEYWORDS, F.concat_ws(", ", "keywords"))).otherwise("")
+    notice = F.concat(F.format_string(CHAT_NOTICE, F.col("message"), F.col("sanitized")), listed, F.lit(CHAT_RULE))
     return (
         pairs.withColumn("changed", changed)
         .withColumn("keywords", keywords)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textshield.fixed_values import DEFAULT_EMBEDDING_MODEL, MODEL_POOLING
 from textshield.functions.text import word_split
 from textshield.functions.vectors import l2_normalize
+from textshield.operators.models import Model, with_vectors
 
 HASH_DIMS = 64
 
@@ -47,32 +48,19 @@ def hash_embed(df: DataFrame, *, text: str = "text", dims: int = HASH_DIMS, out:
     return df.select(*kept, word_split(F.col(text)).alias("_words")).mapInArrow(count, ddl)
 
 
-# An embedder is a factory, called once per task. What it makes turns a list of texts into one vector each.
-Embedder = Callable[[], Callable[[list], list]]
-
-
-def embed(df: DataFrame, embedder: Embedder | None = None, *, text: str = "text", key: str | None = None,
-          out: str = "embedding", max_chars: int | None = None) -> DataFrame:
-    """Add the vector of every text, in Arrow batches; without an embedder by :func:`hash_embed`.
+def embed(df: DataFrame, embedder: Model | None = None, *, text: str = "text", out: str = "embedding",
+          max_chars: int | None = None) -> DataFrame:
+    """Add the vector of every text by a model; without one by :func:`hash_embed`.
 
     ``max_chars`` is the input limit of a model. By default whole texts are embedded.
     """
-    source = df if max_chars is None else df.withColumn(text, F.substring(text, 1, max_chars))
-    if embedder is None:
-        return hash_embed(source, text=text, out=out)
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], f"`{out}` array<float>"])
-
-    def run(batches):
-        encode = embedder()
-        for batch in batches:
-            vectors = encode(batch.column(text).to_pylist())
-            added = pa.array([list(map(float, v)) for v in vectors], type=pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, added], names=[*batch.schema.names, out])
-
-    return source.mapInArrow(run, ddl)
+    source = df if max_chars is None else df.withColumn("_input", F.substring(text, 1, max_chars))
+    read = text if max_chars is None else "_input"
+    added = hash_embed(source, text=read, out=out) if embedder is None else with_vectors(source, embedder, text=read, out=out)
+    return added.drop("_input")
 
 
-def embed_queries(queries: DataFrame, embedder: Embedder | None = None, *, text: str = "query") -> DataFrame:
+def embed_queries(queries: DataFrame, embedder: Model | None = None, *, text: str = "query") -> DataFrame:
     """Queries are embedded as documents are."""
     return embed(queries, embedder, text=text)
 

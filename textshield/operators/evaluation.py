@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textshield.fixed_values import EVAL_K, JUDGE_SKIPPED, SCORE_BANDS, UNSURE_ANSWER
+from textshield.fixed_values import EVAL_K, JUDGE_SKIPPED, JUDGE_SYSTEM_PROMPT, SCORE_BANDS, UNSURE_ANSWER
+from textshield.functions.prompts import judge_prompt
 from textshield.functions.replies import parse_judge
 from textshield.functions.text import is_blank, preview, words
 from textshield.functions.vectors import let
@@ -45,6 +46,14 @@ def judge(df: DataFrame, reply: Column, *, answer: str = "response", enabled: bo
     }).drop("_judged", "_reply", "_result")
 
 
+def judge_requests(df: DataFrame, *, key: str = "idx", question: str = "prompt", answer: str = "response",
+                   context: str = "context") -> DataFrame:
+    """``item_id, system, user`` for a text generator; rows that are not judged are not asked."""
+    asked = df.where(~is_blank(F.col(answer)) & (F.col(answer) != UNSURE_ANSWER))
+    user = judge_prompt(F.col(question), F.col(answer), F.col(context))
+    return asked.select(F.col(key).alias("item_id"), F.lit(JUDGE_SYSTEM_PROMPT).alias("system"), user.alias("user"))
+
+
 def judge_with_replies(df: DataFrame, replies: DataFrame, *, key: str = "idx", **options) -> DataFrame:
     """The same with stored replies ``item_id, reply``; a judged row without one has failed."""
     joined = df.join(replies.select(F.col("item_id").alias(key), F.col("reply").alias("_stored")), key, "left")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textshield.fixed_values import MODERATION_FAILED, REWRITE_BLOCK_MODE, UNKNOWN
+from textshield.fixed_values import MODERATION_FAILED, MODERATION_SYSTEM_PROMPT, REWRITE_BLOCK_MODE, UNKNOWN
+from textshield.fixed_values import REPORT_TEXTS as R
 from textshield.functions.detection import detection_details
+from textshield.functions.prompts import moderation_prompt
 from textshield.functions.replies import parse_moderation
 from textshield.functions.rules import mask, rule_flags, rule_logits, rule_reply, rule_verdict
 from textshield.functions.text import is_blank, preview, rewrite_error, rewrite_metrics, strip_html
@@ -33,6 +37,14 @@ def moderate(df: DataFrame, reply: Column | None = None, *, text: str = "text")
     )
 
 
+def moderate_with_replies(df: DataFrame, reply: Callable[[DataFrame], DataFrame], *, key: str, text: str = "text") -> DataFrame:
+    """The same with replies from a text generator, which gets ``item_id, system, user``."""
+    asked = df.select(F.col(key).alias("item_id"), F.lit(MODERATION_SYSTEM_PROMPT).alias("system"),
+                      moderation_prompt(F.col(text)).alias("user"))
+    answers = reply(asked).select(F.col("item_id").alias(key), F.col("reply").alias("_reply"))
+    return moderate(df.join(answers, key, "left"), F.col("_reply"), text=text).drop("_reply")
+
+
 def status(verdict: Column) -> Column:
     """HARMFUL (SEVERITY), SAFE, or that the analysis could not be read."""
     harmful = F.concat(F.lit("HARMFUL ("), F.upper(verdict["severity"]), F.lit(")"))
@@ -122,80 +134,52 @@ def issue_counts(df: DataFrame) -> DataFrame:
 
 def _bullets(title: str, items: Column) -> Column:
     """A titled list, nothing when it is empty."""
-    lines = F.concat_ws("", F.transform(items, lambda i: F.concat(F.lit("- "), i, F.lit("\n"))))
-    return F.when(F.size(items) > 0, F.concat(F.lit(f"**{title}:**\n"), lines, F.lit("\n"))).otherwise("")
+    lines = F.concat_ws("", F.transform(items, lambda i: F.format_string(R["bullet"], i)))
+    return F.when(F.size(items) > 0, F.concat(F.lit(title), lines, F.lit("\n"))).otherwise("")
 
 
-def _fenced(text: Column, kind: str = "") -> Column:
-    return F.concat(F.lit(f"```{kind}\n"), text, F.lit("\n```\n\n"))
+def _known(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(UNKNOWN))
 
 
 def comment_report(df: DataFrame, *, position: str = "pos", comment_id: str = "id") -> DataFrame:
     """Markdown block of each moderated comment: ``pos, fragment``. Write it ordered by position."""
     verdict, raw = F.col("verdict"), F.col("raw_response")
-    harmful = F.concat(
-        F.lit("⚠️ **Status:** HARMFUL (`"), F.upper(verdict["severity"]), F.lit("`)\n\n"),
-        _bullets("Issues", verdict["issues"]), _bullets("Recommendations", verdict["recommendations"]))
-    analysed = F.concat(
-        F.when(verdict["is_harmful"], harmful).otherwise("✅ **Status:** SAFE\n\n"),
-        F.lit("**Full Analysis:**\n"), _fenced(raw, "json"))
-    unread = F.concat(F.lit("⚠️ **Analysis (Raw):**\n"), _fenced(raw))
-    head = F.concat(F.lit("## Comment "), (F.col(position) + 1).cast("string"), F.lit(" (ID: "),
-                    F.coalesce(F.col(comment_id).cast("string"), F.lit(UNKNOWN)), F.lit(")\n\n**Content:**\n"),
-                    _fenced(F.col("preview")))
-    body = F.concat(head, F.when(verdict["parsed"], analysed).otherwise(unread), F.lit("---\n\n"))
-    return df.select(F.col(position).alias("pos"), body.alias("fragment"))
+    harmful = F.concat(F.format_string(R["comment_harmful"], F.upper(verdict["severity"])),
+                       _bullets(R["comment_issues"], verdict["issues"]), _bullets(R["comment_advice"], verdict["recommendations"]))
+    analysed = F.concat(F.when(verdict["is_harmful"], harmful).otherwise(R["comment_safe"]), F.format_string(R["analysis"], raw))
+    head = F.format_string(R["comment_head"], F.col(position) + 1, _known(comment_id), F.col("preview"))
+    judged = F.when(verdict["parsed"], analysed).otherwise(F.format_string(R["comment_raw"], raw))
+    return df.select(F.col(position).alias("pos"), F.concat(head, judged, F.lit(R["rule"])).alias("fragment"))
 
 
 def page_report(df: DataFrame, *, page_id: str = "page_id", title: str = "title", space: str = "space_name",
                 version: str = "version") -> DataFrame:
     """Markdown report of each moderated page; blank pages get a warning instead."""
     verdict, raw = F.col("verdict"), F.col("raw_response")
-    field = lambda name, col: F.concat(F.lit(f"**{name}:** "), F.coalesce(F.col(col).cast("string"), F.lit(UNKNOWN)), F.lit("\n\n"))
-    found = F.concat(F.lit("### ⚠️ **Harmful Content Detected**\n\n**Severity:** `"), F.upper(verdict["severity"]), F.lit("`\n\n"))
-    analysed = F.concat(
-        F.when(verdict["is_harmful"], found).otherwise("### ✅ **No Harmful Content Detected**\n\n"),
-        _bullets("Issues Found", verdict["issues"]), _bullets("Recommended Actions", verdict["recommendations"]),
-        F.lit("**Full Analysis:**\n"), _fenced(raw, "json"))
-    report = F.concat(
-        F.lit("# 📄 Page Analysis\n\n"), field("Title", title), field("Space", space), field("Version", version),
-        field("Page ID", page_id), F.lit("---\n\n## 🔍 Content Preview\n\n"), _fenced(F.col("preview")),
-        F.lit("---\n\n## 🛡️ Moderation Analysis\n\n"),
-        F.when(verdict["parsed"], analysed).otherwise(F.concat(F.lit("**Raw Analysis:**\n\n"), _fenced(raw))))
-    warning = F.concat(F.lit("⚠️ **Warning:** Page '"), F.coalesce(F.col(title), F.lit(UNKNOWN)), F.lit("' has no content to analyze."))
-    return df.select(page_id, F.when(F.col("blank"), warning).otherwise(report).alias("fragment"))
-
-
-def _panel(title: str, colour: str, text: Column) -> Column:
-    style = f"font-size: 20px; background: {colour}; padding: 10px; margin: 5px 0;"
-    return F.concat(F.lit(f"**{title}**\n\n<div style='{style}'>"), text, F.lit("</div>\n\n"))
+    found = F.format_string(R["page_harmful"], F.upper(verdict["severity"]))
+    analysed = F.concat(F.when(verdict["is_harmful"], found).otherwise(R["page_safe"]),
+                        _bullets(R["page_issues"], verdict["issues"]), _bullets(R["page_advice"], verdict["recommendations"]),
+                        F.format_string(R["analysis"], raw))
+    head = F.format_string(R["page_head"], *[_known(c) for c in (title, space, version, page_id)], F.col("preview"))
+    report = F.concat(head, F.when(verdict["parsed"], analysed).otherwise(F.format_string(R["page_raw"], raw)))
+    return df.select(page_id, F.when(F.col("blank"), F.format_string(R["page_empty"], _known(title))).otherwise(report).alias("fragment"))
 
 
 def rewrite_report(df: DataFrame, *, position: str = "pos", comment_id: str = "id", body: str = "body",
                    with_verdict: bool = True) -> DataFrame:
     """HTML block of each passage with its verdict and rewrite: ``pos, fragment``."""
-    line = lambda *parts: F.concat(F.lit("<div style='font-size: 20px;'>"), *parts, F.lit("</div>\n\n"))
-    head = F.concat(F.lit("<div style='font-size: 18px; margin: 15px 0 10px 0;'><strong>Passage "),
-                    (F.col(position) + 1).cast("string"), F.lit(" (ID: "),
-                    F.coalesce(F.col(comment_id).cast("string"), F.lit(UNKNOWN)), F.lit(")</strong></div>\n\n"))
-    original = _panel("📝 Original Passage", "#f5f5f5", F.col(body))
-    rewritten = _panel("✏️ Rewritten Passage", "#e8f5e9", F.col("rewritten"))
-    failed = F.coalesce(line(F.lit("⚠️ <strong>Error:</strong> "), F.col("metrics")["error"]), F.lit(""))
+    head = F.format_string(R["passage_head"], F.col(position) + 1, _known(comment_id), F.col(body))
+    rewritten = F.format_string(R["passage_rewritten"], F.col("rewritten"))
+    pos, rule = F.col(position).alias("pos"), F.lit(R["rule"])
     if not with_verdict:
-        return df.select(F.col(position).alias("pos"),
-                         F.concat(head, original, rewritten, failed, F.lit("---\n\n")).alias("fragment"))
+        error = F.col("metrics")["error"]
+        failed = F.when(error.isNotNull(), F.format_string(R["passage_error"], error)).otherwise("")
+        return df.select(pos, F.concat(head, rewritten, failed, rule).alias("fragment"))
     verdict = F.col("verdict")
-    items = F.concat_ws("", F.transform(verdict["issues"], lambda i: F.concat(F.lit("<li>"), i, F.lit("</li>\n"))))
-    issues = F.when(F.size(verdict["issues"]) > 0, F.concat(
-        F.lit("<div style='font-size: 20px;'><strong>Issues:</strong><ul style='margin: 5px 0;'>\n"), items,
-        F.lit("</ul></div>\n\n"))).otherwise("")
-    judged = (
-        F.when(~verdict["parsed"], line(F.lit("⚠️ <strong>Status:</strong> Unable to parse analysis")))
-        .when(verdict["is_harmful"], F.concat(line(F.lit("⚠️ <strong>Status:</strong> HARMFUL (<code>"),
-              F.upper(verdict["severity"]), F.lit("</code>)")), issues))
-        .otherwise(line(F.lit("✅ <strong>Status:</strong> SAFE")))
-    )
-    unneeded = line(F.lit("✅ <strong>No rewriting needed</strong> (passage is safe)"))
-    tail = F.when(verdict["is_harmful"], rewritten).otherwise(unneeded)
-    body_text = F.concat(head, original, F.lit("**🛡️ Moderation Analysis**\n"), judged, tail, F.lit("---\n\n"))
-    return df.select(F.col(position).alias("pos"), body_text.alias("fragment"))
+    items = F.concat_ws("", F.transform(verdict["issues"], lambda i: F.format_string(R["passage_issue"], i)))
+    issues = F.when(F.size(verdict["issues"]) > 0, F.format_string(R["passage_issues"], items)).otherwise("")
+    harmful = F.concat(F.format_string(R["passage_harmful"], F.upper(verdict["severity"])), issues)
+    judged = F.when(~verdict["parsed"], R["passage_unread"]).when(verdict["is_harmful"], harmful).otherwise(R["passage_safe"])
+    tail = F.when(verdict["is_harmful"], rewritten).otherwise(R["passage_kept"])
+    return df.select(pos, F.concat(head, F.lit(R["passage_analysis"]), judged, tail, rule).alias("fragment"))

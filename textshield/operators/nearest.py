@@ -52,24 +52,32 @@ class Nearest:
         self.order = np.argsort(query_ids, kind="stable") if exclude_self else None
 
     def add(self, ids, rows) -> None:
-        if len(ids) == 0:
+        if len(ids) == 0 or len(self.queries) == 0:
             return
+        if rows.shape[1] != self.queries.shape[1]:
+            raise ValueError("queries and chunks must have vectors of one length")
         if self.ids is None:
             self.ids = ids[:0]
+        square = (rows * rows).sum(axis=1)
         tile = max(1, TILE // len(ids))
-        lo = 0
-        collapsed = False
+        found, waiting, lo, collapsed = [], 0, 0, False
         while lo < len(self.queries):
             hi = min(lo + tile, len(self.queries))
-            q, r = self._candidates(lo, hi, ids, rows)
+            q, r = self._candidates(lo, hi, ids, rows, square)
             if not collapsed and len(q) > 16 * self.k * (hi - lo):
-                ids, rows = self._without_surplus_copies(ids, rows)
-                collapsed = True
+                self._merge(found, ids, rows)
+                found, waiting, collapsed = [], 0, True
+                ids, rows, square = self._without_surplus_copies(ids, rows, square)
                 continue
-            self._merge(q, r, ids, rows)
+            found.append((q, r))
+            waiting += len(q)
+            if waiting > TILE:
+                self._merge(found, ids, rows)
+                found, waiting = [], 0
             lo = hi
+        self._merge(found, ids, rows)
 
-    def _without_surplus_copies(self, ids, rows):
+    def _without_surplus_copies(self, ids, rows, square):
         """Of equal vectors only the smallest ids can be among the k nearest."""
         keep = self.k + (1 if self.exclude_self else 0)
         _, group = np.unique(rows, axis=0, return_inverse=True)
@@ -78,12 +86,11 @@ class Nearest:
         start = np.r_[True, group[by_id][1:] != group[by_id][:-1]]
         place = np.arange(len(by_id)) - np.maximum.accumulate(np.where(start, np.arange(len(by_id)), 0))
         kept = np.sort(by_id[place < keep])
-        return ids[kept], rows[kept]
+        return ids[kept], rows[kept], square[kept]
 
-    def _candidates(self, lo, hi, ids, rows):
+    def _candidates(self, lo, hi, ids, rows, r_sq):
         dim = rows.shape[1]
         queries, q_sq = self.queries[lo:hi], self.square[lo:hi]
-        r_sq = (rows * rows).sum(axis=1)
         product = queries @ rows.T
         if self.metric == "l2":
             near = q_sq[:, None] + r_sq[None, :] - 2.0 * product
@@ -103,9 +110,11 @@ class Nearest:
             near[mine[hit] - lo, np.flatnonzero(hit)] = np.inf
         slack = slack + 10.0**-DIGITS
         limit = self.cut[lo:hi]
-        if near.shape[1] > self.k:
+        close = near <= (limit + slack)[:, None]
+        if near.shape[1] > self.k and np.count_nonzero(close) > 2 * self.k * (hi - lo):
             limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
-        q, r = np.nonzero((near <= (limit + slack)[:, None]) & np.isfinite(near))
+            close = near <= (limit + slack)[:, None]
+        q, r = np.nonzero(close & np.isfinite(near))
         return q + lo, r
 
     def _exact(self, q, r, rows):
@@ -122,9 +131,11 @@ class Nearest:
             out[i : i + SLICE] = 1.0 - product
         return np.round(out, DIGITS) + 0.0
 
-    def _merge(self, q, r, ids, rows) -> None:
-        if len(q) == 0:
+    def _merge(self, found, ids, rows) -> None:
+        """Fold the candidates of several tiles into the running result."""
+        if not any(len(q) for q, _ in found):
             return
+        q, r = (np.concatenate(side) for side in zip(*found))
         all_q = np.concatenate([self.q, q])
         all_d = np.concatenate([self.d, self._exact(q, r, rows)])
         all_ids = np.concatenate([self.ids, ids[r]])

@@ -17,7 +17,7 @@ from textshield.functions.vectors import metric_name
 from textshield.operators.nearest import Nearest, ids_of, vectors_of
 
 QUERY_BYTES = 64 << 20  # largest query matrix sent to every task
-BLOCK_ROWS = 100_000  # rows of either side in one block of a larger search
+BLOCK_BYTES = 64 << 20  # vectors of either side in one block of a larger search
 HIT_ROWS = 500_000  # largest hit list joined by broadcast
 
 
@@ -56,6 +56,10 @@ def query_size(queries: DataFrame, vector: str) -> tuple[int, int]:
     return seen[0], seen[0] * (seen[1] or 0) * 8
 
 
+def _rows_of(size: int, dim: int) -> int:
+    return max(1, size // (8 * max(dim, 1)))
+
+
 def _scan(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
     """One pass over the chunks with the whole, size-checked query matrix in every task."""
     ddl, arrow = _hit_schema(q, c)
@@ -104,7 +108,7 @@ def _search(
     vector: str = "embedding",
     exclude_self: bool = False,
     query_bytes: int = QUERY_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> tuple[DataFrame, int]:
     """Ranked hits and the number of queries."""
     name = metric_name(metric)
@@ -113,6 +117,7 @@ def _search(
     if size <= query_bytes:
         hits = _scan(q, c, k, name, exclude_self)
     else:
+        block_rows = block_rows or _rows_of(BLOCK_BYTES, size // n // 8)
         q_blocks = F.lit(math.ceil(n / block_rows))
         c_blocks = F.lit(max(1, math.ceil(c.count() / block_rows)))
         left = _spread(q, "query_id", "q_block", q_blocks, "c_block", c_blocks)
@@ -187,16 +192,17 @@ def approx_topk(
     exclude_self: bool = False,
     tables: int = 8,
     bits: int = 4,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Nearest chunks among those that share a hyperplane bucket with the query in any table.
 
-    Buckets are as large as the data makes them. A bucket that exceeds ``block_rows`` on either
-    side is cut into blocks by id, which changes nothing in the result.
+    Buckets are as large as the data makes them. A bucket that exceeds a block (``block_rows``) on
+    either side is cut into blocks by id, which changes nothing in the result.
     """
     name = metric_name(metric)
     q, c = _sides(queries, chunks, query_id, chunk_id, vector)
     dim = (q.agg(F.max(F.size("vector"))).first()[0]) or 1
+    block_rows = block_rows or _rows_of(BLOCK_BYTES, dim)
     planes = hyperplanes(tables, bits, dim)
     left, right = bucketed(q, "query_id", planes), bucketed(c, "chunk_id", planes)
     keys = ["lsh_table", "bucket"]

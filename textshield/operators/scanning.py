@@ -17,6 +17,7 @@ from textshield.fixed_values import (
 from textshield.functions.detection import class_probabilities, detection_details
 from textshield.functions.rules import mask, rule_flags, rule_logits, topic_score, toxicity_score
 from textshield.functions.vectors import let
+from textshield.operators.models import Model, with_vectors
 from textshield.operators.sanitize import sanitize
 
 GUARD, REWRITE = "guard", "rewrite"
@@ -71,6 +72,13 @@ def detect_with_scores(df: DataFrame, scores: DataFrame, *, key: str, logits: st
     return detect_injection(scored, F.col("logits"), model=model, threshold=threshold).drop("logits")
 
 
+def detect_with_model(df: DataFrame, scorer: Model, *, text: str = "text", model: str = DEFAULT_DETECTOR,
+                      threshold: float | Column = DETECTION_THRESHOLD) -> DataFrame:
+    """The same with logits from a classifier that runs on the workers."""
+    scored = with_vectors(df, scorer, text=text, out="_logits")
+    return detect_injection(scored, F.col("_logits"), text=text, model=model, threshold=threshold).drop("_logits")
+
+
 def scan(df: DataFrame, scanners: Sequence[Scanner], *, text: str = "text") -> DataFrame:
     """Add ``sanitized``, ``is_valid``, ``scan_scores`` and ``scan_error``.
 

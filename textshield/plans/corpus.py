@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from textshield.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
 from textshield.operators.chunking import assign_ids, chunk_recursive
-from textshield.operators.embedding import Embedder, embed
+from textshield.operators.embedding import embed
+from textshield.operators.models import Model
 from textshield.sources.collections import write_collection, write_settings
 
 HASH_MODEL = "word-hash-64"
 
 
 def collection_chunks(docs: DataFrame, name: str, *, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                      language: str = "", chunked: bool = True, embedder: Embedder | None = None,
+                      language: str = "", chunked: bool = True, embedder: Model | None = None,
                       user_id: str | None = None) -> DataFrame:
     """Rows of a collection for documents ``doc_id, text`` (and ``metadata``): chunk, name and embed.
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from textshield.fixed_values import DOCUMENT_FORMAT
+
 
 def _parts(content) -> list[str]:
     """Stripped texts of all elements, each followed by what comes after the element's end tag."""
@@ -39,7 +41,7 @@ def xml_text(content: Column, file_name: Column, order: str = "element") -> Colu
         text = F.concat_ws(" ", F.filter(parts, lambda p: p != ""))
     else:
         text = _element_text(content)
-    return F.concat(F.lit("Document: "), file_name, F.lit("\n\n"), text)
+    return F.when(text.isNotNull(), F.format_string(DOCUMENT_FORMAT, file_name, text))
 
 
 def xml_documents(files: DataFrame) -> DataFrame:
