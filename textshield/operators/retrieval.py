@@ -18,6 +18,7 @@ from textshield.operators.nearest import Nearest, ids_of, vectors_of
 
 QUERY_BYTES = 64 << 20  # largest query matrix sent to every task
 BLOCK_BYTES = 64 << 20  # vectors of either side in one block of a larger search
+BATCH_ROWS = 8192  # chunks of a block measured at once
 HIT_ROWS = 500_000  # largest hit list joined by broadcast
 
 
@@ -83,7 +84,8 @@ def _blocks(q: DataFrame, c: DataFrame, keys: list[str], k: int, metric: str, ex
         if left.num_rows == 0 or right.num_rows == 0:
             return arrow.empty_table()
         nearest = Nearest(ids_of(left["query_id"]), vectors_of(left["vector"]), k, metric, exclude_self)
-        nearest.add(ids_of(right["chunk_id"]), vectors_of(right["vector"]))
+        for batch in right.combine_chunks().to_batches(max_chunksize=BATCH_ROWS):
+            nearest.add(ids_of(batch["chunk_id"]), vectors_of(batch["vector"]))
         return pa.Table.from_batches([nearest.table(arrow)])
 
     own = lambda df, key: df.select(*[F.col(name).alias(name) for name in (*keys, key, "vector")])
@@ -118,8 +120,10 @@ def _search(
         hits = _scan(q, c, k, name, exclude_self)
     else:
         block_rows = block_rows or _rows_of(BLOCK_BYTES, size // n // 8)
-        q_blocks = F.lit(math.ceil(n / block_rows))
-        c_blocks = F.lit(max(1, math.ceil(c.count() / block_rows)))
+        cores = q.sparkSession.sparkContext.defaultParallelism
+        n_blocks = math.ceil(n / block_rows)
+        q_blocks = F.lit(n_blocks)
+        c_blocks = F.lit(max(math.ceil(c.count() / block_rows), math.ceil(cores / n_blocks)))
         left = _spread(q, "query_id", "q_block", q_blocks, "c_block", c_blocks)
         right = _spread(c, "chunk_id", "c_block", c_blocks, "q_block", q_blocks)
         hits = _blocks(left, right, ["q_block", "c_block"], k, name, exclude_self)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textshield.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
@@ -184,7 +186,7 @@ def collection(t: Tables):
 SELECT sha256('stored|' || doc_id || '|0') AS chunk_id, doc_id::VARCHAR AS doc_id, text, round(list_max(e)::FLOAT::DOUBLE, 4) + 0.0 AS largest FROM documents JOIN h ON h.k = doc_id""")
 def stored(t: Tables):
     """Documents as a stored collection, read back."""
-    root = f"{shared_dir(t.spark).rstrip('/')}/collections"
+    root = f"{shared_dir(t.spark).rstrip('/')}/collections-{uuid.uuid4().hex}"
     build_collection(t.documents.select("doc_id", "text"), root, "stored", chunked=False)
     found = load_collection(t.spark, root, "stored")
     return found.select("chunk_id", "doc_id", "text", (F.round(F.array_max("embedding").cast("double"), 4) + 0.0).alias("largest"))

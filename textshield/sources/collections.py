@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +40,12 @@ def write_collection(chunks: DataFrame, root: str, name: str) -> None:
     """Replace a collection. Readers see the old content until the new one is complete.
 
     A write never touches a folder that is being read, so the new content may derive from the old.
+    A collection has one writer at a time; folders no longer listed last in the log may be removed.
     """
     spark = chunks.sparkSession
     seq = _next(_log(spark, root, name))
-    folder = f"whole-{seq:08d}"
-    chunks.write.mode("overwrite").parquet(f"{_place(root, name)}/{folder}")
+    folder = f"whole-{seq:08d}-{uuid.uuid4().hex}"
+    chunks.write.parquet(f"{_place(root, name)}/{folder}")
     _commit(spark, root, name, (seq, folder, True))
 
 
