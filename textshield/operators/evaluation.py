@@ -236,11 +236,12 @@ def ngram_overlap(pairs: DataFrame, n: int = 2, *, key: str = "idx", candidate:
         F.struct(F.lit(1).alias("c"), F.lit(0).alias("r"), ngrams(F.col(candidate), n).alias("grams")),
         F.struct(F.lit(0).alias("c"), F.lit(1).alias("r"), ngrams(F.col(reference), n).alias("grams")))
     sides = pairs.select(key, F.inline(tagged))
-    grams = sides.select(key, "c", "r", F.explode_outer("grams").alias("gram")).where(F.col("gram").isNotNull())
-    counts = grams.groupBy(key, "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    sums = counts.groupBy(key).agg(
+    # a side without n-grams keeps one row with a null n-gram, so its pair is not lost
+    grams = sides.select(key, "c", "r", F.explode_outer("grams").alias("gram"))
+    found = lambda side: F.sum(F.when(F.col("gram").isNotNull(), F.col(side)).otherwise(0)).alias(side)
+    counts = grams.groupBy(key, "gram").agg(found("c"), found("r"))
+    full = counts.groupBy(key).agg(
         F.sum(F.least("c", "r")).alias("overlap"), F.sum("c").alias("n_candidate"), F.sum("r").alias("n_reference"))
-    full = pairs.select(key).join(sums, key, "left").na.fill(0, ["overlap", "n_candidate", "n_reference"])
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     scored = full.withColumns({"precision": ratio("overlap", "n_candidate"), "recall": ratio("overlap", "n_reference")})
     both = F.col("precision") + F.col("recall")
