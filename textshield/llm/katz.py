@@ -26,7 +26,7 @@ from textshield.session import write_once
 
 #: Counts up to this are discounted.
 LARGE = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 9 << 20
 START, END = np.uint64(0x5BD1E995C2B2AE35), np.uint64(0x27D4EB2F165667C5)
 STEP = np.uint64(0x9E3779B185EBCA87)
 #: A history with more than this share of a partition's words is split by word.
@@ -35,7 +35,7 @@ ROW = "block long, kind int, part int, payload binary"
 
 
 def squeeze(thing) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(thing, 5))
+    return zstandard.ZstdCompressor(level=5).compress(pickle.dumps(thing, 5))
 
 
 def expand(data: bytes):
@@ -47,6 +47,18 @@ def small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
 
 
+def tight(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as the bytes of their differences, the highest of all first."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def loose(data: bytes) -> np.ndarray:
+    """The values that ``tight`` has packed."""
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64)
+    return np.cumsum(steps.reshape(-1), dtype=np.uint64)
+
+
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and the place of each value among them."""
     order = np.argsort(values, kind="stable")
@@ -86,7 +98,7 @@ def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = {"keys": batch.column(0).to_pylist(), "train": train, "counts": small(counts + 1), "tokens": small(number)}
         seen = np.bincount(number, train[run], len(vocabulary)).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([uuid4().int >> 66]), pa.array([squeeze(docs)]), pa.array([squeeze((vocabulary, small(seen)))])], ["block", "docs", "words"]
+            [pa.array([uuid4().int >> 66]), pa.array([squeeze(docs)]), pa.array([squeeze((tight(vocabulary), small(seen)))])], ["block", "docs", "words"]
         )
 
 
@@ -95,9 +107,9 @@ class Block:
 
     def __init__(self, docs: dict, words: tuple, model: dict):
         self.docs, self.model = docs, model
-        self.vocabulary, self.tokens = words[0], docs["tokens"].astype(np.int64)
+        self.vocabulary, self.tokens = loose(words[0]), docs["tokens"].astype(np.int64)
         self.counts = docs["counts"].astype(np.int64)
-        self.doc, self.place = ragged(self.counts)
+        self.doc, self.place = (x.astype(np.int32) for x in ragged(self.counts))
         self.train = docs["train"][self.doc]
         self.history = np.zeros(len(self.tokens), np.uint64)
 
@@ -124,6 +136,7 @@ class Block:
         reach = order - 1
         inside = self.place >= reach
         earlier[inside] = self.vocabulary[self.tokens[np.flatnonzero(inside) - reach]]
+        del inside
         self.history = mix(self.history * STEP + earlier + np.uint64(order))
         return Request(self, before, m)
 
@@ -160,6 +173,7 @@ class Request:
     def __init__(self, block: Block, before: np.ndarray, model: dict):
         heads, head = distinct(block.history)
         pairs, row = distinct(head * len(block.vocabulary) + block.tokens)
+        row = row.astype(np.int32)
         self.total = before
         first = np.empty(len(pairs), np.int64)
         first[row] = np.arange(len(row))
@@ -190,7 +204,7 @@ class Request:
             chances, chance = distinct(self.chance[a:b])
             hot = np.zeros(len(heads), bool)
             hot[h[self.hot[a:b]] - h[0]] = True
-            yield int(self.part[a]), squeeze((self.heads[heads], small(lengths), words, small(word), small(self.seen[a:b]), chances, small(chance), np.packbits(hot)))
+            yield int(self.part[a]), squeeze((tight(self.heads[heads]), small(lengths), tight(words), small(word), small(self.seen[a:b]), chances, small(chance), np.packbits(hot)))
 
 
 def words_part(words: np.ndarray, parts: int) -> np.ndarray:
@@ -219,7 +233,7 @@ def backoff(number: np.ndarray, big: np.ndarray, mass: np.ndarray, d: np.ndarray
 
 
 def _counted_words(group: pd.DataFrame) -> pd.DataFrame:
-    asked = [expand(p) for p in group["payload"]]
+    asked = [(loose(w), c) for w, c in map(expand, group["payload"])]
     words, place = distinct(np.concatenate([w for w, _ in asked]))
     count = np.bincount(place, np.concatenate([c for _, c in asked]), len(words)).astype(np.int64)
     number = np.bincount(np.minimum(count, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2]
@@ -233,7 +247,7 @@ def _counted_words(group: pd.DataFrame) -> pd.DataFrame:
 
 def _counted_pairs(order: int):
     def counted(group: pd.DataFrame) -> pd.DataFrame:
-        asked = [expand(p) for p in group["payload"]]
+        asked = [(loose(a[0]), a[1], loose(a[2]), *a[3:]) for a in map(expand, group["payload"])]
         lengths = [a[1].astype(np.int64) for a in asked]
         heads, head = distinct(np.concatenate([a[0] for a in asked]))
         first = np.cumsum([0, *(len(a[0]) for a in asked)])
@@ -329,11 +343,12 @@ def katz_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "tex
         for batch in stream:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, count = expand(payload)
+                words = loose(words)
                 of = words_part(words, parts)
                 for part in np.flatnonzero(np.bincount(of, minlength=parts)).tolist():
                     mine = of == part
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([1], pa.int32()), pa.array([part], pa.int32()),
-                                                      pa.array([squeeze((words[mine], small(count[mine])))])], ["block", "kind", "part", "payload"])
+                                                      pa.array([squeeze((tight(words[mine]), small(count[mine])))])], ["block", "kind", "part", "payload"])
 
     asked = blocks.select("block", "words").mapInArrow(split_words, ROW)
     answers = [write_once(asked.groupBy("part").applyInPandas(_counted_words, ROW), "words")]
