@@ -34,12 +34,35 @@ SHARE = 4
 ROW = "block long, kind int, part int, payload binary"
 
 
+PLANES = "planes"
+
+
 def squeeze(thing) -> bytes:
-    return zstandard.ZstdCompressor(level=5).compress(pickle.dumps(thing, 5))
+    return zstandard.ZstdCompressor(level=5).compress(pickle.dumps(_split(thing), 5))
 
 
 def expand(data: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    return _joined(pickle.loads(zstandard.ZstdDecompressor().decompress(data)))
+
+
+def _split(thing):
+    """Arrays as all first bytes of their numbers, all second bytes and so on, which packs better."""
+    if isinstance(thing, np.ndarray) and thing.itemsize > 1:
+        rows = np.ascontiguousarray(thing).reshape(-1).view(np.uint8).reshape(-1, thing.itemsize)
+        return PLANES, thing.dtype.str, thing.shape, rows.T.tobytes()
+    if isinstance(thing, dict):
+        return {k: x if k == "keys" else _split(x) for k, x in thing.items()}
+    return tuple(map(_split, thing)) if isinstance(thing, tuple) else thing
+
+
+def _joined(thing):
+    if isinstance(thing, tuple) and thing[:1] == (PLANES,):
+        kind = np.dtype(thing[1])
+        rows = np.frombuffer(thing[3], np.uint8).reshape(kind.itemsize, -1).T
+        return np.ascontiguousarray(rows).reshape(-1).view(kind).reshape(thing[2])
+    if isinstance(thing, dict):
+        return {k: x if k == "keys" else _joined(x) for k, x in thing.items()}
+    return tuple(map(_joined, thing)) if isinstance(thing, tuple) else thing
 
 
 def small(values: np.ndarray) -> np.ndarray:
@@ -95,8 +118,11 @@ def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens[place < counts[run]] = words
         vocabulary, number = distinct(tokens)
         train = batch.column(1).to_numpy(zero_copy_only=False)
-        docs = {"keys": batch.column(0).to_pylist(), "train": train, "counts": small(counts + 1), "tokens": small(number)}
         seen = np.bincount(number, train[run], len(vocabulary)).astype(np.int64)
+        # frequent words get small numbers
+        rank = np.empty(len(vocabulary), np.int64)
+        rank[by_count(seen)] = np.arange(len(vocabulary))
+        docs = {"keys": batch.column(0).to_pylist(), "train": train, "counts": small(counts + 1), "tokens": small(rank[number])}
         yield pa.RecordBatch.from_arrays(
             [pa.array([uuid4().int >> 66]), pa.array([squeeze(docs)]), pa.array([squeeze((tight(vocabulary), small(seen)))])], ["block", "docs", "words"]
         )
@@ -107,7 +133,7 @@ class Block:
 
     def __init__(self, docs: dict, words: tuple, model: dict):
         self.docs, self.model = docs, model
-        self.vocabulary, self.tokens = loose(words[0]), docs["tokens"].astype(np.int64)
+        self.vocabulary, self.tokens = loose(words[0]), by_count(words[1])[docs["tokens"]]
         self.counts = docs["counts"].astype(np.int64)
         self.doc, self.place = (x.astype(np.int32) for x in ragged(self.counts))
         self.train = docs["train"][self.doc]
@@ -207,6 +233,11 @@ class Request:
             yield int(self.part[a]), squeeze((tight(self.heads[heads]), small(lengths), tight(words), small(word), small(self.seen[a:b]), chances, small(chance), np.packbits(hot)))
 
 
+def by_count(seen: np.ndarray) -> np.ndarray:
+    """Places of counts, the largest first."""
+    return np.argsort(-seen.astype(np.int64), kind="stable")
+
+
 def words_part(words: np.ndarray, parts: int) -> np.ndarray:
     return (mix(words) % np.uint64(parts)).astype(np.int64)
 
