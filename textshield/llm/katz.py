@@ -56,7 +56,7 @@ def _split(thing):
 
 
 def _joined(thing):
-    if isinstance(thing, tuple) and thing[:1] == (PLANES,):
+    if isinstance(thing, tuple) and thing and isinstance(thing[0], str) and thing[0] == PLANES:
         kind = np.dtype(thing[1])
         rows = np.frombuffer(thing[3], np.uint8).reshape(kind.itemsize, -1).T
         return np.ascontiguousarray(rows).reshape(-1).view(kind).reshape(thing[2])
