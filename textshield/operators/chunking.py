@@ -121,7 +121,7 @@ def chunk_language(df: DataFrame, language: str, size: int = CHUNK_SIZE, overlap
 def assign_ids(chunks: DataFrame, collection: str, *, doc_id: str = "doc_id", user_id: str | None = None) -> DataFrame:
     """Add ``chunk_id``. It follows from collection, document and position, so a repeated task gives
     the same id; an id the user supplied is kept."""
-    made = F.sha2(F.concat_ws("|", F.lit(collection), F.col(doc_id).cast("string"), F.col("chunk_ix").cast("string")), 256)
+    made = F.sha2(F.to_json(F.array(F.lit(collection), F.col(doc_id).cast("string"), F.col("chunk_ix").cast("string"))), 256)
     return chunks.withColumn("chunk_id", F.coalesce(F.col(user_id), made) if user_id else made)
 
 

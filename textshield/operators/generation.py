@@ -22,6 +22,10 @@ ATTEMPTS = pa.schema([("attempt", pa.int32()), ("finish_reason", pa.string()), (
 Provider = Callable[[], Callable[[list, float, int], list]]
 
 
+#: Requests of one call.
+CALL_REQUESTS = 32
+
+
 def masking_provider():
     """Offline stand-in for a rewriting model: answers with the user message, rule matches replaced."""
 
@@ -41,11 +45,24 @@ def is_good(finish_reason, content, error) -> bool:
     return error is None and finish_reason != "content_filter" and bool(content)
 
 
+def isolated(call, messages: list) -> list[tuple]:
+    """Answers with their errors; a failed call is repeated in halves, and a single one is an attempt with an error."""
+    try:
+        return [(*a, None) for a in call(messages)]
+    except Exception as problem:
+        if len(messages) == 1:
+            return [(None, None, str(problem))]
+        half = len(messages) // 2
+        return isolated(call, messages[:half]) + isolated(call, messages[half:])
+
+
 def generate(requests: DataFrame, provider: Provider = masking_provider, *, temperature: float = CHAT_TEMPERATURE,
-             max_tokens: int = CHAT_MAX_TOKENS, retries: int = RETRIES, pause: float = RETRY_PAUSE_SECONDS) -> DataFrame:
+             max_tokens: int = CHAT_MAX_TOKENS, retries: int = RETRIES, pause: float = RETRY_PAUSE_SECONDS, batch_size: int = CALL_REQUESTS) -> DataFrame:
     """Attempts for requests ``item_id, system, user``: ``item_id, attempt, finish_reason, content, error``.
 
-    A request is tried again until a reply is good or the tries are used up.
+    A request is tried again until a reply is good or the tries are used up. A call has at most
+    ``batch_size`` requests; if it fails, its halves are called on their own, down to single requests,
+    so that a request that makes every call fail takes no other with it.
     """
     asked = requests.select("item_id", chat_messages(F.col("system"), F.col("user")).alias("messages"))
     id_type = asked.schema["item_id"].dataType.simpleString()
@@ -60,10 +77,10 @@ def generate(requests: DataFrame, provider: Provider = masking_provider, *, temp
                     break
                 if attempt > 1:
                     time.sleep(pause)
-                try:
-                    answers = [(*a, None) for a in complete([conversations[i] for i in waiting], temperature, max_tokens)]
-                except Exception as problem:  # a failed call is an attempt with an error
-                    answers = [(None, None, str(problem))] * len(waiting)
+                answers = []
+                for first in range(0, len(waiting), batch_size):
+                    part = [conversations[i] for i in waiting[first : first + batch_size]]
+                    answers += isolated(lambda some: complete(some, temperature, max_tokens), part)
                 columns = [pa.array([attempt] * len(waiting), pa.int32())]
                 columns += [pa.array([a[n] for a in answers], pa.string()) for n in range(3)]
                 yield pa.RecordBatch.from_arrays(

@@ -8,7 +8,6 @@ import pyarrow as pa
 TILE = 1 << 21  # distances held at once
 SLICE = 1 << 15  # pairs measured exactly at once
 EPS = np.finfo(np.float64).eps
-DIGITS = 10  # distances that agree to this many decimals are equal
 
 
 def vectors_of(column) -> np.ndarray:
@@ -37,8 +36,9 @@ class Nearest:
     """The k nearest rows of each query among all batches added so far.
 
     A matrix product finds the rows that can still count, within the rounding error of the
-    product. Only those are measured again, summing from left to right and rounding, so that the
-    result does not depend on how rows fall into batches. Ties go to the smaller id.
+    product. Only those are measured again, summing from left to right, so that the result does not
+    depend on how rows fall into batches. Ties go to the smaller id. Rows with a component that is
+    no finite number are never near, and a query with one finds nothing.
     """
 
     def __init__(self, query_ids, queries, k: int, metric: str, exclude_self: bool):
@@ -58,6 +58,11 @@ class Nearest:
             raise ValueError("queries and chunks must have vectors of one length")
         if self.ids is None:
             self.ids = ids[:0]
+        finite = np.isfinite(rows).all(axis=1)
+        if not finite.all():
+            ids, rows = ids[finite], rows[finite]
+            if len(ids) == 0:
+                return
         square = (rows * rows).sum(axis=1)
         tile = max(1, TILE // len(ids))
         found, waiting, lo, collapsed = [], 0, 0, False
@@ -108,7 +113,6 @@ class Nearest:
             mine = self.order[at]
             hit = (names[at] == ids) & (mine >= lo) & (mine < hi)
             near[mine[hit] - lo, np.flatnonzero(hit)] = np.inf
-        slack = slack + 10.0**-DIGITS
         limit = self.cut[lo:hi]
         close = near <= (limit + slack)[:, None]
         if near.shape[1] > self.k and np.count_nonzero(close) > 2 * self.k * (hi - lo):
@@ -129,7 +133,7 @@ class Nearest:
                 length = np.sqrt(np.cumsum(a * a, axis=1)[:, -1]) * np.sqrt(np.cumsum(b * b, axis=1)[:, -1])
                 product = np.divide(product, length, out=np.zeros_like(product), where=length > 0)
             out[i : i + SLICE] = 1.0 - product
-        return np.round(out, DIGITS) + 0.0
+        return out + 0.0
 
     def _merge(self, found, ids, rows) -> None:
         """Fold the candidates of several tiles into the running result."""

@@ -31,7 +31,7 @@ def window_chunks(t: Tables):
     return windows(t).select("doc_id", "chunk_ix", "chunk")
 
 
-@query("chunk_ids", f"WITH {WINDOWS} SELECT doc_id, chunk_ix, sha256('corpus|' || doc_id || '|' || chunk_ix) AS chunk_id FROM c")
+@query("chunk_ids", f"""WITH {WINDOWS} SELECT doc_id, chunk_ix, sha256('["corpus","' || doc_id || '","' || chunk_ix || '"]') AS chunk_id FROM c""")
 def chunk_ids(t: Tables):
     return assign_ids(windows(t), "corpus").select("doc_id", "chunk_ix", "chunk_id")
 
@@ -183,7 +183,7 @@ def collection(t: Tables):
 
 
 @query("stored_collection", f"""WITH {sql.hashed('documents', 'doc_id', 'text', 'h')}
-SELECT sha256('stored|' || doc_id || '|0') AS chunk_id, doc_id::VARCHAR AS doc_id, text, round(list_max(e)::FLOAT::DOUBLE, 4) + 0.0 AS largest FROM documents JOIN h ON h.k = doc_id""")
+SELECT sha256('["stored","' || doc_id || '","0"]') AS chunk_id, doc_id::VARCHAR AS doc_id, text, round(list_max(e)::FLOAT::DOUBLE, 4) + 0.0 AS largest FROM documents JOIN h ON h.k = doc_id""")
 def stored(t: Tables):
     """Documents as a stored collection, read back."""
     root = f"{shared_dir(t.spark).rstrip('/')}/collections-{uuid.uuid4().hex}"

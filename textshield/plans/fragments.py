@@ -63,7 +63,7 @@ def distance(metric: str, a: str, b: str) -> str:
     else:
         length = f"(sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))"
         value = f"1.0 - CASE WHEN {length} > 0 THEN list_inner_product({a}, {b}) / {length} ELSE 0.0 END"
-    return f"round({value}, 10) + 0.0"
+    return f"{value} + 0.0"
 
 
 def ranked(metric: str, k: int, queries: str, chunks: str, condition: str = "true") -> str:

@@ -36,16 +36,6 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table with fewer input splits than cores out to all cores.
-
-    Heavy work per row would otherwise run on a few of them. A large table has splits enough and
-    is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_once(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back, so later stages do not redo it."""
     import uuid
