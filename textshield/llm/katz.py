@@ -31,6 +31,7 @@ START, END = np.uint64(0x5BD1E995C2B2AE35), np.uint64(0x27D4EB2F165667C5)
 STEP = np.uint64(0x9E3779B185EBCA87)
 #: A history with more than this share of a partition's words is split by word.
 SHARE = 4
+SPLIT = 1 << 16
 ROW = "block long, kind int, part int, payload binary"
 
 
@@ -391,7 +392,7 @@ def katz_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "tex
     }
     r = np.arange(1, LARGE + 1)
     model["seen_mass"] = float((number[:LARGE] * r * model["discounts"][1][1 : LARGE + 1]).sum() + sum(s["big"] for s in stats))
-    model["split"] = max(1 << 16, model["total"] // (SHARE * parts))
+    model["split"] = max(SPLIT, model["total"] // (SHARE * parts))
 
     zero = F.lit(0).cast("int")
     stored = blocks.select("block", F.lit(-1).cast("int").alias("kind"), zero.alias("part"), F.col("docs").alias("payload")).union(

@@ -203,7 +203,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, n_
     single = found.filter("single")
     again = single.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
     across = single.join(again, "mark", "left_semi")
-    return found.filter("NOT single").union(across).select("t1", "t2", "start", "stop")
+    span = ["t1", "t2", "start", "stop"]
+    return found.filter("NOT single").select(*span).union(across.select(*span))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, n_batches: int = BATCHES) -> DataFrame:
