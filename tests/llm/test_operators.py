@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, copies and clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -297,9 +298,18 @@ def test_toxicity_learns_from_its_part_only(spark):
     turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     scores = [toxicity.toxicity(docs, x, held) for x in (labels, turned)]
     assert collected(scores[0].select("doc_id", "score")) == collected(scores[1].select("doc_id", "score"))
-    rows = scores[0].filter("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+
+
+def test_toxicity_accuracy(spark):
+    """Needs a few hundred toxic labels to learn from; smaller tables have too few."""
+    folder = "/root/testdata/check_s"
+    if not os.path.isdir(folder):
+        pytest.skip("no table of that size")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    rows = toxicity.toxicity(docs, labels, held).filter("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
     hits = Counter((r[0], r[1]) for r in rows)
-    assert hits[1, 1] >= 0.7 * (hits[1, 1] + hits[0, 1]) and hits[1, 0] <= 0.01 * len(rows)
+    assert hits[1, 1] >= 0.9 * (hits[1, 1] + hits[0, 1]) and hits[1, 0] <= 0.01 * len(rows)
 
 
 def test_empty_tables(spark, docs):
