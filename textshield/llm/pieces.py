@@ -13,7 +13,8 @@ from textshield.llm.blocks import ragged
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 LONG = 96
-CACHE = 1 << 20
+CACHE = 1 << 18
+STEP = 1 << 16
 WINDOW = 1024
 
 
@@ -218,11 +219,13 @@ class Vocabulary:
             self._lists = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.score.tolist()
         return self._lists
 
-    def joined(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all pieces in a row and how many each has."""
-        size = self.bytes_len[ids]
-        run, place = ragged(size)
-        return self.bytes_all[self.bytes_start[ids][run] + place], size
+    def joined(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all pieces in a row and how many each has, put together in steps of bounded size."""
+        size, parts = self.bytes_len[ids], []
+        for at in range(0, len(ids), STEP):
+            run, place = ragged(size[at : at + STEP])
+            parts.append(self.bytes_all[self.bytes_start[ids[at : at + STEP]][run] + place].tobytes())
+        return b"".join(parts), size
 
 
 class Encoder:

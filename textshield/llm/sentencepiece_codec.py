@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,21 @@ def _added(docs: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in docs.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
+def _lists(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    found, counts = encoder.encode([t or "" for t in texts.to_pylist()])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(found))
+
+
+def _texts(vocabulary: Vocabulary, ids: pa.Array) -> pa.Array:
+    values = ids.flatten().to_numpy(zero_copy_only=False)
+    counts = np.array([0 if n is None else n for n in ids.value_lengths().to_pylist()], np.int64)
+    if len(values) and not 0 <= values.min() <= values.max() < len(vocabulary.text):
+        raise ValueError("an id is not in the vocabulary")
+    raw, size = vocabulary.joined(values)
+    edges = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    return pa.array([raw[a:b].decode(errors="replace").removeprefix(" ") for a, b in zip(edges[:-1], edges[1:])], pa.string())
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns and ``ids``, the pieces of the best unigram segmentation of each whole text.
 
@@ -46,9 +62,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     def encoded(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(load())
         for batch in batches(stream, text, TEXT_BYTES):
-            found, counts = encoder.encode([t or "" for t in batch.column(rest.index(text)).to_pylist()])
-            edges = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(edges, pa.array(found))], [*rest, ids])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(encoder, batch.column(rest.index(text)))], [*rest, ids])
 
     return docs.select(*rest).mapInArrow(encoded, _added(docs, ids, T.ArrayType(T.IntegerType())))
 
@@ -66,30 +80,34 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
     def decoded(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load()
         for batch in stream:
-            column = batch.column(rest.index(ids))
-            values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], np.int64)
-            if len(values) and not 0 <= values.min() <= values.max() < len(vocabulary.text):
-                raise ValueError("an id is not in the vocabulary")
-            joined, size = vocabulary.joined(values)
-            edges = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-            raw = joined.tobytes()
-            texts = [raw[a:b].decode(errors="replace") for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.removeprefix(" ") for t in texts])], [*rest, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts(vocabulary, batch.column(rest.index(ids)))], [*rest, out])
 
     return encoded.select(*rest).mapInArrow(decoded, _added(encoded, out, T.StringType()))
 
 
 def encode_and_check(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``key``, ``ids``, ``n_tokens``, ``n_byte_tokens`` and ``round_trip``, whether decoding gives the text."""
+    """Per row: ``key``, ``ids``, ``n_tokens``, ``n_byte_tokens`` and ``round_trip``, whether decoding gives the text.
+
+    A text is encoded and decoded in the same pass over the rows, as ``encode`` and ``decode`` do, so
+    that a task keeps one vocabulary and only ids leave it.
+    """
     vocabulary = read_vocabulary(path)
+    load = ship(docs.sparkSession, vocabulary)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    out = decode(encode(rows, vocabulary), vocabulary)
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>, round_trip boolean"
+
+    def checked(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(load())
+        for batch in batches(stream, "text", TEXT_BYTES):
+            texts = pc.fill_null(batch.column(1), "")
+            lists = _lists(encoder, texts)
+            same = pc.equal(_texts(encoder.vocabulary, lists), pc.replace_substring(texts, MARKER, " "))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, same], ["key", "ids", "round_trip"])
+
     is_byte = lambda i: i.between(vocabulary.bytes_from, vocabulary.bytes_from + 255)
-    return out.select(
+    return rows.mapInArrow(checked, schema).select(
         F.col("key").alias(key), "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.size(F.filter("ids", is_byte)).cast("long").alias("n_byte_tokens"),
-        (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(MARKER), F.lit(" "))).alias("round_trip"),
+        F.size(F.filter("ids", is_byte)).cast("long").alias("n_byte_tokens"), "round_trip",
     )
 
 
@@ -98,5 +116,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
