@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,7 @@ def write_collection(chunks: DataFrame, root: str, name: str) -> None:
 
 
 def write_changes(chunks: DataFrame, root: str, name: str, tag: str) -> None:
-    """Insert or replace chunks by id. The same tag written twice counts once."""
+    """Insert documents or replace all their chunks. The same tag written twice counts once."""
     spark = chunks.sparkSession
     folder = f"changes-{tag}"
     chunks.write.mode("overwrite").parquet(f"{_place(root, name)}/{folder}")
@@ -62,24 +63,25 @@ def write_changes(chunks: DataFrame, root: str, name: str, tag: str) -> None:
 def load_collection(spark: SparkSession, root: str, name: str, schema=CHUNKS) -> DataFrame:
     """The current chunks of a collection; an absent one is empty.
 
-    After :func:`write_changes` the newest row of each id wins, which costs a shuffle by id until
-    :func:`compact` folds the changes in.
+    After :func:`write_changes` the newest chunks of each document win, and older ones of it go, also
+    when it has fewer chunks now. The base is only joined with the ids of changed documents, until
+    :func:`compact` folds the changes in. A change without a chunk of a document leaves it as it is.
     """
     log = _log(spark, root, name)
     if not log:
         return spark.createDataFrame([], schema)
-    start = max((i for i, entry in enumerate(log) if entry[2]), default=0)
+    start = max((i for i, entry in enumerate(log) if entry[2]), default=None)
     read = lambda folder: spark.read.schema(schema).parquet(f"{_place(root, name)}/{folder}")
-    parts = [(seq, read(folder)) for seq, folder, _ in log[start:]]
-    if len(parts) == 1:
-        return parts[0][1]
-    columns = parts[0][1].columns
-    every = None
-    for seq, part in parts:
-        tagged = part.withColumn("_seq", F.lit(seq))
-        every = tagged if every is None else every.unionByName(tagged)
-    newest = every.groupBy("chunk_id").agg(F.max_by(F.struct(*columns), "_seq").alias("row"))
-    return newest.select(*[F.col(f"row.{c}").alias(c) for c in columns])
+    base = spark.createDataFrame([], schema) if start is None else read(log[start][1])
+    later = log[0 if start is None else start + 1:]
+    if not later:
+        return base
+    changes = reduce(DataFrame.unionByName, [read(folder).withColumn("_seq", F.lit(seq)) for seq, folder, _ in later])
+    newest = changes.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("_seq").alias("_last"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc"))
+    kept = base.join(newest, same, "left_anti")
+    current = changes.join(newest, same & (F.col("_seq") == F.col("_last"))).select(*base.columns)
+    return kept.unionByName(current)
 
 
 def compact(spark: SparkSession, root: str, name: str, schema=CHUNKS) -> None:
