@@ -19,14 +19,14 @@ from textshield.operators.sanitize import sanitize
 COMMENT_PREVIEW, PAGE_PREVIEW = 300, 500
 
 
-def moderate(df: DataFrame, reply: Column | None = None, *, text: str = "text") -> DataFrame:
+def moderate(df: DataFrame, reply: Column | None = None, *, text: str = "text", flags: Column | None = None) -> DataFrame:
     """Add ``raw_response`` and ``verdict`` (parsed, is_harmful, severity, issues, recommendations).
 
     ``reply`` is the moderator's answer; a missing or empty one leaves the text unparsed and so
-    not harmful. Without it the rule-based moderator answers.
+    not harmful. Without it the rule-based moderator answers, from ``flags`` if the rules have run.
     """
     if reply is None:
-        flagged = df.withColumn("rule_flags", rule_flags(F.col(text)))
+        flagged = df.withColumn("rule_flags", rule_flags(F.col(text)) if flags is None else flags)
         verdict = rule_verdict(F.col("rule_flags"))
         judged = F.struct(F.lit(True).alias("parsed"), *[verdict[n].alias(n) for n in
                           ("is_harmful", "severity", "issues", "recommendations")])
@@ -98,14 +98,14 @@ def rewrite_harmful(df: DataFrame, rewrite: Column | None = None, *, text: str =
 def moderate_and_rewrite(df: DataFrame, reply: Column | None = None, rewrite: Column | None = None, *,
                          text: str = "text", error: Column | None = None) -> DataFrame:
     """Verdict on every text, rewrite of the harmful ones only (others have null metrics)."""
-    judged = moderate(df, reply, text=text)
+    judged = moderate(df.withColumn("_flags", rule_flags(F.col(text))), reply, text=text, flags=F.col("_flags"))
     harmful = F.col("verdict")["is_harmful"]
-    answer = F.when(harmful, mask(F.col(text)) if rewrite is None else rewrite)
+    answer = F.when(harmful, mask(F.col(text), flags=F.col("_flags")) if rewrite is None else rewrite)
     done = rewrite_harmful(judged, answer, text=text, error=error, detect=False)
     return done.withColumns({
         "rewritten": F.when(harmful, F.col("rewritten")),
         "metrics": F.when(harmful, F.col("metrics")),
-    })
+    }).drop("_flags")
 
 
 def rewrite_counts(df: DataFrame) -> DataFrame:
@@ -142,15 +142,15 @@ def _known(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(UNKNOWN))
 
 
-def comment_report(df: DataFrame, *, position: str = "pos", comment_id: str = "id") -> DataFrame:
-    """Markdown block of each moderated comment: ``pos, fragment``. Write it ordered by position."""
+def comment_report(df: DataFrame, *keep: str, position: str = "pos", comment_id: str = "id") -> DataFrame:
+    """Markdown block of each moderated comment: the columns to keep, ``pos, fragment``. Write it ordered by position."""
     verdict, raw = F.col("verdict"), F.col("raw_response")
     harmful = F.concat(F.format_string(R["comment_harmful"], F.upper(verdict["severity"])),
                        _bullets(R["comment_issues"], verdict["issues"]), _bullets(R["comment_advice"], verdict["recommendations"]))
     analysed = F.concat(F.when(verdict["is_harmful"], harmful).otherwise(R["comment_safe"]), F.format_string(R["analysis"], raw))
     head = F.format_string(R["comment_head"], F.col(position) + 1, _known(comment_id), F.col("preview"))
     judged = F.when(verdict["parsed"], analysed).otherwise(F.format_string(R["comment_raw"], raw))
-    return df.select(F.col(position).alias("pos"), F.concat(head, judged, F.lit(R["rule"])).alias("fragment"))
+    return df.select(*keep, F.col(position).alias("pos"), F.concat(head, judged, F.lit(R["rule"])).alias("fragment"))
 
 
 def page_report(df: DataFrame, *, page_id: str = "page_id", title: str = "title", space: str = "space_name",
@@ -166,20 +166,20 @@ def page_report(df: DataFrame, *, page_id: str = "page_id", title: str = "title"
     return df.select(page_id, F.when(F.col("blank"), F.format_string(R["page_empty"], _known(title))).otherwise(report).alias("fragment"))
 
 
-def rewrite_report(df: DataFrame, *, position: str = "pos", comment_id: str = "id", body: str = "body",
+def rewrite_report(df: DataFrame, *keep: str, position: str = "pos", comment_id: str = "id", body: str = "body",
                    with_verdict: bool = True) -> DataFrame:
-    """HTML block of each passage with its verdict and rewrite: ``pos, fragment``."""
+    """HTML block of each passage with its verdict and rewrite: the columns to keep, ``pos, fragment``."""
     head = F.format_string(R["passage_head"], F.col(position) + 1, _known(comment_id), F.col(body))
     rewritten = F.format_string(R["passage_rewritten"], F.col("rewritten"))
     pos, rule = F.col(position).alias("pos"), F.lit(R["rule"])
     if not with_verdict:
         error = F.col("metrics")["error"]
         failed = F.when(error.isNotNull(), F.format_string(R["passage_error"], error)).otherwise("")
-        return df.select(pos, F.concat(head, rewritten, failed, rule).alias("fragment"))
+        return df.select(*keep, pos, F.concat(head, rewritten, failed, rule).alias("fragment"))
     verdict = F.col("verdict")
     items = F.concat_ws("", F.transform(verdict["issues"], lambda i: F.format_string(R["passage_issue"], i)))
     issues = F.when(F.size(verdict["issues"]) > 0, F.format_string(R["passage_issues"], items)).otherwise("")
     harmful = F.concat(F.format_string(R["passage_harmful"], F.upper(verdict["severity"])), issues)
     judged = F.when(~verdict["parsed"], R["passage_unread"]).when(verdict["is_harmful"], harmful).otherwise(R["passage_safe"])
     tail = F.when(verdict["is_harmful"], rewritten).otherwise(R["passage_kept"])
-    return df.select(pos, F.concat(head, F.lit(R["passage_analysis"]), judged, tail, rule).alias("fragment"))
+    return df.select(*keep, pos, F.concat(head, F.lit(R["passage_analysis"]), judged, tail, rule).alias("fragment"))

@@ -356,11 +356,11 @@ def moderate_comments(t: Tables):
 
 @query("comment_report", f"""WITH {REPLIES}, f AS (SELECT *, '## Comment ' || (turn + 1) || ' (ID: ' || conv_id || E')\\n\\n**Content:**\\n```\\n'
   || CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END || E'\\n```\\n\\n' AS head FROM r)
-SELECT turn AS pos, head || CASE WHEN reply = '' THEN E'⚠️ **Analysis (Raw):**\\n```\\n{MODERATION_FAILED}\\n```\\n\\n'
+SELECT conv_id, turn AS pos, head || CASE WHEN reply = '' THEN E'⚠️ **Analysis (Raw):**\\n```\\n{MODERATION_FAILED}\\n```\\n\\n'
   WHEN contains(reply, 'true') THEN E'⚠️ **Status:** HARMFUL (`HIGH`)\\n\\n**Issues:**\\n- a\\n- b\\n\\n**Full Analysis:**\\n```json\\n' || reply || E'\\n```\\n\\n'
   ELSE E'✅ **Status:** SAFE\\n\\n**Full Analysis:**\\n```json\\n' || reply || E'\\n```\\n\\n' END || E'---\\n\\n' AS fragment FROM f""")
 def comment_report(t: Tables):
-    return mod.comment_report(mod.moderate_comments(turns_as_comments(t), _reply()))
+    return mod.comment_report(mod.moderate_comments(turns_as_comments(t), _reply()), "conv_id")
 
 
 PAIRS = """pairs AS (SELECT u.conv_id, u.turn, u.text AS message, a.text AS reply FROM conversations u
