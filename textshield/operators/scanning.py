@@ -23,6 +23,7 @@ from textshield.operators.sanitize import sanitize
 GUARD, REWRITE = "guard", "rewrite"
 INJECTION_LIMIT = 0.92  # usual limit of the injection scanner, which takes no threshold from requests
 SCORES = "map<string,double>"
+CORRUPT = "_corrupt_record"  # column in which the JSON reader keeps a line it cannot read
 
 REQUEST_DEFAULTS = {
     "method": GUARD,
@@ -121,9 +122,14 @@ def with_defaults(requests: DataFrame) -> DataFrame:
 
 
 def validate_request(requests: DataFrame) -> DataFrame:
-    """Add ``error``: null for a valid request. An empty prompt is valid, a missing one is not."""
+    """Add ``error``: null for a valid request. An empty prompt is valid, a missing one is not.
+
+    A request read with its ``_corrupt_record`` is refused when that is given: the line is no JSON or
+    a field has another type.
+    """
     full = with_defaults(requests)
-    checks = [F.when(F.col("prompt").isNull(), "prompt is missing"),
+    checks = [F.when(F.col(CORRUPT).isNotNull(), "request cannot be read")] if CORRUPT in requests.columns else []
+    checks += [F.when(F.col("prompt").isNull(), "prompt is missing"),
               F.when(~F.col("method").isin(GUARD, REWRITE), "method is unknown")]
     checks += [F.when(~F.col(n).between(lo, hi) | F.isnan(F.col(n).cast("double")), f"{n} is out of range")
                for n, (lo, hi) in RANGES.items()]
@@ -131,9 +137,9 @@ def validate_request(requests: DataFrame) -> DataFrame:
 
 
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid requests, and the others with their error for a quarantine output."""
+    """Valid requests, and the others with their error, and the line if it cannot be read, for a quarantine output."""
     checked = validate_request(requests)
-    return checked.where("error is null").drop("error"), checked.where("error is not null")
+    return checked.where("error is null").drop("error", CORRUPT), checked.where("error is not null")
 
 
 def request_scanners(topics: Sequence[str] | dict[str, Sequence[str]] = (), *, text: str = "prompt",

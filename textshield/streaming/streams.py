@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textshield.operators.scanning import scan_batch, split_requests
+from textshield.operators.scanning import CORRUPT, scan_batch, split_requests
 from textshield.plans.corpus import HASH_MODEL, collection_chunks
 from textshield.schemas import REQUESTS
 from textshield.sources.collections import write_changes, write_settings
@@ -12,7 +12,8 @@ from textshield.sources.xml import xml_documents
 
 
 def request_stream(spark: SparkSession, folder: str, schema: str = REQUESTS, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+    """Requests of JSON lines; a line that cannot be read is kept in ``_corrupt_record``."""
+    reader = spark.readStream.schema(f"{schema}, {CORRUPT} string")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(folder)
