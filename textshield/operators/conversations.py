@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textshield.fixed_values import CHAT_KEYWORDS, CHAT_NOTICE, CHAT_RULE, NO_REPLY
 from textshield.functions.text import filtered_keywords
 
 
-def conversation_pairs(turns: DataFrame) -> DataFrame:
-    """``conv_id, turn, message, reply`` of every user turn; the reply is the assistant turn right after it.
+BLOCK = 4096  # turn numbers in one window
 
-    Turns of a conversation are numbered consecutively, so the reply has the next number. That is
-    an equi-join on unique keys: a conversation of any length spreads over all tasks.
+
+def conversation_pairs(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``conv_id, turn, message, reply`` of every user turn; the reply is the next turn if the assistant's.
+
+    Numbers may have gaps. A conversation is cut into blocks of ``block`` turn numbers, so one of any
+    length spreads over all tasks; the last turn of a block is followed by the first of the next
+    block that has any, of which only one row a block is put in order.
     """
-    users = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("message"))
-    replies = turns.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    return users.join(replies, ["conv_id", "turn"], "left")
+    rows = turns.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / block).alias("_block"))
+    said = F.struct("role", "text")
+    inside = Window.partitionBy("conv_id", "_block").orderBy("turn")
+    firsts = rows.groupBy("conv_id", "_block").agg(F.min_by(said, "turn").alias("_first"))
+    after = F.lead("_first").over(Window.partitionBy("conv_id").orderBy("_block"))
+    edges = firsts.select("conv_id", "_block", after.alias("_after"))
+    followed = rows.withColumn("_next", F.lead(said).over(inside)).where(F.col("role") == "user")
+    following = F.coalesce("_next", "_after")
+    return followed.join(edges, ["conv_id", "_block"], "left").select(
+        "conv_id", "turn", F.col("text").alias("message"), F.when(following["role"] == "assistant", following["text"]).alias("reply"))
 
 
 def sanitize_conversations(turns: DataFrame, rewrite: Column, **keyword_options) -> DataFrame:

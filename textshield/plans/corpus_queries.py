@@ -70,11 +70,11 @@ def document_vectors(t: Tables):
     return components(emb.hash_embed(t.documents), "doc_id")
 
 
-@query("embed_queries", f"""WITH p AS (SELECT conv_id * 1000 + turn AS prompt_id, text AS query FROM conversations WHERE role = 'user'),
+@query("embed_queries", f"""WITH p AS (SELECT conv_id || ':' || turn AS prompt_id, text AS query FROM conversations WHERE role = 'user'),
 {sql.hashed('p', 'prompt_id', 'query', 'h')} {_parts('h', 'prompt_id')}""")
 def query_vectors(t: Tables):
     users = t.conversations.where("role = 'user'")
-    asked = users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("query"))
+    asked = users.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_id"), F.col("text").alias("query"))
     return components(emb.embed_queries(asked), "prompt_id")
 
 

@@ -16,7 +16,7 @@ from textshield.session import write_once
 from textshield.sources.qa import qa_from_pairs
 
 # Questions are user turns with the reply as reference answer. A question of fewer than 3 words gets no vector.
-QA = f"""q AS (SELECT u.conv_id * 1000 + u.turn AS idx, u.text AS prompt, CASE WHEN u.conv_id % 10 = 0 THEN 'I am not sure.' ELSE a.text END AS response
+QA = f"""q AS (SELECT u.conv_id || ':' || u.turn AS idx, u.text AS prompt, CASE WHEN u.conv_id % 10 = 0 THEN 'I am not sure.' ELSE a.text END AS response
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
 qw AS (SELECT *, len({sql.words('prompt')}) >= 3 AS searchable FROM q),
 qs AS (SELECT * FROM qw WHERE searchable),
@@ -38,7 +38,7 @@ r AS (SELECT idx, prompt AS question, n AS retrieved_docs_count,
 
 def questions(t: Tables):
     qa = qa_from_pairs(conversation_pairs(t.conversations))
-    unsure = F.when(F.floor(F.col("idx") / 1000) % 10 == 0, "I am not sure.").otherwise(F.col("response"))
+    unsure = F.when(F.col("conv_id") % 10 == 0, "I am not sure.").otherwise(F.col("response"))
     embedded = hash_embed(qa.withColumn("response", unsure), text="prompt")
     enough = F.size(ev.ngrams(F.col("prompt"), 3)) >= 1
     return embedded.withColumn("embedding", F.when(enough, F.col("embedding")))
@@ -174,7 +174,7 @@ def _grams(column: str, n: int = 2) -> str:
     return f"CASE WHEN len({w}) >= {n} THEN list_transform(range(1, len({w}) - {n} + 2), lambda i: array_to_string(list_slice({w}, i, i + {n - 1}), ' ')) ELSE [] END"
 
 
-@query("ngram_overlap", f"""WITH p AS (SELECT u.conv_id * 1000 + u.turn AS idx, u.text AS reference, a.text AS candidate FROM conversations u
+@query("ngram_overlap", f"""WITH p AS (SELECT u.conv_id || ':' || u.turn AS idx, u.text AS reference, a.text AS candidate FROM conversations u
   JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
 g AS (SELECT idx, unnest({_grams('candidate')}) AS gram, 1 AS c, 0 AS r FROM p UNION ALL SELECT idx, unnest({_grams('reference')}), 0, 1 FROM p),
 n AS (SELECT idx, gram, sum(c) AS c, sum(r) AS r FROM g GROUP BY ALL),

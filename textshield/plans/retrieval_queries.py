@@ -77,11 +77,11 @@ def context_assembly(t: Tables):
 def prompts(t: Tables):
     """What users wrote, as prompts with vectors."""
     users = t.conversations.where("role = 'user'")
-    asked = users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt"))
+    asked = users.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_id"), F.col("text").alias("prompt"))
     return hash_embed(asked, text="prompt")
 
 
-PROMPTS = "p AS (SELECT conv_id * 1000 + turn AS prompt_id, text AS prompt FROM conversations WHERE role = 'user')"
+PROMPTS = "p AS (SELECT conv_id || ':' || turn AS prompt_id, text AS prompt FROM conversations WHERE role = 'user')"
 TEXT_SEARCH = f"{PROMPTS},\n{sql.hashed('p', 'prompt_id', 'prompt', 'qv')},\n{sql.hashed('documents', 'doc_id', 'text', 'dv')}"
 
 
