@@ -269,6 +269,17 @@ def test_pii_terms(spark):
     assert {r[0]: r[1] for r in pii.sanitised(docs, remove=2.0).collect()}[9] == "[TERM] was the man"
 
 
+def test_pii_terms_of_a_value_that_occurs_once(spark):
+    filler = " ".join(["the", "man", "was", "call", "now"] * 8)
+    rows = [(0, "Quixana wrote from q1@x.org"), (1, f"{filler} ask quixana")] + [(i, f"{filler} 10.0.0.{i % 4}") for i in range(2, 200)]
+    rows += [(300, f"Oberlin {filler} " + " ".join(f"u{i}@y.org" for i in range(50)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.private_data(docs).collect()}
+    assert got[0]["spans"].startswith("term:0:7,") and got[300]["spans"].startswith("term:0:7,email:")
+    assert got[0]["n_term"] == 3 and got[1]["n_term"] == 1 and got[300]["n_term"] == 1
+    assert all(got[i]["n_term"] == 0 for i in range(2, 200))
+
+
 def test_quality(spark, docs, texts):
     trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(None,)], "doc_id long")
     got = collected(quality.quality(docs, trusted))

@@ -1,13 +1,15 @@
 """Personal data by patterns, and terms that reveal it by corpus co-occurrence, with DataFrame functions only.
 
-The values that patterns find are the protected entities. A term that stands near one entity much
-more often than the corpus lets expect discloses it: their pointwise mutual information is then
-close to the information of the entity itself. Terms over the disclosure thresholds are generalised
-or removed wherever they occur.
+The values that patterns find are the protected entities. A term that stands in the documents of
+one entity much more often than the corpus lets expect discloses it: their pointwise mutual
+information is then close to the information of the entity itself. Terms over the disclosure
+thresholds are generalised or removed wherever they occur.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textshield.session import write_once
@@ -24,10 +26,10 @@ PATTERNS = {
 #: Texts without this have no match of a kind.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?){14}", "phone": r"\+[0-9]"}
 TERM = r"\p{L}{3,}"
-NEAR_CHARS, NEAR_TERMS = 200, 5
-#: Distinct surroundings in which a term must stand near an entity, and shares of the entity's information.
-SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.97
+#: The chance up to which a term is no accident in an entity's documents, and shares of the entity's information.
+CHANCE, GENERALISE, REMOVE = 0.01, 0.9, 0.97
 BROADCAST_TERMS = 1 << 20
+BROADCAST_SETS = 1 << 18
 SPAN = "array<struct<start:int,stop:int,kind:int,match:string>>"
 
 
@@ -43,7 +45,8 @@ def spans_of(text: Column, pattern: Column, kind: Column) -> Column:
         one = F.struct(low.alias("start"), high.alias("stop"), kind.alias("kind"), x["m"].alias("match"))
         return F.struct(high.alias("at"), F.concat(a["found"], F.array(one)).alias("found"))
 
-    pairs = F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(between, i).alias("b")))
+    # the last part has no match; a lambda would split the text again for every match
+    pairs = F.filter(F.zip_with(matches, between, lambda m, b: F.struct(m.alias("m"), b.alias("b"))), lambda x: x["m"].isNotNull())
     return F.aggregate(pairs, start, step, lambda a: a["found"])
 
 
@@ -102,45 +105,54 @@ def terms_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
 
 
-def surroundings(rows: DataFrame) -> DataFrame:
-    """``entity, before, after`` of every base span: the value and the terms next to it."""
-    one = rows.filter(F.size("spans") > 0).select("text", F.explode("spans").alias("s"))
-    low = F.greatest(F.col("s.start") - NEAR_CHARS, F.lit(0))
-    before = terms_of(F.substring(F.col("text"), low + 1, F.col("s.start") - low))
-    after = terms_of(F.substring(F.col("text"), F.col("s.stop") + 1, F.lit(NEAR_CHARS)))
-    value = F.when(F.col("s.kind").isin(2, 3), digits(F.col("s.match"))).otherwise(F.lower("s.match"))
-    last = F.when(F.size(before) > NEAR_TERMS, F.slice(before, -NEAR_TERMS, NEAR_TERMS)).otherwise(before)
-    return one.select(F.concat_ws(":", F.col("s.kind").cast("string"), value).alias("entity"), last.alias("before"), F.slice(after, 1, NEAR_TERMS).alias("after"))
+def outside(text: Column) -> Column:
+    """The text without e-mail addresses, the only values that have letters."""
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+
+
+def entities_of(spans: Column) -> Column:
+    """The different values of base spans."""
+    value = lambda s: F.when(s["kind"].isin(2, 3), digits(s["match"])).otherwise(F.lower(s["match"]))
+    return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"].cast("string"), value(s))))
 
 
-def disclosures(rows: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def disclosures(rows: DataFrame, chance: float = CHANCE, generalise: float = GENERALISE) -> DataFrame:
     """``term, share``: the largest share of an entity's information that a term discloses.
 
-    From ``text`` and base ``spans`` of all documents. The share is PMI(entity; term) over the
-    information of the entity, -log2 p(entity), from the number of times the term stands within
-    ``NEAR_TERMS`` terms of the entity and from the counts of both in the whole corpus. Copies of one
-    passage are no evidence: a term must stand near the entity in ``support`` different surroundings.
+    From ``text`` and base ``spans`` of all documents. Every term of a document is scored with every
+    entity of it. Of all places of terms in the corpus, an entity has those of its documents; the
+    share is PMI(entity; term) over the information of the entity, -log2 p(entity). The guard against
+    accidents is Chernoff's bound for so many places of the term, dealt out at random, to fall into
+    the entity's documents: it must not exceed ``chance``. Neither needs an entity to occur twice.
     """
-    near = surroundings(rows)
-    place = F.xxhash64(F.array_join("before", " "), F.lit("|"), F.array_join("after", " "))
-    pairs = near.select("entity", place.alias("place"), F.explode(F.array_distinct(F.concat("before", "after"))).alias("term"))
-    together = pairs.groupBy("entity", "term", "place").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("places"))
-    together = write_once(together.filter(F.col("places") >= support), "pairs")
-    entities = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    counts = write_once(rows.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
+    told = rows.withColumn("told", terms_of(outside(F.col("text"))))
+    counts = write_once(told.select(F.explode("told").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
     total = float(counts.agg(F.sum("n_term")).first()[0] or 0)
-    known = together.join(entities, "entity").join(counts, "term")
-    both = F.least("n_both", "n_term", "n_entity")
-    pmi = F.log2(both * total / (F.col("n_entity") * F.col("n_term")))
-    share = F.least(F.lit(1.0), pmi / F.log2(F.lit(total) / F.col("n_entity")))
+    ids = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")]
+    valued = told.filter(F.size("spans") > 0)
+    held = valued.select(*ids, F.size("told").alias("size"), F.explode(entities_of(F.col("spans"))).alias("entity"))
+    held = write_once(held.groupBy("entity", "t1", "t2").agg(F.sum("size").alias("size")), "entities")
+    # entities of the same documents disclose alike, so a list of values costs no more than one
+    sets = write_once(held.groupBy("entity").agg(F.bit_xor("t1").alias("s1"), F.bit_xor("t2").alias("s2"), F.sum("size").alias("places")), "sets")
+    sets = F.broadcast(sets) if sets.count() <= BROADCAST_SETS else sets
+    groups = write_once(held.join(sets, "entity").select("t1", "t2", "s1", "s2", "places").distinct(), "groups")
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_SETS else groups
+    terms = valued.select(*ids, F.explode("told").alias("term")).groupBy("t1", "t2", "term").agg(F.count("*").alias("n"))
+    both = terms.join(groups, ["t1", "t2"]).groupBy("s1", "s2", "places", "term").agg(F.sum("n").alias("n_both"))
+    known = both.join(counts, "term")
+    rest, elsewhere = F.col("n_term") - F.col("n_both"), F.greatest(F.lit(total) - F.col("places"), F.lit(1.0))
+    share = 1 - F.log2(F.col("n_term") / F.col("n_both")) / F.greatest(F.log2(F.lit(total) / F.col("places")), F.lit(1e-9))
+    surprise = F.col("n_both") * F.log(F.col("n_both") * total / (F.col("n_term") * F.col("places"))) + F.when(
+        rest > 0, rest * F.log(rest * total / (F.col("n_term") * elsewhere))).otherwise(0.0)
+    known = known.filter((F.col("n_both") * total > F.col("n_term") * F.col("places")) & (surprise >= -math.log(chance)))
     return known.select("term", share.alias("share")).groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= generalise)
 
 
-def private_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def private_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", chance: float = CHANCE, generalise: float = GENERALISE) -> DataFrame:
     """``key, text``, base ``spans``, ``term_spans`` and ``shares`` of the terms of every row; see ``private_data``."""
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("r1"), F.xxhash64(text, key).alias("r2"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("spans", base_spans(F.col("text")))
-    terms = write_once(disclosures(rows, support, generalise), "disclosures")
+    terms = write_once(disclosures(rows, chance, generalise), "disclosures")
     count = terms.count()
     words = rows.select("r1", "r2", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
     hits = words.join(F.broadcast(terms) if count <= BROADCAST_TERMS else terms, "term")
