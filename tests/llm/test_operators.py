@@ -311,6 +311,14 @@ def test_toxicity_learns_from_its_part_only(spark):
     assert collected(scores[0].select("doc_id", "score")) == collected(scores[1].select("doc_id", "score"))
 
 
+def test_lexicon_of_texts_that_begin_alike(spark):
+    header = "From the moderators of the board: this message was reported. " * 2
+    rows = [(1, f"{header} vilewort number {i}") for i in range(30)] + [(0, f"{header} kind words {i}") for i in range(100)]
+    rows += [(1, "once upon a rareterm")] * 9
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string"))
+    assert "vilewort" in lexicon and "rareterm" not in lexicon and "message" not in lexicon
+
+
 def test_toxicity_accuracy(spark):
     """Needs a few hundred toxic labels to learn from; smaller tables have too few."""
     folder = "/root/testdata/check_s"
