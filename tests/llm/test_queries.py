@@ -4,7 +4,8 @@ import pytest
 
 from corpus_pipeline import STAGES, run
 from oracle import difference
-from textshield.llm.queries import QUERIES, SQL
+from textshield.llm.katz import katz_scores
+from textshield.llm.queries import QUERIES, SQL, remainder
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,6 +15,12 @@ def test_matches_sql(spark, name):
     assert difference(spark, FOLDER, QUERIES[name], SQL[name]) is None
 
 
+def test_lm_scoring_uses_trigrams(spark):
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    scores = lambda df: {r["doc_id"]: round(r["score"], 6) for r in df.collect()}
+    assert scores(QUERIES["op2_lm_scoring"](spark, FOLDER)) == scores(katz_scores(documents, remainder("doc_id", 7, 2), order=3))
+
+
 def test_pipeline(spark):
     documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = run(spark, FOLDER)

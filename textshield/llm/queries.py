@@ -36,7 +36,7 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    return katz_scores(table(spark, folder, "documents"), remainder("doc_id", 7, 2))
+    return katz_scores(table(spark, folder, "documents"), remainder("doc_id", 7, 2), order=3)
 
 
 def pii(spark: SparkSession, folder: str) -> DataFrame:
