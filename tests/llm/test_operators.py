@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textshield.llm import decontaminate, katz, line_dedup, minhash, pii, quality, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from textshield.llm.pieces import MARKER, Encoder
+from textshield.llm.suffixes import sampled
 from textshield.session import write_once
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -144,6 +145,28 @@ def test_suffix_dedup(docs, texts, contexts, monkeypatch):
     assert collected(suffix_dedup.remove_repeats(docs, n_batches=3)) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("contexts", [1 << 13, 3])
+def test_suffix_dedup_of_runs(spark, contexts, monkeypatch):
+    """Runs of a short period need about as many bytes of contexts as they have; results are exact."""
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", contexts)
+    monkeypatch.setattr(suffix_dedup, "CONTEXT_BYTES", 2000)
+    data = np.full(600_000, 45, np.uint8)
+    text, _, _, first, last = sampled(data, np.array([0, len(data)]), 400)
+    assert len(text) > 1 and (last - first + 400).sum() < 4 * len(data) and (last - first + 1).sum() == len(data) - 399
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    runs = ["-" * 5000, "ab" * 1500, noise(170) * 9, noise(333) * 4, " " * 401, "-" * 400, noise(500) + "-" * 900 + noise(500) + "ab" * 300]
+    rows = [(i, r if i % 2 else noise(90) + r + noise(70)) for i, r in enumerate(runs)]
+    seen = Counter(t[i : i + 400] for _, t in rows for i in range(len(t) - 399))
+    expected = []
+    for d, t in rows:
+        gone = {i + k for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1 for k in range(400)}
+        kept = "".join(c for i, c in enumerate(t) if i not in gone)
+        expected.append((d, len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed", "kept_sha256")) == sorted(expected, key=str)
+
+
 def test_line_dedup(docs, texts):
     got = collected(line_dedup.remove_repeated_lines(docs).select("doc_id", "text", "n_lines", "n_removed"))
     first, windows = {}, []

@@ -23,8 +23,10 @@ from textshield.session import write_once
 LENGTH = 400
 BATCHES = 4
 TEXT_BYTES = 8 << 20
-#: Contexts that one task compares; suffixes with more are split by text.
+#: Contexts that one task compares; suffixes with more are split by text and place.
 CONTEXTS = 1 << 13
+#: Bytes of contexts in one Arrow batch.
+CONTEXT_BYTES = 32 << 20
 #: Hashes of texts that may be broadcast, 8 bytes each.
 BROADCAST_ROWS = 1 << 20
 
@@ -114,11 +116,15 @@ def _contexts(length: int):
                 keep[edges[i] : edges[i + 1]] = np.isin(place[edges[i] : edges[i + 1]], places)
             text, prefix, first, last = text[keep], prefix[keep], first[keep], last[keep]
             low, high = offsets[text] + first, offsets[text] + last + length
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prefix.view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(first),
-                 pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary())],
-                ["prefix", "t1", "t2", "first", "context"],
-            )
+            step = np.cumsum(high - low) // CONTEXT_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+            for a, b in zip(cuts, cuts[1:]):
+                of = pa.array(text[a:b])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(prefix[a:b].view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(first[a:b]),
+                     pa.array([raw[x:y] for x, y in zip(low[a:b].tolist(), high[a:b].tolist())], pa.binary())],
+                    ["prefix", "t1", "t2", "first", "context"],
+                )
 
     return found
 
@@ -196,7 +202,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, n_
     chosen = texts.join(some, "t1", "left_semi").dropDuplicates(["t1", "t2"]).join(wanted, "t1")
     contexts = chosen.select("t1", "t2", "text", "places").mapInArrow(_contexts(length), "prefix long, t1 long, t2 long, first long, context binary")
     contexts = contexts.join(F.broadcast(common) if total <= BROADCAST_ROWS * CONTEXTS else common, "prefix", "left")
-    salt = F.when(F.col("count").isNull(), 0).otherwise(F.pmod("t1", F.ceil(F.col("count") / CONTEXTS)))
+    salt = F.when(F.col("count").isNull(), 0).otherwise(F.pmod(F.xxhash64("t1", "first"), F.ceil(F.col("count") / CONTEXTS)))
     groups = max(1, -(-total // CONTEXTS))
     contexts = contexts.select("t1", "t2", "first", "context", F.col("count").isNotNull().alias("split"), F.pmod(F.xxhash64("prefix", salt), F.lit(groups)).alias("part"))
     found = write_once(contexts.groupBy("part").applyInPandas(_compare(length), SPANS), "spans")

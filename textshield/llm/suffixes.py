@@ -53,7 +53,8 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     """Sampled suffixes: text, place, prefix fingerprint, and the first and last start they stand for.
 
     A start is the place of a string of ``length`` bytes inside a text; each is stood for by the
-    suffix that its string chooses. Long inputs are cut, so a suffix can come in two parts.
+    suffix that its string chooses. In a run of one byte, or of a short period, suffixes with one
+    prefix follow each other at every period; they are joined, see ``_joined``.
     """
     out = []
     width = length - PREFIX + 1
@@ -78,7 +79,28 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none, none
-    return tuple(np.concatenate(c) for c in zip(*out))
+    return _joined(*(np.concatenate(c) for c in zip(*out)), width)
+
+
+def _joined(text: np.ndarray, place: np.ndarray, prefix: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Suffixes of one prefix whose starts follow each other, joined up to twice ``width`` starts.
+
+    The first of such a run stays by itself, so that a run has two suffixes of its prefix at least.
+    How a run is cut depends on its text alone.
+    """
+    follows = np.zeros(len(text), bool)
+    follows[1:] = (text[1:] == text[:-1]) & (prefix[1:] == prefix[:-1]) & (first[1:] == last[:-1] + 1)
+    same = follows.copy()
+    same[1:] &= place[1:] == place[:-1]
+    # the input is cut into chunks, so a suffix can come in two parts
+    begin, end = np.flatnonzero(~same), np.flatnonzero(np.append(~same[1:], True))
+    text, place, prefix, first, last, follows = text[begin], place[begin], prefix[begin], first[begin], last[end], follows[begin]
+    head = np.maximum.accumulate(np.where(follows, 0, np.arange(len(text))))
+    step = (first - first[head]) // width
+    fresh = ~follows
+    fresh[1:] |= ~follows[:-1] | (step[1:] != step[:-1])
+    begin, end = np.flatnonzero(fresh), np.flatnonzero(np.append(fresh[1:], True))
+    return text[begin], place[begin], prefix[begin], first[begin], last[end]
 
 
 def starts_in(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
