@@ -315,6 +315,14 @@ def test_quality(spark, docs, texts):
     assert len(got) == len(texts)
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 10])
+def test_quality_counts_all_trusted_documents(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_KEYS", broadcast)
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    weights = quality.log_ratios(docs, docs.select("doc_id")).first()["weights"]
+    assert all(w == 0.0 for w in weights)
+
+
 def covered(words):
     seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     return len({i + k for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for k in range(5)})

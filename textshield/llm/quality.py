@@ -1,6 +1,6 @@
 """Quality rules and a log-likelihood ratio of hashed n-grams, with DataFrame functions only.
 
-Unigrams and bigrams of words are hashed to buckets. A trusted sample gives the target multinomial,
+Unigrams and bigrams of words are hashed to buckets. The trusted documents give the target multinomial,
 all documents give the raw one, and a document's score is the mean log ratio of its n-grams.
 """
 
@@ -13,7 +13,8 @@ SOLID = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 REPEAT = 5
 BUCKETS = 10_000
-TRUSTED = 20_000
+#: Trusted keys that may be broadcast.
+BROADCAST_KEYS = 1 << 20
 THRESHOLD = -0.1
 
 
@@ -61,15 +62,15 @@ def ngram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
     return F.transform(F.array(lower), lambda h: F.concat(single(h), pairs(h)))[0]
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, limit: int = TRUSTED) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """One row with ``weights``: per bucket the log of its share in trusted documents over that in all.
 
-    ``trusted`` has keys of trusted documents, of which the ``limit`` with the smallest hashes are
-    taken, a bounded sample that is broadcast; the raw counts cover every document. One is added to
-    each count.
+    ``trusted`` has the keys of trusted documents, all of which count; the raw counts cover every
+    document. One is added to each count.
     """
-    sample = trusted.select(F.col(key).alias("_key")).filter(F.col("_key").isNotNull()).distinct().orderBy(F.xxhash64("_key"), "_key").limit(limit)
-    marked = docs.select(F.col(key).alias("_key"), text).join(F.broadcast(sample.withColumn("_good", F.lit(1))), "_key", "left")
+    keys = trusted.select(F.col(key).alias("_key")).filter(F.col("_key").isNotNull()).distinct().withColumn("_good", F.lit(1))
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    marked = docs.select(F.col(key).alias("_key"), text).join(F.broadcast(keys) if few else keys, "_key", "left")
     words = words_of(F.coalesce(F.col(text).cast("string"), F.lit("")))
     grams = marked.select(F.col("_good"), F.explode(ngram_buckets(words, buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
