@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from textshield.llm.collocations import collocations
 from textshield.llm.decontaminate import contamination
 from textshield.llm.katz import katz_scores
 from textshield.llm.line_dedup import remove_repeated_lines
@@ -73,10 +74,15 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), vocabulary)
 
 
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup, "op2_lm_scoring": lm_scoring, "op3_pii": pii, "op4_minhash": minhash,
     "op5_suffix_dedup": suffix_dedup, "op6_toxicity": toxic, "op7_quality": quality_rules,
     "op8_decontamination": decontamination, "op9_sentencepiece": sentencepiece, "op10_token_counts": token_counts,
+    "op13_collocations": phrase_collocations,
 }
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,4 +119,18 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op13_collocations": rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT lang, unnest(regexp_split_to_array(coalesce({LOWER}, ''), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM p GROUP BY lang),
+h AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p WHERE len(ws) > 0),
+g AS (SELECT lang, ws[i:i + k - 1] AS ws, k FROM h, range(1, 6) AS s(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, array_to_string(ws, ' ') AS phrase, any_value(ws) AS ws, any_value(k) AS size, count(*)::HUGEINT AS f FROM g GROUP BY 1, 2 HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, size, f AS a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:size], ' ') AS y FROM f, range(1, 5) AS s(k) WHERE k < size),
+b AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, (1000 * c.a * n) // (x.f * y.f) AS score,
+  row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000 * c.a * n) // (x.f * y.f), k) AS nth
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.x JOIN f y ON y.lang = c.lang AND y.phrase = c.y JOIN t ON t.lang = c.lang),
+i AS (SELECT lang, array_to_string(ws[j:j + m - 1], ' ') AS phrase, max(f) AS longer FROM f, range(2, 5) AS s(m), range(1, 5) AS u(j) WHERE m < size AND j + m - 1 <= size GROUP BY 1, 2),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 100 * a))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000""",
 }
