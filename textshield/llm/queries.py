@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textshield.llm.collocations import collocations
 from textshield.llm.decontaminate import contamination
+from textshield.llm.html_extraction import extract_main_text
 from textshield.llm.katz import katz_scores
 from textshield.llm.line_dedup import remove_repeated_lines
 from textshield.llm.minhash import near_duplicates
@@ -17,6 +18,7 @@ from textshield.llm.sentencepiece_codec import encode_and_check, tokenizer_path
 from textshield.llm.suffix_dedup import remove_repeats
 from textshield.llm.token_counts import count_tokens
 from textshield.llm.toxicity import toxicity
+from textshield.llm.whitening import whiten
 
 PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -74,6 +76,14 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), vocabulary)
 
 
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
 def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))
 
@@ -82,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup, "op2_lm_scoring": lm_scoring, "op3_pii": pii, "op4_minhash": minhash,
     "op5_suffix_dedup": suffix_dedup, "op6_toxicity": toxic, "op7_quality": quality_rules,
     "op8_decontamination": decontamination, "op9_sentencepiece": sentencepiece, "op10_token_counts": token_counts,
-    "op13_collocations": phrase_collocations,
+    "op11_html_extraction": html_extraction, "op12_whitening": whitening, "op13_collocations": phrase_collocations,
 }
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
