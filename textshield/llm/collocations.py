@@ -4,10 +4,11 @@ Every word heads one window: itself and the words that follow it in its piece, p
 Only these windows are counted; ROLLUP sums them over shorter and shorter prefixes, which gives the
 count of every phrase, since each occurrence of a phrase begins exactly one window.
 
-A window is cut where two words follow each other too seldom for any phrase of the support to hold
-them. That is told from a first count of pairs in a fixed number of buckets: the count of a bucket
-is no less than that of any pair in it, so no occurrence of a phrase with enough occurrences is
-lost, and the broadcast bit map has the same size for every corpus.
+A window is cut where two or three words follow each other too seldom for any phrase of the support
+to hold them. That is told from first counts of pairs, and of triples of such pairs, in a fixed
+number of buckets: the count of a bucket is no less than that of any run in it, so no occurrence of
+a phrase with enough occurrences is lost, and the broadcast bit maps have the same size for every
+corpus.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from textshield.llm.shipping import ship
 from textshield.session import write_once
 
 LONGEST, SUPPORT, TOP = 5, 100, 2_000
-#: The bit map of frequent pairs has two to this power bits, 8 MB.
+#: Runs of words that are sifted; each length has a bit map of two to this power bits, 8 MB.
+SIFTED = (2, 3)
 BITS = 26
 BLOCK_BITS = 16
 TEXT_BYTES = 4 << 20
@@ -50,16 +52,29 @@ class Words:
         self.followed[:-1] = (self.text[1:] == self.text[:-1]) & (breaks[self.starts[1:]] == breaks[self.ends[:-1]])
         self.languages = batch.column(1).dictionary_encode()
         self.language = self.languages.indices.to_numpy()[self.text]
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The first words of all pairs, and the bucket of each pair."""
-        first = np.flatnonzero(self.followed)
-        hashes = word_hashes(self.data, self.starts, self.ends)
+    def buckets(self, first: np.ndarray, size: int) -> np.ndarray:
+        """The buckets of the runs of ``size`` words from the given ones on."""
         names = [x.encode() for x in self.languages.dictionary.to_pylist()]
         edges = np.concatenate([[0], np.cumsum([len(x) for x in names])]).astype(np.int64)
-        marks = word_hashes(np.frombuffer(b"".join(names), np.uint8), edges[:-1], edges[1:])
-        keys = mix(hashes[first] * TURN + hashes[first + 1] + marks[self.language[first]])
-        return first, (keys >> np.uint64(64 - BITS)).astype(np.int64)
+        keys = word_hashes(np.frombuffer(b"".join(names), np.uint8), edges[:-1], edges[1:])[self.language[first]]
+        for k in range(size):
+            keys = mix(keys * TURN + self.hashes[first + k])
+        return (keys >> np.uint64(64 - BITS)).astype(np.int64)
+
+    def sifted(self, maps: list[np.ndarray]) -> list[np.ndarray]:
+        """For each length of runs from 2 on, where one begins that the bit maps know; the last, longer by one, is not yet looked up."""
+        on = [self.followed]
+        for size, bits in enumerate(maps, 2):
+            first = np.flatnonzero(on[-1])
+            buckets = self.buckets(first, size)
+            known = on[-1].copy()
+            known[first] = (bits[buckets >> 3] >> (7 - (buckets & 7)).astype(np.uint8)) & 1
+            following = np.zeros_like(known)
+            following[:-1] = known[:-1] & known[1:]
+            on[-1:] = [known, following]
+        return on
 
     def strings(self) -> pa.DictionaryArray:
         size = self.ends - self.starts
@@ -70,11 +85,15 @@ class Words:
         return words.dictionary_encode()
 
 
-def _pair_counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(stream, "text", TEXT_BYTES):
-        _, buckets = Words(batch).pairs()
-        found, n = np.unique(buckets, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n, pa.int64())], ["bucket", "n"])
+def _run_counts(load, size: int):
+    def counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = load()
+        for batch in batches(stream, "text", TEXT_BYTES):
+            words = Words(batch)
+            found, n = np.unique(words.buckets(np.flatnonzero(words.sifted(maps)[-1]), size), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n, pa.int64())], ["bucket", "n"])
+
+    return counts
 
 
 def _bits(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,37 +104,42 @@ def _bits(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(table).tobytes()])], ["block", "bits"])
 
 
-def frequent_pairs(texts: DataFrame, support: int) -> np.ndarray:
-    """Packed bits of the buckets whose pairs of words occur ``support`` times together, one bit a bucket."""
-    counts = texts.mapInArrow(_pair_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= support)
-    blocks = counts.groupBy(F.shiftright("bucket", BLOCK_BITS).alias("block")).agg(F.collect_list(F.col("bucket").bitwiseAND((1 << BLOCK_BITS) - 1)).alias("places"))
-    table = np.zeros((1 << BITS - BLOCK_BITS, 1 << BLOCK_BITS - 3), np.uint8)
-    for row in blocks.mapInArrow(_bits, "block int, bits binary").collect():
-        table[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    return table.reshape(-1)
+def frequent_runs(texts: DataFrame, support: int, longest: int) -> list[np.ndarray]:
+    """For each length of sifted runs, the packed bits of the buckets whose runs occur ``support`` times together."""
+    maps: list[np.ndarray] = []
+    for size in SIFTED:
+        if size > longest:
+            break
+        counts = texts.mapInArrow(_run_counts(ship(texts.sparkSession, maps), size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        places = F.collect_list(F.col("bucket").bitwiseAND((1 << BLOCK_BITS) - 1)).alias("places")
+        blocks = counts.filter(F.col("n") >= support).groupBy(F.shiftright("bucket", BLOCK_BITS).alias("block")).agg(places)
+        table = np.zeros((1 << BITS - BLOCK_BITS, 1 << BLOCK_BITS - 3), np.uint8)
+        for row in blocks.mapInArrow(_bits, "block int, bits binary").collect():
+            table[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+        maps.append(table.reshape(-1))
+    return maps
 
 
 def _windows(load, longest: int):
     def windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = load()
+        maps = load()
         names = ["lang", *[f"w{k}" for k in range(1, longest + 1)], "n"]
         for batch in batches(stream, "text", TEXT_BYTES):
             words = Words(batch)
             if not len(words.starts):
                 continue
-            first, buckets = words.pairs()
-            on = np.zeros(len(words.starts) + longest, bool)
-            on[first] = (bits[buckets >> 3] >> (7 - (buckets & 7)).astype(np.uint8)) & 1
+            *on, last = (np.concatenate([known, np.zeros(longest, bool)]) for known in words.sifted(maps))
+            pairs, runs = (on or [last])[0], (on or [last])[-1]
             strings = words.strings()
             # the pad comes after the words of the batch
             code = np.concatenate([strings.indices.to_numpy(), np.zeros(longest, np.int32)])
             kinds = pa.concat_arrays([strings.dictionary, pa.array([PAD], strings.dictionary.type)])
-            alone = np.flatnonzero(~on[: len(words.starts)])
+            alone = np.flatnonzero(~pairs[: len(words.starts)])
             single, n = np.unique(words.language[alone].astype(np.int64) * len(kinds) + code[alone], return_counts=True)
-            head = np.flatnonzero(on)
+            head = np.flatnonzero(pairs)
             columns, inside = [np.concatenate([single % len(kinds), code[head]])], np.ones(len(head), bool)
             for k in range(1, longest):
-                inside &= on[head + k - 1]
+                inside &= on[k - 1][head] if k <= len(on) else runs[head + k - len(on)]
                 following = np.where(inside, code[head + k], len(kinds) - 1)
                 columns.append(np.concatenate([np.full(len(single), len(kinds) - 1), following]))
             language = np.concatenate([single // len(kinds), words.language[head]])
@@ -129,7 +153,7 @@ def _windows(load, longest: int):
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, support: int = SUPPORT) -> DataFrame:
     """``lang, size, words, f``: phrases with at least ``support`` occurrences, and with ``size`` 0 the words of each language in all."""
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
-    load = ship(docs.sparkSession, frequent_pairs(texts, support))
+    load = ship(docs.sparkSession, frequent_runs(texts, support, longest))
     names = [f"w{k}" for k in range(1, longest + 1)]
     schema = ", ".join(["lang string", *[f"{name} string" for name in names], "n long"])
     windows = texts.mapInArrow(_windows(load, longest), schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
