@@ -47,25 +47,33 @@ def classify2(probabilities: Column, threshold: float | Column = DETECTION_THRES
 
 
 def detection_details(
-    logits: Column, model: str = DEFAULT_DETECTOR, threshold: float | Column = DETECTION_THRESHOLD
+    logits: Column, model: str | Column = DEFAULT_DETECTOR, threshold: float | Column = DETECTION_THRESHOLD
 ) -> Column:
-    """Details of a detection; missing logits mean the detector was not available and the text passes."""
-    if model not in DETECTOR_CLASSES:
-        raise ValueError(f"unknown detector {model!r}, known are {sorted(DETECTOR_CLASSES)}")
-    classes = DETECTOR_CLASSES[model]
+    """Details of a detection; missing logits mean the detector was not available and the text passes.
+
+    The detector decides how many classes count. With a column of detectors each row has its own; one
+    that is not known is not available. An unknown name given for all rows is an error.
+    """
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    decided = lambda classes: let(class_probabilities(logits, classes), lambda p: _decide(p, classes, limit))
+    if isinstance(model, Column):
+        named = {n: [m for m, c in DETECTOR_CLASSES.items() if c == n] for n in sorted(set(DETECTOR_CLASSES.values()))}
+        found = reduce(lambda rest, n: F.when(model.isin(*named[n]), decided(n)).otherwise(rest), named, F.lit(None))
+    elif model in DETECTOR_CLASSES:
+        found = decided(DETECTOR_CLASSES[model])
+    else:
+        raise ValueError(f"unknown detector {model!r}, known are {sorted(DETECTOR_CLASSES)}")
 
-    def details(decided: Column) -> Column:
-        scored = decided["label"].isNotNull()
+    def details(decision: Column) -> Column:
+        scored = decision["label"].isNotNull()
         return F.struct(
-            F.coalesce(~decided["is_malicious"], F.lit(True)).alias("is_safe"),
-            F.coalesce(decided["is_malicious"], F.lit(False)).alias("is_malicious"),
-            F.coalesce(decided["confidence"], F.lit(0.0)).alias("confidence"),
-            F.coalesce(decided["label"], F.lit("BENIGN")).alias("label"),
+            F.coalesce(~decision["is_malicious"], F.lit(True)).alias("is_safe"),
+            F.coalesce(decision["is_malicious"], F.lit(False)).alias("is_malicious"),
+            F.coalesce(decision["confidence"], F.lit(0.0)).alias("confidence"),
+            F.coalesce(decision["label"], F.lit("BENIGN")).alias("label"),
             limit.alias("threshold"),
-            F.when(scored, F.lit(model)).otherwise("none").alias("model"),
+            F.when(scored, model if isinstance(model, Column) else F.lit(model)).otherwise("none").alias("model"),
             F.when(~scored, F.lit(NO_DETECTOR)).alias("error"),
         )
 
-    decided = let(class_probabilities(logits, classes), lambda p: _decide(p, classes, limit))
-    return let(F.when(logits.isNotNull(), decided), details)
+    return let(F.when(logits.isNotNull(), found), details)

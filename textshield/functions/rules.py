@@ -128,6 +128,22 @@ def topic_score(text: Column, topics: Mapping[str, Sequence[str]] | Sequence[str
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
 
+def own_topic_score(text: Column, topics: Column) -> Column:
+    """The same score for a list of topics that every row brings along; null without a topic.
+
+    A topic is a word or phrase and is taken literally, whatever its characters. Only topics that the
+    text contains are looked for at word boundaries.
+    """
+    def mentions(lowered: Column, topic: Column) -> Column:
+        literal = F.replace(topic, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+        bounded = F.concat(F.lit(rf"(?<!{_LETTER})\Q"), literal, F.lit(rf"\E(?!{_LETTER})"))
+        return F.when(F.contains(lowered, topic), F.regexp_count(lowered, bounded)).otherwise(0)
+
+    wanted = F.filter(F.transform(topics, lambda t: F.lower(F.trim(t))), lambda t: t != "")
+    most = let(F.lower(text), lambda lowered: F.array_max(F.transform(wanted, lambda t: mentions(lowered, t)))).cast("double")
+    return let(most, lambda n: n / (n + 1.0))
+
+
 def rule_verdict(flags: Column, rules: Sequence[Rule] = RULES) -> Column:
     """Verdict struct: harmful when any rule matches, severity by summed weight."""
     issues = list(dict.fromkeys(r.issue for r in rules))

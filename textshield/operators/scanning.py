@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from textshield.fixed_values import (
     DEFAULT_DETECTOR,
     DETECTION_THRESHOLD,
+    DETECTOR_CLASSES,
     REQUEST_BLOCK_MODE,
     REQUEST_TEMPERATURE,
 )
 from textshield.functions.detection import class_probabilities, detection_details
-from textshield.functions.rules import mask, rule_flags, rule_logits, topic_score, toxicity_score
+from textshield.functions.rules import mask, own_topic_score, rule_flags, rule_logits, topic_score, toxicity_score
 from textshield.functions.vectors import let
 from textshield.operators.models import Model, with_vectors
 from textshield.operators.sanitize import sanitize
@@ -40,6 +41,7 @@ REQUEST_DEFAULTS = {
     "prompt_injection_threshold": DETECTION_THRESHOLD,
     "block_mode": REQUEST_BLOCK_MODE,
 }
+TOPIC_LIST = "banned_topics_list"
 RANGES = {
     "toxicity_threshold": (0.0, 1.0),
     "banned_topics_threshold": (0.0, 1.0),
@@ -115,10 +117,11 @@ def check(df: DataFrame, scanners: Sequence[Scanner], *, text: str = "text") ->
 
 
 def with_defaults(requests: DataFrame) -> DataFrame:
-    """Requests with every option present; missing columns and nulls take the default."""
+    """Requests with every option present; missing columns and nulls take the default. The list of topics has none."""
     given = set(requests.columns)
     filled = {n: F.coalesce(F.col(n), F.lit(v)) if n in given else F.lit(v) for n, v in REQUEST_DEFAULTS.items()}
-    return requests.withColumns(filled)
+    topics = {} if TOPIC_LIST in given else {TOPIC_LIST: F.lit(None).cast("array<string>")}
+    return requests.withColumns(filled | topics)
 
 
 def validate_request(requests: DataFrame) -> DataFrame:
@@ -130,7 +133,8 @@ def validate_request(requests: DataFrame) -> DataFrame:
     full = with_defaults(requests)
     checks = [F.when(F.col(CORRUPT).isNotNull(), "request cannot be read")] if CORRUPT in requests.columns else []
     checks += [F.when(F.col("prompt").isNull(), "prompt is missing"),
-              F.when(~F.col("method").isin(GUARD, REWRITE), "method is unknown")]
+              F.when(~F.col("method").isin(GUARD, REWRITE), "method is unknown"),
+              F.when(~F.col("prompt_injection_model").isin(*DETECTOR_CLASSES), "prompt_injection_model is unknown")]
     checks += [F.when(~F.col(n).between(lo, hi) | F.isnan(F.col(n).cast("double")), f"{n} is out of range")
                for n, (lo, hi) in RANGES.items()]
     return full.withColumn("error", F.coalesce(*checks))
@@ -144,56 +148,84 @@ def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def request_scanners(topics: Sequence[str] | dict[str, Sequence[str]] = (), *, text: str = "prompt",
                      toxicity: Column | None = None) -> list[Scanner]:
-    """Scanners switched and limited by the columns of each request, scored by rules."""
-    flags = F.col("rule_flags")
+    """Scanners switched and limited by the columns of each request, scored by rules.
+
+    Topics are those of the request's own list; ``topics`` are for requests without one. Where there
+    are neither, topics are not scanned.
+    """
+    flags, listed = F.col("rule_flags"), F.col(TOPIC_LIST)
     worst = let(class_probabilities(rule_logits(flags), 3), lambda p: F.greatest(p[1], p[2]))
-    scanners = [
+    has_own = F.coalesce(F.exists(listed, lambda t: F.trim(t) != ""), F.lit(False))
+    common = topic_score(F.col(text), topics) if topics else F.lit(None).cast("double")
+    asked = F.col("enable_banned_topics") if topics else F.col("enable_banned_topics") & has_own
+    return [
         Scanner("PromptInjection", worst, INJECTION_LIMIT, F.col("enable_prompt_injection")),
         Scanner("Toxicity", toxicity if toxicity is not None else toxicity_score(flags),
                 F.col("toxicity_threshold"), F.col("enable_toxicity")),
+        Scanner("BanTopics", F.when(has_own, own_topic_score(F.col(text), listed)).otherwise(common),
+                F.col("banned_topics_threshold"), asked),
     ]
-    if topics:
-        scanners.append(Scanner("BanTopics", topic_score(F.col(text), topics),
-                                F.col("banned_topics_threshold"), F.col("enable_banned_topics")))
-    return scanners
-
-
-def _answered(requests: DataFrame, topics, rewrite: Column | None, context_rewrite: Column | None) -> DataFrame:
-    """Requests with the answers of both methods in one row; unused columns are pruned later."""
-    flagged = with_defaults(requests).withColumn("rule_flags", rule_flags(F.col("prompt")))
-    scanned = scan(flagged, request_scanners(topics), text="prompt").withColumnRenamed("sanitized", "scanned")
-    logits = F.when(F.col("use_prompt_injection_detection"), rule_logits(F.col("rule_flags")))
-    detected = scanned.withColumn("detection", detection_details(logits, threshold=F.col("prompt_injection_threshold")))
+
+
+def _detected(requests: DataFrame, asked: Column) -> DataFrame:
+    """Add ``detection`` by each request's own detector and threshold, for requests that want one."""
+    logits = F.when(asked & F.col("use_prompt_injection_detection"), rule_logits(F.col("rule_flags")))
+    details = detection_details(logits, F.col("prompt_injection_model"), F.col("prompt_injection_threshold"))
+    return requests.withColumn("detection", details)
+
+
+def _answered(requests: DataFrame, topics, rewrite: Column | None, context_rewrite: Column | None, both: bool = False) -> DataFrame:
+    """Requests with the answer of their method, or of both, in one row."""
+    full = with_defaults(requests).withColumn("rule_flags", rule_flags(F.col("prompt")))
+    guarded = F.lit(True) if both else F.col("method") == GUARD
+    written = F.lit(True) if both else F.col("method") == REWRITE
+    scanners = [s._replace(enabled=guarded & s.enabled) for s in request_scanners(topics)]
+    scanned = scan(full, scanners, text="prompt").withColumnRenamed("sanitized", "scanned")
+    plain = mask(F.col("prompt"), flags=F.col("rule_flags")) if rewrite is None else rewrite
     return sanitize(
-        detected, text="prompt", mode=F.col("block_mode"),
-        rewrite=mask(F.col("prompt"), flags=F.col("rule_flags")) if rewrite is None else rewrite,
-        context_rewrite=F.when(F.col("use_rag"), context_rewrite) if context_rewrite is not None else None,
+        _detected(scanned, written), text="prompt", mode=F.col("block_mode"), rewrite=F.when(written, plain),
+        context_rewrite=F.when(written & F.col("use_rag"), context_rewrite) if context_rewrite is not None else None,
     )
 
 
-def scan_batch(requests: DataFrame, topics: Sequence[str] | dict[str, Sequence[str]] = (), *,
-               rewrite: Column | None = None, context_rewrite: Column | None = None) -> DataFrame:
-    """Answer valid scan requests: scanners or detect-and-rewrite, as the row's method says.
-
-    Stateless and free of shuffles, so it serves tables and streams alike. ``rewrite`` and
-    ``context_rewrite`` are the replies of the rewriter; the rule-based one is the default.
-    """
+def _answer_columns(requests: DataFrame) -> list[Column]:
     by_rules = F.col("method") == GUARD
-    given = [c for c in requests.columns if c != "method"]
-    return _answered(requests, topics, rewrite, context_rewrite).select(
-        *given,
-        "method",
+    return [
+        *[F.col(c) for c in requests.columns if c != "method"],
+        F.col("method"),
         F.when(by_rules, F.col("scanned")).otherwise(F.col("sanitized")).alias("sanitized_prompt"),
         F.when(by_rules, F.col("is_valid")).otherwise(~F.col("blocked")).alias("valid"),
         F.when(by_rules, F.col("scan_scores")).otherwise(F.create_map().cast(SCORES)).alias("scan_scores"),
         F.when(~by_rules, F.col("blocked")).alias("blocked"),
-        F.when(by_rules, F.col("scan_error")).alias("error"),
-    )
+        F.when(by_rules, F.col("scan_error")).otherwise(F.when(F.col("use_prompt_injection_detection"), F.col("detection.error"))).alias("error"),
+    ]
+
+
+def scan_batch(requests: DataFrame, topics: Sequence[str] | dict[str, Sequence[str]] = (), *,
+               rewrite: Column | None = None, context_rewrite: Column | None = None) -> DataFrame:
+    """Answer valid scan requests: scanners or detect-and-rewrite, as the row's method says.
+
+    Every option is the request's own: switches, limits, the list of topics, the detector. Stateless
+    and free of shuffles, so it serves tables and streams alike. ``rewrite`` and ``context_rewrite``
+    are the replies of the rewriter; the rule-based one is the default. Replies of a provider, and
+    context from a collection, are the work of :func:`textshield.operators.requests.answer_requests`.
+    """
+    answered = _answered(requests, topics, rewrite, context_rewrite)
+    return answered.select(*_answer_columns(requests))
+
+
+def scan_all(requests: DataFrame, topics: Sequence[str] | dict[str, Sequence[str]] = (), **options) -> DataFrame:
+    """The same for all requests in one pass: those that are refused come back with their error and no answer."""
+    checked = validate_request(requests).withColumnRenamed("error", "_refused")
+    answers = scan_batch(checked, topics, **options)
+    refused = F.col("_refused").isNotNull()
+    answer = {c: F.when(~refused, F.col(c)) for c in ("sanitized_prompt", "valid", "scan_scores", "blocked")}
+    return answers.withColumns(answer | {"error": F.coalesce("_refused", "error")}).drop("_refused")
 
 
 def compare_methods(requests: DataFrame, *, key: str, topics: Sequence[str] = ()) -> DataFrame:
     """Each prompt through both methods, side by side in one row, so nothing has to be joined."""
-    return _answered(requests, topics, None, None).select(
+    return _answered(requests, topics, None, None, both=True).select(
         key,
         F.col("is_valid").alias("guard_valid"),
         F.col("scanned").alias("guard_prompt"),

@@ -15,6 +15,7 @@ from textshield.fixed_values import (
 )
 from textshield.functions.detection import classify2, classify3
 from textshield.functions.rules import (
+    BENIGN_LOGIT,
     HARMFUL,
     INJECTION,
     JAILBREAK,
@@ -25,6 +26,7 @@ from textshield.functions.rules import (
     topic_score,
     toxicity_score,
 )
+from textshield.functions.text import word_split
 from textshield.functions.vectors import let, softmax
 from textshield.operators import moderation as mod
 from textshield.operators.conversations import conversation_pairs, sanitize_conversations
@@ -39,7 +41,7 @@ from textshield.operators.scanning import (
     detect_injection,
     detect_with_scores,
     scan,
-    scan_batch,
+    scan_all,
     validate_request,
 )
 from textshield.plans import fragments as sql
@@ -194,7 +196,7 @@ _sanitize("block")
 _sanitize("sanitize")
 
 
-# Requests with options that vary by row, some of them out of range.
+# Requests with options that vary by row, some of them out of range. English ones ban words of their own.
 REQUEST = """q AS (SELECT *, CASE WHEN lang = 'en' THEN 'guard' WHEN lang = 'es' THEN 'other' ELSE 'rewrite' END AS method,
   n_chars / 5000.0::DOUBLE AS toxicity_threshold, CASE WHEN lang = 'de' THEN 'block' ELSE 'sanitize' END AS block_mode FROM {source})"""
 
@@ -210,28 +212,66 @@ def requests(t: Tables):
     })
 
 
-INVALID = "CASE WHEN source = 'src0' THEN 'prompt is missing' WHEN method = 'other' THEN 'method is unknown' WHEN toxicity_threshold > 1 THEN 'toxicity_threshold is out of range' END"
+INVALID = "CASE {prompt}WHEN method = 'other' THEN 'method is unknown' WHEN toxicity_threshold > 1 THEN 'toxicity_threshold is out of range' END"
+MISSING = "WHEN source = 'src0' THEN 'prompt is missing' "
 
 
-@query("validate_request", f"WITH {PROMPTS}, {REQUEST.format(source='d')} SELECT doc_id, {INVALID} AS error FROM q")
+@query("validate_request", f"WITH {PROMPTS}, {REQUEST.format(source='d')} SELECT doc_id, {INVALID.format(prompt=MISSING)} AS error FROM q")
 def validated(t: Tables):
     asked = requests(t).withColumn("prompt", F.when(F.col("source") != "src0", F.col("prompt")))
     return validate_request(asked).select("doc_id", "error")
 
 
-GUARDED = f"greatest(p1, p2) <= {INJECTION_LIMIT} AND toxicity <= least(toxicity_threshold, 1.0) AND (lang <> 'en' OR topic <= 0.5)"
+GUARDED = f"greatest(p1, p2) <= {INJECTION_LIMIT} AND toxicity <= toxicity_threshold AND (lang <> 'en' OR topic <= 0.5)"
 
 
 @query("scan_dispatch", f"""WITH {SCORED}, {ROUTED}, {REQUEST.format(source='m')},
-a AS (SELECT *, {_sanitized('block_mode')} AS answer FROM q WHERE method <> 'other')
-SELECT doc_id, method, CASE WHEN method = 'guard' THEN prompt ELSE answer END AS sanitized_prompt,
-  CASE WHEN method = 'guard' THEN {GUARDED} ELSE NOT (bad AND block_mode = 'block') END AS valid,
-  CASE WHEN method = 'rewrite' THEN bad AND block_mode = 'block' END AS blocked,
-  CASE WHEN method = 'guard' THEN round(toxicity, 6) + 0.0 END AS toxicity FROM a""")
+a AS (SELECT *, {_sanitized('block_mode')} AS answer, {INVALID.format(prompt='')} AS error FROM q)
+SELECT doc_id, method, CASE WHEN error IS NULL THEN CASE WHEN method = 'guard' THEN prompt ELSE answer END END AS sanitized_prompt,
+  CASE WHEN error IS NULL THEN CASE WHEN method = 'guard' THEN {GUARDED} ELSE NOT (bad AND block_mode = 'block') END END AS valid,
+  CASE WHEN method = 'rewrite' AND error IS NULL THEN bad AND block_mode = 'block' END AS blocked,
+  CASE WHEN method = 'guard' AND error IS NULL THEN round(toxicity, 6) + 0.0 END AS toxicity, error FROM a""")
 def scan_dispatch(t: Tables):
-    asked = requests(t).withColumn("toxicity_threshold", F.least("toxicity_threshold", F.lit(1.0))).where("method <> 'other'")
-    done = scan_batch(asked, TOPICS)
-    return done.select("doc_id", "method", "sanitized_prompt", "valid", "blocked", six(F.col("scan_scores")["Toxicity"]).alias("toxicity"))
+    """All requests, those that are refused with their error."""
+    done = scan_all(requests(t), TOPICS)
+    return done.select("doc_id", "method", "sanitized_prompt", "valid", "blocked", six(F.col("scan_scores")["Toxicity"]).alias("toxicity"), "error")
+
+
+# Every request bans the first two words of its text that are not its first, in its own case, and a
+# phrase of the two; every other one bans nothing. Detectors and limits vary by request as well.
+OWN_WORDS = f"list_filter({sql.words('prompt')}, lambda w: len(w) > 3)"
+OWN = f"""o AS (SELECT *, CASE WHEN doc_id % 2 = 0 AND len({OWN_WORDS}) > 2 THEN [upper(({OWN_WORDS})[2]), ({OWN_WORDS})[3] || ' ', ' ', 'no.such+topic'] END AS topics,
+  CASE WHEN doc_id % 4 < 2 THEN 'rewrite' ELSE 'guard' END AS method,
+  CASE doc_id % 3 WHEN 0 THEN 'llama-guard-2-86m' WHEN 1 THEN 'deberta-v3-v2' ELSE 'nosuch' END AS model, 0.1 + (doc_id % 80) / 100.0 AS share FROM s)"""
+
+
+def _mentions(topic: str) -> str:
+    return f"len(list_filter({sql.words('prompt')}, lambda w: w = lower(trim({topic}))))::DOUBLE"
+
+
+OWN_TOPIC = f"greatest({_mentions('topics[1]')}, {_mentions('topics[2]')})"
+
+
+@query("scan_topics", f"""WITH {SCORED}, {OWN},
+b AS (SELECT *, {OWN_TOPIC} / ({OWN_TOPIC} + 1.0) AS own, exp(wi - greatest({BENIGN_LOGIT}, wi)) / (exp({BENIGN_LOGIT} - greatest({BENIGN_LOGIT}, wi)) + exp(wi - greatest({BENIGN_LOGIT}, wi))) AS q1 FROM o),
+c AS (SELECT *, CASE WHEN model = 'deberta-v3-v2' THEN q1 > share ELSE greatest(p1, p2) > share END AS bad FROM b)
+SELECT doc_id, method, CASE WHEN model <> 'nosuch' THEN CASE WHEN method = 'guard' THEN greatest(p1, p2) <= {INJECTION_LIMIT} AND (topics IS NULL OR own <= share) ELSE NOT bad END END AS valid,
+  CASE WHEN model <> 'nosuch' AND method = 'guard' AND topics IS NOT NULL THEN round(own, 6) + 0.0 END AS topic,
+  CASE WHEN model = 'nosuch' THEN 'prompt_injection_model is unknown' END AS error FROM c""")
+def scan_topics(t: Tables):
+    """Topics, limits and detectors of each request's own."""
+    long = F.filter(word_split(F.col("prompt")), lambda w: F.length(w) > 3)
+    own = F.array(F.upper(F.get(long, F.lit(1))), F.concat(F.get(long, F.lit(2)), F.lit(" ")), F.lit(" "), F.lit("no.such+topic"))
+    asked = attacked(t).select("doc_id", "prompt").withColumns({
+        "method": F.when(F.col("doc_id") % 4 < 2, "rewrite").otherwise("guard"),
+        "enable_banned_topics": F.lit(True),
+        "banned_topics_list": F.when((F.col("doc_id") % 2 == 0) & (F.size(long) > 2), own),
+        "banned_topics_threshold": F.lit(0.1) + (F.col("doc_id") % 80) / 100.0,
+        "prompt_injection_model": F.when(F.col("doc_id") % 3 == 0, "llama-guard-2-86m").when(F.col("doc_id") % 3 == 1, "deberta-v3-v2").otherwise("nosuch"),
+        "prompt_injection_threshold": F.lit(0.1) + (F.col("doc_id") % 80) / 100.0,
+        "block_mode": F.lit("block"),
+    })
+    return scan_all(asked).select("doc_id", "method", "valid", six(F.col("scan_scores")["BanTopics"]).alias("topic"), "error")
 
 
 COMPARED = f"""{SCORED}, {ROUTED}, c AS (SELECT doc_id, greatest(p1, p2) <= {INJECTION_LIMIT} AS guard_valid, prompt AS guard_prompt,
