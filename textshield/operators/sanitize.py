@@ -40,26 +40,29 @@ def sanitize(df: DataFrame, *, text: str = "text", mode: str | Column = REWRITE_
 
 
 def sanitize_with_replies(df: DataFrame, reply: Callable[[DataFrame], DataFrame], *, key: str, text: str = "text",
-                          mode: str | Column = REWRITE_BLOCK_MODE, system_prompt: str = "",
+                          mode: str | Column = REWRITE_BLOCK_MODE, system_prompt: str | Column = "", temperature: Column | None = None,
                           enriched: str | None = None, detection: str | None = "detection") -> DataFrame:
     """The same with replies from a text generator.
 
-    ``reply`` takes ``item_id, system, user`` and returns ``item_id, reply``; it should return
+    ``reply`` takes ``item_id, system, user``, and ``temperature`` if one is given, and returns ``item_id, reply``; it should return
     stored rows (see ``operators.generation.stored_replies``), because its result is read twice.
     Blocked rows are never sent. Rows with an enriched prompt are sent with it and no system
-    prompt; only those left without a reply are sent again as plain rewrites.
+    prompt; only those left without a reply are sent again as plain rewrites. A blank system prompt
+    means the default one.
     """
     blocked = is_blocked(mode, detection) if detection else F.lit(False)
     open_rows = df.where(~blocked)
     item = F.col(key).alias("item_id")
+    warmth = [] if temperature is None else [temperature.alias("temperature")]
     context = None
     if enriched:
         asked = open_rows.where(F.col(enriched).isNotNull())
-        context = reply(asked.select(item, F.lit("").alias("system"), F.col(enriched).alias("user")))
+        context = reply(asked.select(item, F.lit("").alias("system"), F.col(enriched).alias("user"), *warmth))
         answered = context.where("reply <> ''").select(F.col("item_id").alias(key))
         open_rows = open_rows.join(answered, key, "left_anti")
-    system = F.lit(system_prompt or SANITIZER_SYSTEM_PROMPT)
-    default = reply(open_rows.select(item, system.alias("system"), F.col(text).alias("user")))
+    own = system_prompt if isinstance(system_prompt, Column) else F.lit(system_prompt)
+    system = F.when(own != "", own).otherwise(SANITIZER_SYSTEM_PROMPT)
+    default = reply(open_rows.select(item, system.alias("system"), F.col(text).alias("user"), *warmth))
     joined = df.join(default.select(F.col("item_id").alias(key), F.col("reply").alias("_default")), key, "left")
     if context is not None:
         joined = joined.join(context.select(F.col("item_id").alias(key), F.col("reply").alias("_context")), key, "left")

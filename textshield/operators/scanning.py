@@ -167,9 +167,10 @@ def request_scanners(topics: Sequence[str] | dict[str, Sequence[str]] = (), *, t
     ]
 
 
-def _detected(requests: DataFrame, asked: Column) -> DataFrame:
+def detect_requests(requests: DataFrame, asked: Column | bool = True) -> DataFrame:
     """Add ``detection`` by each request's own detector and threshold, for requests that want one."""
-    logits = F.when(asked & F.col("use_prompt_injection_detection"), rule_logits(F.col("rule_flags")))
+    wanted = F.col("use_prompt_injection_detection") & asked
+    logits = F.when(wanted, rule_logits(F.col("rule_flags")))
     details = detection_details(logits, F.col("prompt_injection_model"), F.col("prompt_injection_threshold"))
     return requests.withColumn("detection", details)
 
@@ -183,7 +184,7 @@ def _answered(requests: DataFrame, topics, rewrite: Column | None, context_rewri
     scanned = scan(full, scanners, text="prompt").withColumnRenamed("sanitized", "scanned")
     plain = mask(F.col("prompt"), flags=F.col("rule_flags")) if rewrite is None else rewrite
     return sanitize(
-        _detected(scanned, written), text="prompt", mode=F.col("block_mode"), rewrite=F.when(written, plain),
+        detect_requests(scanned, written), text="prompt", mode=F.col("block_mode"), rewrite=F.when(written, plain),
         context_rewrite=F.when(written & F.col("use_rag"), context_rewrite) if context_rewrite is not None else None,
     )
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from textshield.fixed_values import (
     BLOCKED_PREFIX,
     DEFAULT_DETECTOR,
+    ENRICH_K,
+    ENRICHED_PROMPT,
     FILTER_KEYWORDS,
     MODERATION_FAILED,
     NO_DETECTOR,
@@ -30,7 +32,9 @@ from textshield.functions.text import word_split
 from textshield.functions.vectors import let, softmax
 from textshield.operators import moderation as mod
 from textshield.operators.conversations import conversation_pairs, sanitize_conversations
+from textshield.operators.embedding import hash_embed
 from textshield.operators.generation import generate, resolve_replies
+from textshield.operators.requests import answer_requests
 from textshield.operators.sanitize import sanitize
 from textshield.operators.scanning import (
     INJECTION_LIMIT,
@@ -426,3 +430,28 @@ SELECT conv_id, turn, message, sanitized, message <> sanitized AS changed, CASE
 def chat(t: Tables):
     done = sanitize_conversations(t.conversations, F.replace(F.col("message"), F.lit("the"), F.lit("a")), keywords=CHAT_KEYWORDS)
     return done.withColumn("keywords", F.array_join("keywords", "|"))
+
+
+# User turns as requests that ask for a rewrite; every other conversation wants context, every fifth attacks.
+ASKED = f"""p AS (SELECT conv_id || ':' || turn AS prompt_id, CASE WHEN conv_id % 5 = 0 THEN '{ROLE}' ELSE '' END || text AS prompt,
+  conv_id % 5 = 0 AS bad, conv_id % 2 = 0 AS use_rag, CASE WHEN conv_id % 3 = 0 THEN 'block' ELSE 'sanitize' END AS block_mode FROM conversations WHERE role = 'user')"""
+
+
+@query("rewrite_with_context", f"""WITH {ASKED}, {sql.hashed('p', 'prompt_id', 'prompt', 'qv')}, {sql.hashed('documents', 'doc_id', 'text', 'dv')},
+h AS ({sql.ranked('cosine', ENRICH_K, 'qv', 'dv')}),
+x AS (SELECT query_id, string_agg(d.text, E'\\n\\n' ORDER BY rank) AS docs FROM h JOIN documents d ON d.doc_id = h.chunk_id GROUP BY 1),
+e AS (SELECT p.*, {sql.text(ENRICHED_PROMPT[0])} || docs || {sql.text(ENRICHED_PROMPT[1])} || prompt || {sql.text(ENRICHED_PROMPT[2])} AS enriched
+  FROM p LEFT JOIN x ON x.query_id = p.prompt_id),
+m AS (SELECT *, {sql.masked('enriched')} AS with_context, {sql.masked('prompt')} AS plain FROM e)
+SELECT prompt_id, NOT (bad AND block_mode = 'block') AS valid, CASE WHEN bad AND block_mode = 'block' THEN 'blocked' WHEN use_rag AND docs IS NOT NULL THEN 'context' WHEN plain <> '' THEN 'default' ELSE 'original' END AS route,
+  CASE WHEN bad AND block_mode = 'block' THEN '{BLOCKED_PREFIX} JAILBREAK detected]' WHEN use_rag AND docs IS NOT NULL THEN with_context WHEN plain <> '' THEN plain ELSE prompt END AS sanitized_prompt
+FROM m LEFT JOIN (SELECT query_id, docs FROM x) y ON y.query_id = prompt_id""")
+def rewrite_with_context(t: Tables):
+    conv = F.col("conv_id")
+    asked = t.conversations.where("role = 'user'").select(
+        F.concat_ws(":", conv.cast("string"), F.col("turn").cast("string")).alias("prompt_id"),
+        F.concat(F.when(conv % 5 == 0, ROLE).otherwise(""), F.col("text")).alias("prompt"), F.lit("rewrite").alias("method"), (conv % 2 == 0).alias("use_rag"),
+        F.when(conv % 3 == 0, "block").otherwise("sanitize").alias("block_mode"))
+    chunks = hash_embed(t.documents.select("doc_id", "text"))
+    done = answer_requests(asked, key="prompt_id", chunks=chunks, chunk_id="doc_id", metric="cosine", retrieval={"texts": t.documents}, pause=0.0)
+    return done.select("prompt_id", "valid", "route", "sanitized_prompt")

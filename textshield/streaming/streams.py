@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textshield.operators.generation import Provider, masking_provider
+from textshield.operators.requests import answer_requests
 from textshield.operators.scanning import CORRUPT, scan_batch, split_requests
 from textshield.plans.corpus import HASH_MODEL, collection_chunks
 from textshield.schemas import REQUESTS
@@ -32,6 +34,24 @@ def scan_stream(requests: DataFrame, out: str, checkpoint: str, topics=(), **opt
     return write(scan_batch(valid, topics, **options), "answers"), write(invalid, "rejected")
 
 
+def answer_stream(requests: DataFrame, out: str, checkpoint: str, provider: Provider = masking_provider, **options):
+    """Answer a stream of requests with replies of a provider and context from a collection.
+
+    Each batch looks up its requests in the chunks as they are then (``chunks`` of
+    :func:`answer_requests`), keeps its context and attempts in the checkpoint folder and writes its
+    own folder of answers. A batch that is repeated after a failure uses what it kept and writes the
+    same folder again, so a request is sent once and answered once.
+    """
+
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        valid, invalid = split_requests(batch)
+        answers = answer_requests(valid, provider, folder=f"{checkpoint}/work/{batch_id:08d}", **options)
+        answers.write.mode("overwrite").parquet(f"{out}/answers/batch={batch_id}")
+        invalid.write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+
+    return requests.writeStream.foreachBatch(answer).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
+
+
 def xml_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     reader = (
         spark.readStream.format("binaryFile")
