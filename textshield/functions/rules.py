@@ -137,7 +137,7 @@ def own_topic_score(text: Column, topics: Column) -> Column:
     def mentions(lowered: Column, topic: Column) -> Column:
         literal = F.replace(topic, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
         bounded = F.concat(F.lit(rf"(?<!{_LETTER})\Q"), literal, F.lit(rf"\E(?!{_LETTER})"))
-        return F.when(F.contains(lowered, topic), F.regexp_count(lowered, bounded)).otherwise(0)
+        return F.when(~F.contains(lowered, topic), 0).otherwise(F.regexp_count(lowered, bounded))
 
     wanted = F.filter(F.transform(topics, lambda t: F.lower(F.trim(t))), lambda t: t != "")
     most = let(F.lower(text), lambda lowered: F.array_max(F.transform(wanted, lambda t: mentions(lowered, t)))).cast("double")
