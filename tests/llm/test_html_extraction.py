@@ -82,7 +82,7 @@ def test_templates_go_and_copies_stay(spark, pages):
     got = sorted(map(tuple, extract_main_text(frame).collect()))
     assert [(r[0], r[4]) for r in got] == [(i, t) for i, t in enumerate(want)]
     assert all(r[5] == len(r[4]) and r[3] == 7 for r in got)
-    assert recurring(frame).count() == 4
+    assert recurring(frame).count() == 6
     # the same by a join, as if there were too many hashes to send to every task
     assert sorted(map(tuple, extract_main_text(frame, broadcast=2).collect())) == got
 

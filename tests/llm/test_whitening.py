@@ -23,7 +23,7 @@ def check(rows, x, components=8):
     centred = (n * x - sums) / n
     covariance = centred.T @ centred / n
     values = np.linalg.eigvalsh(covariance)[::-1]
-    k = min(components, int((values > 1e-9 * values[0]).sum()))
+    k = min(components, int((values > 1e-13 * values[0]).sum()))
     assert len(rows) == n * k
     white = np.array([r["whitened"] for r in rows]).reshape(n, k)
     deviation = ((n * x - sums).astype(object) ** 2).sum(1)

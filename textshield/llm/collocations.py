@@ -30,7 +30,9 @@ LONGEST, SUPPORT, TOP = 5, 100, 2_000
 SIFTED = (2, 3)
 BITS = 26
 BLOCK_BITS = 16
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
+#: Names and word counts of languages that are broadcast.
+TOTAL_BYTES = 8 << 20
 NO_LANGUAGE = "und"
 PAD = ""
 
@@ -56,7 +58,7 @@ class Words:
 
     def buckets(self, first: np.ndarray, size: int) -> np.ndarray:
         """The buckets of the runs of ``size`` words from the given ones on."""
-        names = [x.encode() for x in self.languages.dictionary.to_pylist()]
+        names = [b":" + x.encode() for x in self.languages.dictionary.to_pylist()]
         edges = np.concatenate([[0], np.cumsum([len(x) for x in names])]).astype(np.int64)
         keys = word_hashes(np.frombuffer(b"".join(names), np.uint8), edges[:-1], edges[1:])[self.language[first]]
         for k in range(size):
@@ -186,6 +188,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     counts = write_once(phrase_counts(docs, text, lang, longest, support), "phrases")
     known = counts.filter("size > 0").select("lang", "size", F.array_join("words", " ").alias("phrase"), "words", "f")
     total = counts.filter("size = 0").select("lang", F.col("f").alias("n"))
+    # one row a language, so a frequent language need not meet its total in one task
+    size = total.agg(F.sum(F.octet_length("lang") + 16)).first()[0] or 0
+    total = F.broadcast(total) if size <= TOTAL_BYTES else total
     part = lambda name, f: known.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     candidates = known.filter("size > 1")
     cut = lambda low, n: F.array_join(F.slice("words", low, n), " ")
