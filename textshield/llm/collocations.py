@@ -30,7 +30,7 @@ LONGEST, SUPPORT, TOP = 5, 100, 2_000
 SIFTED = (2, 3)
 BITS = 26
 BLOCK_BITS = 16
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 #: Names and word counts of languages that are broadcast.
 TOTAL_BYTES = 8 << 20
 NO_LANGUAGE = "und"
@@ -49,9 +49,9 @@ class Words:
         self.data = LOWER[data]
         self.starts, self.ends = word_spans(self.data, offsets, SOLID)
         self.text = np.searchsorted(offsets, self.starts, "right") - 1
-        breaks = np.concatenate([[0], np.cumsum(BREAK[self.data])])
+        breaks = np.flatnonzero(BREAK[self.data])
         self.followed = np.zeros(len(self.starts), bool)
-        self.followed[:-1] = (self.text[1:] == self.text[:-1]) & (breaks[self.starts[1:]] == breaks[self.ends[:-1]])
+        self.followed[:-1] = (self.text[1:] == self.text[:-1]) & (np.searchsorted(breaks, self.starts[1:]) == np.searchsorted(breaks, self.ends[:-1]))
         self.languages = batch.column(1).dictionary_encode()
         self.language = self.languages.indices.to_numpy()[self.text]
         self.hashes = word_hashes(self.data, self.starts, self.ends)
@@ -93,6 +93,8 @@ def _run_counts(load, size: int):
         for batch in batches(stream, "text", TEXT_BYTES):
             words = Words(batch)
             found, n = np.unique(words.buckets(np.flatnonzero(words.sifted(maps)[-1]), size), return_counts=True)
+            # nothing of this batch is held while the next one is read
+            del words, batch
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n, pa.int64())], ["bucket", "n"])
 
     return counts
@@ -147,7 +149,9 @@ def _windows(load, longest: int):
             language = np.concatenate([single // len(kinds), words.language[head]])
             taken = [pc.take(kinds, pa.array(c)).cast(pa.string()) for c in columns]
             total = np.concatenate([n, np.ones(len(head), np.int64)])
-            yield pa.RecordBatch.from_arrays([words.languages.dictionary.take(pa.array(language)), *taken, pa.array(total, pa.int64())], names)
+            out = pa.RecordBatch.from_arrays([words.languages.dictionary.take(pa.array(language)), *taken, pa.array(total, pa.int64())], names)
+            del words, strings, kinds, taken, columns, on, last, pairs, runs, batch
+            yield out
 
     return windows
 
