@@ -50,14 +50,15 @@ def test_matches_brute_force_on_every_path(spark, metric):
     for partitions in (1, 4, 37):
         found = rt.topk(queries, chunks.repartition(partitions), 4, metric.upper(), query_id="id", chunk_id="id")
         assert ranked(found) == want
-    blocks = rt.topk(queries, chunks, 4, metric, query_id="id", chunk_id="id", query_bytes=0, block_rows=5)
-    assert ranked(blocks) == want
+    for query_bytes in (100, 300, 600):
+        blocks = rt.topk(queries, chunks.repartition(5), 4, metric, query_id="id", chunk_id="id", query_bytes=query_bytes)
+        assert ranked(blocks) == want
 
 
 def test_self_is_excluded_and_ids_may_be_strings(spark):
     c = [(f"c{i:03d}", v) for i, v in small_vectors(60)]
     df = frame(spark, c, kind="string")
-    for options in ({}, {"query_bytes": 0, "block_rows": 7}):
+    for options in ({}, {"query_bytes": 900}):
         found = rt.topk(df, df, 3, "l2", query_id="id", chunk_id="id", exclude_self=True, **options)
         assert ranked(found) == brute(c, c, 3, "l2", exclude_self=True)
 
@@ -109,17 +110,88 @@ def test_edges(spark):
         rt.topk(c, mixed, 1, query_id="id", chunk_id="id").collect()
 
 
-def test_approximate_recall_and_blocks(spark):
-    centres = rng.normal(size=(12, 24))
-    c = [(i, (centres[i % 12] + 0.15 * rng.normal(size=24)).astype(np.float32).astype(float)) for i in range(600)]
-    df = frame(spark, c)
-    ask = dict(query_id="id", chunk_id="id", exclude_self=True)
-    exact = ranked(rt.topk(df, df, 5, "cosine", **ask))
-    whole = rt.approx_topk(df, df, 5, "cosine", tables=10, bits=4, **ask)
-    cut = rt.approx_topk(df, df, 5, "cosine", tables=10, bits=4, block_rows=13, **ask)
-    assert ranked(whole) == ranked(cut)
-    pairs = lambda hits: {(q, c) for q, _, c in hits}
-    assert len(pairs(ranked(whole)) & pairs(exact)) / len(exact) > 0.9
+def test_blocks_of_queries_pass_over_chunks_that_stay(spark):
+    """Chunks are scanned once a block, and the plan has no copy of them for each block."""
+    c = frame(spark, small_vectors(50)).repartition(4)
+    assert rt.query_size(c.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))) == (50, 50 * (6 * 8 + 8))
+    text = c.selectExpr("repeat('x', 10) AS query_id", "embedding AS vector")
+    assert rt.query_size(text) == (50, 50 * (6 * 8 + 40))
+    hits = rt.topk(c, c, 2, query_id="id", chunk_id="id", query_bytes=700)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FlatMapCoGroups" not in plan and hits.count() == 100
+
+
+def test_levels_pass_on_k_hits(spark):
+    """Hits of many tasks are merged in groups first; every level ranks before it shuffles."""
+    hits = spark.createDataFrame([(q, c, float((7 * c) % 50)) for q in range(3) for c in range(50)], "query_id long, chunk_id long, distance double").repartition(20)
+    found = rt._ranked(hits, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4 and plan.count("Exchange hashpartitioning(query_id") == 2
+    want = sorted((float((7 * c) % 50), c) for c in range(50))[:4]
+    assert ranked(found) == {(q, r + 1, c) for q in range(3) for r, (_, c) in enumerate(want)}
+
+
+def pairs(hits):
+    return {(q, c) for q, _, c in ranked(hits)}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_recall_of_an_index_on_clusters(spark, metric):
+    centres = rng.normal(size=(60, 24)) + (5.0 if metric == "l2" else 0.0)
+    c = [(i, (centres[i % 60] + 0.15 * rng.normal(size=24)).astype(np.float32).astype(float)) for i in range(3000)]
+    df, ask = frame(spark, c), dict(query_id="id", exclude_self=True)
+    exact = pairs(rt.topk(df, df, 5, metric, chunk_id="id", **ask))
+    index = rt.build_index(df, metric, chunk_id="id", bucket_rows=30)
+    assert index.planes.bits == 7 and index.probes < 64
+    found = pairs(rt.search_index(df, index, 5, **ask))
+    assert len(found & exact) / len(exact) >= 0.9
+
+
+def test_recall_of_an_index_on_the_given_vectors(spark):
+    """These are hardly clustered, so many buckets are probed, but recall holds."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ask = dict(query_id="vec_id", chunk_id="vec_id", exclude_self=True)
+    exact = pairs(rt.topk(v, v, 5, "cosine", **ask))
+    found = pairs(rt.approx_topk(v, v, 5, "cosine", bucket_rows=32, **ask))
+    assert len(exact) == 10_000 and len(found & exact) / len(exact) >= 0.9
+
+
+def test_all_probes_are_exact(spark):
+    c = small_vectors(200)
+    df, ask = frame(spark, c).repartition(3), dict(query_id="id", exclude_self=True)
+    index = rt.build_index(df, "cosine", chunk_id="id", bucket_rows=10, probes=1.0)
+    assert index.probes == 1 << index.planes.bits == 32
+    assert ranked(rt.search_index(df, index, 3, **ask)) == brute(c, c, 3, "cosine", exclude_self=True)
+
+
+def test_stored_index(spark, tmp_path):
+    """Buckets that no query probes are not read, and a bucket with half of all chunks is in several files."""
+    same = np.array([1.0, 2.0, 3.0, -1.0])
+    c = [(f"c{i:04d}", same if i % 2 else rng.normal(size=4).astype(np.float32).astype(float)) for i in range(2000)]
+    df = frame(spark, c, kind="string")
+    built = rt.build_index(df, "cosine", chunk_id="id", bucket_rows=100, probes=2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that the small table has several files
+    stored = rt.write_index(built, str(tmp_path / "index"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert stored.probes == 2 and stored.metric == "cosine" and (stored.planes.normals == built.planes.normals).all()
+    sizes = {r.bucket: (r.n, r.files) for r in stored.rows.select("bucket", F.col("_metadata.file_name").alias("f")).groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("f").alias("files")).collect()}
+    assert sum(n for n, _ in sizes.values()) == 2000 and max(sizes.values())[0] >= 1000 and max(sizes.values())[1] > 1
+    q = frame(spark, [("q", same)], kind="string")
+    for index in (built, stored, rt.read_index(spark, str(tmp_path / "index"))):
+        assert ranked(rt.search_index(q, index, 3, query_id="id")) == {("q", r + 1, f"c{2 * r + 1:04d}") for r in range(3)}
+    assert len(rt._probed(q.select(F.col("embedding").alias("vector")), stored.planes, 2)) == 2
+
+
+def test_index_edges(spark):
+    c = frame(spark, small_vectors(3))
+    none = c.where("id < 0")
+    assert rt.approx_topk(c, none, 2, query_id="id", chunk_id="id").count() == 0
+    assert rt.approx_topk(none, c, 2, query_id="id", chunk_id="id").count() == 0
+    odd = c.union(spark.createDataFrame([(8, None), (9, [float("nan")] * 6)], c.schema))
+    assert rt.approx_topk(c, odd, 9, query_id="id", chunk_id="id").count() == 9
+    assert [rt.index_bits(n) for n in (0, 1, 256, 257, 10_000, 10**9)] == [0, 0, 0, 1, 6, 10]
+    with pytest.raises(ValueError, match="cosine or l2"):
+        rt.build_index(c, "ip", chunk_id="id")
 
 
 def test_context_and_enrich(spark):

@@ -63,13 +63,19 @@ class Nearest:
             ids, rows = ids[finite], rows[finite]
             if len(ids) == 0:
                 return
-        square = (rows * rows).sum(axis=1)
+        self._measure(ids, rows, (rows * rows).sum(axis=1))
+
+    def _measure(self, ids, rows, square) -> None:
+        self._near(np.arange(len(self.queries)), ids, rows, square)
+
+    def _near(self, chosen, ids, rows, square) -> None:
+        """Measure rows against the chosen queries, some of them at a time."""
         tile = max(1, TILE // len(ids))
         found, waiting, lo, collapsed = [], 0, 0, False
-        while lo < len(self.queries):
-            hi = min(lo + tile, len(self.queries))
-            q, r = self._candidates(lo, hi, ids, rows, square)
-            if not collapsed and len(q) > 16 * self.k * (hi - lo):
+        while lo < len(chosen):
+            some = chosen[lo : lo + tile]
+            q, r = self._candidates(some, ids, rows, square)
+            if not collapsed and len(q) > 16 * self.k * len(some):
                 self._merge(found, ids, rows)
                 found, waiting, collapsed = [], 0, True
                 ids, rows, square = self._without_surplus_copies(ids, rows, square)
@@ -79,7 +85,7 @@ class Nearest:
             if waiting > TILE:
                 self._merge(found, ids, rows)
                 found, waiting = [], 0
-            lo = hi
+            lo += tile
         self._merge(found, ids, rows)
 
     def _without_surplus_copies(self, ids, rows, square):
@@ -93,9 +99,9 @@ class Nearest:
         kept = np.sort(by_id[place < keep])
         return ids[kept], rows[kept], square[kept]
 
-    def _candidates(self, lo, hi, ids, rows, r_sq):
-        dim = rows.shape[1]
-        queries, q_sq = self.queries[lo:hi], self.square[lo:hi]
+    def _candidates(self, chosen, ids, rows, r_sq):
+        dim, n = rows.shape[1], len(chosen)
+        queries, q_sq = self.queries[chosen], self.square[chosen]
         product = queries @ rows.T
         if self.metric == "l2":
             near = q_sq[:, None] + r_sq[None, :] - 2.0 * product
@@ -106,20 +112,22 @@ class Nearest:
         else:
             length = np.sqrt(q_sq)[:, None] * np.sqrt(r_sq)[None, :]
             near = 1.0 - np.divide(product, length, out=np.zeros_like(product), where=length > 0)
-            slack = np.full(hi - lo, 16 * (dim + 8) * EPS)
+            slack = np.full(n, 16 * (dim + 8) * EPS)
         if self.exclude_self:
             names = self.query_ids[self.order]
             at = np.minimum(np.searchsorted(names, ids), len(names) - 1)
-            mine = self.order[at]
-            hit = (names[at] == ids) & (mine >= lo) & (mine < hi)
-            near[mine[hit] - lo, np.flatnonzero(hit)] = np.inf
-        limit = self.cut[lo:hi]
+            mine = np.full(len(self.queries), -1)
+            mine[chosen] = np.arange(n)
+            mine = mine[self.order[at]]
+            hit = (names[at] == ids) & (mine >= 0)
+            near[mine[hit], np.flatnonzero(hit)] = np.inf
+        limit = self.cut[chosen]
         close = near <= (limit + slack)[:, None]
-        if near.shape[1] > self.k and np.count_nonzero(close) > 2 * self.k * (hi - lo):
+        if near.shape[1] > self.k and np.count_nonzero(close) > 2 * self.k * n:
             limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
             close = near <= (limit + slack)[:, None]
         q, r = np.nonzero(close & np.isfinite(near))
-        return q + lo, r
+        return chosen[q], r
 
     def _exact(self, q, r, rows):
         out = np.empty(len(q))
@@ -160,3 +168,66 @@ class Nearest:
         columns = [self.query_ids[self.q], self.ids, self.d]
         arrays = [pa.array(c.tolist() if c.dtype.kind == "U" else c, type=f.type) for c, f in zip(columns, schema)]
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+class ProbedNearest(Nearest):
+    """The same among the rows in the buckets that each query probes."""
+
+    def __init__(self, query_ids, queries, k: int, metric: str, exclude_self: bool, planes: Planes, probes: int):
+        super().__init__(query_ids, queries, k, metric, exclude_self)
+        self.planes = planes
+        self.side = planes.margins(queries)
+        self.reach = planes.reach(self.side, probes)
+
+    def _measure(self, ids, rows, square) -> None:
+        bucket = self.planes.buckets(rows)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+        for first, last in zip(edges[:-1], edges[1:]):
+            part = order[first:last]
+            chosen = np.flatnonzero(self.planes.cost(self.side, bucket[part[0]]) <= self.reach)
+            if len(chosen):
+                self._near(chosen, ids[part], rows[part], square[part])
+
+
+class Planes:
+    """Planes that cut the space into buckets, and the order in which a query probes them.
+
+    Bit ``b`` of a bucket tells on which side of plane ``b`` a vector lies. A bucket costs a query the
+    squares of its distances to the planes that part the two, so its own bucket costs nothing.
+    """
+
+    def __init__(self, normals: np.ndarray, offsets: np.ndarray):
+        self.normals, self.offsets = normals, offsets
+
+    @property
+    def bits(self) -> int:
+        return len(self.normals)
+
+    def margins(self, rows: np.ndarray) -> np.ndarray:
+        # summed from left to right, so that the side of a plane does not depend on the batch
+        out = np.zeros((len(rows), self.bits))
+        for i in range(rows.shape[1] if self.bits else 0):
+            out += rows[:, i : i + 1] * self.normals[:, i]
+        return out - self.offsets
+
+    def buckets(self, rows: np.ndarray) -> np.ndarray:
+        return (self.margins(rows) > 0) @ (1 << np.arange(self.bits, dtype=np.int64))
+
+    def cost(self, margins: np.ndarray, bucket: int) -> np.ndarray:
+        other = (margins > 0) != ((int(bucket) >> np.arange(self.bits)) & 1).astype(bool)
+        total = np.zeros(len(margins))
+        for b in range(self.bits):
+            total += np.where(other[:, b], margins[:, b] * margins[:, b], 0.0)
+        return total
+
+    def costs(self, margins: np.ndarray) -> np.ndarray:
+        """What every bucket costs every query."""
+        return np.stack([self.cost(margins, bucket) for bucket in range(1 << self.bits)], axis=1)
+
+    def reach(self, margins: np.ndarray, probes: int) -> np.ndarray:
+        """The cost of the last bucket that each query probes; buckets of equal cost are all probed."""
+        out, step = np.empty(len(margins)), max(1, TILE >> self.bits)
+        for i in range(0, len(margins), step):
+            out[i : i + step] = np.partition(self.costs(margins[i : i + step]), probes - 1, axis=1)[:, probes - 1]
+        return out

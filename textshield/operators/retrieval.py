@@ -4,28 +4,33 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textshield.fixed_values import ENRICH_K
 from textshield.functions.prompts import context_entry, enriched_prompt
 from textshield.functions.vectors import metric_name
-from textshield.operators.nearest import Nearest, ids_of, vectors_of
+from textshield.operators.nearest import Nearest, Planes, ProbedNearest, ids_of, vectors_of
+from textshield.schemas import INDEX_SETTINGS
+from textshield.session import shared_dir, write_once
 
 QUERY_BYTES = 64 << 20  # largest query matrix sent to every task
-BLOCK_BYTES = 64 << 20  # vectors of either side in one block of a larger search
-BATCH_ROWS = 8192  # chunks of a block measured at once
 HIT_ROWS = 500_000  # largest hit list joined by broadcast
+TASK_GROUPS = 1024  # groups of tasks whose hits are merged before those of all tasks
+BUCKET_ROWS = 256  # chunks that a bucket of an index should have
+MOST_BITS = 10
+SAMPLE_ROWS, SAMPLE_QUERIES = 4_000, 200  # chunks and queries that the number of probes is measured on
+RECALL = 0.92
 
 
-def _sides(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str, vector: str):
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector"))
-    c = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("vector"))
-    return q.where("vector is not null"), c.where("vector is not null")
+def _side(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    return df.select(F.col(key).alias(name), F.col(vector).alias("vector")).where("vector is not null")
 
 
 def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
@@ -42,33 +47,31 @@ def _hit_schema(q: DataFrame, c: DataFrame) -> tuple[str, pa.Schema]:
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
-    """Rank the few hits each task kept; a partial limit runs before the shuffle."""
-    by_query = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return (
-        hits.withColumn("rank", F.row_number().over(by_query))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "chunk_id", "distance")
-    )
+    """The k best hits of each query: of each task, of each group of tasks, and of all.
 
-
-def query_size(queries: DataFrame, vector: str) -> tuple[int, int]:
-    """Number of query vectors and the bytes of their matrix."""
-    seen = queries.agg(F.count("*"), F.max(F.size(vector))).first()
-    return seen[0], seen[0] * (seen[1] or 0) * 8
+    Each level passes on k rows of a query at most, and a partial limit runs before each shuffle, so
+    the hits of a query never meet in one task, however many tasks have searched.
+    """
+    best = lambda *keys: F.row_number().over(Window.partitionBy("query_id", *keys).orderBy("distance", "chunk_id"))
+    grouped = hits.withColumn("tasks", F.spark_partition_id() % TASK_GROUPS)
+    merged = grouped.withColumn("rank", best("tasks")).where(F.col("rank") <= k)
+    return merged.withColumn("rank", best()).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "distance")
 
 
-def _rows_of(size: int, dim: int) -> int:
-    return max(1, size // (8 * max(dim, 1)))
+def query_size(queries: DataFrame) -> tuple[int, int]:
+    """Number of queries and the bytes of their matrix and ids, as tasks hold them."""
+    text = queries.schema["query_id"].dataType.typeName() == "string"
+    width = F.max(F.length("query_id")) * 4 if text else F.lit(8)
+    seen = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim"), width.alias("width")).first()
+    return seen["n"], seen["n"] * ((seen["dim"] or 0) * 8 + (seen["width"] or 0))
 
 
-def _scan(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
-    """One pass over the chunks with the whole, size-checked query matrix in every task."""
-    ddl, arrow = _hit_schema(q, c)
-    table = q.toArrow()
-    shared = q.sparkSession.sparkContext.broadcast((ids_of(table["query_id"]), vectors_of(table["vector"])))
+def _scan(table: pa.Table, c: DataFrame, ddl: str, arrow: pa.Schema, make) -> DataFrame:
+    """One pass over the chunks with a query matrix of checked size in every task."""
+    shared = c.sparkSession.sparkContext.broadcast((ids_of(table["query_id"]), vectors_of(table["vector"])))
 
     def search(batches):
-        nearest = Nearest(*shared.value, k, metric, exclude_self)
+        nearest = make(*shared.value)
         for batch in batches:
             nearest.add(ids_of(batch.column("chunk_id")), vectors_of(batch.column("vector")))
         yield nearest.table(arrow)
@@ -76,147 +79,180 @@ def _scan(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool) -
     return c.mapInArrow(search, ddl)
 
 
-def _blocks(q: DataFrame, c: DataFrame, keys: list[str], k: int, metric: str, exclude_self: bool) -> DataFrame:
-    """Search every pair of a query block and a chunk block; both are bounded in size."""
+def _search(q: DataFrame, c: DataFrame, k: int, query_bytes: int, make) -> tuple[DataFrame, int]:
+    """Ranked hits and the number of queries. ``make`` gives the running result of a task for ids and vectors."""
+    q = write_once(q, "queries")
     ddl, arrow = _hit_schema(q, c)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return arrow.empty_table()
-        nearest = Nearest(ids_of(left["query_id"]), vectors_of(left["vector"]), k, metric, exclude_self)
-        for batch in right.combine_chunks().to_batches(max_chunksize=BATCH_ROWS):
-            nearest.add(ids_of(batch["chunk_id"]), vectors_of(batch["vector"]))
-        return pa.Table.from_batches([nearest.table(arrow)])
-
-    own = lambda df, key: df.select(*[F.col(name).alias(name) for name in (*keys, key, "vector")])
-    left_groups, right_groups = own(q, "query_id").groupBy(*keys), own(c, "chunk_id").groupBy(*keys)
-    return left_groups.cogroup(right_groups).applyInArrow(search, ddl)
-
-
-def _spread(df: DataFrame, key: str, own: str, own_n: Column, other: str, other_n: Column) -> DataFrame:
-    """Give each row its own block by id and a copy for every block of the other side."""
-    block = F.pmod(F.xxhash64(F.col(key)), own_n).cast("int")
-    return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), other_n.cast("int") - 1)))
-
-
-def _search(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int,
-    metric: str | None,
-    *,
-    query_id: str = "query_id",
-    chunk_id: str = "chunk_id",
-    vector: str = "embedding",
-    exclude_self: bool = False,
-    query_bytes: int = QUERY_BYTES,
-    block_rows: int | None = None,
-) -> tuple[DataFrame, int]:
-    """Ranked hits and the number of queries."""
+    n, size = query_size(q)
+    n_blocks = math.ceil(size / query_bytes) if query_bytes and size > query_bytes else 1
+    if n_blocks == 1:
+        return _ranked(_scan(q.toArrow(), c, ddl, arrow, make), k), n
+    # chunks stay where they are; each block of queries passes over them, and its hits are final
+    spark, folder = q.sparkSession, f"{shared_dir(q.sparkSession)}/hits-{uuid.uuid4().hex}"
+    blocks = f"{folder}/queries"
+    q.repartition(n_blocks).withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(blocks)
+    c, blocks = write_once(c, "vectors"), spark.read.parquet(blocks)
+    for block in range(n_blocks):
+        part = blocks.where(F.col("block") == block).select("query_id", "vector")
+        hits = _ranked(_scan(part.toArrow(), c, ddl, arrow, make), k)
+        hits.write.mode("overwrite").parquet(f"{folder}/hits/block={block}")
+    return spark.read.schema(hits.schema).parquet(f"{folder}/hits").select(*hits.columns), n
+
+
+def _searched(queries: DataFrame, chunks: DataFrame, k: int, metric: str | None, *, query_id: str = "query_id", chunk_id: str = "chunk_id",
+              vector: str = "embedding", exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> tuple[DataFrame, int]:
     name = metric_name(metric)
-    q, c = _sides(queries, chunks, query_id, chunk_id, vector)
-    n, size = query_size(q, "vector")
-    if size <= query_bytes:
-        hits = _scan(q, c, k, name, exclude_self)
-    else:
-        block_rows = block_rows or _rows_of(BLOCK_BYTES, size // n // 8)
-        cores = q.sparkSession.sparkContext.defaultParallelism
-        n_blocks = math.ceil(n / block_rows)
-        q_blocks = F.lit(n_blocks)
-        c_blocks = F.lit(max(math.ceil(c.count() / block_rows), math.ceil(cores / n_blocks)))
-        left = _spread(q, "query_id", "q_block", q_blocks, "c_block", c_blocks)
-        right = _spread(c, "chunk_id", "c_block", c_blocks, "q_block", q_blocks)
-        hits = _blocks(left, right, ["q_block", "c_block"], k, name, exclude_self)
-    return _ranked(hits, k), n
+    make = lambda ids, vectors: Nearest(ids, vectors, k, name, exclude_self)
+    return _search(_side(queries, query_id, vector, "query_id"), _side(chunks, chunk_id, vector, "chunk_id"), k, query_bytes, make)
 
 
 def topk(queries: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: str | None = None, *,
          relevance: Callable[[Column], Column] | None = None, **options) -> DataFrame:
     """The k nearest chunks of every query: ``query_id, rank, chunk_id, distance``.
 
-    The query matrix is measured first. Up to ``query_bytes`` it goes to every task of one scan
-    over the chunks, and a task returns at most k rows per query. A larger query side is cut
-    into blocks by id, and so are the chunks; each pair of blocks is searched on its own and
-    again returns at most k rows per query. No pair of rows is ever written out.
+    The query side is computed once and measured. Up to ``query_bytes`` its matrix goes to every task
+    of one scan over the chunks, and a task returns at most k rows per query. A larger query side is
+    cut into blocks of that size that pass over the chunks one after the other; the chunks are then
+    computed once too, and never moved or copied. No pair of rows is ever written out.
 
     Options name the columns (``query_id``, ``chunk_id``, ``vector``), leave out the hit of a row
-    on itself (``exclude_self``) and set the limits (``query_bytes``, ``block_rows``).
-    ``relevance`` turns the distance into an extra ``score`` column.
+    on itself (``exclude_self``) and set the limit (``query_bytes``). ``relevance`` turns the distance
+    into an extra ``score`` column.
     """
-    ranked, _ = _search(queries, chunks, k, metric, **options)
+    ranked, _ = _searched(queries, chunks, k, metric, **options)
     return ranked.withColumn("score", relevance(F.col("distance"))) if relevance else ranked
 
 
-def hyperplanes(tables: int, bits: int, dim: int) -> np.ndarray:
+def hyperplanes(bits: int, dim: int) -> np.ndarray:
     """Normal vectors of the bucket planes, drawn from a digest so that they never change."""
 
-    def draw(t: int, b: int, i: int) -> float:
-        return int(hashlib.md5(f"{t}:{b}:{i}".encode()).hexdigest()[:8], 16) / 2.0**32 - 0.5
+    def draw(b: int, i: int) -> float:
+        return int(hashlib.md5(f"{b}:{i}".encode()).hexdigest()[:8], 16) / 2.0**32 - 0.5
+
+    return np.array([[draw(b, i) for i in range(dim)] for b in range(bits)]).reshape(bits, dim)
+
 
-    return np.array([[[draw(t, b, i) for i in range(dim)] for b in range(bits)] for t in range(tables)])
+class Index(NamedTuple):
+    """Chunks (``chunk_id, vector``, stored ones with their ``bucket``), the planes of the buckets and the probes of a query."""
 
+    rows: DataFrame
+    planes: Planes
+    probes: int
+    metric: str
 
-def bucketed(df: DataFrame, key: str, planes: np.ndarray) -> DataFrame:
-    """One row per table with the bucket of the vector: ``key, vector, table, bucket``."""
-    tables, bits, dim = planes.shape
-    flat = planes.reshape(tables * bits, dim).T
-    weights = 1 << np.arange(bits)
-    arrow_id, arrow_vector = _arrow_type(df, key), pa.list_(pa.float64())
 
+def index_bits(n: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """So many planes that a bucket has about ``bucket_rows`` of n chunks, 10 at most."""
+    return max(0, min(MOST_BITS, math.ceil(math.log2(max(n, 1) / bucket_rows)) if n else 0))
+
+
+def probes_for(sample: np.ndarray, planes: Planes, metric: str, k: int, recall: float) -> int:
+    """The least number of probes that finds ``recall`` of the k nearest rows within a sample.
+
+    Neighbours in a sample lie further apart than in all rows, and further buckets take more probes,
+    so a sample asks for rather more probes than are needed.
+    """
+    queries = sample[: SAMPLE_QUERIES]
+    nearest = Nearest(np.arange(len(queries)), queries, k, metric, True)
+    nearest.add(np.arange(len(sample)), sample)
+    if not len(nearest.q):
+        return 1
+    costs = planes.costs(planes.margins(queries))
+    own = costs[nearest.q, planes.buckets(sample)[nearest.ids]]
+    needed = np.sort((costs[nearest.q] < own[:, None]).sum(axis=1) + 1)
+    return int(needed[max(0, math.ceil(recall * len(needed)) - 1)])
+
+
+def build_index(chunks: DataFrame, metric: str | None = "cosine", *, chunk_id: str = "chunk_id", vector: str = "embedding", k: int = ENRICH_K,
+                recall: float = RECALL, probes: int | float | None = None, bucket_rows: int = BUCKET_ROWS) -> Index:
+    """Cut the chunks into buckets, the more the more chunks there are.
+
+    How many buckets a query probes is measured on at most 4,000 chunks, those with the smallest
+    hashes of their ids, unless ``probes`` is given, as a number or a share of all buckets. For ``l2`` the planes pass through the mean of
+    these; inner products have no such index. All chunks are indexed; nothing is shuffled.
+    """
+    name = metric_name(metric)
+    if name == "ip":
+        raise ValueError("an index needs the metric cosine or l2")
+    c = _side(chunks, chunk_id, vector, "chunk_id")
+    n = c.count()
+    sample = c.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE_ROWS).select("vector").toArrow()
+    rows = vectors_of(sample["vector"]) if sample.num_rows else np.zeros((0, 1))
+    rows = rows[np.isfinite(rows).all(axis=1)]
+    normals = hyperplanes(index_bits(n, bucket_rows), rows.shape[1])
+    offsets = normals @ rows.mean(axis=0) if name == "l2" and len(rows) else np.zeros(len(normals))
+    planes = Planes(normals, offsets)
+    buckets = 1 << planes.bits
+    chosen = probes_for(rows, planes, name, k, recall) if probes is None else math.ceil(probes * buckets) if isinstance(probes, float) else probes
+    return Index(c, planes, max(1, min(chosen, buckets)), name)
+
+
+def _with_buckets(c: DataFrame, planes: Planes) -> DataFrame:
     def assign(batches):
         for batch in batches:
-            rows = vectors_of(batch.column("vector"))
-            side = ((rows @ flat) > 0).reshape(len(rows), tables, bits)
-            bucket = (side * weights).sum(axis=2)
-            at = np.repeat(np.arange(len(rows)), tables)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(key).take(pa.array(at)).cast(arrow_id),
-                    batch.column("vector").take(pa.array(at)).cast(arrow_vector),
-                    pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))),
-                    pa.array(bucket.ravel().astype(np.int32)),
-                ],
-                names=[key, "vector", "lsh_table", "bucket"],
-            )
-
-    id_type = df.schema[key].dataType.simpleString()
-    ddl = f"{key} {id_type}, vector array<double>, lsh_table int, bucket int"
-    return df.select(key, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(assign, ddl)
-
-
-def approx_topk(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int = ENRICH_K,
-    metric: str | None = None,
-    *,
-    query_id: str = "query_id",
-    chunk_id: str = "chunk_id",
-    vector: str = "embedding",
-    exclude_self: bool = False,
-    tables: int = 8,
-    bits: int = 4,
-    block_rows: int | None = None,
-) -> DataFrame:
-    """Nearest chunks among those that share a hyperplane bucket with the query in any table.
-
-    Buckets are as large as the data makes them. A bucket that exceeds a block (``block_rows``) on
-    either side is cut into blocks by id, which changes nothing in the result.
+            bucket = planes.buckets(vectors_of(batch.column("vector"))) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket, pa.int32())], names=[*batch.schema.names, "bucket"])
+
+    return c.mapInArrow(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema) + ", bucket int")
+
+
+def write_index(index: Index, path: str) -> Index:
+    """Store an index: chunks ordered by bucket, so that a scan skips buckets that no query probes.
+
+    Ranges of buckets are cut by chunk id as well, so a bucket with a third of all chunks spreads over
+    many files.
     """
-    name = metric_name(metric)
-    q, c = _sides(queries, chunks, query_id, chunk_id, vector)
-    dim = (q.agg(F.max(F.size("vector"))).first()[0]) or 1
-    block_rows = block_rows or _rows_of(BLOCK_BYTES, dim)
-    planes = hyperplanes(tables, bits, dim)
-    left, right = bucketed(q, "query_id", planes), bucketed(c, "chunk_id", planes)
-    keys = ["lsh_table", "bucket"]
-    blocks = lambda df, out: df.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).alias(out))
-    # at most tables * 2 ** bits rows, whatever the data
-    sizes = F.broadcast(blocks(left, "q_blocks").join(blocks(right, "c_blocks"), keys))
-    spread_q = _spread(left.join(sizes, keys), "query_id", "q_block", F.col("q_blocks"), "c_block", F.col("c_blocks"))
-    spread_c = _spread(right.join(sizes, keys), "chunk_id", "c_block", F.col("c_blocks"), "q_block", F.col("q_blocks"))
-    found = _blocks(spread_q, spread_c, [*keys, "q_block", "c_block"], k, name, exclude_self)
-    return _ranked(found.groupBy("query_id", "chunk_id").agg(F.min("distance").alias("distance")), k)
+    spark = index.rows.sparkSession
+    _with_buckets(index.rows.select("chunk_id", "vector"), index.planes).repartitionByRange("bucket", "chunk_id").sortWithinPartitions("bucket").write.mode("overwrite").parquet(f"{path}/rows")
+    settings = [(index.planes.normals.tolist(), index.planes.offsets.tolist(), index.probes, index.metric)]
+    spark.createDataFrame(settings, INDEX_SETTINGS).coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    settings = spark.read.schema(INDEX_SETTINGS).parquet(f"{path}/settings").first()
+    normals = np.array(settings["normals"], dtype=np.float64)
+    planes = Planes(normals.reshape(len(settings["offsets"]), -1), np.array(settings["offsets"], dtype=np.float64))
+    return Index(spark.read.parquet(f"{path}/rows"), planes, settings["probes"], settings["metric"])
+
+
+def search_index(queries: DataFrame, index: Index, k: int = ENRICH_K, *, query_id: str = "query_id", vector: str = "embedding",
+                 exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The nearest chunks of every query among those in the buckets it probes, as of :func:`topk`.
+
+    Chunks stay in place, as in an exact search; a task measures a bucket only against the queries
+    that probe it, and buckets that none of them probes are not read.
+    """
+    planes, probes, name = index.planes, index.probes, index.metric
+    q = write_once(_side(queries, query_id, vector, "query_id"), "queries")
+    rows = index.rows
+    if "bucket" in rows.columns and probes < 1 << planes.bits:
+        rows = rows.where(F.col("bucket").isin(_probed(q, planes, probes)))
+    make = lambda ids, vectors: ProbedNearest(ids, vectors, k, name, exclude_self, planes, probes)
+    return _search(q, rows.select("chunk_id", "vector"), k, query_bytes, make)[0]
+
+
+def _probed(q: DataFrame, planes: Planes, probes: int) -> list[int]:
+    """Buckets that any query probes: 1,024 numbers at most."""
+
+    def probed(batches):
+        hit = np.zeros(1 << planes.bits, bool)
+        for batch in batches:
+            side = planes.margins(vectors_of(batch.column("vector")))
+            reach = planes.reach(side, probes) if len(side) else np.zeros(0)
+            for bucket in np.flatnonzero(~hit):
+                hit[bucket] = (planes.cost(side, bucket) <= reach).any()
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(hit), pa.int32())], names=["bucket"])
+
+    return sorted(r["bucket"] for r in q.select("vector").mapInArrow(probed, "bucket int").distinct().collect())
+
+
+def approx_topk(queries: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: str | None = "cosine", *, query_id: str = "query_id",
+                chunk_id: str = "chunk_id", vector: str = "embedding", exclude_self: bool = False, query_bytes: int = QUERY_BYTES,
+                **options) -> DataFrame:
+    """The same by an index that is built on the way (see :func:`build_index` for the options) and not stored."""
+    index = build_index(chunks, metric, chunk_id=chunk_id, vector=vector, k=k, **options)
+    return search_index(queries, index, k, query_id=query_id, vector=vector, exclude_self=exclude_self, query_bytes=query_bytes)
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame, chunk_id: str, columns: Sequence[str], hit_rows: int | None) -> DataFrame:
@@ -249,7 +285,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: s
     ``texts`` supplies the texts by chunk id when ``chunks`` are vectors computed on the way, so that
     they are not computed again; a stored collection needs none.
     """
-    hits, n = _search(queries, chunks, k, metric, query_id=query_id, chunk_id=chunk_id, vector=vector, **options)
+    hits, n = _searched(queries, chunks, k, metric, query_id=query_id, chunk_id=chunk_id, vector=vector, **options)
     return assemble_context(with_chunks(hits, chunks if texts is None else texts, chunk_id, [text], n * k), text=text)
 
 

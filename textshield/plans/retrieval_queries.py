@@ -95,17 +95,30 @@ def prompt_enrich(t: Tables):
     return enrich(prompts(t), hash_embed(docs), metric="cosine", chunk_id="doc_id", texts=docs).select("prompt_id", "enriched_prompt")
 
 
-TABLES, BITS = 8, 4
+@query("topk_blocks", f"WITH {SCALED}, h AS ({sql.ranked('l2', K, 'v', 'v', 'q.k <> c.k')}) SELECT {SHOWN} FROM h")
+def topk_blocks(t: Tables):
+    """A query side that passes over the chunks in several blocks."""
+    v = scaled(t)
+    return shown(topk(v, v, K, "l2", query_id="vec_id", chunk_id="vec_id", exclude_self=True, query_bytes=1 << 17))
+
+
+BUCKET_ROWS, PROBES = 32, 0.625
+
+# The buckets of hyperplanes, and for each query the buckets in order of their cost.
+PROBED = f"""nb AS (SELECT greatest(0, least(10, ceil(log2(count(*) / {BUCKET_ROWS}.0))))::INT AS bits FROM v),
+planes AS (SELECT b, list(('0x' || substr(md5(b || ':' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5 ORDER BY i) AS plane
+  FROM (SELECT unnest(range(bits)) AS b FROM nb) CROSS JOIN (SELECT unnest(range(64)) AS i) GROUP BY b),
+m AS (SELECT v.k, b, list_inner_product(v.e, plane) AS m FROM v CROSS JOIN planes),
+sig AS (SELECT k, sum(CASE WHEN m > 0 THEN (1 << b) ELSE 0 END) AS bucket FROM m GROUP BY k),
+cost AS (SELECT k, x, sum(CASE WHEN ((x >> b) & 1) <> (m > 0)::INT THEN m * m ELSE 0.0 END) AS cost FROM m CROSS JOIN (SELECT unnest(range(1 << bits)) AS x FROM nb) GROUP BY k, x),
+probe AS (SELECT k, x FROM (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY cost) AS nth FROM cost) CROSS JOIN nb WHERE nth <= ceil({PROBES} * (1 << bits)))"""
 
 
-@query("approx_topk", f"""WITH {PLAIN},
-planes AS (SELECT t, b, list(('0x' || substr(md5(t || ':' || b || ':' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5 ORDER BY i) AS plane
-  FROM (SELECT unnest(range({TABLES})) AS t) CROSS JOIN (SELECT unnest(range({BITS})) AS b) CROSS JOIN (SELECT unnest(range(64)) AS i) GROUP BY t, b),
-sig AS (SELECT v.k, v.e, t, sum(CASE WHEN list_inner_product(v.e, plane) > 0 THEN (1 << b) ELSE 0 END) AS bucket FROM v CROSS JOIN planes GROUP BY ALL),
-pairs AS (SELECT DISTINCT q.k AS query_id, c.k AS chunk_id FROM sig q JOIN sig c ON q.t = c.t AND q.bucket = c.bucket AND q.k <> c.k),
-d AS (SELECT query_id, chunk_id, {sql.distance('cosine', 'q.e', 'c.e')} AS distance FROM pairs JOIN v q ON q.k = query_id JOIN v c ON c.k = chunk_id),
+@query("approx_topk", f"""WITH {PLAIN}, {PROBED},
+d AS (SELECT q.k AS query_id, c.k AS chunk_id, {sql.distance('cosine', 'q.e', 'c.e')} AS distance
+  FROM probe JOIN sig ON bucket = x AND sig.k <> probe.k JOIN v q ON q.k = probe.k JOIN v c ON c.k = sig.k),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM d)
 SELECT {SHOWN} FROM h WHERE rank <= {K}""")
 def approximate(t: Tables):
     v = t.embeddings
-    return shown(approx_topk(v, v, K, "cosine", query_id="vec_id", chunk_id="vec_id", exclude_self=True, tables=TABLES, bits=BITS))
+    return shown(approx_topk(v, v, K, "cosine", query_id="vec_id", chunk_id="vec_id", exclude_self=True, bucket_rows=BUCKET_ROWS, probes=PROBES))

@@ -13,6 +13,7 @@ QA_FILE = ("idx bigint, prompt string, response string")
 SETTINGS = ("model_id string, tokenizer_id string, batch_size int, max_batch_size int")
 CHUNKS = (
     "chunk_id string, doc_id string, chunk_ix int, text string, metadata map<string,string>, embedding array<float>")
+INDEX_SETTINGS = ("normals array<array<double>>, offsets array<double>, probes int, metric string")
 REQUESTS = (
     "prompt string, method string, enable_prompt_injection boolean, enable_toxicity boolean, enable_banned_topics boolean, "
     "toxicity_threshold double, banned_topics_list array<string>, banned_topics_threshold double, use_rag boolean, "
