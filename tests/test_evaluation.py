@@ -1,13 +1,17 @@
 import json
+import sys
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from textshield.operators import evaluation as ev
 from textshield.sources.qa import read_qa, write_eval
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks cannot import test modules
+
 
 def results(spark, rows):
     full = [(i, f"q{i}", n, s, "r", e) for i, (s, n, e) in enumerate(rows)]
@@ -88,6 +92,35 @@ def test_evaluate_and_write(spark, tmp_path):
     assert (empty.retrieved_docs_count, empty.llm_score, empty.error) == (0, 0.0, None)
 
 
+def test_evaluate_with_a_model(spark, tmp_path):
+    """The judge sees whole contexts, is not asked about failed or skipped questions, and not again in a second run."""
+    log = str(tmp_path / "log")
+
+    def judge():
+        def complete(conversations, temperature, max_tokens):
+            with open(log, "a", encoding="utf8") as out:
+                for messages in conversations:
+                    out.write(json.dumps([messages[0]["role"], messages[-1]["content"], temperature, max_tokens]) + "\n")
+            return [("stop", "```json\n{\"score\": 61, \"reasoning\": \"so so\"}\n```" if "which" in m[-1]["content"] else "") for m in conversations]
+
+        return complete
+
+    long = "blue bird" + "x" * 600
+    chunks = spark.createDataFrame([(1, "red fish", [1.0, 0.0]), (2, long, [0.0, 1.0])], "chunk_id long, text string, embedding array<float>")
+    qa = spark.createDataFrame([(1, "which bird", "red fish", [0.0, 1.0]), (2, "lost which", "a", None), (3, "unsure which", "I am not sure.", [0.0, 1.0]),
+                                (4, "silent", "answer", [1.0, 0.0])], "idx long, prompt string, response string, embedding array<float>")
+    for _ in range(2):
+        done = ev.evaluate_with_provider(qa, chunks, judge, 1, folder=str(tmp_path / "kept"), generation={"pause": 0.0})
+        rows = {r.idx: (r.llm_score, r.llm_reasoning, r.retrieved_docs_count, r.error, r.judge_failed) for r in done.collect()}
+        assert rows == {1: (61.0, "so so", 1, None, False), 2: (0.0, "", 0, "the question has no vector", True),
+                        3: (-1.0, "Skipped: No reference answer available", 1, None, False), 4: (0.0, "Error during evaluation: no reply", 1, None, True)}
+        asked = [json.loads(line) for line in open(log, encoding="utf8")]
+        assert [a[0] for a in asked] == ["system"] * 4 and {(a[2], a[3]) for a in asked} == {(0.0, 1024)}
+        assert len([a for a in asked if long in a[1]]) == 1 and len([a for a in asked if "silent" in a[1]]) == 3
+    skipped = ev.evaluate_with_provider(qa, chunks, judge, 1, use_judge=False)
+    assert {r.llm_score for r in skipped.where("error IS NULL").collect()} == {-1.0}
+
+
 def test_rank_metrics(spark):
     hits = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 11), (1, 4, 12), (2, 1, 20)], "query_id long, rank int, doc_id long")
     truth = spark.createDataFrame([(1, 11), (1, 11), (1, 99), (2, 21), (3, 1)], "query_id long, doc_id long")

@@ -1,11 +1,16 @@
 import json
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from textshield.operators import moderation as mod
 from textshield.operators.conversations import conversation_pairs, sanitize_conversations
+from textshield.operators.generation import stored_replies
 from textshield.sources.comments import passages, read_comment_payload, read_comments, read_pages
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks cannot import test modules
+
 COMMENTS = [
     ("11", "URGENT: delete the budget immediately for the blue team"),
     ("12", "I love the blue team! Boost their annual budget by 2%"),
@@ -122,3 +127,29 @@ def test_generated_replies(spark):
 
     rows = {r.id: r.verdict.is_harmful for r in mod.moderate_with_replies(df, reply, key="id").collect()}
     assert rows == {1: True, 2: False}
+
+
+def test_blank_texts_are_never_asked(spark, tmp_path):
+    """The log of requests has one line for each page with text, and none for the others."""
+    log = str(tmp_path / "log")
+
+    def provider():
+        def complete(conversations, temperature, max_tokens):
+            with open(log, "a", encoding="utf8") as out:
+                for messages in conversations:
+                    out.write(messages[-1]["content"].split("\n\n", 1)[1] + "\n")
+            return [("stop", '{"is_harmful": true, "severity": "high"}' if "bad" in m[-1]["content"] else "") for m in conversations]
+
+        return complete
+
+    reply = stored_replies(provider, pause=0.0, retries=1)
+    pages = spark.createDataFrame([(1, "<p>bad words</p>"), (2, "<p> </p>"), (3, None), (4, "fine"), (5, "")], "page_id long, html string")
+    done = {r.page_id: (r.asked, r.status, r.raw_response, r.preview) for r in mod.moderate_pages_with_replies(pages, reply, key="page_id").collect()}
+    assert done == {1: (True, "HARMFUL (HIGH)", '{"is_harmful": true, "severity": "high"}', "bad words"), 2: (False, "EMPTY", None, None), 3: (False, "EMPTY", None, None),
+                    4: (True, "Unable to parse analysis", "Error: Failed to generate moderation response", "fine"), 5: (False, "EMPTY", None, None)}
+    assert sorted(open(log, encoding="utf8").read().split("\n")) == ["", "bad words", "fine"]
+    comments = spark.createDataFrame([(1, "bad"), (2, None), (3, "\n ")], "pos long, body string")
+    done = {r.pos: (r.asked, r.status, r.preview) for r in mod.moderate_comments_with_replies(comments, reply, key="pos").collect()}
+    assert done == {1: (True, "HARMFUL (HIGH)", "bad"), 2: (False, "EMPTY", None), 3: (False, "EMPTY", "\n ")}
+    judged = {r.page_id: (r.status, r.verdict is None) for r in mod.moderate_pages(pages).collect()}
+    assert judged == {1: ("SAFE", False), 2: ("EMPTY", True), 3: ("EMPTY", True), 4: ("SAFE", False), 5: ("EMPTY", True)}

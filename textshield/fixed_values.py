@@ -104,6 +104,8 @@ REQUEST_TEMPERATURE = 0.0
 CHAT_TEMPERATURE = 0.7
 REWRITE_MAX_TOKENS = 256
 CHAT_MAX_TOKENS = 512
+JUDGE_TEMPERATURE = 0.0
+JUDGE_MAX_TOKENS = 1024
 RETRIES = 3
 RETRY_PAUSE_SECONDS = 0.25
 ENRICH_K = 3

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textshield.fixed_values import EVAL_K, JUDGE_SKIPPED, JUDGE_SYSTEM_PROMPT, SCORE_BANDS, UNSURE_ANSWER
+from textshield.fixed_values import EVAL_K, JUDGE_MAX_TOKENS, JUDGE_SKIPPED, JUDGE_SYSTEM_PROMPT, JUDGE_TEMPERATURE, SCORE_BANDS, UNSURE_ANSWER
 from textshield.functions.prompts import judge_prompt
 from textshield.functions.replies import parse_judge
 from textshield.functions.text import is_blank, preview, words
 from textshield.functions.vectors import let
+from textshield.operators.generation import Provider, stored_replies
 from textshield.operators.retrieval import retrieve
 from textshield.schemas import EVAL_RESULT
+from textshield.session import write_at, write_once
 
 REPORT_CHARS = 500
 MEDIAN_STEPS = 100.0  # steps per point, used to find the part of the scores that holds the median
@@ -60,23 +62,21 @@ def judge_with_replies(df: DataFrame, replies: DataFrame, *, key: str = "idx", *
     return judge(joined, F.col("_stored"), **options).drop("_stored")
 
 
-def evaluate(qa: DataFrame, chunks: DataFrame, k: int = EVAL_K, metric: str | None = "cosine", *,
-             reply: Reply = overlap_reply, use_judge: bool = True, chunk_id: str = "chunk_id", text: str = "text",
-             **options) -> DataFrame:
-    """Result of every question ``idx, prompt, response, embedding``, also of those that fail.
+def retrieved(qa: DataFrame, chunks: DataFrame, k: int = EVAL_K, metric: str | None = "cosine", *, chunk_id: str = "chunk_id",
+              text: str = "text", **options) -> DataFrame:
+    """``idx, prompt, response, context, n_docs, error`` of every question ``idx, prompt, response, embedding``.
 
-    A question without a vector cannot be searched: no documents, score 0 and the error. Time per
-    question means nothing in a joint job and stays null.
+    The context is whole. A question without a vector cannot be searched: no documents, and the error.
     """
     found = retrieve(qa, chunks, k, metric, query_id="idx", chunk_id=chunk_id, text=text, **options)
     found = found.select(F.col("query_id").alias("idx"), "context", "n_docs")
     joined = qa.select("idx", "prompt", "response", F.col("embedding").isNull().alias("_lost")).join(found, "idx", "left")
-    joined = joined.withColumns({
-        "context": F.coalesce("context", F.lit("")),
-        "n_docs": F.coalesce("n_docs", F.lit(0)),
-        "error": F.when(F.col("_lost"), "the question has no vector"),
-    })
-    scored = judge(joined, reply(F.col("prompt"), F.col("response"), F.col("context")), enabled=use_judge)
+    return joined.select("idx", "prompt", "response", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
+                         F.when(F.col("_lost"), "the question has no vector").alias("error"))
+
+
+def eval_results(scored: DataFrame) -> DataFrame:
+    """The result table of judged questions. Time per question means nothing in a joint job and stays null."""
     failed = F.col("error").isNotNull()
     cut = lambda c: preview(F.col(c), REPORT_CHARS, "")
     columns = {
@@ -91,6 +91,35 @@ def evaluate(qa: DataFrame, chunks: DataFrame, k: int = EVAL_K, metric: str | No
     return scored.withColumns(columns).select(*EVAL_RESULT, "judge_failed")
 
 
+def evaluate(qa: DataFrame, chunks: DataFrame, k: int = EVAL_K, metric: str | None = "cosine", *,
+             reply: Reply = overlap_reply, use_judge: bool = True, **options) -> DataFrame:
+    """Result of every question, also of those that fail, with a judge that is a column expression.
+
+    Options are those of :func:`retrieved`.
+    """
+    asked = retrieved(qa, chunks, k, metric, **options)
+    return eval_results(judge(asked, reply(F.col("prompt"), F.col("response"), F.col("context")), enabled=use_judge))
+
+
+def evaluate_with_provider(qa: DataFrame, chunks: DataFrame, provider: Provider, k: int = EVAL_K, metric: str | None = "cosine", *,
+                           use_judge: bool = True, folder: str | None = None, generation: dict | None = None, **options) -> DataFrame:
+    """The same with a model as judge, in two stages.
+
+    First all questions are looked up, and their whole contexts are stored. Then the provider is
+    asked about the questions that have a usable answer and no error; its attempts are stored, and
+    the replies are joined by ``idx``, which must be unique. A question that is judged but gets no good
+    reply scores 0. With a ``folder``, what an earlier run finished there is not looked up or asked
+    again. ``generation`` are options of :func:`generate`.
+    """
+    looked_up = retrieved(qa, chunks, k, metric, **options)
+    stored = write_once(looked_up, "retrieved") if folder is None else write_at(looked_up, f"{folder}/retrieved")
+    if not use_judge:
+        return eval_results(judge(stored, F.lit(None).cast("string"), enabled=False))
+    settings = {"temperature": JUDGE_TEMPERATURE, "max_tokens": JUDGE_MAX_TOKENS} | (generation or {})
+    replies = stored_replies(provider, folder, **settings)(judge_requests(stored.where("error IS NULL")))
+    return eval_results(judge_with_replies(stored, replies))
+
+
 def upper_median(values: DataFrame, column: str) -> DataFrame:
     """One row ``median``: the value at position n // 2 in ascending order, null when there is none.
 

@@ -38,11 +38,20 @@ def moderate(df: DataFrame, reply: Column | None = None, *, text: str = "text",
 
 
 def moderate_with_replies(df: DataFrame, reply: Callable[[DataFrame], DataFrame], *, key: str, text: str = "text") -> DataFrame:
-    """The same with replies from a text generator, which gets ``item_id, system, user``."""
-    asked = df.select(F.col(key).alias("item_id"), F.lit(MODERATION_SYSTEM_PROMPT).alias("system"),
-                      moderation_prompt(F.col(text)).alias("user"))
-    answers = reply(asked).select(F.col("item_id").alias(key), F.col("reply").alias("_reply"))
-    return moderate(df.join(answers, key, "left"), F.col("_reply"), text=text).drop("_reply")
+    """The same with replies from a text generator, which gets ``item_id, system, user``.
+
+    Only texts with something to read are sent, and ``asked`` tells which. Null and blank texts
+    have no verdict and no response. ``key`` names a unique column.
+    """
+    blank = F.coalesce(is_blank(F.col(text)), F.lit(True))
+    full = df.where(~blank)
+    requests = full.select(F.col(key).alias("item_id"), F.lit(MODERATION_SYSTEM_PROMPT).alias("system"), moderation_prompt(F.col(text)).alias("user"))
+    answers = reply(requests).select(F.col("item_id").alias(key), F.col("reply").alias("_reply"))
+    judged = moderate(full.join(answers, key, "left"), F.col("_reply"), text=text).drop("_reply").withColumn("asked", F.lit(True))
+    rest = df.where(blank)
+    for name in ("raw_response", "verdict"):
+        rest = rest.withColumn(name, F.lit(None).cast(judged.schema[name].dataType))
+    return judged.unionByName(rest.withColumn("asked", F.lit(False)))
 
 
 def status(verdict: Column) -> Column:
@@ -51,18 +60,30 @@ def status(verdict: Column) -> Column:
     return F.when(~verdict["parsed"], "Unable to parse analysis").when(verdict["is_harmful"], harmful).otherwise("SAFE")
 
 
-def moderate_pages(pages: DataFrame, reply: Column | None = None, *, html: str = "html") -> DataFrame:
-    """Pages with plain text, preview and verdict. Blank pages get status ``EMPTY`` and no verdict."""
-    plain = pages.withColumn("plain_text", strip_html(F.coalesce(F.col(html), F.lit(""))))
-    judged = moderate(plain.withColumn("blank", is_blank(F.col("plain_text"))), reply, text="plain_text")
+def _plain_pages(pages: DataFrame, html: str) -> DataFrame:
+    return pages.withColumn("plain_text", strip_html(F.coalesce(F.col(html), F.lit("")))).withColumn("blank", is_blank(F.col("plain_text")))
+
+
+def _shown_pages(judged: DataFrame) -> DataFrame:
     return judged.withColumns({
         "preview": F.when(~F.col("blank"), preview(F.col("plain_text"), PAGE_PREVIEW)),
         "status": F.when(F.col("blank"), "EMPTY").otherwise(status(F.col("verdict"))),
-        "verdict": F.when(~F.col("blank"), F.col("verdict")),
-        "raw_response": F.when(~F.col("blank"), F.col("raw_response")),
     })
 
 
+def moderate_pages(pages: DataFrame, reply: Column | None = None, *, html: str = "html") -> DataFrame:
+    """Pages with plain text, preview and verdict. Blank pages get status ``EMPTY`` and no verdict, and are not judged."""
+    plain = _plain_pages(pages, html)
+    text = F.when(~F.col("blank"), F.col("plain_text"))
+    judged = moderate(plain.withColumn("_text", text), reply if reply is None else F.when(~F.col("blank"), reply), text="_text").drop("_text")
+    return _shown_pages(judged.withColumns({name: F.when(~F.col("blank"), F.col(name)) for name in ("verdict", "raw_response")}))
+
+
+def moderate_pages_with_replies(pages: DataFrame, reply: Callable[[DataFrame], DataFrame], *, key: str, html: str = "html") -> DataFrame:
+    """The same with replies from a text generator (see :func:`moderate_with_replies`); blank pages are never sent."""
+    return _shown_pages(moderate_with_replies(_plain_pages(pages, html), reply, key=key, text="plain_text"))
+
+
 def non_blank_pages(pages: DataFrame, *, html: str = "html") -> DataFrame:
     return pages.where(~is_blank(strip_html(F.coalesce(F.col(html), F.lit("")))))
 
@@ -76,6 +97,12 @@ def moderate_comments(comments: DataFrame, reply: Column | None = None, *, body:
     })
 
 
+def moderate_comments_with_replies(comments: DataFrame, reply: Callable[[DataFrame], DataFrame], *, key: str, body: str = "body") -> DataFrame:
+    """The same with replies from a text generator; a comment without text is not sent and gets status ``EMPTY``."""
+    judged = moderate_with_replies(comments, reply, key=key, text=body)
+    return judged.withColumns({"preview": preview(F.col(body), COMMENT_PREVIEW), "status": F.when(F.col("asked"), status(F.col("verdict"))).otherwise("EMPTY")})
+
+
 def rewrite_harmful(df: DataFrame, rewrite: Column | None = None, *, text: str = "text", error: Column | None = None,
                     mode: str | Column = REWRITE_BLOCK_MODE, detect: bool = True,
                     context_rewrite: Column | None = None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
-from textshield.fixed_values import EVAL_K, JUDGE_SKIPPED
+from textshield.fixed_values import EVAL_K, JUDGE_FAILED_PREFIX, JUDGE_PROMPT, JUDGE_SKIPPED, SPACE
 from textshield.operators import evaluation as ev
 from textshield.operators.conversations import conversation_pairs
 from textshield.operators.embedding import hash_embed
@@ -64,6 +67,34 @@ def eval_metrics(t: Tables):
                     (F.round("avg_retrieval_count", 6) + 0.0).alias("avg_retrieval_count"), "questions_with_errors")
 
 
+def fingerprint_judge():
+    """A judge whose replies follow from the whole prompt it is sent; some are fenced, some no JSON, some empty."""
+
+    def complete(conversations, temperature, max_tokens):
+        replies = []
+        for messages in conversations:
+            number = int(hashlib.md5(messages[-1]["content"].encode()).hexdigest()[:8], 16)
+            text = json.dumps({"score": number % 101, "reasoning": f"number {number}"})
+            text = f"```json\n{text}\n```" if number % 13 == 0 else "sorry" if number % 17 == 0 else "" if number % 19 == 0 else text
+            replies.append(("stop", text))
+        return replies
+
+    return complete
+
+
+@query("eval_model_judge", f"""WITH {QA.replace("r AS (SELECT idx", "unused AS (SELECT idx")},
+p AS (SELECT *, ('0x' || substr(md5({sql.text(JUDGE_PROMPT[0])} || prompt || {sql.text(JUDGE_PROMPT[1])} || response || {sql.text(JUDGE_PROMPT[2])} || context || {sql.text(JUDGE_PROMPT[3])}), 1, 8))::BIGINT AS f FROM j),
+s AS (SELECT *, NOT regexp_matches(response, '[^{SPACE}]') OR response = 'I am not sure.' AS skipped, f % 13 <> 0 AND f % 17 = 0 AS odd, f % 13 <> 0 AND f % 17 <> 0 AND f % 19 = 0 AS silent FROM p)
+SELECT idx, prompt AS question, n AS retrieved_docs_count, CASE WHEN NOT searchable THEN 0.0 WHEN skipped THEN -1.0 WHEN odd OR silent THEN 0.0 ELSE f % 101 END::DOUBLE AS llm_score,
+  CASE WHEN NOT searchable THEN '' WHEN skipped THEN '{JUDGE_SKIPPED}' WHEN odd THEN '{JUDGE_FAILED_PREFIX}reply is not a JSON object' WHEN silent THEN '{JUDGE_FAILED_PREFIX}no reply' ELSE 'number ' || f END AS llm_reasoning,
+  substr(response, 1, 500) AS reference_answer, substr(context, 1, 500) AS retrieved_context, CASE WHEN NOT searchable THEN 'the question has no vector' END AS error FROM s""")
+def eval_model_judge(t: Tables):
+    """A model as judge: contexts stored whole, then asked about, then joined."""
+    docs = t.documents.select("doc_id", "text")
+    done = ev.evaluate_with_provider(questions(t), hash_embed(docs), fingerprint_judge, chunk_id="doc_id", texts=docs, generation={"pause": 0.0})
+    return done.drop("eval_time_seconds", "judge_failed")
+
+
 # Scores spread over all bands, for the reports on results.
 SPREAD = """r AS (SELECT doc_id AS idx, source AS question, lang AS llm_reasoning, CASE WHEN n_chars % 110 = 109 THEN -1.0 ELSE (n_chars % 110) + 0.5 END::DOUBLE AS llm_score,
   CASE WHEN source = 'src5' THEN 'failed' END AS error, (n_chars % 6)::INT AS retrieved_docs_count FROM documents)"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from textshield.fixed_values import (
@@ -11,6 +14,7 @@ from textshield.fixed_values import (
     ENRICHED_PROMPT,
     FILTER_KEYWORDS,
     MODERATION_FAILED,
+    MODERATION_PROMPT_HEAD,
     NO_DETECTOR,
     NO_REPLY,
     SPACE,
@@ -33,7 +37,7 @@ from textshield.functions.vectors import let, softmax
 from textshield.operators import moderation as mod
 from textshield.operators.conversations import conversation_pairs, sanitize_conversations
 from textshield.operators.embedding import hash_embed
-from textshield.operators.generation import generate, resolve_replies
+from textshield.operators.generation import generate, resolve_replies, stored_replies
 from textshield.operators.requests import answer_requests
 from textshield.operators.sanitize import sanitize
 from textshield.operators.scanning import (
@@ -377,6 +381,37 @@ def page_moderation(t: Tables):
     return mod.moderate_pages(t.pages).select("page_id", "status", "preview", F.array_join("verdict.issues", "|").alias("issues"))
 
 
+# Every seventh page is blank.
+SOME_BLANK = "CASE WHEN page_id % 7 = 0 THEN '<p> <br></p>' ELSE html END"
+
+
+def fingerprint_moderator():
+    """A moderator whose replies follow from the whole prompt it is sent; some are empty, some no JSON."""
+
+    def complete(conversations, temperature, max_tokens):
+        replies = []
+        for messages in conversations:
+            number = int(hashlib.md5(messages[-1]["content"].encode()).hexdigest()[:8], 16)
+            verdict = {"is_harmful": number % 3 == 0, "severity": ["low", "high"][number % 2], "issues": [f"issue {number % 5}"]}
+            replies.append(("stop", "" if number % 11 == 0 else "what?" if number % 13 == 0 else json.dumps(verdict)))
+        return replies
+
+    return complete
+
+
+@query("page_moderation_model", rf"""WITH p AS (SELECT page_id, regexp_replace({SOME_BLANK}, '<.*?>', '', 'g') AS text FROM pages),
+w AS (SELECT *, NOT regexp_matches(text, '[^{SPACE}]') AS blank, ('0x' || substr(md5({sql.text(MODERATION_PROMPT_HEAD)} || text), 1, 8))::BIGINT AS n FROM p),
+v AS (SELECT *, n % 11 = 0 AS silent, n % 13 = 0 OR n % 11 = 0 AS lost FROM w)
+SELECT page_id, NOT blank AS asked, CASE WHEN blank THEN 'EMPTY' WHEN lost THEN 'Unable to parse analysis' WHEN n % 3 = 0 THEN CASE n % 2 WHEN 0 THEN 'HARMFUL (LOW)' ELSE 'HARMFUL (HIGH)' END ELSE 'SAFE' END AS status,
+  CASE WHEN NOT blank THEN CASE WHEN silent THEN '{MODERATION_FAILED}' WHEN lost THEN 'what?' ELSE '{{"is_harmful": ' || (n % 3 = 0) || ', "severity": "' || CASE n % 2 WHEN 0 THEN 'low' ELSE 'high' END || '", "issues": ["issue ' || (n % 5) || '"]}}' END END AS raw_response,
+  CASE WHEN NOT blank THEN CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END END AS preview FROM v""")
+def page_moderation_model(t: Tables):
+    """Verdicts of a model on pages; blank ones are not sent."""
+    pages = t.pages.withColumn("html", F.when(F.col("page_id") % 7 == 0, "<p> <br></p>").otherwise(F.col("html")))
+    done = mod.moderate_pages_with_replies(pages, stored_replies(fingerprint_moderator, pause=0.0), key="page_id")
+    return done.select("page_id", "asked", "status", "raw_response", "preview")
+
+
 REPLIES = """r AS (SELECT conv_id, turn, text, CASE role WHEN 'user' THEN '{"is_harmful": true, "severity": "high", "issues": ["a", "b"]}'
   WHEN 'assistant' THEN '{"is_harmful": false}' ELSE '' END AS reply FROM conversations)"""
 
