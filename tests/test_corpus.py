@@ -135,16 +135,16 @@ def test_collections(spark, tmp_path):
     assert col.collection_count(first).first().n_chunks == n
     build_collection(docs.where("doc_id < 2"), root, "c")
     small = col.load_collection(spark, root, "c")
-    assert {r.doc_id for r in small.collect()} == {"0", "1"} and first.count() == n
+    assert {r.doc_id for r in small.collect()} == {"0", "1"}
     changed = collection_chunks(docs.where("doc_id in (1, 4)").withColumn("text", F.concat(F.lit("new "), "text")), "c")
     for _ in range(2):
-        col.write_changes(changed, root, "c", "t1")
+        col.write_changes(changed, root, "c")
     merged = col.load_collection(spark, root, "c")
     assert merged.count() == merged.select("chunk_id").distinct().count()
     assert {r.doc_id for r in merged.where("text like 'new %'").collect()} == {"1", "4"}
-    before = sorted(r.chunk_id for r in merged.collect())
-    col.compact(spark, root, "c")
-    assert sorted(r.chunk_id for r in col.load_collection(spark, root, "c").collect()) == before
+    # a collection may be replaced by what derives from it
+    col.write_collection(merged.where("doc_id <> '0'"), root, "c")
+    assert {r.doc_id for r in col.load_collection(spark, root, "c").collect()} == {"1", "4"}
     assert col.read_settings(spark, root, "c").model_id == "word-hash-64"
     col.require_model(spark, root, "c", "word-hash-64")
     with pytest.raises(ValueError):

@@ -4,7 +4,12 @@ from pyspark.sql import functions as F
 
 from textshield.functions.vectors import distance
 from textshield.operators import retrieval as rt
+from textshield.operators.embedding import embed
+from textshield.operators.evaluation import evaluate
+from textshield.operators.models import model_of
 from textshield.operators.nearest import Nearest
+from textshield.plans.corpus import build_collection
+from textshield.sources.collections import load_collection
 
 rng = np.random.default_rng(7)
 
@@ -217,3 +222,68 @@ def test_partial_limit_before_the_shuffle(spark):
     c = frame(spark, small_vectors(20))
     plan = rt.topk(c, c, 3, query_id="id", chunk_id="id")._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan.split("Exchange")[1] and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def pushed(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("PushedFilters"):].split("ReadSchema")[0]
+
+
+def test_ranges_on_shredded_metadata_reach_the_scan(spark, tmp_path):
+    rows = [(1, {"year": "1999", "kind": "a"}), (2, {"year": "2005", "kind": "b"}), (3, {"year": "soon", "kind": "abc"}), (4, {}), (5, None)]
+    chunks = rt.shred_metadata(spark.createDataFrame(rows, "chunk_id long, metadata map<string,string>"), {"year": "int", "kind": "string"})
+    assert {r.chunk_id: (r.year, r.kind) for r in chunks.collect()} == {1: (1999, "a"), 2: (2005, "b"), 3: (None, "abc"), 4: (None, None), 5: (None, None)}
+    chunks.write.parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    ids = lambda **wanted: {r.chunk_id for r in rt.metadata_filter(stored, **wanted).collect()}
+    assert ids(year={"ge": 2000}) == {2} and ids(year={"gt": 1998, "le": 2005}) == {1, 2} and ids(kind={"prefix": "a"}) == {1, 3}
+    assert ids(kind=["a", "b"], year={"lt": 2000}) == {1} and ids(year={"null": True}) == {3, 4, 5} and ids(year={"null": False, "ne": 1999}) == {2}
+    assert ids(kind="abc") == {3}
+    filters = pushed(rt.metadata_filter(stored, year={"ge": 2000, "lt": 2010}))
+    assert "GreaterThanOrEqual(year,2000)" in filters and "LessThan(year,2010)" in filters
+    assert "StringStartsWith(kind,a)" in pushed(rt.metadata_filter(stored, kind={"prefix": "a"}))
+    for wrong in ({"none": 1}, {"year": {"about": 3}}):
+        with pytest.raises(ValueError, match="no column none|unknown comparison"):
+            rt.metadata_filter(stored, **wrong)
+
+
+def test_vectors_of_another_model_are_refused(spark, tmp_path):
+    """The model of a collection goes with its vectors, through selections and joins, and every search refuses another one."""
+    docs = spark.createDataFrame([(1, "red fish"), (2, "blue bird")], "doc_id long, text string")
+    build_collection(docs, str(tmp_path), "c")
+    chunks = load_collection(spark, str(tmp_path), "c")
+    assert model_of(chunks, "embedding") == model_of(chunks.where("chunk_ix = 0").select("chunk_id", "embedding").join(chunks.select("chunk_id", "text"), "chunk_id"), "embedding") == "word-hash-64"
+    ask = spark.createDataFrame([(1, "fish", "red fish")], "idx long, prompt string, response string")
+    other = embed(ask, lambda: lambda texts: [[1.0] * 64 for _ in texts], text="prompt", model_id="another")
+    mine = embed(ask, text="prompt")
+    assert rt.topk(mine, chunks, 1, query_id="idx").count() == 1
+    assert rt.enrich(mine, chunks, 1, prompt_id="idx").first().documents == ["red fish"]
+    index = rt.build_index(chunks, "cosine")
+    searches = [
+        lambda q: rt.topk(q, chunks, 1, query_id="idx"), lambda q: rt.retrieve(q, chunks, 1, query_id="idx"), lambda q: rt.enrich(q, chunks, 1, prompt_id="idx"),
+        lambda q: rt.approx_topk(q, chunks, 1, query_id="idx"), lambda q: rt.search_index(q, index, 1, query_id="idx"), lambda q: evaluate(q, chunks, 1)]
+    for search in searches:
+        with pytest.raises(ValueError, match="embedded by word-hash-64, queries by another"):
+            search(other)
+        assert search(mine).count() == 1
+    # a vector that names no model is taken as it is
+    assert rt.topk(mine.withColumn("embedding", F.transform("embedding", lambda x: x + 0)), chunks, 1, query_id="idx").count() == 1
+
+
+def test_texts_of_many_hits(spark, monkeypatch):
+    """A long list of hits meets only texts that were hit, and a popular text in shares; the result is the plain join."""
+    monkeypatch.setattr(rt, "POPULAR_HITS", 50)
+    monkeypatch.setattr(rt, "HIT_BITS", 1 << 15)
+    texts = spark.createDataFrame([(f"c{i}", f"text {i}") for i in range(500)], "id string, text string")
+    hits = spark.createDataFrame([(q, r + 1, f"c{(q * q * r) % 97}", 0.5) for q in range(300) for r in range(3)], "query_id long, rank int, chunk_id string, distance double")
+    got = rt.with_chunks(hits, texts, "id", ["text"], None)
+    want = {(q, r + 1, f"text {(q * q * r) % 97}") for q in range(300) for r in range(3)}
+    rows = [(r.query_id, r.rank, r.text) for r in got.collect()]
+    assert set(rows) == want and len(rows) == 900
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bitmap_construct_agg") == 1
+    kept = rt._hit_chunks(texts.withColumnRenamed("id", "chunk_id"), hits).count()
+    assert 97 <= kept + 60 and kept < 200
+    same = rt.with_chunks(hits, texts, "id", ["text"], 900)
+    assert sorted((r.query_id, r.rank, r.text) for r in same.collect()) == sorted(rows)
+    assert rt.with_chunks(hits.where("false"), texts, "id", ["text"], None).count() == 0

@@ -84,13 +84,17 @@ def test_a_document_that_shrinks_leaves_no_chunk_behind(spark, tmp_path):
     chunk = lambda doc, n, text: [(f"{doc}-{i}", doc, i, text, None, None) for i in range(n)]
     made = lambda rows: spark.createDataFrame(rows, col.CHUNKS)
     root = str(tmp_path)
-    col.write_changes(made(chunk("z", 1, "only a change")), root, "d", "0")
+    col.write_changes(made(chunk("z", 1, "only a change")), root, "d")
     assert col.load_collection(spark, root, "d").count() == 1
     col.write_collection(made(chunk("a", 5, "old") + chunk("b", 2, "old")), root, "c")
-    col.write_changes(made(chunk("a", 3, "mid") + chunk("n", 1, "new")), root, "c", "1")
-    col.write_changes(made(chunk("a", 1, "new")), root, "c", "2")
+    col.write_changes(made(chunk("a", 3, "mid") + chunk("n", 1, "new")), root, "c")
+    col.write_changes(made(chunk("a", 1, "new")), root, "c")
     rows = sorted((r.chunk_id, r.text) for r in col.load_collection(spark, root, "c").collect())
     assert rows == [("a-0", "new"), ("b-0", "old"), ("b-1", "old"), ("n-0", "new")]
+    for _ in range(2):
+        col.write_changes(made([("x", None, 0, "no document", None, None)]), root, "c")
+    col.write_changes(made([]), root, "c")
+    assert col.load_collection(spark, root, "c").count() == 5
 
 
 def test_a_report_keeps_the_key_of_its_rows(spark):

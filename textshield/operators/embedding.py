@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textshield.fixed_values import DEFAULT_EMBEDDING_MODEL, MODEL_POOLING
 from textshield.functions.text import word_split
 from textshield.functions.vectors import l2_normalize
-from textshield.operators.models import Model, with_vectors
+from textshield.operators.models import Model, named_model, with_vectors
 
 HASH_DIMS = 64
 
@@ -45,24 +45,30 @@ def hash_embed(df: DataFrame, *, text: str = "text", dims: int = HASH_DIMS, out:
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * dims), pa.array(unit.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], vectors], names=[*kept, out])
 
-    return df.select(*kept, word_split(F.col(text)).alias("_words")).mapInArrow(count, ddl)
+    vectors = df.select(*kept, word_split(F.col(text)).alias("_words")).mapInArrow(count, ddl)
+    return named_model(vectors, out, f"word-hash-{dims}")
 
 
 def embed(df: DataFrame, embedder: Model | None = None, *, text: str = "text", out: str = "embedding",
-          max_chars: int | None = None) -> DataFrame:
+          max_chars: int | None = None, model_id: str | None = None) -> DataFrame:
     """Add the vector of every text by a model; without one by :func:`hash_embed`.
 
+    ``model_id`` names the model, so that a search refuses vectors of another one.
+
     ``max_chars`` is the input limit of a model. By default whole texts are embedded.
     """
     source = df if max_chars is None else df.withColumn("_input", F.substring(text, 1, max_chars))
     read = text if max_chars is None else "_input"
-    added = hash_embed(source, text=read, out=out) if embedder is None else with_vectors(source, embedder, text=read, out=out)
+    if embedder is None:
+        added = hash_embed(source, text=read, out=out)
+    else:
+        added = named_model(with_vectors(source, embedder, text=read, out=out), out, model_id)
     return added.drop("_input")
 
 
-def embed_queries(queries: DataFrame, embedder: Model | None = None, *, text: str = "query") -> DataFrame:
+def embed_queries(queries: DataFrame, embedder: Model | None = None, *, text: str = "query", model_id: str | None = None) -> DataFrame:
     """Queries are embedded as documents are."""
-    return embed(queries, embedder, text=text)
+    return embed(queries, embedder, text=text, model_id=model_id)
 
 
 def _masked_sum(tokens: DataFrame) -> DataFrame:

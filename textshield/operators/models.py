@@ -11,6 +11,18 @@ from pyspark.sql import DataFrame
 Model = Callable[[], Callable[[list], list]]
 
 
+MODEL = "embedding_model"  # key of a vector column's metadata
+
+
+def named_model(df: DataFrame, vector: str, model_id: str | None) -> DataFrame:
+    """Note in the schema which model a vector column comes from; selections, filters and joins keep the note."""
+    return df if model_id is None else df.withMetadata(vector, {MODEL: model_id})
+
+
+def model_of(df: DataFrame, vector: str) -> str | None:
+    return df.schema[vector].metadata.get(MODEL) if vector in df.columns else None
+
+
 def with_vectors(df: DataFrame, model: Model, *, text: str, out: str) -> DataFrame:
     """Add the vector a model gives for each text, in Arrow batches."""
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], f"`{out}` array<float>"])

@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from textshield.fixed_values import ENRICH_K
 from textshield.functions.prompts import context_entry, enriched_prompt
 from textshield.functions.vectors import metric_name
+from textshield.operators.models import model_of
 from textshield.operators.nearest import Nearest, Planes, ProbedNearest, ids_of, vectors_of
 from textshield.schemas import INDEX_SETTINGS
 from textshield.session import shared_dir, write_once
 
 QUERY_BYTES = 64 << 20  # largest query matrix sent to every task
 HIT_ROWS = 500_000  # largest hit list joined by broadcast
+HIT_BITS = 1 << 27  # bits of the map of chunks that a larger one has hit, 16 MB
+POPULAR_HITS = 100_000  # hits of one chunk that one task joins
 TASK_GROUPS = 1024  # groups of tasks whose hits are merged before those of all tasks
 BUCKET_ROWS = 256  # chunks that a bucket of an index should have
 MOST_BITS = 10
@@ -29,6 +32,13 @@ SAMPLE_ROWS, SAMPLE_QUERIES = 4_000, 200  # chunks and queries that the number o
 RECALL = 0.92
 
 
+def require_one_model(queries: DataFrame, query_vector: str, chunks: DataFrame, chunk_vector: str) -> None:
+    """Refuse queries that another model has embedded than the chunks. A vector that names no model passes."""
+    asked, stored = model_of(queries, query_vector), model_of(chunks, chunk_vector)
+    if asked and stored and asked != stored:
+        raise ValueError(f"chunks were embedded by {stored}, queries by {asked}")
+
+
 def _side(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     return df.select(F.col(key).alias(name), F.col(vector).alias("vector")).where("vector is not null")
 
@@ -101,6 +111,7 @@ def _search(q: DataFrame, c: DataFrame, k: int, query_bytes: int, make) -> tuple
 
 def _searched(queries: DataFrame, chunks: DataFrame, k: int, metric: str | None, *, query_id: str = "query_id", chunk_id: str = "chunk_id",
               vector: str = "embedding", exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> tuple[DataFrame, int]:
+    require_one_model(queries, vector, chunks, vector)
     name = metric_name(metric)
     make = lambda ids, vectors: Nearest(ids, vectors, k, name, exclude_self)
     return _search(_side(queries, query_id, vector, "query_id"), _side(chunks, chunk_id, vector, "chunk_id"), k, query_bytes, make)
@@ -223,6 +234,7 @@ def search_index(queries: DataFrame, index: Index, k: int = ENRICH_K, *, query_i
     Chunks stay in place, as in an exact search; a task measures a bucket only against the queries
     that probe it, and buckets that none of them probes are not read.
     """
+    require_one_model(queries, vector, index.rows, "vector")
     planes, probes, name = index.planes, index.probes, index.metric
     q = write_once(_side(queries, query_id, vector, "query_id"), "queries")
     rows = index.rows
@@ -256,10 +268,38 @@ def approx_topk(queries: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame, chunk_id: str, columns: Sequence[str], hit_rows: int | None) -> DataFrame:
-    """Add chunk columns to hits. A hit list of known, small size goes to the chunks, not the reverse."""
+    """Add chunk columns to hits.
+
+    A hit list of known, small size goes to the chunks, not the reverse. Of a larger one a bit map of
+    fixed size goes to them, so that chunks which no query has hit are set aside where they are read,
+    and only the others are shuffled. A chunk that very many queries have hit is copied for shares of
+    them, so that its hits do not meet in one task.
+    """
     wanted = chunks.select(F.col(chunk_id).alias("chunk_id"), *columns)
-    known = hit_rows is not None and hit_rows <= HIT_ROWS
-    return wanted.join(F.broadcast(hits) if known else hits, "chunk_id")
+    if hit_rows is not None and hit_rows <= HIT_ROWS:
+        return wanted.join(F.broadcast(hits), "chunk_id")
+    hits = write_once(hits, "hits")
+    popular = hits.groupBy("chunk_id").agg(F.ceil(F.count("*") / POPULAR_HITS).cast("int").alias("_shares")).where("_shares > 1")
+    # one popular chunk for so many hits at most
+    few = hits.count() // POPULAR_HITS <= HIT_ROWS
+    popular = F.broadcast(popular) if few else popular
+    share = F.coalesce(F.pmod(F.xxhash64("query_id"), F.col("_shares")), F.lit(0))
+    left = hits.join(popular, "chunk_id", "left").withColumn("_share", share.cast("int")).drop("_shares")
+    right = _hit_chunks(wanted, hits).join(popular, "chunk_id", "left")
+    right = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    return left.join(right, ["chunk_id", "_share"]).drop("_share")
+
+
+def _hit_chunks(wanted: DataFrame, hits: DataFrame) -> DataFrame:
+    """Chunks whose id is among those of the hits, and a few others that share a bit with them."""
+    bit = F.pmod(F.xxhash64("chunk_id"), F.lit(HIT_BITS))
+    maps = hits.select(F.bitmap_bucket_number(bit).alias("_map"), F.bitmap_bit_position(bit).alias("at"))
+    maps = maps.groupBy("_map").agg(F.bitmap_construct_agg("at").alias("_bits"))
+    # HIT_BITS / 8 bytes in all, however many hits there are
+    placed = wanted.withColumns({"_map": F.bitmap_bucket_number(bit), "_at": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "_map")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = F.expr("shiftright(_byte, CAST(_at % 8 AS INT))").bitwiseAND(1) == 1
+    return placed.withColumn("_byte", byte).where(known).drop("_map", "_at", "_bits", "_byte")
 
 
 def assemble_context(hits: DataFrame, *, text: str = "text") -> DataFrame:
@@ -299,12 +339,33 @@ def enrich(prompts: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: str
     return joined.withColumn("enriched_prompt", built)
 
 
+COMPARISONS = {
+    "eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "gt": lambda c, v: c > v, "ge": lambda c, v: c >= v, "lt": lambda c, v: c < v,
+    "le": lambda c, v: c <= v, "in": lambda c, v: c.isin(*v), "prefix": lambda c, v: c.startswith(v), "null": lambda c, v: c.isNull() if v else c.isNotNull(),
+}
+
+
 def metadata_filter(chunks: DataFrame, **wanted) -> DataFrame:
-    """Keep chunks whose columns have the wanted value (or one of a list) before ranking.
+    """Keep chunks by conditions on their columns before ranking.
 
-    Conditions on plain columns reach the Parquet scan.
+    A condition is a value, a list of values, or comparisons such as ``{"ge": 3, "lt": 9}`` (``eq, ne,
+    gt, ge, lt, le, in, prefix, null``), all of which must hold. Conditions on plain columns reach the
+    Parquet scan, those on entries of a map do not: :func:`shred_metadata` makes columns of them.
     """
     for name, value in wanted.items():
-        listed = value if isinstance(value, (list, tuple, set)) else [value]
-        chunks = chunks.where(F.col(name).isin(*listed))
+        if name not in chunks.columns:
+            raise ValueError(f"chunks have no column {name}, known are {chunks.columns}")
+        conditions = value if isinstance(value, dict) else {"in": value} if isinstance(value, (list, tuple, set)) else {"eq": value}
+        for comparison, bound in conditions.items():
+            if comparison not in COMPARISONS:
+                raise ValueError(f"unknown comparison {comparison!r}, known are {sorted(COMPARISONS)}")
+            chunks = chunks.where(COMPARISONS[comparison](F.col(name), bound))
     return chunks
+
+
+def shred_metadata(chunks: DataFrame, types: dict[str, str], metadata: str = "metadata") -> DataFrame:
+    """Add a typed column for each wanted entry of the metadata map; one that is missing or of another type is null.
+
+    Store chunks with these columns, ordered or partitioned by the most selective, and filter by them.
+    """
+    return chunks.withColumns({name: F.try_element_at(metadata, F.lit(name)).try_cast(kind) for name, kind in types.items()})

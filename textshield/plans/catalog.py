@@ -5,6 +5,7 @@ from textshield.plans import (  # noqa: F401  importing a module registers its q
     evaluation_queries,
     retrieval_queries,
     screening_queries,
+    source_queries,
     text_queries,
 )
 from textshield.plans.registry import QUERIES, SQL

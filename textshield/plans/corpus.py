@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from textshield.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
 from textshield.operators.chunking import assign_ids, chunk_recursive
-from textshield.operators.embedding import embed
-from textshield.operators.models import Model
+from textshield.operators.embedding import HASH_DIMS, embed
+from textshield.operators.models import Model, model_of, named_model
 from textshield.sources.collections import write_collection, write_settings
 
-HASH_MODEL = "word-hash-64"
+HASH_MODEL = f"word-hash-{HASH_DIMS}"
 
 
 def collection_chunks(docs: DataFrame, name: str, *, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
@@ -30,8 +30,9 @@ def collection_chunks(docs: DataFrame, name: str, *, size: int = CHUNK_SIZE, ove
         parts = keep.withColumn("chunk_ix", F.lit(0))
     named = assign_ids(parts, name, user_id=None if chunked else user_id)
     vectors = embed(named, embedder)
-    return vectors.select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "chunk_ix", "text", "metadata",
-                          F.col("embedding").cast("array<float>").alias("embedding"))
+    chunks = vectors.select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "chunk_ix", "text", "metadata",
+                            F.col("embedding").cast("array<float>").alias("embedding"))
+    return named_model(chunks, "embedding", model_of(vectors, "embedding"))
 
 
 def build_collection(docs: DataFrame, root: str, name: str, *, model_id: str = HASH_MODEL, **options) -> None:

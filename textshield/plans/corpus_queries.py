@@ -6,16 +6,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textshield.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
+from textshield.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE, SPACE
 from textshield.functions.vectors import distance, l2_normalize
 from textshield.operators import embedding as emb
-from textshield.operators.chunking import assign_ids, chunk_recursive, chunk_window, corpus_stats
+from textshield.operators.chunking import assign_ids, chunk_language, chunk_recursive, chunk_window, corpus_stats
+from textshield.operators.retrieval import metadata_filter, shred_metadata, topk
 from textshield.operators.upserts import fill_metadata, update, upsert
 from textshield.plans import fragments as sql
 from textshield.plans.corpus import build_collection, collection_chunks
 from textshield.plans.registry import Tables, query
 from textshield.session import shared_dir
-from textshield.sources.collections import collection_count, load_collection
+from textshield.sources.collections import collection_count, load_collection, write_changes
+from textshield.streaming.streams import build_incremental
 
 STRIDE = CHUNK_SIZE - CHUNK_OVERLAP
 WINDOWS = f"""c AS (SELECT doc_id, lang, i::INT AS chunk_ix, substr(text, i::INT * {STRIDE} + 1, {CHUNK_SIZE}) AS chunk FROM
@@ -190,3 +192,83 @@ def stored(t: Tables):
     build_collection(t.documents.select("doc_id", "text"), root, "stored", chunked=False)
     found = load_collection(t.spark, root, "stored")
     return found.select("chunk_id", "doc_id", "text", (F.round(F.array_max("embedding").cast("double"), 4) + 0.0).alias("largest"))
+
+
+def fresh(t: Tables, name: str) -> str:
+    return f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("collection_changes", f"""SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new ' ELSE '' END || text AS text, true AS one_vector FROM documents WHERE length(text) > 0
+UNION ALL SELECT (doc_id + 1000000)::VARCHAR, text, true FROM documents WHERE doc_id % 11 = 0 AND length(text) > 0""")
+def collection_changes(t: Tables):
+    """A stored collection after changed and new documents, which are written twice."""
+    docs, root = t.documents.where("length(text) > 0").select("doc_id", "text"), fresh(t, "changed")
+    build_collection(docs, root, "c", chunked=False)
+    changed = docs.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
+    added = docs.where("doc_id % 11 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    for _ in range(2):
+        write_changes(collection_chunks(changed.unionByName(added), "c", chunked=False), root, "c")
+    return load_collection(t.spark, root, "c").select("doc_id", "text", (F.size("embedding") == emb.HASH_DIMS).alias("one_vector"))
+
+
+@query("incremental_collection", f"""WITH {sql.hashed('documents', 'doc_id', 'text', 'h')}
+SELECT doc_id::VARCHAR AS doc_id, text, round(list_max(e)::FLOAT::DOUBLE, 4) + 0.0 AS largest FROM documents JOIN h ON h.k = doc_id""")
+def incremental(t: Tables):
+    """A collection built from a stream of files, one file a batch, and started again when all files are done."""
+    folder = fresh(t, "stream")
+    t.documents.select("doc_id", "text").repartition(3).write.parquet(f"{folder}/in")
+    read = lambda: t.spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for _ in range(2):
+        build_incremental(read(), folder, "c", f"{folder}/checkpoint", chunked=False).awaitTermination()
+    found = load_collection(t.spark, folder, "c")
+    return found.select("doc_id", "text", (F.round(F.array_max("embedding").cast("double"), 4) + 0.0).alias("largest"))
+
+
+RANGE_K = 4
+
+
+@query("metadata_range", f"""WITH v AS (SELECT vec_id AS k, embedding::DOUBLE[] AS e FROM embeddings),
+c AS (SELECT v.k, v.e FROM v JOIN documents d ON d.doc_id = v.k WHERE d.n_chars >= 300 AND d.n_chars < 3000 AND d.source <> 'src1' AND d.lang LIKE 'e%'),
+h AS ({sql.ranked('cosine', RANGE_K, 'v', 'c')}) SELECT query_id, rank::INT AS rank, chunk_id, round(distance, 6) + 0.0 AS distance FROM h""")
+def metadata_range(t: Tables):
+    """Chunks whose metadata is shredded into typed columns and stored; conditions on them reach the scan."""
+    entries = F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("n_chars"), F.col("n_chars").cast("string"))
+    chunks = t.documents.select("doc_id", entries.alias("metadata")).join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    folder = fresh(t, "shredded")
+    shred_metadata(chunks, {"lang": "string", "source": "string", "n_chars": "long"}).write.parquet(folder)
+    kept = metadata_filter(t.spark.read.parquet(folder), n_chars={"ge": 300, "lt": 3000}, source={"ne": "src1"}, lang={"prefix": "e"})
+    hits = topk(t.embeddings, kept, RANGE_K, "cosine", query_id="vec_id", chunk_id="doc_id")
+    return hits.withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+SOLID = f"[^{SPACE}]+"
+
+
+def solid(column):
+    """A text without white space."""
+    return F.regexp_replace(column, f"[{SPACE}]+", "")
+
+
+def joined(chunks, key: str):
+    """What the chunks of each text are together, in order, without white space."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk_ix", "chunk")))
+    return chunks.groupBy(key).agg(F.md5(solid(F.array_join(F.transform(parts, lambda p: p["chunk"]), ""))).alias("fingerprint"), F.max(F.length("chunk")).alias("longest"))
+
+
+@query("chunk_recursive_cover", f"""SELECT doc_id, md5(regexp_replace(text, '[{SPACE}]+', '', 'g')) AS fingerprint, true AS bounded,
+  CASE WHEN NOT regexp_matches(text, '[^ \n]{{{CHUNK_SIZE // 2}}}') THEN len(list_distinct(regexp_extract_all(text, '{SOLID}'))) END AS n_words FROM documents WHERE regexp_matches(text, '{SOLID}')""")
+def recursive_cover(t: Tables):
+    """Chunks without an overlap are the whole text in order; chunks with one have all its words, where no word is longer than half a chunk."""
+    docs = t.documents.select("doc_id", "text")
+    whole = joined(chunk_recursive(docs, overlap=0), "doc_id")
+    words = F.explode(F.regexp_extract_all("chunk", F.lit(SOLID), F.lit(0))).alias("word")
+    distinct = chunk_recursive(docs).select("doc_id", words).distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
+    long = docs.select("doc_id", F.col("text").rlike(rf"[^ \n]{{{CHUNK_SIZE // 2}}}").alias("long"))
+    return whole.join(distinct, "doc_id").join(long, "doc_id").select(
+        "doc_id", "fingerprint", (F.col("longest") <= CHUNK_SIZE).alias("bounded"), F.when(~F.col("long"), F.col("n")).alias("n_words"))
+
+
+@query("chunk_language_cover", f"SELECT page_id, md5(regexp_replace(html, '[{SPACE}]+', '', 'g')) AS fingerprint, true AS bounded FROM pages WHERE regexp_matches(html, '{SOLID}')")
+def language_cover(t: Tables):
+    whole = joined(chunk_language(t.pages.select("page_id", "html"), "html", overlap=0, text="html"), "page_id")
+    return whole.select("page_id", "fingerprint", (F.col("longest") <= CHUNK_SIZE).alias("bounded"))

@@ -1,91 +1,75 @@
-"""Chunk collections: Parquet folders listed in a log of finished writes."""
+"""Chunk collections: Parquet partitioned by document, and their settings."""
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textshield.operators.models import named_model
 from textshield.schemas import CHUNKS, SETTINGS
+from textshield.session import write_once
 
-LOG = "seq bigint, folder string, whole boolean"
+PARTS = 64  # partitions of a collection; a change rewrites those of its documents
+PART = "part"
 
 
 def _place(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def _log(spark: SparkSession, root: str, name: str) -> list:
-    """Finished writes, oldest first: one small row per write since the collection began."""
-    try:
-        rows = spark.read.schema(LOG).json(f"{_place(root, name)}/log").collect()
-    except AnalysisException as problem:
-        if problem.getCondition() == "PATH_NOT_FOUND":
-            return []
-        raise
-    return sorted({tuple(r) for r in rows})
-
-
-def _commit(spark: SparkSession, root: str, name: str, entry: tuple) -> None:
-    spark.createDataFrame([entry], LOG).coalesce(1).write.mode("append").json(f"{_place(root, name)}/log")
+def _part() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
 
 
-def _next(log: list) -> int:
-    return log[-1][0] + 1 if log else 1
+def _overwrite(chunks: DataFrame, root: str, name: str, mode: str) -> None:
+    """Compute the chunks first, so that they may derive from what they replace, and then write them."""
+    staged = write_once(chunks.withColumn(PART, _part()), name)
+    writer = staged.repartition(PART, F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.mode("overwrite").partitionBy(PART)
+    writer.option("partitionOverwriteMode", mode).parquet(f"{_place(root, name)}/chunks")
 
 
 def write_collection(chunks: DataFrame, root: str, name: str) -> None:
-    """Replace a collection. Readers see the old content until the new one is complete.
+    """Replace a collection. It has one writer at a time, and is not to be read while it is replaced."""
+    _overwrite(chunks, root, name, "static")
 
-    A write never touches a folder that is being read, so the new content may derive from the old.
-    A collection has one writer at a time; folders no longer listed last in the log may be removed.
-    """
-    spark = chunks.sparkSession
-    seq = _next(_log(spark, root, name))
-    folder = f"whole-{seq:08d}-{uuid.uuid4().hex}"
-    chunks.write.parquet(f"{_place(root, name)}/{folder}")
-    _commit(spark, root, name, (seq, folder, True))
 
+def write_changes(changes: DataFrame, root: str, name: str) -> None:
+    """Insert documents or replace all their chunks.
 
-def write_changes(chunks: DataFrame, root: str, name: str, tag: str) -> None:
-    """Insert documents or replace all their chunks. The same tag written twice counts once."""
-    spark = chunks.sparkSession
-    folder = f"changes-{tag}"
-    chunks.write.mode("overwrite").parquet(f"{_place(root, name)}/{folder}")
-    log = _log(spark, root, name)
-    if folder not in [entry[1] for entry in log]:
-        _commit(spark, root, name, (_next(log), folder, False))
+    Only partitions that hold a changed document are read and written again: their other documents by
+    an anti-join, and the changes. The same changes written twice make no difference. A document that
+    has no chunk among the changes stays as it was.
+    """
+    spark = changes.sparkSession
+    changes = write_once(changes, "changes")
+    # at most as many numbers as there are partitions
+    touched = [r[0] for r in changes.select(_part()).distinct().collect()]
+    if not touched:
+        return
+    current = _read(spark, root, name, changes.schema).where(F.col(PART).isin(touched))
+    replaced = changes.select(F.col("doc_id").alias("_doc")).distinct()
+    kept = current.join(replaced, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti").select(*changes.columns)
+    _overwrite(kept.unionByName(changes), root, name, "dynamic")
+
+
+def _read(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    try:
+        return spark.read.parquet(f"{_place(root, name)}/chunks")
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema).withColumn(PART, F.lit(0))
+        raise
 
 
 def load_collection(spark: SparkSession, root: str, name: str, schema=CHUNKS) -> DataFrame:
-    """The current chunks of a collection; an absent one is empty.
+    """The chunks of a collection; an absent one is empty. Their vectors name the model of the settings.
 
-    After :func:`write_changes` the newest chunks of each document win, and older ones of it go, also
-    when it has fewer chunks now. The base is only joined with the ids of changed documents, until
-    :func:`compact` folds the changes in. A change without a chunk of a document leaves it as it is.
+    Columns beyond those of ``CHUNKS``, such as shredded metadata, are kept.
     """
-    log = _log(spark, root, name)
-    if not log:
-        return spark.createDataFrame([], schema)
-    start = max((i for i, entry in enumerate(log) if entry[2]), default=None)
-    read = lambda folder: spark.read.schema(schema).parquet(f"{_place(root, name)}/{folder}")
-    base = spark.createDataFrame([], schema) if start is None else read(log[start][1])
-    later = log[0 if start is None else start + 1:]
-    if not later:
-        return base
-    changes = reduce(DataFrame.unionByName, [read(folder).withColumn("_seq", F.lit(seq)) for seq, folder, _ in later])
-    newest = changes.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("_seq").alias("_last"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc"))
-    kept = base.join(newest, same, "left_anti")
-    current = changes.join(newest, same & (F.col("_seq") == F.col("_last"))).select(*base.columns)
-    return kept.unionByName(current)
-
-
-def compact(spark: SparkSession, root: str, name: str, schema=CHUNKS) -> None:
-    write_collection(load_collection(spark, root, name, schema), root, name)
+    chunks = _read(spark, root, name, schema).drop(PART)
+    settings = read_settings(spark, root, name)
+    return named_model(chunks, "embedding", settings["model_id"] if settings and "embedding" in chunks.columns else None)
 
 
 def collection_count(chunks: DataFrame, collection: str | None = None) -> DataFrame:
@@ -111,7 +95,7 @@ def read_settings(spark: SparkSession, root: str, name: str):
 
 
 def require_model(spark: SparkSession, root: str, name: str, model_id: str) -> None:
-    """Refuse queries embedded by another model than the collection."""
+    """Refuse a collection that another model has embedded, before anything is written to it."""
     settings = read_settings(spark, root, name)
     if settings is not None and settings["model_id"] != model_id:
         raise ValueError(f"collection {name} was embedded by {settings['model_id']}, not {model_id}")

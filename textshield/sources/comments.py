@@ -16,17 +16,30 @@ def _listed(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(entries).alias("pos", "comment"))
 
 
-def read_comments(spark: SparkSession, path: str) -> DataFrame:
-    """``pos, id, status, body`` of comment files; a missing file is an error."""
-    return comments(spark.read.schema(COMMENT_FILE).option("multiLine", True).json(path))
+def _files(spark: SparkSession, path: str, schema: str, mode: str) -> DataFrame:
+    """One row a file with its ``path``. A file that is no JSON is an error, or has no content in mode ``PERMISSIVE``."""
+    reader = spark.read.schema(schema).options(multiLine=True, mode=mode, recursiveFileLookup=True)
+    return reader.json(path).select(F.col("_metadata.file_path").alias("path"), "*")
+
+
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of the files that are no JSON, which mode ``PERMISSIVE`` reads as empty."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("json")).where("json IS NULL").select("path")
+
+
+def read_comments(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    """``path, pos, id, status, body`` of comment files; file and position are the key. A missing file is an error."""
+    return comments(_files(spark, path, COMMENT_FILE, mode), "path")
 
 
 def comments(df: DataFrame, *keep: str) -> DataFrame:
     return _listed(df, *keep).select(*keep, "pos", "comment.id", "comment.status", "comment.body")
 
 
-def read_comment_payload(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_comment_payload(spark.read.schema(COMMENT_PAYLOAD).option("multiLine", True).json(path))
+def read_comment_payload(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    """The same of payload files, whose bodies are nested and have markup."""
+    return flatten_comment_payload(_files(spark, path, COMMENT_PAYLOAD, mode), "path")
 
 
 def flatten_comment_payload(df: DataFrame, *keep: str) -> DataFrame:
@@ -35,8 +48,9 @@ def flatten_comment_payload(df: DataFrame, *keep: str) -> DataFrame:
     return _listed(df, *keep).select(*keep, "pos", "comment.id", "comment.status", body.alias("body"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return page_record(spark.read.schema(PAGE_RECORD).option("multiLine", True).json(path))
+def read_pages(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    """``path, title, space_name, version, html`` of files with one page record each."""
+    return page_record(_files(spark, path, PAGE_RECORD, mode), "path")
 
 
 def page_record(df: DataFrame, *keep: str) -> DataFrame:

@@ -13,7 +13,7 @@ def read_qa(spark: SparkSession, path: str, limit: int | None = None) -> DataFra
 
     A file that is no JSON is an error.
     """
-    files = spark.read.text(path, wholetext=True).select(
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("path"), F.from_json("value", f"array<struct<{QA_FILE}>>", {"mode": "FAILFAST"}).alias("rows"))
     rows = files.select("path", F.posexplode("rows").alias("pos", "row")).select("path", "pos", "row.*")
     return rows.orderBy("path", "pos").limit(limit) if limit else rows

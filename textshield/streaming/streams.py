@@ -9,7 +9,7 @@ from textshield.operators.requests import answer_requests
 from textshield.operators.scanning import CORRUPT, scan_batch, split_requests
 from textshield.plans.corpus import HASH_MODEL, collection_chunks
 from textshield.schemas import REQUESTS
-from textshield.sources.collections import write_changes, write_settings
+from textshield.sources.collections import require_model, write_changes, write_settings
 from textshield.sources.xml import xml_documents
 
 
@@ -66,15 +66,15 @@ def xml_stream(spark: SparkSession, folder: str, files_per_trigger: int | None =
 def build_incremental(docs: DataFrame, root: str, name: str, checkpoint: str, *, model_id: str = HASH_MODEL, **options):
     """Add documents to a collection batch by batch, resuming after the last finished batch.
 
-    A batch that is repeated after a failure overwrites its own folder and is counted once; a batch
-    that fails stops the query.
+    A batch replaces its documents, so one that is repeated after a failure makes no difference; a
+    batch that fails stops the query. A collection of another model is refused.
     """
-    write_settings(docs.sparkSession, root, name, model_id=model_id, tokenizer_id=model_id)
+    spark = docs.sparkSession
+    require_model(spark, root, name, model_id)
+    write_settings(spark, root, name, model_id=model_id, tokenizer_id=model_id)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        write_changes(collection_chunks(batch, name, **options), root, name, f"{batch_id:08d}")
+        write_changes(collection_chunks(batch, name, **options), root, name)
 
     return (
         docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
-
