@@ -18,7 +18,7 @@ from textshield.schemas import EVAL_RESULT
 from textshield.session import write_at, write_once
 
 REPORT_CHARS = 500
-MEDIAN_STEPS = 100.0  # steps per point, used to find the part of the scores that holds the median
+MEDIAN_STEPS = 10_000  # steps of the range of the values, used to find the part that holds the median
 
 Reply = Callable[[Column, Column, Column], Column]
 
@@ -123,14 +123,16 @@ def evaluate_with_provider(qa: DataFrame, chunks: DataFrame, provider: Provider,
 def upper_median(values: DataFrame, column: str) -> DataFrame:
     """One row ``median``: the value at position n // 2 in ascending order, null when there is none.
 
-    Equal values are counted first. A running count over fixed steps of the value range finds the
-    step that holds the median, and only the values of that step are put in order.
+    Equal values are counted first. A running count over fixed steps of the range of the values finds
+    the step that holds the median, and only the values of that step are put in order. The values are
+    read three times, so they should be stored.
     """
-    step = F.floor(F.least(F.greatest(F.col(column), F.lit(0.0)), F.lit(100.0)) * MEDIAN_STEPS).alias("step")
-    counts = values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("step", F.floor(F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(100.0)) * MEDIAN_STEPS))
-    # at most 100 * MEDIAN_STEPS + 1 rows, so one task may order them
-    steps = values.groupBy(step).agg(F.count("*").alias("n"))
+    edges = values.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    width = ((edges["high"] or 0) - (edges["low"] or 0)) / MEDIAN_STEPS or 1.0
+    step = lambda value: F.floor((F.col(value) - F.lit(edges["low"])) / F.lit(float(width))).alias("step")
+    counts = values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select("value", "n", step("value"))
+    # at most MEDIAN_STEPS + 1 rows, so one task may order them
+    steps = values.where(F.col(column).isNotNull()).groupBy(step(column)).agg(F.count("*").alias("n"))
     ordered = Window.orderBy("step")
     before = F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     target = F.floor(F.sum("n").over(Window.partitionBy()) / 2)
@@ -145,8 +147,9 @@ def aggregate_metrics(results: DataFrame, total_time: float | None = None) -> Da
     """One row: questions, mean and upper median of valid scores, mean documents, errors, time.
 
     A score is valid when it is at least 0 and the question had no error; the documents are
-    averaged over all questions.
+    averaged over all questions. What is needed of the results is computed once and stored.
     """
+    results = write_once(results.select("llm_score", "error", "retrieved_docs_count"), "scores")
     valid = (F.col("llm_score") >= 0) & F.col("error").isNull()
     row = results.agg(
         F.count("*").alias("total_questions"),

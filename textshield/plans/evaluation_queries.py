@@ -15,7 +15,6 @@ from textshield.operators.retrieval import topk
 from textshield.plans import fragments as sql
 from textshield.plans.registry import Tables, query
 from textshield.plans.retrieval_queries import PLAIN, SCALED, scaled
-from textshield.session import write_once
 from textshield.sources.qa import qa_from_pairs
 
 # Questions are user turns with the reply as reference answer. A question of fewer than 3 words gets no vector.
@@ -62,7 +61,7 @@ o AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n F
 SELECT (SELECT count(*) FROM r) AS total_questions, round((SELECT avg(s) FROM v), 6) + 0.0 AS avg_llm_score, (SELECT s FROM o WHERE i = n // 2) AS median_llm_score,
   round((SELECT avg(retrieved_docs_count) FROM r), 6) + 0.0 AS avg_retrieval_count, (SELECT count(*) FROM r WHERE error IS NOT NULL) AS questions_with_errors""")
 def eval_metrics(t: Tables):
-    m = ev.aggregate_metrics(write_once(results(t), "eval"))
+    m = ev.aggregate_metrics(results(t))
     return m.select("total_questions", (F.round("avg_llm_score", 6) + 0.0).alias("avg_llm_score"), "median_llm_score",
                     (F.round("avg_retrieval_count", 6) + 0.0).alias("avg_retrieval_count"), "questions_with_errors")
 

@@ -50,8 +50,11 @@ def topk_relevance(t: Tables):
 
 
 def documents_with_vectors(t: Tables):
-    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    return vectors.join(t.documents.select("doc_id", "text", "source"), "doc_id")
+    """All documents; those without a given vector are embedded."""
+    given = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("given"))
+    docs = t.documents.select("doc_id", "text", "source").join(given, "doc_id", "left")
+    made = hash_embed(docs.where("given IS NULL")).drop("given")
+    return docs.where("given IS NOT NULL").withColumnRenamed("given", "embedding").unionByName(made)
 
 
 @query("metadata_filter", f"""WITH {PLAIN},
@@ -63,8 +66,9 @@ def english_only(t: Tables):
     return shown(topk(t.embeddings, chunks, K, "cosine", query_id="vec_id", chunk_id="doc_id"))
 
 
-@query("context_assembly", f"""WITH {PLAIN},
-c AS (SELECT v.k, v.e FROM v JOIN documents d ON d.doc_id = v.k),
+@query("context_assembly", f"""WITH {PLAIN}, bare AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT k FROM v)),
+{sql.hashed('bare', 'doc_id', 'text', 'dv')},
+c AS (SELECT v.k, v.e FROM v JOIN documents d ON d.doc_id = v.k UNION ALL SELECT k, e FROM dv),
 h AS ({sql.ranked('cosine', ENRICH_K, 'v', 'c')})
 SELECT query_id, count(*)::INT AS n_docs,
   string_agg('[Document ' || rank || E']\\n' || d.text || E'\\n', E'\\n' ORDER BY rank) AS context

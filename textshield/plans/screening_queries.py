@@ -19,6 +19,7 @@ from textshield.fixed_values import (
     NO_REPLY,
     SPACE,
 )
+from textshield.fixed_values import REPORT_TEXTS as R
 from textshield.functions.detection import classify2, classify3
 from textshield.functions.rules import (
     BENIGN_LOGIT,
@@ -490,3 +491,44 @@ def rewrite_with_context(t: Tables):
     chunks = hash_embed(t.documents.select("doc_id", "text"))
     done = answer_requests(asked, key="prompt_id", chunks=chunks, chunk_id="doc_id", metric="cosine", retrieval={"texts": t.documents}, pause=0.0)
     return done.select("prompt_id", "valid", "route", "sanitized_prompt")
+
+
+def report(name: str, *values: str) -> str:
+    """A text of the reports with values filled in."""
+    return f"printf({', '.join([sql.text(R[name]), *values])})" if values else sql.text(R[name])
+
+
+PAGE_REPLY = """CASE page_id % 3 WHEN 0 THEN '{"is_harmful": true, "severity": "high", "issues": ["a", "b"], "recommendations": ["c"]}' WHEN 1 THEN '{"is_harmful": false}' ELSE '' END"""
+BULLETS = "'- a' || chr(10) || '- b' || chr(10) || chr(10)"
+
+
+@query("page_report", rf"""WITH p AS (SELECT page_id, url, {PAGE_REPLY} AS reply, regexp_replace({SOME_BLANK}, '<.*?>', '', 'g') AS text FROM pages),
+w AS (SELECT *, NOT regexp_matches(text, '[^{SPACE}]') AS blank, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS preview FROM p)
+SELECT page_id, CASE WHEN blank THEN {report('page_empty', 'url')} ELSE {report('page_head', 'url', "'Unknown'", '(page_id % 7)::VARCHAR', 'page_id::VARCHAR', 'preview')} || CASE page_id % 3
+  WHEN 0 THEN {report('page_harmful', "'HIGH'")} || {report('page_issues')} || {BULLETS} || {report('page_advice')} || '- c' || chr(10) || chr(10) || {report('analysis', 'reply')}
+  WHEN 1 THEN {report('page_safe')} || {report('analysis', 'reply')} ELSE {report('page_raw', sql.text(MODERATION_FAILED))} END END AS fragment FROM w""")
+def page_report(t: Tables):
+    page = F.col("page_id")
+    reply = F.when(page % 3 == 0, '{"is_harmful": true, "severity": "high", "issues": ["a", "b"], "recommendations": ["c"]}').when(page % 3 == 1, '{"is_harmful": false}').otherwise("")
+    pages = t.pages.withColumns({"html": F.when(page % 7 == 0, "<p> <br></p>").otherwise(F.col("html")), "title": F.col("url"),
+                                 "space_name": F.lit(None).cast("string"), "version": page % 7})
+    return mod.page_report(mod.moderate_pages(pages, reply))
+
+
+@query("rewrite_report", f"""WITH {REPLIES} SELECT conv_id, turn AS pos, {report('passage_head', '(turn + 1)::VARCHAR', 'conv_id::VARCHAR', 'text')} || {report('passage_analysis')} || CASE
+  WHEN reply = '' THEN {report('passage_unread')} || {report('passage_kept')}
+  WHEN contains(reply, 'true') THEN {report('passage_harmful', "'HIGH'")} || {report('passage_issues', report('passage_issue', "'a'") + ' || ' + report('passage_issue', "'b'"))} || {report('passage_rewritten', "'re: ' || text")}
+  ELSE {report('passage_safe')} || {report('passage_kept')} END || {report('rule')} AS fragment FROM r""")
+def rewrite_report(t: Tables):
+    """Verdicts and rewrites of turns, as blocks of a page."""
+    done = mod.moderate_and_rewrite(turns_as_comments(t), _reply(), F.concat(F.lit("re: "), F.col("body")), text="body")
+    return mod.rewrite_report(done, "conv_id")
+
+
+@query("rewrite_report_plain", f"""SELECT conv_id, turn AS pos, {report('passage_head', '(turn + 1)::VARCHAR', 'conv_id::VARCHAR', 'text')} || {report('passage_rewritten', "CASE WHEN turn % 4 = 3 THEN text ELSE 're: ' || text END")}
+  || CASE WHEN turn % 4 = 3 THEN {report('passage_error', "'down'")} ELSE '' END || {report('rule')} AS fragment FROM conversations""")
+def rewrite_report_plain(t: Tables):
+    """Rewrites without verdicts; some fail."""
+    failed = F.when(F.col("pos") % 4 == 3, "down")
+    done = mod.rewrite_harmful(turns_as_comments(t), F.concat(F.lit("re: "), F.col("body")), text="body", error=failed, detect=False)
+    return mod.rewrite_report(done, "conv_id", with_verdict=False)
