@@ -49,11 +49,13 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     the first. What covered lines leave is joined again by ``\\n``. Texts with fewer lines than a
     window, null and empty ones stay as they are. Rows equal in key and text are one occurrence and
     get equal results; an empty table gives an empty result. Columns named ``n_lines`` or
-    ``n_removed`` are replaced.
+    ``n_removed``, in any case, are replaced; all others keep their values, whatever their names.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     cuts = later_windows(docs, key, text, window).groupBy("_r1", "_r2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_cuts"))
-    marked = _identified(docs.select(*kept), key, text).join(cuts, ["_r1", "_r2"], "left")
+    # the row goes along as one column, so its names meet no other ones
+    packed = docs.select(F.struct(*kept).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    marked = _identified(packed, "_key", "_text").join(cuts, ["_r1", "_r2"], "left")
     n, cut = F.size("_lines"), F.col("_cuts")
     # starts and stops of windows rise together, so a span ends where the next start lies beyond
     begins = F.filter(cut, lambda x, i: (i == 0) | (x["start"] > F.get(cut, i - 1)["stop"] + 1))
@@ -69,6 +71,6 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     rest = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), between)), "\n")
     removed = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"] + 1)
     return marked.select(
-        *[F.when(spans.isNull(), F.col(c)).otherwise(rest).alias(c) if c == text else F.col(c) for c in kept],
+        *[F.when(spans.isNull(), F.col("_row")[c]).otherwise(rest).alias(c) if c.lower() == text.lower() else F.col("_row")[c].alias(c) for c in kept],
         n.cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
     )
