@@ -30,14 +30,27 @@ TERM = r"\p{L}{3,}"
 CHANCE, GENERALISE, REMOVE = 0.01, 0.9, 0.97
 BROADCAST_TERMS = 1 << 20
 BROADCAST_SETS = 1 << 18
+#: Matches that are placed together.
+BLOCK = 256
 SPAN = "array<struct<start:int,stop:int,kind:int,match:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spans_of(text: Column, pattern: Column, kind: Column) -> Column:
-    """Start, end, kind and text of all matches of a pattern, from left to right, in code points."""
+    """Start, end, kind and text of all matches of a pattern, from left to right, in code points.
+
+    Adding to an array copies it, so matches are placed in blocks, whose starts are added up first; the
+    work grows with the number of matches, not with its square.
+    """
     between = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    # the last part has no match; a lambda would split the text again for every match
+    pairs = F.filter(F.zip_with(matches, between, lambda m, b: F.struct(m.alias("m"), b.alias("b"))), lambda x: x["m"].isNotNull())
+    size = lambda x: F.length(x["b"]) + F.length(x["m"])
 
     def step(a: Column, x: Column) -> Column:
         low = a["at"] + F.length(x["b"])
@@ -45,9 +58,17 @@ def spans_of(text: Column, pattern: Column, kind: Column) -> Column:
         one = F.struct(low.alias("start"), high.alias("stop"), kind.alias("kind"), x["m"].alias("match"))
         return F.struct(high.alias("at"), F.concat(a["found"], F.array(one)).alias("found"))
 
-    # the last part has no match; a lambda would split the text again for every match
-    pairs = F.filter(F.zip_with(matches, between, lambda m, b: F.struct(m.alias("m"), b.alias("b"))), lambda x: x["m"].isNotNull())
-    return F.aggregate(pairs, start, step, lambda a: a["found"])
+    def cut(all_pairs: Column) -> Column:
+        last = F.floor(F.greatest(F.size(all_pairs) - 1, F.lit(0)) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_pairs, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def placed(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + size(x)))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        first = lambda at, i: F.struct(at[i].alias("at"), F.array().cast(SPAN).alias("found"))
+        return _let(starts, lambda at: F.flatten(F.transform(blocks, lambda block, i: F.aggregate(block, first(at, i), step, lambda a: a["found"]))))
+
+    return _let(pairs, lambda p: _let(cut(p), placed))
 
 
 def digits(match: Column) -> Column:
