@@ -253,8 +253,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, all columns, with one row of each component; see ``near_duplicates``.
 
-    Every row without words stays, apart from repetitions of one key and text, of which one stays.
+    Every row without words stays, apart from repetitions of one key and text, of which one stays; a
+    null key is a key like others. Columns keep their values whatever their names. An empty table
+    gives an empty result.
     """
-    chosen = near_duplicates(docs, key, text, **options).filter("chosen").select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).distinct()
-    marked = docs.withColumns({"_r1": F.xxhash64(key, text), "_r2": F.xxhash64(text, key)})
-    return marked.join(chosen, ["_r1", "_r2"]).dropDuplicates(["_r1", "_r2"]).drop("_r1", "_r2")
+    chosen = near_duplicates(docs, key, text, **options).filter("chosen").select("r1", "r2").distinct()
+    # the row goes along as one column, so its names meet no other ones
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(key, text).alias("r1"), F.xxhash64(text, key).alias("r2"))
+    return marked.join(chosen, ["r1", "r2"]).dropDuplicates(["r1", "r2"]).select("row.*")

@@ -187,6 +187,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "d
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = TOXIC) -> DataFrame:
-    """The documents, all columns, whose score is below ``threshold``."""
+    """The documents, all columns, whose score is below ``threshold``.
+
+    Null and empty texts are scored like texts without words, repeated rows alike; columns keep their
+    values whatever their names; an empty table gives an empty result.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
     return model.score(packed).filter(F.col("score") < threshold).select("row.*")
