@@ -179,18 +179,20 @@ def build_index(chunks: DataFrame, metric: str | None = "cosine", *, chunk_id: s
     """Cut the chunks into buckets, the more the more chunks there are.
 
     How many buckets a query probes is measured on at most 4,000 chunks, those with the smallest
-    hashes of their ids, unless ``probes`` is given, as a number or a share of all buckets. For ``l2`` the planes pass through the mean of
-    these; inner products have no such index. All chunks are indexed; nothing is shuffled.
+    hashes of their ids, unless ``probes`` is given, as a number or a share of all buckets. For ``l2``
+    the planes pass through the mean of these chunks; inner products have no such index. All chunks
+    are indexed; nothing is shuffled.
     """
     name = metric_name(metric)
     if name == "ip":
         raise ValueError("an index needs the metric cosine or l2")
     c = _side(chunks, chunk_id, vector, "chunk_id")
-    n = c.count()
-    sample = c.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE_ROWS).select("vector").toArrow()
-    rows = vectors_of(sample["vector"]) if sample.num_rows else np.zeros((0, 1))
-    rows = rows[np.isfinite(rows).all(axis=1)]
-    normals = hyperplanes(index_bits(n, bucket_rows), rows.shape[1])
+    seen = c.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    rows = np.zeros((0, seen["dim"] or 1))
+    if seen["n"] and (probes is None or name == "l2"):
+        rows = vectors_of(c.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE_ROWS).select("vector").toArrow()["vector"])
+        rows = rows[np.isfinite(rows).all(axis=1)]
+    normals = hyperplanes(index_bits(seen["n"], bucket_rows), rows.shape[1])
     offsets = normals @ rows.mean(axis=0) if name == "l2" and len(rows) else np.zeros(len(normals))
     planes = Planes(normals, offsets)
     buckets = 1 << planes.bits
