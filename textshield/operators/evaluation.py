@@ -67,7 +67,9 @@ def retrieved(qa: DataFrame, chunks: DataFrame, k: int = EVAL_K, metric: str | N
     """``idx, prompt, response, context, n_docs, error`` of every question ``idx, prompt, response, embedding``.
 
     The context is whole. A question without a vector cannot be searched: no documents, and the error.
+    The questions are computed once.
     """
+    qa = write_once(qa, "questions")
     found = retrieve(qa, chunks, k, metric, query_id="idx", chunk_id=chunk_id, text=text, **options)
     found = found.select(F.col("query_id").alias("idx"), "context", "n_docs")
     joined = qa.select("idx", "prompt", "response", F.col("embedding").isNull().alias("_lost")).join(found, "idx", "left")

@@ -90,8 +90,10 @@ def _scan(table: pa.Table, c: DataFrame, ddl: str, arrow: pa.Schema, make) -> Da
 
 
 def _search(q: DataFrame, c: DataFrame, k: int, query_bytes: int, make) -> tuple[DataFrame, int]:
-    """Ranked hits and the number of queries. ``make`` gives the running result of a task for ids and vectors."""
-    q = write_once(q, "queries")
+    """Ranked hits of a stored query side, and the number of queries.
+
+    ``make`` gives the running result of a task for ids and vectors.
+    """
     ddl, arrow = _hit_schema(q, c)
     n, size = query_size(q)
     n_blocks = math.ceil(size / query_bytes) if query_bytes and size > query_bytes else 1
@@ -114,7 +116,8 @@ def _searched(queries: DataFrame, chunks: DataFrame, k: int, metric: str | None,
     require_one_model(queries, vector, chunks, vector)
     name = metric_name(metric)
     make = lambda ids, vectors: Nearest(ids, vectors, k, name, exclude_self)
-    return _search(_side(queries, query_id, vector, "query_id"), _side(chunks, chunk_id, vector, "chunk_id"), k, query_bytes, make)
+    q = write_once(_side(queries, query_id, vector, "query_id"), "queries")
+    return _search(q, _side(chunks, chunk_id, vector, "chunk_id"), k, query_bytes, make)
 
 
 def topk(queries: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: str | None = None, *,
@@ -334,7 +337,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: s
 def enrich(prompts: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: str | None = None, *,
            prompt_id: str = "prompt_id", prompt: str = "prompt", vector: str = "embedding",
            chunk_id: str = "chunk_id", text: str = "text", **options) -> DataFrame:
-    """Add ``documents`` and ``enriched_prompt``; both stay null where nothing was retrieved."""
+    """Add ``documents`` and ``enriched_prompt``; both stay null where nothing was retrieved. The prompts are computed once."""
+    prompts = write_once(prompts, "prompts")
     found = retrieve(prompts, chunks, k, metric, query_id=prompt_id, chunk_id=chunk_id, text=text, vector=vector, **options)
     joined = prompts.join(found.select(F.col("query_id").alias(prompt_id), "documents"), prompt_id, "left")
     built = F.when(F.size("documents") > 0, enriched_prompt(F.col("documents"), F.col(prompt)))
