@@ -36,6 +36,7 @@ def read(source):
     ("<header><h1>Site</h1></header><div class=cookieConsent>ok</div><p>body", ["body"]),
     ("<div role=navigation>n</div><div role=main><p>q</p></div><div>r</div>", ["q"]),
     ("<article>one</article><p>between</p><article>two</article>", ["one", "two"]),
+    ("<div class='no-sidebar with_comments'><article class='post comments-open'><h2>T</h2><p>a</p><div class='comment-body'>c</div></article></div>", ["T", "a"]),
     ("<P>big</P><TITLE>t</TITLE><textarea><p>x</textarea>", ["big"]),
 ])
 def test_blocks(source, blocks):

@@ -15,6 +15,8 @@ _token = re.compile(
 _attribute = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _name = re.compile(r"[a-z0-9]+")
 _hump = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: Class names that tell what a page has or how it is, such as ``has-sidebar`` or ``comments-open``, say nothing of an element.
+_state = re.compile(r"(?:has|no|not|is|with|without)[-_]|.*[-_](?:open|closed|enabled|disabled|active)$", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -63,7 +65,8 @@ class Page:
         tokens, main = frozenset(), tag in MAIN
         if "=" in attributes:
             found = [(m[0].lower(), m[1] or m[2] or m[3]) for m in _attribute.findall(attributes)]
-            tokens = frozenset(t for _, value in found for t in _name.findall(_hump.sub(" ", value).lower()))
+            names = [name for _, value in found for name in value.split() if not _state.match(name)]
+            tokens = frozenset(t for name in names for t in _name.findall(_hump.sub(" ", name).lower()))
             main = main or ("role", "main") in found or ("itemprop", "articleBody") in found
         self.tokens.append(tokens)
         self.main.append(main)
