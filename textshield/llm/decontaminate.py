@@ -20,7 +20,9 @@ from textshield.llm.shipping import ship
 from textshield.session import write_once
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Texts that are cut at a time.
+CUT_BYTES = 1 << 20
 BLOCK_BYTES = 64 << 20
 STATE = "key {key}, text string, n_words long, starts array<long>, ends array<long>, items array<string>"
 
@@ -165,7 +167,7 @@ def remove_items(docs: DataFrame, items: DataFrame, text: str = "text", **option
     schema = "key " + found.schema["key"].dataType.simpleString() + ", text string, starts array<long>, ends array<long>"
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in batches(stream, "text", CUT_BYTES):
             texts, starts, ends = (batch.column(i).to_pylist() for i in (1, 2, 3))
             for i in range(len(texts)):
                 if starts[i]:
