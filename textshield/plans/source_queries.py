@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from textshield.fixed_values import UNKNOWN
 from textshield.operators import evaluation as ev
 from textshield.operators.conversations import conversation_pairs
-from textshield.plans import fragments as sql
 from textshield.plans.evaluation_queries import SPREAD, spread
 from textshield.plans.registry import Tables, query
 from textshield.plans.text_queries import PLAIN, STRIPPED
