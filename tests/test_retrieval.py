@@ -7,7 +7,7 @@ from textshield.operators import retrieval as rt
 from textshield.operators.embedding import embed
 from textshield.operators.evaluation import evaluate
 from textshield.operators.models import model_of
-from textshield.operators.nearest import Nearest
+from textshield.operators.nearest import Nearest, Planes, ProbedNearest, Rows
 from textshield.plans.corpus import build_collection
 from textshield.sources.collections import load_collection
 
@@ -89,6 +89,50 @@ def test_running_result_does_not_depend_on_batches():
     assert all(r == results[0] for r in results)
 
 
+def test_many_blocks_take_few_passes(spark, monkeypatch):
+    """Blocks that fit a pass together share it; shares beyond it have passes of their own."""
+    q, c = small_vectors(40), small_vectors(90)
+    scans, scan = [], rt._scan
+    monkeypatch.setattr(rt, "_scan", lambda *a: scans.append(a[-1]) or scan(*a))
+    for pass_bytes, passes in ((1 << 20, 1), (1000, 3)):
+        scans.clear()
+        found = rt.topk(frame(spark, q), frame(spark, c).repartition(3), 4, "l2", query_id="id", chunk_id="id", query_bytes=200, pass_bytes=pass_bytes)
+        assert ranked(found) == brute(q, c, 4, "l2")
+        assert len(scans) == passes and min(scans) > 1
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+@pytest.mark.parametrize("size", [1.0, 1e-12, 1e5, 1e20])
+def test_single_precision_loses_no_neighbour(metric, size):
+    """Rows that differ beyond single precision, in magnitudes that it holds and that it does not."""
+    base = rng.normal(size=16)
+    c = (base + 1e-9 * rng.normal(size=(400, 16))) * size
+    q = np.concatenate([c[:20], rng.normal(size=(20, 16)) * size])
+    nearest = Nearest(np.arange(40), q, 5, metric, True)
+    nearest.add(np.arange(400), c)
+    for i in range(40):
+        d = nearest._exact(np.full(400, i), np.arange(400), Rows(np.arange(400), c, metric))
+        want = [j for j in np.lexsort((np.arange(400), d)) if j != i][:5]
+        assert nearest.ids[nearest.q == i].tolist() == want
+
+
+def test_a_probe_of_most_buckets_is_one_product(monkeypatch):
+    q = rng.normal(size=(60, 8))
+    c = rng.normal(size=(900, 8))
+    planes = Planes(rt.hyperplanes(6, 8), np.zeros(6))
+    near, calls = ProbedNearest._near, []
+    monkeypatch.setattr(ProbedNearest, "_near", lambda self, *a: calls.append(1) or near(self, *a))
+    found = {}
+    for wide in (4, 0):
+        monkeypatch.setattr("textshield.operators.nearest.WIDE", wide)
+        calls.clear()
+        nearest = ProbedNearest(np.arange(60), q, 5, "cosine", True, planes, 40)
+        nearest.add(np.arange(900), c)
+        found[wide] = (nearest.q.tolist(), nearest.ids.tolist(), nearest.d.tolist())
+        assert (len(calls) == 1) == (wide == 4)
+    assert found[4] == found[0]
+
+
 def test_kernel_and_column_agree(spark):
     c = [(i, rng.normal(size=16).astype(np.float32).astype(float)) for i in range(30)]
     df = frame(spark, c)

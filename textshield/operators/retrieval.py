@@ -17,11 +17,12 @@ from textshield.fixed_values import ENRICH_K
 from textshield.functions.prompts import context_entry, enriched_prompt
 from textshield.functions.vectors import metric_name
 from textshield.operators.models import model_of
-from textshield.operators.nearest import Nearest, Planes, ProbedNearest, ids_of, vectors_of
+from textshield.operators.nearest import Nearest, Planes, ProbedNearest, Rows, ids_of, vectors_of
 from textshield.schemas import INDEX_SETTINGS
 from textshield.session import shared_dir, write_once
 
-QUERY_BYTES = 64 << 20  # largest query matrix sent to every task
+QUERY_BYTES = 64 << 20  # largest query matrix that a task measures at once
+PASS_BYTES = 64 << 20  # query blocks together that one pass over the chunks sends to every task
 HIT_ROWS = 500_000  # largest hit list joined by broadcast
 HIT_BITS = 1 << 27  # bits of the map of chunks that a larger one has hit, 16 MB
 POPULAR_HITS = 100_000  # hits of one chunk that one task joins
@@ -76,61 +77,71 @@ def query_size(queries: DataFrame) -> tuple[int, int]:
     return seen["n"], seen["n"] * ((seen["dim"] or 0) * 8 + (seen["width"] or 0))
 
 
-def _scan(table: pa.Table, c: DataFrame, ddl: str, arrow: pa.Schema, make) -> DataFrame:
-    """One pass over the chunks with a query matrix of checked size in every task."""
+def _scan(table: pa.Table, c: DataFrame, ddl: str, arrow: pa.Schema, make, name: str, n_blocks: int) -> DataFrame:
+    """One pass over the chunks with a query side of checked size in every task, measured block by block."""
     shared = c.sparkSession.sparkContext.broadcast((ids_of(table["query_id"]), vectors_of(table["vector"])))
 
     def search(batches):
-        nearest = make(*shared.value)
+        ids, vectors = shared.value
+        edges = [len(ids) * i // n_blocks for i in range(n_blocks + 1)]
+        blocks = [make(ids[a:b], vectors[a:b]) for a, b in zip(edges, edges[1:])]
         for batch in batches:
-            nearest.add(ids_of(batch.column("chunk_id")), vectors_of(batch.column("vector")))
-        yield nearest.table(arrow)
+            rows = Rows(ids_of(batch.column("chunk_id")), vectors_of(batch.column("vector")), name)
+            for nearest in blocks:
+                nearest.add_rows(rows)
+        for nearest in blocks:
+            yield nearest.table(arrow)
 
     return c.mapInArrow(search, ddl)
 
 
-def _search(q: DataFrame, c: DataFrame, k: int, query_bytes: int, make) -> tuple[DataFrame, int]:
+def _search(q: DataFrame, c: DataFrame, k: int, query_bytes: int, pass_bytes: int, make, name: str) -> tuple[DataFrame, int]:
     """Ranked hits of a stored query side, and the number of queries.
 
     ``make`` gives the running result of a task for ids and vectors.
     """
     ddl, arrow = _hit_schema(q, c)
     n, size = query_size(q)
-    n_blocks = math.ceil(size / query_bytes) if query_bytes and size > query_bytes else 1
-    if n_blocks == 1:
-        return _ranked(_scan(q.toArrow(), c, ddl, arrow, make), k), n
-    # chunks stay where they are; each block of queries passes over them, and its hits are final
+    parts = lambda size, most: math.ceil(size / most) if most and size > most else 1
+    n_passes = parts(size, max(query_bytes, pass_bytes) if query_bytes else 0)
+    n_blocks = parts(math.ceil(size / n_passes), query_bytes)
+    if n_passes == n_blocks == 1:
+        return _ranked(_scan(q.toArrow(), c, ddl, arrow, make, name, 1), k), n
+    # chunks stay where they are; each share of the queries passes over them, and its hits are final
     spark, folder = q.sparkSession, f"{shared_dir(q.sparkSession)}/hits-{uuid.uuid4().hex}"
-    blocks = f"{folder}/queries"
-    q.repartition(n_blocks).withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(blocks)
-    c, blocks = write_once(c, "vectors"), spark.read.parquet(blocks)
-    for block in range(n_blocks):
-        part = blocks.where(F.col("block") == block).select("query_id", "vector")
-        hits = _ranked(_scan(part.toArrow(), c, ddl, arrow, make), k)
-        hits.write.mode("overwrite").parquet(f"{folder}/hits/block={block}")
+    shares = q.withColumn("share", F.lit(0))
+    if n_passes > 1:
+        q.repartition(n_passes).withColumn("share", F.spark_partition_id()).write.partitionBy("share").parquet(f"{folder}/queries")
+        c, shares = write_once(c, "vectors"), spark.read.parquet(f"{folder}/queries")
+    for share in range(n_passes):
+        part = shares.where(F.col("share") == share).select("query_id", "vector")
+        hits = _ranked(_scan(part.toArrow(), c, ddl, arrow, make, name, n_blocks), k)
+        hits.write.mode("overwrite").parquet(f"{folder}/hits/share={share}")
     return spark.read.schema(hits.schema).parquet(f"{folder}/hits").select(*hits.columns), n
 
 
 def _searched(queries: DataFrame, chunks: DataFrame, k: int, metric: str | None, *, query_id: str = "query_id", chunk_id: str = "chunk_id",
-              vector: str = "embedding", exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> tuple[DataFrame, int]:
+              vector: str = "embedding", exclude_self: bool = False, query_bytes: int = QUERY_BYTES,
+              pass_bytes: int = PASS_BYTES) -> tuple[DataFrame, int]:
     require_one_model(queries, vector, chunks, vector)
     name = metric_name(metric)
     make = lambda ids, vectors: Nearest(ids, vectors, k, name, exclude_self)
     q = write_once(_side(queries, query_id, vector, "query_id"), "queries")
-    return _search(q, _side(chunks, chunk_id, vector, "chunk_id"), k, query_bytes, make)
+    return _search(q, _side(chunks, chunk_id, vector, "chunk_id"), k, query_bytes, pass_bytes, make, name)
 
 
 def topk(queries: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: str | None = None, *,
          relevance: Callable[[Column], Column] | None = None, **options) -> DataFrame:
     """The k nearest chunks of every query: ``query_id, rank, chunk_id, distance``.
 
-    The query side is computed once and measured. Up to ``query_bytes`` its matrix goes to every task
-    of one scan over the chunks, and a task returns at most k rows per query. A larger query side is
-    cut into blocks of that size that pass over the chunks one after the other; the chunks are then
-    computed once too, and never moved or copied. No pair of rows is ever written out.
+    The query side is computed once and measured. Up to ``pass_bytes`` (or ``query_bytes``, if that is
+    more) its matrix goes to every task of one scan over the chunks, is measured there in blocks of at
+    most ``query_bytes``, and a task returns at most k rows per query. A larger query side is cut into
+    shares that pass over the chunks one after the other; the chunks are then computed once too, and
+    never moved or copied. No pair of rows is ever written out.
 
     Options name the columns (``query_id``, ``chunk_id``, ``vector``), leave out the hit of a row
-    on itself (``exclude_self``) and set the limit (``query_bytes``). ``relevance`` turns the distance
+    on itself (``exclude_self``) and set the limits (``query_bytes``, ``pass_bytes``). ``relevance`` turns the distance
     into an extra ``score`` column.
     """
     ranked, _ = _searched(queries, chunks, k, metric, **options)
@@ -233,7 +244,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
 
 
 def search_index(queries: DataFrame, index: Index, k: int = ENRICH_K, *, query_id: str = "query_id", vector: str = "embedding",
-                 exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
+                 exclude_self: bool = False, query_bytes: int = QUERY_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The nearest chunks of every query among those in the buckets it probes, as of :func:`topk`.
 
     Chunks stay in place, as in an exact search; a task measures a bucket only against the queries
@@ -246,7 +257,7 @@ def search_index(queries: DataFrame, index: Index, k: int = ENRICH_K, *, query_i
     if "bucket" in rows.columns and probes < 1 << planes.bits:
         rows = rows.where(F.col("bucket").isin(_probed(q, planes, probes)))
     make = lambda ids, vectors: ProbedNearest(ids, vectors, k, name, exclude_self, planes, probes)
-    return _search(q, rows.select("chunk_id", "vector"), k, query_bytes, make)[0]
+    return _search(q, rows.select("chunk_id", "vector"), k, query_bytes, pass_bytes, make, name)[0]
 
 
 def _probed(q: DataFrame, planes: Planes, probes: int) -> list[int]:
