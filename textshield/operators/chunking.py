@@ -6,12 +6,13 @@ import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textshield.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE, GENERIC_SEPARATORS, LANGUAGE_SEPARATORS
 from textshield.functions.vectors import let
+from textshield.operators.slices import mapped
 
 
 def chunk_window(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, *, text: str = "text") -> DataFrame:
@@ -95,9 +96,9 @@ def separators_for(language: str = "") -> list[str]:
 def recursive_chunks(text: Column, size: int, overlap: int, language: str = "") -> Column:
     separators = separators_for(language)
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, separators, size, overlap) if t else [])
+    @F.arrow_udf("array<string>")
+    def split(texts: pa.Array) -> pa.Array:
+        return mapped(texts, lambda t: split_text(t, separators, size, overlap) if t else [], pa.list_(pa.string()))
 
     return split(text)
 

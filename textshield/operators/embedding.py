@@ -16,16 +16,18 @@ from textshield.fixed_values import DEFAULT_EMBEDDING_MODEL, MODEL_POOLING
 from textshield.functions.text import word_split
 from textshield.functions.vectors import l2_normalize
 from textshield.operators.models import Model, named_model, with_vectors
+from textshield.operators.slices import sliced
 
 HASH_DIMS = 64
+WORDS = 1 << 16  # words that a task counts at once, or those of one longer text
 
 
 def hash_embed(df: DataFrame, *, text: str = "text", dims: int = HASH_DIMS, out: str = "embedding") -> DataFrame:
     """Add a unit vector of word counts; a word counts in component ``first md5 byte % dims``.
 
     The default embedder: an offline stand-in that only sees shared words, not a trained model. It
-    sees whole texts and needs no shuffle. Words are cut in the JVM; a batch of them is encoded as
-    a dictionary, so each distinct word is hashed once per batch. Being an operator and not an
+    sees whole texts and needs no shuffle. Words are cut in the JVM; some ten thousand of them at a time
+    are encoded as a dictionary, so each distinct word is hashed once in these. Being an operator and not an
     expression, the vector is computed once, wherever later filters mention it.
     """
     if 256 % dims:
@@ -34,7 +36,7 @@ def hash_embed(df: DataFrame, *, text: str = "text", dims: int = HASH_DIMS, out:
     kept = [f.name for f in df.schema if f.name != out]
 
     def count(batches):
-        for batch in batches:
+        for batch in sliced(batches, "_words", WORDS):
             found, rows = batch.column("_words"), batch.num_rows
             coded = found.flatten().dictionary_encode()
             bucket = np.array([hashlib.md5(w.encode()).digest()[0] % dims if w else dims for w in coded.dictionary.to_pylist()], dtype=np.int64)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textshield.fixed_values import DOCUMENT_FORMAT
+from textshield.operators.slices import mapped
 
 
 def _parts(content) -> list[str]:
@@ -18,15 +19,15 @@ def _parts(content) -> list[str]:
     return [part.strip() for e in elements for part in (e.text, e.tail) if part and part.strip()]
 
 
-@F.pandas_udf(StringType())
-def _element_text(contents: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _element_text(contents: pa.Array) -> pa.Array:
     def read(content):
         try:
             return " ".join(_parts(content))
         except (ElementTree.ParseError, LookupError, ValueError, TypeError):
             return None
 
-    return contents.map(read)
+    return mapped(contents, read, pa.string())
 
 
 def xml_text(content: Column, file_name: Column, order: str = "element") -> Column:
