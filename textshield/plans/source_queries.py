@@ -19,13 +19,26 @@ from textshield.sources.qa import qa_from_pairs, read_eval, read_qa, write_eval
 from textshield.sources.xml import read_xml_corpus
 
 
+SHELVES = 256
+
+
 def fresh(t: Tables, name: str) -> str:
     return f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def shelved(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to :data:`SHELVES` tasks, each with a folder of its own.
+
+    A file costs its time whatever its size, so tasks are not to be merged by size; a folder that one
+    task writes is moved to its place as a whole; and folders are listed side by side.
+    """
+    return df.withColumn("shelf", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SHELVES)).cast("int")).repartition(SHELVES, "shelf")
+
+
 def one_file_each(df: DataFrame, key: str, content: Column, folder: str) -> str:
-    """Write each row as a file below ``key=<its key>``."""
-    df.select(F.col(key).cast("string").alias(key), content.alias("value")).repartition(key).write.partitionBy(key).text(folder)
+    """Write each row as a file below ``shelf=<a number>/key=<its key>``."""
+    rows = shelved(df.select(F.col(key).cast("string").alias(key), content.alias("value")), key)
+    rows.write.partitionBy("shelf", key).text(folder)
     return folder
 
 
@@ -89,7 +102,7 @@ def xml_corpus(t: Tables):
     """A folder tree with an XML file for each page, and files with other names that are not read."""
     pages = t.pages.select("page_id", F.col("url").alias("title"), F.regexp_replace("html", "(?s)<.*?>", "").alias("body"))
     folder = fresh(t, "xml")
-    pages.repartition("page_id").write.partitionBy("page_id").format("xml").options(rootTag="pages", rowTag="page").save(f"{folder}/tree")
+    shelved(pages, "page_id").write.partitionBy("shelf", "page_id").format("xml").options(rootTag="pages", rowTag="page").save(f"{folder}/tree")
     pages.select(F.lit("<note>not read</note>").alias("value")).write.text(f"{folder}/notes")
     found = read_xml_corpus(t.spark, folder)
     head = F.concat(F.lit("Document: "), F.col("file_name"), F.lit("\n\n"))
@@ -107,7 +120,9 @@ def question_files(t: Tables) -> str:
     entry = F.struct("conv_id", "turn", (1000 * F.col("conv_id") + F.col("turn")).alias("idx"), "prompt", "response")
     listed = qa.groupBy("part").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
     plain = F.transform("rows", lambda r: F.struct(r["idx"].alias("idx"), r["prompt"].alias("prompt"), r["response"].alias("response")))
-    return one_file_each(listed, "part", pretty(plain), fresh(t, "questions"))
+    folder = fresh(t, "questions")
+    listed.select("part", pretty(plain).alias("value")).repartition("part").write.partitionBy("part").text(folder)
+    return folder
 
 
 @query("qa_files", f"WITH {QUESTIONS} SELECT part, pos, 1000 * conv_id + turn AS idx, prompt, response FROM f")
