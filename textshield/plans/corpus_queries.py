@@ -214,10 +214,12 @@ def collection_changes(t: Tables):
 @query("incremental_collection", f"""WITH {sql.hashed('documents', 'doc_id', 'text', 'h')}
 SELECT doc_id::VARCHAR AS doc_id, text, round(list_max(e)::FLOAT::DOUBLE, 4) + 0.0 AS largest FROM documents JOIN h ON h.k = doc_id""")
 def incremental(t: Tables):
-    """A collection built from a stream of files, one file a batch, and started again when all files are done."""
-    folder = fresh(t, "stream")
-    t.documents.select("doc_id", "text").repartition(3).write.parquet(f"{folder}/in")
-    read = lambda: t.spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    """A collection built from a stream of files in three batches, and started again when all files are done."""
+    folder, docs = fresh(t, "stream"), t.documents.select("doc_id", "text")
+    # a batch has as many files as a third of the table has splits, so that no task reads a third of it
+    files = -(-docs.rdd.getNumPartitions() // 3)
+    docs.repartition(3 * files).write.parquet(f"{folder}/in")
+    read = lambda: t.spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     for _ in range(2):
         build_incremental(read(), folder, "c", f"{folder}/checkpoint", chunked=False).awaitTermination()
     found = load_collection(t.spark, folder, "c")
