@@ -93,7 +93,7 @@ def test_many_blocks_take_few_passes(spark, monkeypatch):
     """Blocks that fit a pass together share it; shares beyond it have passes of their own."""
     q, c = small_vectors(40), small_vectors(90)
     scans, scan = [], rt._scan
-    monkeypatch.setattr(rt, "_scan", lambda *a: scans.append(a[-1]) or scan(*a))
+    monkeypatch.setattr(rt, "_scan", lambda table, *a: scans.append(len(set(table["block"].to_pylist()))) or scan(table, *a))
     for pass_bytes, passes in ((1 << 20, 1), (1000, 3)):
         scans.clear()
         found = rt.topk(frame(spark, q), frame(spark, c).repartition(3), 4, "l2", query_id="id", chunk_id="id", query_bytes=200, pass_bytes=pass_bytes)
@@ -101,6 +101,17 @@ def test_many_blocks_take_few_passes(spark, monkeypatch):
         assert len(scans) == passes and min(scans) > 1
 
 
+def test_queries_of_one_id_are_ranked_by_block(spark):
+    """Equal queries in blocks of their own have k hits each, however many blocks a pass takes."""
+    q, c = small_vectors(12), small_vectors(40)
+    twice = frame(spark, q + q).coalesce(1)
+    results = []
+    for pass_bytes in (1, 1 << 20):
+        found = rt.topk(twice, frame(spark, c), 3, "l2", query_id="id", chunk_id="id", query_bytes=300, pass_bytes=pass_bytes)
+        results.append(sorted(found.collect()))
+    assert results[0] == results[1] and len(results[0]) > 12 * 3
+
+
 @pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
 @pytest.mark.parametrize("size", [1.0, 1e-12, 1e5, 1e20])
 def test_single_precision_loses_no_neighbour(metric, size):

@@ -57,13 +57,13 @@ def _hit_schema(q: DataFrame, c: DataFrame) -> tuple[str, pa.Schema]:
     return ddl, arrow
 
 
-def _ranked(hits: DataFrame, k: int) -> DataFrame:
+def _ranked(hits: DataFrame, k: int, *within: str) -> DataFrame:
     """The k best hits of each query: of each task, of each group of tasks, and of all.
 
     Each level passes on k rows of a query at most, and a partial limit runs before each shuffle, so
     the hits of a query never meet in one task, however many tasks have searched.
     """
-    best = lambda *keys: F.row_number().over(Window.partitionBy("query_id", *keys).orderBy("distance", "chunk_id"))
+    best = lambda *keys: F.row_number().over(Window.partitionBy("query_id", *within, *keys).orderBy("distance", "chunk_id"))
     grouped = hits.withColumn("tasks", F.spark_partition_id() % TASK_GROUPS)
     merged = grouped.withColumn("rank", best("tasks")).where(F.col("rank") <= k)
     return merged.withColumn("rank", best()).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "distance")
@@ -77,22 +77,25 @@ def query_size(queries: DataFrame) -> tuple[int, int]:
     return seen["n"], seen["n"] * ((seen["dim"] or 0) * 8 + (seen["width"] or 0))
 
 
-def _scan(table: pa.Table, c: DataFrame, ddl: str, arrow: pa.Schema, make, name: str, n_blocks: int) -> DataFrame:
+def _scan(table: pa.Table, c: DataFrame, ddl: str, arrow: pa.Schema, make, name: str) -> DataFrame:
     """One pass over the chunks with a query side of checked size in every task, measured block by block."""
-    shared = c.sparkSession.sparkContext.broadcast((ids_of(table["query_id"]), vectors_of(table["vector"])))
+    block = table["block"].to_numpy() if "block" in table.column_names else np.zeros(len(table), np.int32)
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    shared = c.sparkSession.sparkContext.broadcast((ids_of(table["query_id"]), vectors_of(table["vector"]), block))
 
     def search(batches):
-        ids, vectors = shared.value
-        edges = [len(ids) * i // n_blocks for i in range(n_blocks + 1)]
+        ids, vectors, block = shared.value
         blocks = [make(ids[a:b], vectors[a:b]) for a, b in zip(edges, edges[1:])]
         for batch in batches:
             rows = Rows(ids_of(batch.column("chunk_id")), vectors_of(batch.column("vector")), name)
             for nearest in blocks:
                 nearest.add_rows(rows)
-        for nearest in blocks:
-            yield nearest.table(arrow)
+        for a, nearest in zip(edges, blocks):
+            found = nearest.table(arrow)
+            number = pa.array(np.full(found.num_rows, block[a] if len(block) else 0, np.int32))
+            yield pa.RecordBatch.from_arrays([*found.columns, number], names=[*arrow.names, "block"])
 
-    return c.mapInArrow(search, ddl)
+    return c.mapInArrow(search, f"{ddl}, block int")
 
 
 def _search(q: DataFrame, c: DataFrame, k: int, query_bytes: int, pass_bytes: int, make, name: str) -> tuple[DataFrame, int]:
@@ -102,21 +105,19 @@ def _search(q: DataFrame, c: DataFrame, k: int, query_bytes: int, pass_bytes: in
     """
     ddl, arrow = _hit_schema(q, c)
     n, size = query_size(q)
-    parts = lambda size, most: math.ceil(size / most) if most and size > most else 1
-    n_passes = parts(size, max(query_bytes, pass_bytes) if query_bytes else 0)
-    n_blocks = parts(math.ceil(size / n_passes), query_bytes)
-    if n_passes == n_blocks == 1:
-        return _ranked(_scan(q.toArrow(), c, ddl, arrow, make, name, 1), k), n
-    # chunks stay where they are; each share of the queries passes over them, and its hits are final
+    n_blocks = math.ceil(size / query_bytes) if query_bytes and size > query_bytes else 1
+    if n_blocks == 1:
+        return _ranked(_scan(q.toArrow(), c, ddl, arrow, make, name), k), n
+    # chunks stay where they are; blocks of queries pass over them, as many at once as fit a pass, and their hits are final
     spark, folder = q.sparkSession, f"{shared_dir(q.sparkSession)}/hits-{uuid.uuid4().hex}"
-    shares = q.withColumn("share", F.lit(0))
-    if n_passes > 1:
-        q.repartition(n_passes).withColumn("share", F.spark_partition_id()).write.partitionBy("share").parquet(f"{folder}/queries")
-        c, shares = write_once(c, "vectors"), spark.read.parquet(f"{folder}/queries")
-    for share in range(n_passes):
-        part = shares.where(F.col("share") == share).select("query_id", "vector")
-        hits = _ranked(_scan(part.toArrow(), c, ddl, arrow, make, name, n_blocks), k)
-        hits.write.mode("overwrite").parquet(f"{folder}/hits/share={share}")
+    q.repartition(n_blocks).withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(f"{folder}/queries")
+    blocks, at_once = spark.read.parquet(f"{folder}/queries"), max(1, pass_bytes // query_bytes)
+    if n_blocks > at_once:
+        c = write_once(c, "vectors")
+    for first in range(0, n_blocks, at_once):
+        part = blocks.where(F.col("block").between(first, first + at_once - 1)).select("query_id", "vector", "block")
+        hits = _ranked(_scan(part.toArrow().sort_by("block"), c, ddl, arrow, make, name), k, "block")
+        hits.write.mode("overwrite").parquet(f"{folder}/hits/first={first}")
     return spark.read.schema(hits.schema).parquet(f"{folder}/hits").select(*hits.columns), n
 
 
@@ -134,11 +135,11 @@ def topk(queries: DataFrame, chunks: DataFrame, k: int = ENRICH_K, metric: str |
          relevance: Callable[[Column], Column] | None = None, **options) -> DataFrame:
     """The k nearest chunks of every query: ``query_id, rank, chunk_id, distance``.
 
-    The query side is computed once and measured. Up to ``pass_bytes`` (or ``query_bytes``, if that is
-    more) its matrix goes to every task of one scan over the chunks, is measured there in blocks of at
-    most ``query_bytes``, and a task returns at most k rows per query. A larger query side is cut into
-    shares that pass over the chunks one after the other; the chunks are then computed once too, and
-    never moved or copied. No pair of rows is ever written out.
+    The query side is computed once and measured. Up to ``query_bytes`` its matrix goes to every task
+    of one scan over the chunks, and a task returns at most k rows per query. A larger query side is
+    cut into blocks of that size, of which as many as ``pass_bytes`` holds pass over the chunks
+    together; for several passes the chunks are computed once too, and never moved or copied. No pair
+    of rows is ever written out.
 
     Options name the columns (``query_id``, ``chunk_id``, ``vector``), leave out the hit of a row
     on itself (``exclude_self``) and set the limits (``query_bytes``, ``pass_bytes``). ``relevance`` turns the distance
