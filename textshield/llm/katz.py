@@ -3,9 +3,10 @@
 Texts become blocks of word numbers, stored once. For each order a block asks for the counts of its
 own distinct n-grams: the requests are partitioned by history (a history with very many n-grams by
 history and word), each partition adds the counts up and answers every block in the order it asked.
-The stored answers are the model's tables, partitioned like the requests. With the answers of an
-order a block knows the probabilities of that order for its own words, which the next order needs
-for backoff weights that sum to one exactly.
+The stored answers are the model's tables, partitioned like the requests. The answers to words number
+all words, so that n-grams are small whole numbers. With its n-grams a block sends the counts of the
+order below, from which a partition knows the probabilities that backoff weights need to sum to one
+exactly. There are as many partitions as keep each to a fixed number of tokens.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from textshield.session import write_once
 
 #: Counts up to this are discounted.
 LARGE = 5
-BLOCK_BYTES = 9 << 20
+#: Bytes of text in a block.
+BLOCK_BYTES = 6 << 20
+#: Tokens whose n-grams one partition counts, and words that one numbers.
+PART_TOKENS = 1 << 20
 START, END = np.uint64(0x5BD1E995C2B2AE35), np.uint64(0x27D4EB2F165667C5)
 STEP = np.uint64(0x9E3779B185EBCA87)
 #: A history with more than this share of a partition's words is split by word.
@@ -123,61 +127,64 @@ def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # frequent words get small numbers
         rank = np.empty(len(vocabulary), np.int64)
         rank[by_count(seen)] = np.arange(len(vocabulary))
-        docs = {"keys": batch.column(0).to_pylist(), "train": train, "counts": small(counts + 1), "tokens": small(rank[number])}
+        docs = {"keys": batch.column(0).to_pylist(), "train": train, "counts": small(counts + 1), "tokens": small(rank[number]), "seen": small(seen)}
         yield pa.RecordBatch.from_arrays(
-            [pa.array([uuid4().int >> 66]), pa.array([squeeze(docs)]), pa.array([squeeze((tight(vocabulary), small(seen)))])], ["block", "docs", "words"]
+            [pa.array([uuid4().int >> 66]), pa.array([squeeze(docs)]), pa.array([squeeze((tight(vocabulary), small(seen)))]),
+             pa.array([len(tokens)]), pa.array([len(vocabulary)])], ["block", "docs", "words", "n_tokens", "n_words"]
         )
 
 
 class Block:
     """The words of some documents, with what the answers so far say about them."""
 
-    def __init__(self, docs: dict, words: tuple, model: dict):
+    def __init__(self, docs: dict, model: dict):
         self.docs, self.model = docs, model
-        self.vocabulary, self.tokens = loose(words[0]), by_count(words[1])[docs["tokens"]]
+        # words in the order of their hashes, which is that of their numbers
+        self.tokens = by_count(docs["seen"])[docs["tokens"]].astype(np.int32)
         self.counts = docs["counts"].astype(np.int64)
         self.doc, self.place = (x.astype(np.int32) for x in ragged(self.counts))
         self.train = docs["train"][self.doc]
         self.history = np.zeros(len(self.tokens), np.uint64)
 
-    def answer_words(self, parts: dict[int, np.ndarray]) -> None:
-        """Take the counts of words and give each word its unigram probability."""
+    def answer_words(self, parts: dict[int, tuple]) -> None:
+        """Take the counts and numbers of words and give each word its unigram probability."""
         m = self.model
-        of = words_part(self.vocabulary, m["parts"])
-        count = np.zeros(len(self.vocabulary), np.int64)
-        for part, answer in parts.items():
-            count[of == part] = answer
-        self.count = count[self.tokens]
+        self.word_count = np.concatenate([parts[p][0].astype(np.int64) for p in sorted(parts)])
+        self.number = np.concatenate([loose(parts[p][1]) + m["first"][p] for p in sorted(parts)])
+        self.count = self.word_count[self.tokens]
         self.first_count = self.count
         self.base = np.log10((self.count + 1) / (m["total"] + m["words"] + 1))
         self.chance = unigram(self.count, m)
 
     def ask(self, order: int) -> "Request":
         """The distinct n-grams of an order, sorted by partition, history and word."""
-        m = self.model
         # how often the history occurs in training is the count of the n-gram that ends before the word
         before = np.zeros(len(self.tokens), np.int64)
         before[1:] = self.count[:-1]
-        before[self.place == 0] = m["documents"]
-        earlier = np.full(len(self.tokens), START)
-        reach = order - 1
-        inside = self.place >= reach
-        earlier[inside] = self.vocabulary[self.tokens[np.flatnonzero(inside) - reach]]
-        del inside
-        self.history = mix(self.history * STEP + earlier + np.uint64(order))
-        return Request(self, before, m)
+        before[self.place == 0] = self.model["documents"]
+        numbers = np.append(self.number, START)
+        self.history = mix(self.history * STEP + numbers[self.earlier(order - 1)] + np.uint64(order))
+        return Request(self, before, order)
+
+    def earlier(self, reach: int) -> np.ndarray:
+        """The word so many places before each token; before a text begins, the number of words."""
+        out = np.full(len(self.tokens), len(self.number), np.int32)
+        inside = np.flatnonzero(self.place >= reach)
+        out[inside] = self.tokens[inside - reach]
+        return out
 
     def answer(self, order: int, request: "Request", parts: dict[int, tuple]) -> None:
         """Take the counts of n-grams and what their histories lack, and move the probabilities up one order."""
         m = self.model
-        count, none = np.zeros(len(request.rows), np.int64), np.zeros(len(request.heads), bool)
+        count, none = np.zeros(len(request.part), np.int64), np.zeros(len(request.heads), bool)
         weight = np.full(len(request.heads), np.nan)
         d = m["discounts"][order]
         for part, (seen, empty, needed, stats) in parts.items():
-            count[request.part == part] = seen
-            heads = np.flatnonzero(request.head_part == part)
-            none[heads] = empty
-            weight[heads[needed]] = backoff(*stats, d)
+            a, b = np.searchsorted(request.part, [part, part + 1])
+            count[a:b] = seen
+            a, b = np.searchsorted(request.head_part, [part, part + 1])
+            none[a:b] = empty
+            weight[a + needed.astype(np.int64)] = backoff(*stats, d)
         hot = m["hot"].get(order)
         if hot is not None and len(hot[0]):
             at = np.minimum(np.searchsorted(hot[0], request.heads), len(hot[0]) - 1)
@@ -185,53 +192,66 @@ class Block:
             number, big, mass = (x[at[is_hot]] for x in hot[1:])
             none[is_hot] = number.sum(1) == 0
             weight[is_hot] = backoff(number, big, mass, d)
+        head = request.pair_head[request.row]
         self.count = count[request.row]
-        total = np.maximum(request.total + none[request.head], 1)
-        seen = d[np.minimum(self.count, LARGE + 1)] * self.count / total
+        # what the counts of this order are shares of
+        self.total = np.maximum(request.total + none[head], 1)
+        seen = d[np.minimum(self.count, LARGE + 1)] * self.count / self.total
         with np.errstate(invalid="ignore"):
-            below = weight[request.head] * self.chance
+            below = weight[head] * self.chance
         below = np.where(request.total > 0, below, self.chance)
         self.chance = np.where(self.count > 0, seen, below)
 
 
 class Request:
-    """Distinct (history, word) pairs of a block; ``row`` is the pair of each token, ``head`` its history."""
-
-    def __init__(self, block: Block, before: np.ndarray, model: dict):
-        heads, head = distinct(block.history)
-        pairs, row = distinct(head * len(block.vocabulary) + block.tokens)
-        row = row.astype(np.int32)
-        self.total = before
+    """Distinct (history, word) pairs of a block, by partition; ``row`` is the pair of each token, ``pair_head`` its history."""
+
+    def __init__(self, block: Block, before: np.ndarray, order: int):
+        m, size = block.model, len(block.number) + 1
+        self.block, self.order, self.total = block, order, before
+        # histories are numbered in the order of their words, the nearest first
+        head = np.zeros(len(block.tokens), np.int64)
+        for reach in range(1, order):
+            _, head = distinct(head * size + block.earlier(reach))
+        pairs, row = distinct(head * size + block.tokens)
         first = np.empty(len(pairs), np.int64)
         first[row] = np.arange(len(row))
-        pair_head, word = head[first], block.vocabulary[block.tokens[first]]
-        splits = 1 + before[first] // model["split"]
-        salt = np.where(splits > 1, mix(word) % splits.astype(np.uint64), 0).astype(np.uint64)
-        part = ((mix(heads[pair_head] + salt * STEP) >> np.uint64(17)) % np.uint64(model["parts"])).astype(np.int64)
+        # histories that end with one word meet in a partition, unless the word or the history is very frequent
+        last = block.earlier(1)[first]
+        splits = 1 + before[first] // m["split"]
+        shares = 1 + np.append(block.word_count, m["documents"])[last] // m["split"]
+        salt = mix(block.history[first]) % shares.astype(np.uint64) * START + mix(block.number[block.tokens[first]]) % splits.astype(np.uint64)
+        part = ((mix(np.append(block.number, START)[last] * END + salt * STEP) >> np.uint64(17)) % np.uint64(m["parts"])).astype(np.int64)
+        by_part = np.argsort(part, kind="stable")
+        back = np.empty(len(by_part), np.int32)
+        back[by_part] = np.arange(len(by_part))
+        self.row, self.part, self.first = back[row], part[by_part], first[by_part]
         # a history of a partition is known by its number among (partition, history)
-        split_heads, own = distinct(part * (len(heads) + 1) + pair_head)
-        order = np.lexsort((word, own))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.row = back[row]
-        self.part, self.rows, self.word = part[order], pairs[order], word[order]
-        self.head_part, self.heads = split_heads // (len(heads) + 1), heads[split_heads % (len(heads) + 1)]
-        self.pair_head = own[order]
-        self.head = self.pair_head[self.row]
-        self.hot = splits[order] > 1
-        self.seen = np.bincount(self.row, block.train, len(pairs)).astype(np.int64)
-        self.chance = block.chance[first][order]
+        pair_head = pairs[by_part] // size
+        fresh = np.ones(len(pairs), bool)
+        fresh[1:] = (pair_head[1:] != pair_head[:-1]) | (self.part[1:] != self.part[:-1])
+        self.pair_head = (np.cumsum(fresh) - 1).astype(np.int32)
+        self.head_part, self.heads = self.part[fresh], block.history[self.first[fresh]]
+        self.hot = splits[by_part] > 1
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
+        block, size = self.block, len(self.block.number)
+        seen = np.bincount(self.row, block.train, len(self.part)).astype(np.int64)
+        earlier = [block.earlier(reach) for reach in range(1, self.order)]
+        numbers, word_count = np.append(block.number, np.uint64(block.model["numbers"])), np.append(block.word_count, 0)
         edges = np.flatnonzero(np.diff(self.part, prepend=-1))
         for a, b in zip(edges, np.append(edges[1:], len(self.part))):
-            h = self.pair_head[a:b]
-            heads, lengths = h[np.flatnonzero(np.diff(h, prepend=-1))], np.bincount(h - h[0])
-            words, word = distinct(self.word[a:b])
-            chances, chance = distinct(self.chance[a:b])
-            hot = np.zeros(len(heads), bool)
-            hot[h[self.hot[a:b]] - h[0]] = True
-            yield int(self.part[a]), squeeze((tight(self.heads[heads]), small(lengths), tight(words), small(word), small(self.seen[a:b]), chances, small(chance), np.packbits(hot)))
+            at, start = self.first[a:b], np.flatnonzero(np.diff(self.pair_head[a:b], prepend=-1))
+            columns = [e[at[start]] for e in earlier] + [block.tokens[at]]
+            used = np.zeros(size + 1, bool)
+            for c in columns:
+                used[c] = True
+            place, used = np.cumsum(used) - 1, np.flatnonzero(used)
+            below = (small(word_count[used]),) if self.order == 2 else (small(block.count[at]), small(block.total[at[start]]))
+            hot = np.flatnonzero(self.hot[a:b][start])
+            codes = self.heads[self.pair_head[a:b][start[hot]]]
+            yield int(self.part[a]), squeeze((
+                tight(numbers[used]), small(np.diff(np.append(start, b - a))), tuple(small(place[c]) for c in columns), small(seen[a:b]), below, (small(hot), codes)))
 
 
 def by_count(seen: np.ndarray) -> np.ndarray:
@@ -240,7 +260,8 @@ def by_count(seen: np.ndarray) -> np.ndarray:
 
 
 def words_part(words: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(words) % np.uint64(parts)).astype(np.int64)
+    """Ranges of words in their order."""
+    return ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def unigram(count: np.ndarray, model: dict) -> np.ndarray:
@@ -270,48 +291,55 @@ def _counted_words(group: pd.DataFrame) -> pd.DataFrame:
     count = np.bincount(place, np.concatenate([c for _, c in asked]), len(words)).astype(np.int64)
     number = np.bincount(np.minimum(count, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2]
     edges = np.cumsum([len(w) for w, _ in asked])
-    answers = [squeeze(small(x)) for x in np.split(count[place], edges[:-1])]
+    answers = [squeeze((small(count[x]), tight(x.astype(np.uint64)))) for x in np.split(place, edges[:-1])]
     big = int(count[count > LARGE].sum())
-    stats = squeeze({"number": number, "big": big, "words": int((count > 0).sum()), "total": int(count.sum())})
     part = int(group["part"].iloc[0])
+    stats = squeeze({"part": part, "numbers": len(words), "number": number, "big": big, "words": int((count > 0).sum()), "total": int(count.sum())})
     return pd.DataFrame({"block": [*group["block"], -1], "kind": 1, "part": part, "payload": [*answers, stats]})
 
 
-def _counted_pairs(order: int):
+def _counted_pairs(load, order: int):
     def counted(group: pd.DataFrame) -> pd.DataFrame:
-        asked = [(loose(a[0]), a[1], loose(a[2]), *a[3:]) for a in map(expand, group["payload"])]
-        lengths = [a[1].astype(np.int64) for a in asked]
-        heads, head = distinct(np.concatenate([a[0] for a in asked]))
-        first = np.cumsum([0, *(len(a[0]) for a in asked)])
-        of = np.concatenate([np.repeat(head[first[i] : first[i + 1]], x) for i, x in enumerate(lengths)])
-        word = np.concatenate([a[2][a[3]] for a in asked])
-        times = np.concatenate([a[4].astype(np.int64) for a in asked])
-        chance = np.concatenate([a[5][a[6]] for a in asked])
-        order_ = np.lexsort((word, of))
-        fresh = np.ones(len(of), bool)
-        fresh[1:] = (of[order_][1:] != of[order_][:-1]) | (word[order_][1:] != word[order_][:-1])
-        pair = np.empty(len(of), np.int64)
-        pair[order_] = np.cumsum(fresh) - 1
-        one = order_[fresh]
-        count = np.bincount(pair, times, len(one)).astype(np.int64)
-        own, seen = of[one], count > 0
-        number = np.stack([np.bincount(own[count == r], minlength=len(heads)) for r in range(1, LARGE + 1)], axis=1)
-        big = np.bincount(own[count > LARGE], count[count > LARGE], len(heads)).astype(np.int64)
-        mass = np.bincount(own[seen], chance[one][seen], len(heads))
-        answers, at, hot = [], 0, np.zeros(len(heads), bool)
+        model = load()
+        size = model["numbers"] + 1
+        asked = [expand(p) for p in group["payload"]]
+        numbers, lengths = [loose(a[0]).astype(np.int64) for a in asked], [a[1].astype(np.int64) for a in asked]
+        head = 0
+        for k in range(order - 1):
+            heads, head = distinct(head * size + np.concatenate([n[a[2][k]] for n, a in zip(numbers, asked)]))
+        n_heads, lengths = len(heads), np.concatenate(lengths)
+        edges, head_edges = np.cumsum([0, *(len(a[3]) for a in asked)]), np.cumsum([0, *(len(a[1]) for a in asked)])
+        pairs, pair = distinct(np.repeat(head, lengths) * size + np.concatenate([n[a[2][-1]] for n, a in zip(numbers, asked)]))
+        count = np.bincount(pair, np.concatenate([a[3] for a in asked]), len(pairs)).astype(np.int64)
+        own = pairs // size
+        del pairs, numbers
+        # the probability of a word in the order below, where training has seen it here
+        one = np.empty(len(own), np.int64)
+        one[pair] = np.arange(len(pair))
+        seen = np.flatnonzero(count)
+        one = one[seen]
+        if order == 2:
+            chance = unigram(np.concatenate([a[4][0][a[2][-1]] for a in asked])[one], model)
+        else:
+            below, total = np.concatenate([a[4][0] for a in asked])[one].astype(np.int64), np.repeat(np.concatenate([a[4][1] for a in asked]), lengths)[one]
+            chance = model["discounts"][order - 1][np.minimum(below, LARGE + 1)] * below / total
+        mass = np.bincount(own[seen], chance, n_heads)
+        few = (count > 0) & (count <= LARGE)
+        number = np.bincount(own[few] * LARGE + count[few] - 1, minlength=n_heads * LARGE).astype(np.int32).reshape(n_heads, LARGE)
+        big = np.bincount(own[count > LARGE], count[count > LARGE], n_heads).astype(np.int64)
+        none = number.sum(1) == 0
+        answers, hot, codes = [], np.zeros(n_heads, bool), np.zeros(n_heads, np.uint64)
         for i, a in enumerate(asked):
-            c = count[pair[at : at + len(a[3])]]
-            at += len(a[3])
-            h = head[first[i] : first[i + 1]]
-            is_hot = np.unpackbits(a[7], count=len(h)).astype(bool)
-            hot[h[is_hot]] = True
+            c, h = count[pair[edges[i] : edges[i + 1]]], head[head_edges[i] : head_edges[i + 1]]
+            hot[h[a[5][0]]], codes[h[a[5][0]]] = True, a[5][1]
             unseen = np.zeros(len(h), bool)
-            unseen[np.repeat(np.arange(len(h)), lengths[i])[c == 0]] = True
-            needed = np.flatnonzero(unseen & ~is_hot)
+            unseen[np.repeat(np.arange(len(h)), a[1])[c == 0]] = True
+            unseen[a[5][0]] = False
+            needed = np.flatnonzero(unseen)
             stats = small(number[h[needed]]), small(big[h[needed]]), mass[h[needed]]
-            answers.append(squeeze((small(c), number[h].sum(1) == 0, small(needed), stats)))
+            answers.append(squeeze((small(c), none[h], small(needed), stats)))
         total = squeeze({"number": np.bincount(np.minimum(count, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2],
-                         "hot": (heads[hot], number[hot], big[hot], mass[hot])})
+                         "hot": (codes[hot], number[hot].astype(np.int64), big[hot], mass[hot])})
         part = int(group["part"].iloc[0])
         return pd.DataFrame({"block": [*group["block"], -1], "kind": order, "part": part, "payload": [*answers, total]})
 
@@ -323,7 +351,7 @@ def _replayed(group: pd.DataFrame, model: dict, orders: int) -> Block:
     rows = {}
     for kind, part, payload in zip(group["kind"], group["part"], group["payload"]):
         rows.setdefault(kind, {})[part] = expand(payload)
-    block = Block(rows[-1][0], rows[0][0], model)
+    block = Block(rows[-1][0], model)
     block.answer_words(rows.get(1, {}))
     for order in range(2, orders + 1):
         block.answer(order, block.ask(order), rows.get(order, {}))
@@ -365,20 +393,21 @@ def katz_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "tex
     training rows are counted, without a cut. Words and histories are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("key"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    blocks = write_once(rows.mapInArrow(_blocks, "block long, docs binary, words binary"), "blocks")
+    blocks = write_once(rows.mapInArrow(_blocks, "block long, docs binary, words binary, n_tokens long, n_words long"), "blocks")
     documents = rows.agg(F.sum(F.col("train").cast("long"))).first()[0] or 0
+    tokens, words = (x or 0 for x in blocks.agg(F.sum("n_tokens"), F.sum("n_words")).first())
+    parts, word_parts = (max(1, -(-n // PART_TOKENS)) for n in (tokens, words))
 
     def split_words(stream):
         for batch in stream:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, count = expand(payload)
                 words = loose(words)
-                of = words_part(words, parts)
-                for part in np.flatnonzero(np.bincount(of, minlength=parts)).tolist():
-                    mine = of == part
+                of = words_part(words, word_parts)
+                for part in np.flatnonzero(np.bincount(of, minlength=word_parts)).tolist():
+                    mine = slice(*np.searchsorted(of, [part, part + 1]))
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([1], pa.int32()), pa.array([part], pa.int32()),
                                                       pa.array([squeeze((tight(words[mine]), small(count[mine])))])], ["block", "kind", "part", "payload"])
 
@@ -387,16 +416,17 @@ def katz_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "tex
     stats = [expand(r[0]) for r in answers[0].filter("block = -1").select("payload").collect()]
     number = sum((s["number"] for s in stats), np.zeros(LARGE + 1, np.int64))
     model = {
-        "parts": parts, "documents": documents, "hot": {}, "discounts": {1: discounts(number)},
+        "parts": parts, "word_parts": word_parts, "documents": documents, "hot": {}, "discounts": {1: discounts(number)}, "first": {}, "numbers": 0,
         "words": sum(s["words"] for s in stats), "total": sum(s["total"] for s in stats),
     }
+    for s in sorted(stats, key=lambda s: s["part"]):
+        model["first"][s["part"]] = np.uint64(model["numbers"])
+        model["numbers"] += s["numbers"]
     r = np.arange(1, LARGE + 1)
     model["seen_mass"] = float((number[:LARGE] * r * model["discounts"][1][1 : LARGE + 1]).sum() + sum(s["big"] for s in stats))
     model["split"] = max(SPLIT, model["total"] // (SHARE * parts))
 
-    zero = F.lit(0).cast("int")
-    stored = blocks.select("block", F.lit(-1).cast("int").alias("kind"), zero.alias("part"), F.col("docs").alias("payload")).union(
-        blocks.select("block", zero.alias("kind"), zero.alias("part"), F.col("words").alias("payload")))
+    stored = blocks.select("block", F.lit(-1).cast("int").alias("kind"), F.lit(0).cast("int").alias("part"), F.col("docs").alias("payload"))
 
     def with_answers() -> DataFrame:
         out = stored
@@ -405,8 +435,9 @@ def katz_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "tex
         return out.groupBy("block")
 
     for n in range(2, order + 1):
-        asked = with_answers().applyInPandas(_asked(ship(spark, model), n), ROW)
-        answers.append(write_once(asked.groupBy("part").applyInPandas(_counted_pairs(n), ROW), "ngrams"))
+        load = ship(spark, model)
+        asked = with_answers().applyInPandas(_asked(load, n), ROW)
+        answers.append(write_once(asked.groupBy("part").applyInPandas(_counted_pairs(load, n), ROW), "ngrams"))
         # one row a partition; split histories are at most SHARE times the partitions
         stats = [expand(r[0]) for r in answers[-1].filter("block = -1").select("payload").collect()]
         model = model | {"discounts": dict(model["discounts"]), "hot": dict(model["hot"])}
