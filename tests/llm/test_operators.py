@@ -234,6 +234,22 @@ def test_split_histories_give_the_same_model(docs, monkeypatch):
     assert {r[0]: r["score"] for r in katz.katz_scores(docs, condition).collect()} == pytest.approx(whole, rel=1e-9)
 
 
+def test_partitions_of_ngrams_are_bounded_and_give_the_same_model(docs, monkeypatch):
+    """Partitions follow the tokens, whatever the shuffle partitions are; very frequent words and histories are split."""
+    condition = F.col("doc_id") % 5 == 0
+    whole = {r[0]: r["score"] for r in katz.katz_scores(docs, condition, order=3).collect()}
+    tables = []
+    monkeypatch.setattr(katz, "write_once", lambda df, name: tables.append((name, write_once(df, name))) or tables[-1][1])
+    monkeypatch.setattr(katz, "PART_TOKENS", 500)
+    for split in (katz.SPLIT, 2):
+        monkeypatch.setattr(katz, "SPLIT", split)
+        tables.clear()
+        assert {r[0]: r["score"] for r in katz.katz_scores(docs, condition, order=3).collect()} == pytest.approx(whole, rel=1e-9)
+        grams = [t for name, t in tables if name == "ngrams"]
+        tokens = dict(tables)["blocks"].agg(F.sum("n_tokens")).first()[0]
+        assert len(grams) == 2 and all(t.select("part").distinct().count() > tokens // 1000 for t in grams)
+
+
 def test_decontamination(spark, docs, texts):
     items = [(1, " ".join(texts[2][1].split()[:14])), (2, "A"), (3, None), (4, "..."), (5, "a A a"), (None, texts[60][1]), (6, texts[60][1])]
     table = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, doc_id string")

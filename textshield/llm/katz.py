@@ -87,9 +87,18 @@ def loose(data: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1), dtype=np.uint64)
 
 
+def stepped(values: np.ndarray) -> np.ndarray:
+    """Whole numbers as their differences, which wrap around; those that mostly rise pack better so."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def unstepped(values: np.ndarray) -> np.ndarray:
+    return np.cumsum(values, dtype=values.dtype)
+
+
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and the place of each value among them."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     ordered = values[order]
     fresh = np.ones(len(values), bool)
     fresh[1:] = ordered[1:] != ordered[:-1]
@@ -147,14 +156,11 @@ class Block:
         self.history = np.zeros(len(self.tokens), np.uint64)
 
     def answer_words(self, parts: dict[int, tuple]) -> None:
-        """Take the counts and numbers of words and give each word its unigram probability."""
+        """Take the counts and numbers of words."""
         m = self.model
         self.word_count = np.concatenate([parts[p][0].astype(np.int64) for p in sorted(parts)])
         self.number = np.concatenate([loose(parts[p][1]) + m["first"][p] for p in sorted(parts)])
         self.count = self.word_count[self.tokens]
-        self.first_count = self.count
-        self.base = np.log10((self.count + 1) / (m["total"] + m["words"] + 1))
-        self.chance = unigram(self.count, m)
 
     def ask(self, order: int) -> "Request":
         """The distinct n-grams of an order, sorted by partition, history and word."""
@@ -173,8 +179,15 @@ class Block:
         out[inside] = self.tokens[inside - reach]
         return out
 
-    def answer(self, order: int, request: "Request", parts: dict[int, tuple]) -> None:
-        """Take the counts of n-grams and what their histories lack, and move the probabilities up one order."""
+    def score_words(self) -> None:
+        """Give each word its unigram probability."""
+        m = self.model
+        self.known = self.word_count[self.tokens] > 0
+        self.base = np.log10((self.word_count + 1) / (m["total"] + m["words"] + 1))[self.tokens]
+        self.chance = unigram(self.word_count, m)[self.tokens]
+
+    def answer(self, order: int, request: "Request", parts: dict[int, tuple], scored: bool) -> None:
+        """Take the counts of n-grams and what their histories lack; to be scored, move the probabilities up one order."""
         m = self.model
         count, none = np.zeros(len(request.part), np.int64), np.zeros(len(request.heads), bool)
         weight = np.full(len(request.heads), np.nan)
@@ -184,7 +197,8 @@ class Block:
             count[a:b] = seen
             a, b = np.searchsorted(request.head_part, [part, part + 1])
             none[a:b] = empty
-            weight[a + needed.astype(np.int64)] = backoff(*stats, d)
+            if scored:
+                weight[a + needed.astype(np.int64)] = backoff(*stats, d)
         hot = m["hot"].get(order)
         if hot is not None and len(hot[0]):
             at = np.minimum(np.searchsorted(hot[0], request.heads), len(hot[0]) - 1)
@@ -196,6 +210,8 @@ class Block:
         self.count = count[request.row]
         # what the counts of this order are shares of
         self.total = np.maximum(request.total + none[head], 1)
+        if not scored:
+            return
         seen = d[np.minimum(self.count, LARGE + 1)] * self.count / self.total
         with np.errstate(invalid="ignore"):
             below = weight[head] * self.chance
@@ -210,19 +226,22 @@ class Request:
         m, size = block.model, len(block.number) + 1
         self.block, self.order, self.total = block, order, before
         # histories are numbered in the order of their words, the nearest first
-        head = np.zeros(len(block.tokens), np.int64)
-        for reach in range(1, order):
+        last = block.earlier(1)
+        used = np.zeros(size, bool)
+        used[last] = True
+        head = (np.cumsum(used) - 1)[last]
+        for reach in range(2, order):
             _, head = distinct(head * size + block.earlier(reach))
         pairs, row = distinct(head * size + block.tokens)
         first = np.empty(len(pairs), np.int64)
         first[row] = np.arange(len(row))
         # histories that end with one word meet in a partition, unless the word or the history is very frequent
-        last = block.earlier(1)[first]
+        last = last[first]
         splits = 1 + before[first] // m["split"]
         shares = 1 + np.append(block.word_count, m["documents"])[last] // m["split"]
         salt = mix(block.history[first]) % shares.astype(np.uint64) * START + mix(block.number[block.tokens[first]]) % splits.astype(np.uint64)
         part = ((mix(np.append(block.number, START)[last] * END + salt * STEP) >> np.uint64(17)) % np.uint64(m["parts"])).astype(np.int64)
-        by_part = np.argsort(part, kind="stable")
+        by_part = np.argsort(small(part), kind="stable")
         back = np.empty(len(by_part), np.int32)
         back[by_part] = np.arange(len(by_part))
         self.row, self.part, self.first = back[row], part[by_part], first[by_part]
@@ -239,24 +258,25 @@ class Request:
         seen = np.bincount(self.row, block.train, len(self.part)).astype(np.int64)
         earlier = [block.earlier(reach) for reach in range(1, self.order)]
         numbers, word_count = np.append(block.number, np.uint64(block.model["numbers"])), np.append(block.word_count, 0)
+        mask, place = np.zeros(size + 1, bool), np.empty(size + 1, np.int32)
         edges = np.flatnonzero(np.diff(self.part, prepend=-1))
         for a, b in zip(edges, np.append(edges[1:], len(self.part))):
             at, start = self.first[a:b], np.flatnonzero(np.diff(self.pair_head[a:b], prepend=-1))
-            columns = [e[at[start]] for e in earlier] + [block.tokens[at]]
-            used = np.zeros(size + 1, bool)
+            columns = [*(e[at[start]] for e in earlier), block.tokens[at]]
             for c in columns:
-                used[c] = True
-            place, used = np.cumsum(used) - 1, np.flatnonzero(used)
+                mask[c] = True
+            used = np.flatnonzero(mask)
+            mask[used], place[used] = False, np.arange(len(used))
             below = (small(word_count[used]),) if self.order == 2 else (small(block.count[at]), small(block.total[at[start]]))
             hot = np.flatnonzero(self.hot[a:b][start])
             codes = self.heads[self.pair_head[a:b][start[hot]]]
             yield int(self.part[a]), squeeze((
-                tight(numbers[used]), small(np.diff(np.append(start, b - a))), tuple(small(place[c]) for c in columns), small(seen[a:b]), below, (small(hot), codes)))
+                tight(numbers[used]), small(np.diff(np.append(start, b - a))), (*(stepped(small(place[c])) for c in columns[:-1]), small(place[columns[-1]])), small(seen[a:b]), below, (small(hot), codes)))
 
 
 def by_count(seen: np.ndarray) -> np.ndarray:
     """Places of counts, the largest first."""
-    return np.argsort(-seen.astype(np.int64), kind="stable")
+    return np.argsort(small(int(seen.max()) - seen.astype(np.int64)) if len(seen) else seen, kind="stable")
 
 
 def words_part(words: np.ndarray, parts: int) -> np.ndarray:
@@ -306,7 +326,7 @@ def _counted_pairs(load, order: int):
         numbers, lengths = [loose(a[0]).astype(np.int64) for a in asked], [a[1].astype(np.int64) for a in asked]
         head = 0
         for k in range(order - 1):
-            heads, head = distinct(head * size + np.concatenate([n[a[2][k]] for n, a in zip(numbers, asked)]))
+            heads, head = distinct(head * size + np.concatenate([n[unstepped(a[2][k])] for n, a in zip(numbers, asked)]))
         n_heads, lengths = len(heads), np.concatenate(lengths)
         edges, head_edges = np.cumsum([0, *(len(a[3]) for a in asked)]), np.cumsum([0, *(len(a[1]) for a in asked)])
         pairs, pair = distinct(np.repeat(head, lengths) * size + np.concatenate([n[a[2][-1]] for n, a in zip(numbers, asked)]))
@@ -346,21 +366,23 @@ def _counted_pairs(load, order: int):
     return counted
 
 
-def _replayed(group: pd.DataFrame, model: dict, orders: int) -> Block:
-    """A block with the answers of the first ``orders`` orders."""
+def _replayed(group: pd.DataFrame, model: dict, orders: int, scored: bool) -> Block:
+    """A block with the answers of the first ``orders`` orders, and its probabilities if it is to be scored."""
     rows = {}
     for kind, part, payload in zip(group["kind"], group["part"], group["payload"]):
         rows.setdefault(kind, {})[part] = expand(payload)
     block = Block(rows[-1][0], model)
     block.answer_words(rows.get(1, {}))
+    if scored:
+        block.score_words()
     for order in range(2, orders + 1):
-        block.answer(order, block.ask(order), rows.get(order, {}))
+        block.answer(order, block.ask(order), rows.get(order, {}), scored)
     return block
 
 
 def _asked(load, order: int):
     def asked(group: pd.DataFrame) -> pd.DataFrame:
-        request = _replayed(group, load(), order - 1).ask(order)
+        request = _replayed(group, load(), order - 1, False).ask(order)
         out = [(int(group["block"].iloc[0]), order, part, payload) for part, payload in request.parts()]
         return pd.DataFrame(out, columns=["block", "kind", "part", "payload"])
 
@@ -369,12 +391,12 @@ def _asked(load, order: int):
 
 def _scored(load, orders: int):
     def scored(group: pd.DataFrame) -> pd.DataFrame:
-        block = _replayed(group, load(), orders)
+        block = _replayed(group, load(), orders, True)
         n = len(block.counts)
         total = lambda x: np.bincount(block.doc, x, n)
         return pd.DataFrame({
             "key": pd.Series(block.docs["keys"], dtype=object), "held_out": ~block.docs["train"], "n_tokens": block.counts,
-            "n_known": total(block.first_count > 0).astype(np.int64), "train_tokens": block.model["total"],
+            "n_known": total(block.known).astype(np.int64), "train_tokens": block.model["total"],
             "base_score": total(block.base), "score": total(np.log10(block.chance)),
         })
 
