@@ -28,9 +28,9 @@ from textshield.session import write_once
 #: Counts up to this are discounted.
 LARGE = 5
 #: Bytes of text in a block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 7 << 20
 #: Tokens whose n-grams one partition counts, and words that one numbers.
-PART_TOKENS = 1 << 20
+PART_TOKENS = 5 << 18
 START, END = np.uint64(0x5BD1E995C2B2AE35), np.uint64(0x27D4EB2F165667C5)
 STEP = np.uint64(0x9E3779B185EBCA87)
 #: A history with more than this share of a partition's words is split by word.
@@ -43,7 +43,7 @@ PLANES = "planes"
 
 
 def squeeze(thing) -> bytes:
-    return zstandard.ZstdCompressor(level=5).compress(pickle.dumps(_split(thing), 5))
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(_split(thing), 5))
 
 
 def expand(data: bytes):
@@ -96,15 +96,29 @@ def unstepped(values: np.ndarray) -> np.ndarray:
     return np.cumsum(values, dtype=values.dtype)
 
 
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values and the place of each value among them."""
-    order = np.argsort(values)
-    ordered = values[order]
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values from 0, the place of each value among them and where each of them stands once."""
+    bits = len(values).bit_length()
+    if len(values) and int(values.max()) < 1 << (63 - bits):
+        # a value and its place sort as one number, several times faster than places by their values
+        ordered = values.astype(np.int64) << bits
+        ordered |= np.arange(len(values))
+        ordered.sort()
+        order = (ordered & ((1 << bits) - 1)).astype(np.int32 if bits < 32 else np.int64)
+        ordered = (ordered >> bits).astype(values.dtype, copy=False)
+    else:
+        order = np.argsort(values)
+        ordered = values[order]
     fresh = np.ones(len(values), bool)
     fresh[1:] = ordered[1:] != ordered[:-1]
-    place = np.empty(len(values), np.int64)
-    place[order] = np.cumsum(fresh) - 1
-    return ordered[fresh], place
+    place = np.empty(len(values), np.int32 if bits < 32 else np.int64)
+    place[order] = np.cumsum(fresh, dtype=place.dtype) - place.dtype.type(1)
+    return ordered[fresh], place, order[fresh]
+
+
+def joint(first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
+    """Two numbers as one, the second less than ``size``."""
+    return first.astype(np.int64) * size + second
 
 
 def discounts(number: np.ndarray) -> np.ndarray:
@@ -130,7 +144,7 @@ def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = np.full(len(words) + len(counts), END)
         run, place = ragged(counts + 1)
         tokens[place < counts[run]] = words
-        vocabulary, number = distinct(tokens)
+        vocabulary, number, _ = distinct(tokens)
         train = batch.column(1).to_numpy(zero_copy_only=False)
         seen = np.bincount(number, train[run], len(vocabulary)).astype(np.int64)
         # frequent words get small numbers
@@ -153,7 +167,7 @@ class Block:
         self.counts = docs["counts"].astype(np.int64)
         self.doc, self.place = (x.astype(np.int32) for x in ragged(self.counts))
         self.train = docs["train"][self.doc]
-        self.history = np.zeros(len(self.tokens), np.uint64)
+        self.shifted = {}
 
     def answer_words(self, parts: dict[int, tuple]) -> None:
         """Take the counts and numbers of words."""
@@ -168,15 +182,22 @@ class Block:
         before = np.zeros(len(self.tokens), np.int64)
         before[1:] = self.count[:-1]
         before[self.place == 0] = self.model["documents"]
-        numbers = np.append(self.number, START)
-        self.history = mix(self.history * STEP + numbers[self.earlier(order - 1)] + np.uint64(order))
         return Request(self, before, order)
 
     def earlier(self, reach: int) -> np.ndarray:
         """The word so many places before each token; before a text begins, the number of words."""
-        out = np.full(len(self.tokens), len(self.number), np.int32)
-        inside = np.flatnonzero(self.place >= reach)
-        out[inside] = self.tokens[inside - reach]
+        if reach not in self.shifted:
+            out = np.full(len(self.tokens), len(self.number), np.int32)
+            out[reach:] = self.tokens[:-reach]
+            out[self.place < reach] = len(self.number)
+            self.shifted[reach] = out
+        return self.shifted[reach]
+
+    def histories(self, at: np.ndarray, order: int) -> np.ndarray:
+        """Hashes of the histories of some tokens, equal in all blocks."""
+        numbers, out = np.append(self.number, START), np.zeros(len(at), np.uint64)
+        for reach in range(1, order):
+            out = mix(out * STEP + numbers[self.earlier(reach)[at]] + np.uint64(reach + 1))
         return out
 
     def score_words(self) -> None:
@@ -189,8 +210,8 @@ class Block:
     def answer(self, order: int, request: "Request", parts: dict[int, tuple], scored: bool) -> None:
         """Take the counts of n-grams and what their histories lack; to be scored, move the probabilities up one order."""
         m = self.model
-        count, none = np.zeros(len(request.part), np.int64), np.zeros(len(request.heads), bool)
-        weight = np.full(len(request.heads), np.nan)
+        count, none = np.zeros(len(request.part), np.int64), np.zeros(len(request.head_part), bool)
+        weight = np.full(len(none), np.nan)
         d = m["discounts"][order]
         for part, (seen, empty, needed, stats) in parts.items():
             a, b = np.searchsorted(request.part, [part, part + 1])
@@ -201,9 +222,8 @@ class Block:
                 weight[a + needed.astype(np.int64)] = backoff(*stats, d)
         hot = m["hot"].get(order)
         if hot is not None and len(hot[0]):
-            at = np.minimum(np.searchsorted(hot[0], request.heads), len(hot[0]) - 1)
-            is_hot = hot[0][at] == request.heads
-            number, big, mass = (x[at[is_hot]] for x in hot[1:])
+            is_hot = np.flatnonzero(request.hot[request.head_at])
+            number, big, mass = (x[np.searchsorted(hot[0], request.codes(is_hot))] for x in hot[1:])
             none[is_hot] = number.sum(1) == 0
             weight[is_hot] = backoff(number, big, mass, d)
         head = request.pair_head[request.row]
@@ -231,28 +251,36 @@ class Request:
         used[last] = True
         head = (np.cumsum(used) - 1)[last]
         for reach in range(2, order):
-            _, head = distinct(head * size + block.earlier(reach))
-        pairs, row = distinct(head * size + block.tokens)
-        first = np.empty(len(pairs), np.int64)
-        first[row] = np.arange(len(row))
+            head = distinct(joint(head, block.earlier(reach), size))[1]
+        pairs, row, first = distinct(joint(head, block.tokens, size))
         # histories that end with one word meet in a partition, unless the word or the history is very frequent
         last = last[first]
         splits = 1 + before[first] // m["split"]
-        shares = 1 + np.append(block.word_count, m["documents"])[last] // m["split"]
-        salt = mix(block.history[first]) % shares.astype(np.uint64) * START + mix(block.number[block.tokens[first]]) % splits.astype(np.uint64)
-        part = ((mix(np.append(block.number, START)[last] * END + salt * STEP) >> np.uint64(17)) % np.uint64(m["parts"])).astype(np.int64)
+        word_shares = 1 + np.append(block.word_count, m["documents"]) // m["split"]
+        ends = np.append(block.number, START) * END
+        part_of = lambda code: ((mix(code) >> np.uint64(17)) % np.uint64(m["parts"])).astype(np.int64)
+        part = part_of(ends)[last]
+        some = np.flatnonzero((splits > 1) | (word_shares > 1)[last])
+        salt = mix(block.histories(first[some], order)) % word_shares[last[some]].astype(np.uint64) * START
+        salt += mix(block.number[block.tokens[first[some]]]) % splits[some].astype(np.uint64)
+        part[some] = part_of(ends[last[some]] + salt * STEP)
         by_part = np.argsort(small(part), kind="stable")
         back = np.empty(len(by_part), np.int32)
-        back[by_part] = np.arange(len(by_part))
+        back[by_part] = np.arange(len(by_part), dtype=np.int32)
         self.row, self.part, self.first = back[row], part[by_part], first[by_part]
         # a history of a partition is known by its number among (partition, history)
         pair_head = pairs[by_part] // size
         fresh = np.ones(len(pairs), bool)
         fresh[1:] = (pair_head[1:] != pair_head[:-1]) | (self.part[1:] != self.part[:-1])
-        self.pair_head = (np.cumsum(fresh) - 1).astype(np.int32)
-        self.head_part, self.heads = self.part[fresh], block.history[self.first[fresh]]
+        self.pair_head = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+        self.head_at = np.flatnonzero(fresh)
+        self.head_part = self.part[self.head_at]
         self.hot = splits[by_part] > 1
 
+    def codes(self, heads: np.ndarray) -> np.ndarray:
+        """Hashes of histories given by their numbers."""
+        return self.block.histories(self.first[self.head_at[heads]], self.order)
+
     def parts(self) -> Iterator[tuple[int, bytes]]:
         block, size = self.block, len(self.block.number)
         seen = np.bincount(self.row, block.train, len(self.part)).astype(np.int64)
@@ -269,7 +297,7 @@ class Request:
             mask[used], place[used] = False, np.arange(len(used))
             below = (small(word_count[used]),) if self.order == 2 else (small(block.count[at]), small(block.total[at[start]]))
             hot = np.flatnonzero(self.hot[a:b][start])
-            codes = self.heads[self.pair_head[a:b][start[hot]]]
+            codes = self.codes(self.pair_head[a:b][start[hot]])
             yield int(self.part[a]), squeeze((
                 tight(numbers[used]), small(np.diff(np.append(start, b - a))), (*(stepped(small(place[c])) for c in columns[:-1]), small(place[columns[-1]])), small(seen[a:b]), below, (small(hot), codes)))
 
@@ -307,7 +335,7 @@ def backoff(number: np.ndarray, big: np.ndarray, mass: np.ndarray, d: np.ndarray
 
 def _counted_words(group: pd.DataFrame) -> pd.DataFrame:
     asked = [(loose(w), c) for w, c in map(expand, group["payload"])]
-    words, place = distinct(np.concatenate([w for w, _ in asked]))
+    words, place, _ = distinct(np.concatenate([w for w, _ in asked]))
     count = np.bincount(place, np.concatenate([c for _, c in asked]), len(words)).astype(np.int64)
     number = np.bincount(np.minimum(count, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2]
     edges = np.cumsum([len(w) for w, _ in asked])
@@ -321,21 +349,21 @@ def _counted_words(group: pd.DataFrame) -> pd.DataFrame:
 def _counted_pairs(load, order: int):
     def counted(group: pd.DataFrame) -> pd.DataFrame:
         model = load()
-        size = model["numbers"] + 1
         asked = [expand(p) for p in group["payload"]]
-        numbers, lengths = [loose(a[0]).astype(np.int64) for a in asked], [a[1].astype(np.int64) for a in asked]
-        head = 0
+        # words are numbered anew, so that the numbers stay small
+        numbers, lengths = [loose(a[0]) for a in asked], [a[1].astype(np.int64) for a in asked]
+        words, place, _ = distinct(np.concatenate(numbers))
+        numbers, size = np.split(place, np.cumsum([len(n) for n in numbers])[:-1]), len(words)
+        head = np.zeros(1, np.int64)
         for k in range(order - 1):
-            heads, head = distinct(head * size + np.concatenate([n[unstepped(a[2][k])] for n, a in zip(numbers, asked)]))
+            heads, head, _ = distinct(joint(head, np.concatenate([n[unstepped(a[2][k])] for n, a in zip(numbers, asked)]), size))
         n_heads, lengths = len(heads), np.concatenate(lengths)
         edges, head_edges = np.cumsum([0, *(len(a[3]) for a in asked)]), np.cumsum([0, *(len(a[1]) for a in asked)])
-        pairs, pair = distinct(np.repeat(head, lengths) * size + np.concatenate([n[a[2][-1]] for n, a in zip(numbers, asked)]))
+        pairs, pair, one = distinct(joint(np.repeat(head, lengths), np.concatenate([n[a[2][-1]] for n, a in zip(numbers, asked)]), size))
         count = np.bincount(pair, np.concatenate([a[3] for a in asked]), len(pairs)).astype(np.int64)
         own = pairs // size
         del pairs, numbers
         # the probability of a word in the order below, where training has seen it here
-        one = np.empty(len(own), np.int64)
-        one[pair] = np.arange(len(pair))
         seen = np.flatnonzero(count)
         one = one[seen]
         if order == 2:
@@ -473,7 +501,7 @@ def _summed(hot: list[tuple]) -> tuple:
     """The statistics of split histories, added up over their partitions."""
     if not sum(len(h[0]) for h in hot):
         return np.zeros(0, np.uint64), np.zeros((0, LARGE), np.int64), np.zeros(0, np.int64), np.zeros(0)
-    heads, place = distinct(np.concatenate([h[0] for h in hot]))
+    heads, place, _ = distinct(np.concatenate([h[0] for h in hot]))
     number, big, mass = np.zeros((len(heads), LARGE), np.int64), np.zeros(len(heads), np.int64), np.zeros(len(heads))
     np.add.at(number, place, np.concatenate([h[1] for h in hot]))
     np.add.at(big, place, np.concatenate([h[2] for h in hot]))
