@@ -167,6 +167,29 @@ def test_suffix_dedup_of_runs(spark, contexts, monkeypatch):
     assert collected(suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed", "kept_sha256")) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("common", [1 << 13, 1])
+def test_suffix_dedup_returns_what_is_left(spark, common, monkeypatch):
+    """The removed runs in bytes and the bytes left, of cut texts, whole and short copies, nulls and null keys."""
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", common)
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    once, twice, whole = noise(450), noise(450), noise(500)
+    texts = [f"{noise(300)}1{once}2{noise(300)}3{twice}4", f"{noise(90)}5{twice}6", f"7{once}8", whole, whole, whole, noise(900), "short", "short", "", None, f"é{once}ñ", f"ó{once}ò"]
+    rows = [(None if i == 1 else i, t) for i, t in enumerate(texts)]
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    expected = []
+    for (d, _), b in zip(rows, raw):
+        gone = bytearray(len(b))
+        for i in range(len(b) - 399):
+            if seen[b[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        expected.append((d, len(b), [m.span() for m in re.finditer(b"\1+", bytes(gone))], bytes(x for x, g in zip(b, gone) if not g)))
+    assert len(expected[0][2]) == 2 and expected[3][3] == b""
+    found = suffix_dedup.cut_repeats(spark.createDataFrame(rows, "kept long, text string"), "kept").toDF("key", "n_bytes", "spans", "left").collect()
+    assert sorted(((d, n, [tuple(s) for s in spans], bytes(left)) for d, n, spans, left in found), key=str) == sorted(expected, key=str)
+
+
 def test_line_dedup(docs, texts):
     got = collected(line_dedup.remove_repeated_lines(docs).select("doc_id", "text", "n_lines", "n_removed"))
     first, windows = {}, []

@@ -21,6 +21,16 @@ def test_lm_scoring_uses_trigrams(spark):
     assert scores(QUERIES["op2_lm_scoring"](spark, FOLDER)) == scores(katz_scores(documents, remainder("doc_id", 7, 2), order=3))
 
 
+def test_suffix_dedup_returns_the_text_that_is_left(spark, tmp_path):
+    """A passage of two texts is in neither result, a text without one comes back whole, also where a character is cut through."""
+    passage = " ".join(f"word{i}" for i in range(60))
+    texts = [f"before {passage}\nafter", f"other {passage}\nend", "clean é\ntext", f"1é{passage}ñ", f"2é{passage}ò", None, "copy " * 90, "copy " * 90]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op5_suffix_dedup"](spark, str(tmp_path))
+    assert rows.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    assert {r["doc_id"]: r["text"] for r in rows.collect()} == {0: "beforeafter", 1: "otherend", 2: "clean é\ntext", 3: "1\ufffd", 4: "2\ufffd", 5: "", 6: "", 7: ""}
+
+
 def test_pipeline(spark):
     documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = run(spark, FOLDER)
